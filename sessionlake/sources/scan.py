@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.json import is_strict_json
@@ -50,12 +51,32 @@ def list_source_files(spark: SparkSession, root: str, rule: FileRule) -> DataFra
     return out.select("agent", path_id(F.col("path"), rule.id_rule).alias("session_id"), "path", "mtime", "size")
 
 
-def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, mtime, size, value) of whole files under `root`, so that line order is kept."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
+def source_path(path: Column) -> Column:
+    """A file's path at its source.
+
+    A landing job that writes with partitionBy keeps names as folders,
+    `dir=<name>/file=<name>/part-....txt`; they are read as the path they stand for.
+    """
+    named = F.regexp_replace(path, r"/file=([^/]+)/part-[^/]*$", "/$1")
+    return F.regexp_replace(named, r"/dir\d?=([^/]+)(?=/)", "/$1")
+
+
+def _name_pattern(glob: str) -> str:
+    return "/" + re.escape(glob).replace(r"\*", "[^/]*").replace(r"\?", "[^/]") + "$"
+
+
+def scan_files(spark: SparkSession, root: str | DataFrame, glob: str = "*") -> DataFrame:
+    """(path, mtime, size, value) of whole files under `root`, so that line order is kept.
+
+    Hidden folders must be named in `root`. A DataFrame of files already read (a
+    micro-batch) is filtered by name alone.
+    """
+    if isinstance(root, DataFrame):
+        return root.where(F.col("path").rlike(_name_pattern(glob)))
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{glob},part-*.txt}}").text(root, wholetext=True)
     meta = F.col("_metadata")
-    files = raw.select(meta["file_path"].alias("path"), (F.unix_micros(meta["file_modification_time"]) / 1_000_000).alias("mtime"), meta["file_size"].alias("size"), "value")
-    return files.where(F.col("size") <= MOST_BYTES)
+    files = raw.select(source_path(meta["file_path"]).alias("path"), (F.unix_micros(meta["file_modification_time"]) / 1_000_000).alias("mtime"), meta["file_size"].alias("size"), "value")
+    return files.where((F.col("size") <= MOST_BYTES) & F.col("path").rlike(_name_pattern(glob)))
 
 
 def lines_of(files: DataFrame) -> DataFrame:
@@ -64,13 +85,13 @@ def lines_of(files: DataFrame) -> DataFrame:
     return each.where(F.col("raw").rlike(r"\S"))
 
 
-def scan_jsonl(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
+def scan_jsonl(spark: SparkSession, root: str | DataFrame, glob: str = "*.jsonl") -> DataFrame:
     """(path, mtime, line_no, raw, rec) of good lines: each is one JSON value; blank and bad lines are left out."""
     lines = lines_of(scan_files(spark, root, glob))
     return lines.where(is_strict_json(F.col("raw"))).withColumn("rec", F.try_parse_json("raw"))
 
 
-def scan_json_docs(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
+def scan_json_docs(spark: SparkSession, root: str | DataFrame, glob: str = "*.json") -> DataFrame:
     """(path, mtime, raw, rec): one JSON value per file; rec is null if it is no JSON."""
     docs = scan_files(spark, root, glob).withColumnRenamed("value", "raw")
     return docs.select("path", "mtime", "raw", F.when(is_strict_json(F.col("raw")), F.try_parse_json("raw")).alias("rec"))
