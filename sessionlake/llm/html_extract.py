@@ -38,6 +38,8 @@ BOILERPLATE_NAMES = frozenset((
     "disqus", "footer", "header", "login", "menu", "menus", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo",
     "promoted", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 ))
+#: Of these, names of parts that may hold articles of their own.
+OTHER_TEXTS = frozenset(("comment", "comments", "disqus", "related", "promoted", "sponsored"))
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -56,18 +58,26 @@ class Weights:
         return self.tags.get(token, self.unknown)
 
 
-def _is_boilerplate(name: str, attributes: str) -> bool:
+def _boilerplate(name: str, attributes: str) -> str:
+    """'element' or 'name' if an element is no main text by its kind or its class and id words, 'aside' if those name other texts, else ''."""
     if name in BOILERPLATE:
-        return True
-    if name in ("article", "main", "body", "html") or not attributes:
-        return False
-    return any(p.lower() in BOILERPLATE_NAMES for m in _NAMED.finditer(attributes) for p in _PART.findall(m[1] or m[2] or m[3] or ""))
+        return "element"
+    if name in ("body", "html") or not attributes:
+        return ""
+    named = {p.lower() for m in _NAMED.finditer(attributes) for p in _PART.findall(m[1] or m[2] or m[3] or "")}
+    if named & OTHER_TEXTS:
+        return "aside"
+    return "name" if name not in ("article", "main") and named & BOILERPLATE_NAMES else ""
 
 
 def page_tokens(page: str) -> list[tuple[str, str, bool]]:
-    """(tag, text, is block tag) in order; tag is '' for text. Boilerplate elements are one tag."""
+    """(tag, text, is block tag) in order; tag is '' for text. Boilerplate elements are one tag.
+
+    An element that only its class or id calls boilerplate, but that holds the
+    page's <article> or <main>, is a frame around the page and stays.
+    """
     out: list[tuple[str, str, bool]] = []
-    at, skip, depth = 0, "", 0
+    at, skip, depth, frame = 0, "", 0, 0
     length = len(page)
     while at < length:
         m = _TOKEN.search(page, at)
@@ -83,6 +93,10 @@ def page_tokens(page: str) -> list[tuple[str, str, bool]]:
             continue
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if skip:
+            if frame and not closing and name in ("article", "main") and not _boilerplate(name, attributes):
+                out[-1] = (f"<{skip}>", "", skip not in INLINE)
+                at, skip = frame, ""
+                continue
             if name == skip:
                 depth += -1 if closing else not attributes.rstrip().endswith("/")
                 if depth == 0:
@@ -93,10 +107,10 @@ def page_tokens(page: str) -> list[tuple[str, str, bool]]:
             out.append((f"<{name}>", "", True))
             at = end.end() if end else length
             continue
-        if not closing and name not in VOID and _is_boilerplate(name, attributes):
+        if not closing and name not in VOID and (why := _boilerplate(name, attributes)):
             out.append((f"<{name} boilerplate>", "", True))
             if not attributes.rstrip().endswith("/"):
-                skip, depth = name, 1
+                skip, depth, frame = name, 1, at if why == "name" else 0
             continue
         out.append((f"</{name}>" if closing else f"<{name}>", "", name not in INLINE))
     return out
