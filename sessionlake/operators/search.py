@@ -200,7 +200,8 @@ def fuzzy_terms(words: DataFrame, vocab: DataFrame) -> DataFrame:
     only at the lengths that some word has. The vocabulary is distinct terms,
     never the tokens of the corpus.
     """
-    words = words.select("word").distinct()
+    # a term has under 40 bytes, so no longer word can match; that also bounds the lengths below
+    words = words.select("word").where(F.char_length("word") <= 41).distinct()
     keys = words.select("word", F.explode(F.array_distinct(_deletions(F.col("word")))).alias("key"))
     lengths = words.select(F.char_length("word").alias("n")).distinct()
     terms = vocab.where(F.col("field").isin("title", "content")).select("field", "term")
@@ -211,7 +212,7 @@ def fuzzy_terms(words: DataFrame, vocab: DataFrame) -> DataFrame:
         return F.substring("term", F.lit(1), k)
 
     made = F.array_distinct(F.concat(F.array(cut(n - 1), cut(n)), _deletions(cut(n)), _deletions(cut(n + 1))))
-    cuts = distinct.crossJoin(F.broadcast(lengths.limit(64))).where(F.char_length("term") >= n - 1).select("term", F.explode(made).alias("key"))
+    cuts = distinct.crossJoin(F.broadcast(lengths)).where(F.char_length("term") >= n - 1).select("term", F.explode(made).alias("key"))
     met = cuts.join(keys, "key").select("word", "term").distinct().where(within_one_edit_prefix(F.col("word"), F.col("term")))
     return met.join(terms, "term").select("word", "field", "term")
 
@@ -230,11 +231,13 @@ def fuzzy(parsed: DataFrame, post: DataFrame, vocab: DataFrame) -> DataFrame:
 def dir_text(parsed: DataFrame, sessions: DataFrame) -> DataFrame:
     """(query_id, agent, id, score): a one-word text of three or more characters in the directory; constant 1.
 
-    Query texts are a few rows against the distinct directories.
+    Needles meet the distinct directories on three characters, then are looked for.
     """
     one = parsed.where((F.char_length("text") >= 3) & ~F.contains("text", F.lit(" "))).select("query_id", F.lower("text").alias("needle"))
-    dirs = sessions.select("directory").distinct().withColumn("low", F.lower("directory"))
-    hit = dirs.join(one, F.contains("low", F.col("needle"))).select("query_id", "directory")
+    one = one.withColumn("gram", F.substring("needle", 1, 3))
+    dirs = sessions.select("directory").distinct().withColumn("low", F.lower("directory")).where(F.char_length("low") >= 3)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("low") - 2), lambda i: F.substring("low", i, F.lit(3))))
+    hit = dirs.withColumn("gram", F.explode(grams)).join(one, "gram").where(F.contains("low", F.col("needle"))).select("query_id", "directory")
     return sessions.select("agent", "id", "directory").join(hit, "directory").select("query_id", "agent", "id", F.lit(1.0).alias("score"))
 
 
@@ -284,10 +287,14 @@ def search(sessions: DataFrame, query: str, as_of: dt.datetime, limit: int = 50,
 
 
 def matches(parsed: DataFrame, sessions: DataFrame, post: DataFrame | None = None) -> DataFrame:
-    """(query_id, agent, id, timestamp, score) of all sessions that match each query, text and filters; score 0 without a text."""
+    """(query_id, agent, id, timestamp, score) of all sessions that match each query, text and filters; score 0 without a text.
+
+    Queries without a text ask for all sessions that pass their filters; those
+    queries, a few fields each, go to every task.
+    """
     slim = sessions.select("agent", "id", "directory", "timestamp")
     typed = parsed.where("text <> ''")
-    by_text = search_scores(typed, sessions, post).join(slim, ["agent", "id"]).join(F.broadcast(parsed.drop("query")), "query_id").where(passes_filters())
+    by_text = search_scores(typed, sessions, post).join(slim, ["agent", "id"]).join(parsed.drop("query"), "query_id").where(passes_filters())
     listed = slim.join(F.broadcast(parsed.where("text = ''").drop("query"))).where(passes_filters()).withColumn("score", F.lit(0.0))
     columns = ["query_id", "agent", "id", "timestamp", "score"]
     return by_text.select(columns).unionByName(listed.select(columns))

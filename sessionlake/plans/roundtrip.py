@@ -43,17 +43,22 @@ def _rows(t: DataFrame, seq: Column, line: Column, file: Column) -> DataFrame:
     return t.select(file.alias("file"), seq.cast("long").alias("seq"), line.alias("line"))
 
 
-USER, TEXT = F.col("role") == "user", F.col("text")
+def user() -> Column:
+    return F.col("role") == "user"
+
+
+def text() -> Column:
+    return F.col("text")
 
 
 def claude_files(spark, sf, root: str) -> None:
     t = _conv(spark, sf)
     file = F.concat("sid", F.lit(".jsonl"))
     cwd = F.concat(F.lit("/w/"), "sid")
-    user = _json(*[c for c in (F.lit("user").alias("type"), cwd.alias("cwd"), _obj(content=TEXT).alias("message"))])
-    reply = _json(F.lit("assistant").alias("type"), _obj(content=F.array(_obj(type="text", text=TEXT))).alias("message"))
-    noise = _json(F.lit("user").alias("type"), F.lit(True).alias("isMeta"), _obj(content=TEXT).alias("message"))
-    land(_rows(t, F.col("turn"), F.when(USER, user).when(F.col("role") == "assistant", reply).otherwise(noise), file), root)
+    asked = _json(F.lit("user").alias("type"), cwd.alias("cwd"), _obj(content=text()).alias("message"))
+    reply = _json(F.lit("assistant").alias("type"), _obj(content=F.array(_obj(type="text", text=text()))).alias("message"))
+    noise = _json(F.lit("user").alias("type"), F.lit(True).alias("isMeta"), _obj(content=text()).alias("message"))
+    land(_rows(t, F.col("turn"), F.when(user(), asked).when(F.col("role") == "assistant", reply).otherwise(noise), file), root)
 
 
 _BASE = """m AS (SELECT CAST(conv_id AS VARCHAR) AS id, conv_id, turn, role, text, CASE role WHEN 'user' THEN '» ' ELSE '  ' END || text AS r FROM conversations),
@@ -78,10 +83,10 @@ def ingest_claude(spark, sf):
 def codex_files(spark, sf, root: str) -> None:
     t = _conv(spark, sf)
     file = F.concat(F.lit("rollout-"), "sid", F.lit(".jsonl"))
-    user = _json(F.lit("event_msg").alias("type"), _obj(type="user_message", message=TEXT).alias("payload"))
-    reply = _json(F.lit("response_item").alias("type"), _obj(role="assistant", content=F.array(_obj(type="output_text", text=TEXT))).alias("payload"))
-    env = _json(F.lit("response_item").alias("type"), _obj(role="user", content=F.array(_obj(text=F.concat(F.lit("<environment_context>"), TEXT)))).alias("payload"))
-    land(_rows(t, F.col("turn"), F.when(USER, user).when(F.col("role") == "assistant", reply).otherwise(env), file), root)
+    asked = _json(F.lit("event_msg").alias("type"), _obj(type="user_message", message=text()).alias("payload"))
+    reply = _json(F.lit("response_item").alias("type"), _obj(role="assistant", content=F.array(_obj(type="output_text", text=text()))).alias("payload"))
+    env = _json(F.lit("response_item").alias("type"), _obj(role="user", content=F.array(_obj(text=F.concat(F.lit("<environment_context>"), text())))).alias("payload"))
+    land(_rows(t, F.col("turn"), F.when(user(), asked).when(F.col("role") == "assistant", reply).otherwise(env), file), root)
     h = _heads(t)
     land(_rows(h, F.lit(-2), _json(F.lit("session_meta").alias("type"), _obj(id=F.col("sid"), cwd=F.concat(F.lit("/x/"), "sid")).alias("payload")), file).unionByName(
         _rows(h, F.lit(-1), _json(F.lit("turn_context").alias("type"), _obj(approval_policy=F.when(F.col("conv_id") % 5 == 0, "never").otherwise("ask"), sandbox_policy=_obj(mode="read-only")).alias("payload")), file)), root)
@@ -98,7 +103,7 @@ def ingest_codex(spark, sf):
 def ingest_copilot_cli(spark, sf):
     t, root = _conv(spark, sf).where(_ALL), scratch(spark, "copilot")
     file = F.concat("sid", F.lit(".jsonl"))
-    line = _json(F.when(USER, "user.message").otherwise("assistant.message").alias("type"), _obj(content=TEXT).alias("data"))
+    line = _json(F.when(user(), "user.message").otherwise("assistant.message").alias("type"), _obj(content=text()).alias("data"))
     start = _json(F.lit("session.start").alias("type"), _obj(sessionId=F.col("sid"), context=_obj(cwd=F.concat(F.lit("/y/"), "sid"))).alias("data"))
     title = _json(F.lit("session.title_changed").alias("type"), _obj(title=F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("named "), "sid")).otherwise(" ")).alias("data"))
     h = _heads(t)
@@ -110,7 +115,7 @@ def ingest_copilot_cli(spark, sf):
 def ingest_pi(spark, sf):
     t, root = _conv(spark, sf).where(_ALL), scratch(spark, "pi")
     file = F.concat(F.lit("2024-01-01_"), "sid", F.lit(".jsonl"))
-    line = _json(F.lit("message").alias("type"), _obj(role=F.col("role"), content=F.array(_obj(type="text", text=TEXT))).alias("message"))
+    line = _json(F.lit("message").alias("type"), _obj(role=F.col("role"), content=F.array(_obj(type="text", text=text()))).alias("message"))
     start = _json(F.lit("session").alias("type"), F.col("sid").alias("id"), F.concat(F.lit("/p/"), "sid").alias("cwd"))
     name = _json(F.lit("session_info").alias("type"), F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("pi "), "sid")).otherwise("").alias("name"))
     h = _heads(t)
@@ -131,8 +136,8 @@ def ingest_vibe(spark, sf):
 @query("ingest_copilot_vscode", _oracle("copilot-vscode", f"CASE WHEN first_user IS NULL THEN 'VS Code chat' ELSE {sql.truncated('first_user', 100)} END", "''", _ALL, where="content IS NOT NULL"))
 def ingest_copilot_vscode(spark, sf):
     t, root = _conv(spark, sf).where(_ALL), scratch(spark, "vscode")
-    asked = F.when(USER, _obj(text=TEXT)).otherwise(_obj(text=F.lit("")))
-    answer = F.when(USER, F.array(_obj(value=F.lit("")))).otherwise(F.array(_obj(value=TEXT)))
+    asked = F.when(user(), _obj(text=text())).otherwise(_obj(text=F.lit("")))
+    answer = F.when(user(), F.array(_obj(value=F.lit("")))).otherwise(F.array(_obj(value=text())))
     requests = F.transform(F.array_sort(F.collect_list(F.struct("turn", _obj(message=asked, response=answer).alias("q")))), lambda x: x["q"])
     docs = t.groupBy("sid").agg(requests.alias("requests"))
     land(docs.select(F.concat("sid", F.lit(".json")).alias("file"), F.lit(0).alias("seq"), _json(F.lit(1704067200000).alias("lastMessageDate"), F.col("requests")).alias("line")), root)
@@ -142,8 +147,8 @@ def ingest_copilot_vscode(spark, sf):
 @query("ingest_crush", _oracle("crush", sql.truncated("first_user", 100), "''", "true", 5).replace("FILTER (role IN ('user', 'assistant')) AS content", "AS content"))
 def ingest_crush(spark, sf):
     t = _conv(spark, sf)
-    s = t.groupBy(F.col("sid").alias("id")).agg(F.lit("").alias("title"), F.count_if(USER).alias("message_count"), F.lit(1704067200).alias("created_at"), F.lit(1704067200000).alias("updated_at"))
-    m = t.select(F.col("sid").alias("session_id"), "role", F.to_json(F.array(_obj(type="text", data=_obj(text=TEXT)))).alias("parts"), F.col("turn").alias("created_at"))
+    s = t.groupBy(F.col("sid").alias("id")).agg(F.lit("").alias("title"), F.count_if(user()).alias("message_count"), F.lit(1704067200).alias("created_at"), F.lit(1704067200000).alias("updated_at"))
+    m = t.select(F.col("sid").alias("session_id"), "role", F.to_json(F.array(_obj(type="text", data=_obj(text=text())))).alias("parts"), F.col("turn").alias("created_at"))
     return agents.sessions_of("crush", agents.ingest_crush(s, m)).select(KEPT)
 
 
@@ -151,7 +156,7 @@ def ingest_crush(spark, sf):
 def ingest_cursor(spark, sf):
     t = _conv(spark, sf)
     meta = _heads(t).select(F.col("sid").alias("session_id"), F.lit("meta").alias("key"), _json(F.concat(F.lit("chat "), "sid").alias("name"), F.lit(1704067200000).alias("createdAt")).alias("value"), F.lit(1704067200.0).alias("mtime"), F.lit("%2Fwork").alias("directory"))
-    plain = _json(F.col("role"), F.array(_obj(type="text", text=TEXT)).alias("content"))
+    plain = _json(F.col("role"), F.array(_obj(type="text", text=text())).alias("content"))
     nested = _json(F.array(F.struct("role", "text")).alias("messages"))
     blobs = t.select(F.col("sid").alias("session_id"), F.col("turn").alias("seq"), F.when(F.col("turn") % 2 == 0, plain).otherwise(nested).alias("value"))
     return agents.sessions_of("cursor", agents.ingest_cursor(meta, blobs)).select(KEPT)
@@ -160,7 +165,7 @@ def ingest_cursor(spark, sf):
 @query("ingest_grok")
 def ingest_grok(spark, sf):
     t, root = _conv(spark, sf), scratch(spark, "grok")
-    name = F.when(USER, "user_message_chunk").when(F.col("role") == "assistant", "agent_message_chunk").otherwise("tool_call")
+    name = F.when(user(), "user_message_chunk").when(F.col("role") == "assistant", "agent_message_chunk").otherwise("tool_call")
     half = F.when(F.col("n") == 0, F.substring("text", 1, 30)).otherwise(F.expr("substring(text, 31)"))
     line = _json(_obj(update=_obj(sessionUpdate=name, content=_obj(text=half))).alias("params"))
     chunks = t.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -173,7 +178,7 @@ def ingest_grok(spark, sf):
 @query("ingest_kimi")
 def ingest_kimi(spark, sf):
     t, root = _conv(spark, sf), scratch(spark, "kimi")
-    said = _json(F.lit("context.append_message").alias("type"), _obj(role=F.col("role"), content=F.array(_obj(type="text", text=TEXT))).alias("message"))
+    said = _json(F.lit("context.append_message").alias("type"), _obj(role=F.col("role"), content=F.array(_obj(type="text", text=text()))).alias("message"))
     undo = _json(F.lit("context.undo").alias("type"), F.lit(1).alias("count"))
     line = F.when(F.col("turn") % 9 == 8, undo).otherwise(said)
     land(t.select(F.col("sid").alias("dir"), F.lit("agents").alias("dir2"), F.lit("main").alias("dir3"), F.lit("wire.jsonl").alias("file"), F.col("turn").alias("seq"), line.alias("line")), root, "dir", "dir2", "dir3")
@@ -199,10 +204,10 @@ def ingest_opencode(spark, sf):
 @query("ingest_antigravity", _oracle("antigravity", sql.truncated("first_user", 100), "''", "role = 'user'"))
 def ingest_antigravity(spark, sf):
     t, root = _conv(spark, sf), scratch(spark, "antigravity")
-    user = _json(F.lit("USER_EXPLICIT").alias("source"), F.lit("USER_INPUT").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("created_at"), F.concat(F.lit("<USER_REQUEST>"), TEXT, F.lit("</USER_REQUEST>")).alias("content"))
-    model = _json(F.lit("MODEL").alias("source"), F.lit("PLANNER_RESPONSE").alias("type"), F.lit("2024-01-02T00:00:00Z").alias("created_at"), F.lit("").alias("content"), TEXT.alias("thinking"))
-    history = _json(F.lit("USER").alias("source"), F.lit("EPHEMERAL_MESSAGE").alias("type"), TEXT.alias("content"))
-    line = F.when(USER, user).when(F.col("role") == "assistant", model).otherwise(history)
+    request = _json(F.lit("USER_EXPLICIT").alias("source"), F.lit("USER_INPUT").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("created_at"), F.concat(F.lit("<USER_REQUEST>"), text(), F.lit("</USER_REQUEST>")).alias("content"))
+    model = _json(F.lit("MODEL").alias("source"), F.lit("PLANNER_RESPONSE").alias("type"), F.lit("2024-01-02T00:00:00Z").alias("created_at"), F.lit("").alias("content"), text().alias("thinking"))
+    history = _json(F.lit("USER").alias("source"), F.lit("EPHEMERAL_MESSAGE").alias("type"), text().alias("content"))
+    line = F.when(user(), request).when(F.col("role") == "assistant", model).otherwise(history)
     land(t.select(F.col("sid").alias("dir"), F.lit("system").alias("dir2"), F.lit("logs").alias("dir3"), F.lit("transcript.jsonl").alias("file"), F.col("turn").alias("seq"), line.alias("line")), root, "dir", "dir2", "dir3")
     return agents.sessions_of("antigravity", agents.ingest_antigravity(spark, root)).select(KEPT)
 
