@@ -61,16 +61,17 @@ def unwrap_tags(spark, sf):
     return t.select("conv_id", "turn", messages.unwrap_request(wrapped).alias("request"), messages.shell_input(shell).alias("command"))
 
 
-@query("content_texts")
+@query("content_texts", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE text || '|' || role END AS texts FROM conversations")
 def content_texts(spark, sf):
     t = views.table(views.configure(spark), sf, "conversations")
     part = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("input_text")), F.struct(F.lit("x").alias("type"), F.lit(None).cast("string").alias("text"), F.col("role").alias("input_text")))
     raw = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("text").alias("c")))).otherwise(F.to_json(F.struct(part.alias("c"))))
     v = F.try_variant_get(F.try_parse_json(raw), "$.c", "variant")
-    return t.select("conv_id", "turn", fj.content_texts(v).alias("texts"))
+    return t.select("conv_id", "turn", F.array_join(fj.content_texts(v), "|").alias("texts"))
 
 
-@query("tool_summaries")
+@query("tool_summaries", """SELECT conv_id, turn, CASE WHEN turn % 7 <> 6 THEN text || CASE WHEN length(text) < 500 THEN ' [' || role || ']: ' || left(text, 200) ELSE '' END || ' [calling ' || role || ']' END AS summary
+FROM conversations""")
 def tool_summaries(spark, sf):
     t = views.table(views.configure(spark), sf, "conversations")
 
@@ -257,12 +258,15 @@ def query_validity(spark, sf):
 # -- search --------------------------------------------------------------------
 
 
-@query("parse_queries", sql.with_sessions("""SELECT p.query_id, text, agent_include, agent_exclude, dir_include, dir_exclude, op, cutoff, until, negated, n.sessions
-FROM v_parsed p, (SELECT count(*) AS sessions FROM v_sessions) n""".replace("op, cutoff, until, negated", "op, cutoff, until, CASE WHEN cutoff IS NOT NULL THEN negated END AS negated"), sql.V_PARSED))
+_FILTERS = ("agent_include", "agent_exclude", "dir_include", "dir_exclude")
+
+
+@query("parse_queries", sql.with_sessions(f"""SELECT p.query_id, text, {", ".join(f"coalesce(array_to_string({c}, '|'), '') AS {c}" for c in _FILTERS)}, op, cutoff, until,
+  CASE WHEN cutoff IS NOT NULL THEN negated END AS negated, n.sessions FROM v_parsed p, (SELECT count(*) AS sessions FROM v_sessions) n""", sql.V_PARSED))
 def parse_queries(spark, sf):
     parsed = search.parse_queries(views.queries(spark), views.AS_OF)
     n = views.listed(spark, sf).agg(F.count("*").alias("sessions"))
-    return parsed.crossJoin(n).select("query_id", "text", "agent_include", "agent_exclude", "dir_include", "dir_exclude", "date.op", "date.cutoff", "date.until", "date.negated", "sessions")
+    return parsed.crossJoin(n).select("query_id", "text", *[F.array_join(c, "|").alias(c) for c in _FILTERS], "date.op", "date.cutoff", "date.until", "date.negated", "sessions")
 
 
 @query("postings", sql.with_sessions("SELECT agent, id, field, term, tf, len FROM v_postings", sql.V_POSTINGS))
@@ -464,27 +468,27 @@ def _argv(agent: str, binary: str, yolo: tuple, resume: tuple, ok: bool) -> str:
 _ARGV = " ".join(f"WHEN '{a}' THEN {_argv(a, b, yolo, resume, ok)}" for a, _, b, yolo, resume, ok in AGENTS)
 
 
-@query("resume_command", sql.with_sessions(f"SELECT agent, id, CASE agent {_ARGV} END AS resume_command FROM v_sessions"))
+@query("resume_command", sql.with_sessions(f"SELECT agent, id, array_to_string(CASE agent {_ARGV} END, ' ') AS resume_command FROM v_sessions"))
 def resume_command(spark, sf):
-    return refresh.with_resume_command(views.sessions(spark, sf)).select("agent", "id", "resume_command")
+    return refresh.with_resume_command(views.sessions(spark, sf)).select("agent", "id", F.array_join("resume_command", " ").alias("resume_command"))
 
 
 # -- statistics ----------------------------------------------------------------
 
 
-@query("stats_totals", sql.with_sessions("""SELECT count(*) AS sessions, coalesce(sum(message_count), 0) AS messages, coalesce(round(avg(message_count), 1), 0) AS avg_messages,
+@query("stats_totals", sql.with_sessions("""SELECT count(*) AS sessions, CAST(coalesce(sum(message_count), 0) AS BIGINT) AS messages, CAST(coalesce(round(avg(message_count), 1), 0) AS DOUBLE) AS avg_messages,
   min(timestamp) AS oldest, max(timestamp) AS newest FROM v_sessions WHERE contains(directory, '/work')"""))
 def stats_totals(spark, sf):
     return stats.totals(filters.apply(views.listed(spark, sf), filters.stats_filter(None, "/work")))
 
 
-@query("stats_by_agent", sql.with_sessions("SELECT agent, count(*) AS sessions, sum(message_count) AS messages, sum(octet_length(encode(content))) AS content_bytes FROM v_sessions GROUP BY agent"))
+@query("stats_by_agent", sql.with_sessions("SELECT agent, count(*) AS sessions, CAST(sum(message_count) AS BIGINT) AS messages, CAST(sum(octet_length(encode(content))) AS BIGINT) AS content_bytes FROM v_sessions GROUP BY agent"))
 def stats_by_agent(spark, sf):
     return stats.by_agent(views.sessions(spark, sf))
 
 
 @query("top_directories", sql.with_sessions("""SELECT CASE WHEN directory = '' THEN 'n/a' WHEN directory = '/work' OR starts_with(directory, '/work/') THEN '~' || substr(directory, 6) ELSE directory END AS directory,
-  count(*) AS sessions, sum(message_count) AS messages FROM v_sessions GROUP BY 1 ORDER BY sessions DESC, messages DESC, directory LIMIT 10"""))
+  count(*) AS sessions, CAST(sum(message_count) AS BIGINT) AS messages FROM v_sessions GROUP BY 1 ORDER BY sessions DESC, messages DESC, directory LIMIT 10"""))
 def top_directories(spark, sf):
     return stats.top_directories(views.listed(spark, sf), 10, "/work")
 
@@ -512,7 +516,7 @@ def activity_scale(spark, sf):
     return stats.scaled(stats.by_hour(views.listed(spark, sf)))
 
 
-_SETS = "count(*) AS sessions, sum(message_count) AS messages, sum(octet_length(encode(content))) AS content_bytes FROM v_sessions"
+_SETS = "count(*) AS sessions, CAST(sum(message_count) AS BIGINT) AS messages, CAST(sum(octet_length(encode(content))) AS BIGINT) AS content_bytes FROM v_sessions"
 
 
 @query("stats_grouping_sets", sql.with_sessions(f"""SELECT 'agent' AS kind, agent AS key, {_SETS} GROUP BY agent
@@ -526,7 +530,7 @@ def agent_facets(spark, sf):
     return stats.agent_facets(views.listed(spark, sf))
 
 
-_RAW = "SELECT agent, count(*) AS file_count, sum(length(text)) AS total_bytes FROM (SELECT [" + ", ".join(f"'{a}'" for a in AGENT_NAMES[:7]) + "][doc_id % 7 + 1] AS agent, text FROM documents) GROUP BY agent"
+_RAW = "SELECT agent, count(*) AS file_count, CAST(sum(length(text)) AS BIGINT) AS total_bytes FROM (SELECT [" + ", ".join(f"'{a}'" for a in AGENT_NAMES[:7]) + "][doc_id % 7 + 1] AS agent, text FROM documents) GROUP BY agent"
 
 
 def _files(spark, sf):

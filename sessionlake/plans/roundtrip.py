@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.plans import sql, views
-from sessionlake.plans.queries import query
+from sessionlake.plans.queries import ORACLE_SQL, query
 from sessionlake.sources import agents
 from sessionlake.sources.scratch import scratch
 
@@ -162,7 +162,17 @@ def ingest_cursor(spark, sf):
     return agents.sessions_of("cursor", agents.ingest_cursor(meta, blobs)).select(KEPT)
 
 
-@query("ingest_grok")
+_RUNS = """WITH r AS (
+  SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS seg,
+         lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+u AS (SELECT *, sum(CASE WHEN role = 'user' AND before IS DISTINCT FROM 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS urun FROM r),
+runs AS (SELECT conv_id, role, min(turn) AS first, string_agg(text, '' ORDER BY turn) AS text FROM u WHERE role IN ('user', 'assistant')
+  GROUP BY conv_id, role, CASE WHEN role = 'user' THEN urun ELSE seg END),
+g AS (SELECT CAST(conv_id AS VARCHAR) AS id, string_agg(CASE role WHEN 'user' THEN '» ' ELSE '  ' END || text, chr(10) || chr(10) ORDER BY first) AS content,
+  arg_min(text, first) FILTER (role = 'user') AS first_user, count(*) FILTER (role = 'user') AS message_count FROM runs GROUP BY conv_id)"""
+
+
+@query("ingest_grok", f"{_RUNS} SELECT id, 'grok' AS agent, {sql.truncated('first_user', 100)} AS title, '/g/' || id AS directory, content, message_count, false AS yolo FROM g WHERE first_user IS NOT NULL")
 def ingest_grok(spark, sf):
     t, root = _conv(spark, sf), scratch(spark, "grok")
     name = F.when(user(), "user_message_chunk").when(F.col("role") == "assistant", "agent_message_chunk").otherwise("tool_call")
@@ -212,7 +222,10 @@ def ingest_antigravity(spark, sf):
     return agents.sessions_of("antigravity", agents.ingest_antigravity(spark, root)).select(KEPT)
 
 
-@query("ingest_all")
+_EACH = ("ingest_claude", "ingest_codex")
+
+
+@query("ingest_all", " UNION ALL ".join(f"SELECT * FROM ({ORACLE_SQL[n]})" for n in _EACH))
 def ingest_all(spark, sf):
     roots = {"claude": scratch(spark, "claude"), "codex": scratch(spark, "codex")}
     claude_files(spark, sf, roots["claude"])
@@ -220,17 +233,18 @@ def ingest_all(spark, sf):
     return agents.ingest_all(spark, roots).select(KEPT)
 
 
-@query("list_files")
+@query("list_files", """SELECT 'claude' AS agent, CAST(conv_id AS VARCHAR) || '.jsonl' AS file FROM conversations GROUP BY conv_id""")
 def list_files(spark, sf):
     from sessionlake.sources.scan import FileRule, list_source_files
 
     root = scratch(spark, "list")
     claude_files(spark, sf, root)
-    files = list_source_files(spark, root, FileRule("claude", "part-*.txt"))
-    return files.select("agent", F.regexp_extract("path", "file=([^/]*)/", 1).alias("file"), "size")
+    files = list_source_files(spark, root, FileRule("claude", "part-*.txt")).where("size > 0")
+    return files.select("agent", F.regexp_extract("path", "file=([^/]*)/", 1).alias("file"))
 
 
-@query("scan_jsonl")
+@query("scan_jsonl", f"""WITH {sql.V_HEALTH}, n AS (SELECT path, ok, row_number() OVER (PARTITION BY path ORDER BY line_no) - 1 AS line_no, line_no AS turn FROM v_health)
+SELECT path || '.jsonl' AS file, CAST(line_no AS INTEGER) AS line_no, role FROM n JOIN conversations c ON CAST(c.conv_id AS VARCHAR) = path AND c.turn = n.turn WHERE ok""")
 def scan_jsonl(spark, sf):
     from sessionlake.sources.scan import scan_jsonl as scan
 
@@ -240,7 +254,8 @@ def scan_jsonl(spark, sf):
     return scan(spark, root).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "line_no", F.try_variant_get("rec", "$.role", "string").alias("role"))
 
 
-@query("scan_docs")
+@query("scan_docs", f"""WITH {sql.V_HEALTH} SELECT path || '-' || CAST(line_no AS VARCHAR) || '.json' AS file, CASE WHEN ok THEN 'CLEAN' ELSE 'INVALID' END AS health, CASE WHEN ok THEN role END AS role
+FROM v_health JOIN conversations c ON CAST(c.conv_id AS VARCHAR) = path AND turn = line_no""")
 def scan_docs(spark, sf):
     from sessionlake.sources.scan import json_doc_health, scan_json_docs
 

@@ -59,7 +59,7 @@ V_POSTINGS = f"""v_tokens AS (
   UNION ALL SELECT agent, id, 'content', unnest({tokens("content")}) FROM v_sessions
   UNION ALL SELECT agent, id, 'directory', directory FROM v_sessions WHERE directory <> ''),
 v_postings AS (
-  SELECT agent, id, field, term, tf, sum(tf) OVER (PARTITION BY agent, id, field) AS len
+  SELECT agent, id, field, term, tf, CAST(sum(tf) OVER (PARTITION BY agent, id, field) AS BIGINT) AS len
   FROM (SELECT agent, id, field, term, count(*) AS tf FROM v_tokens GROUP BY ALL)),
 v_totals AS (SELECT field, (SELECT count(*) FROM v_sessions) AS docs, sum(tf) / (SELECT count(*) FROM v_sessions) AS avg_len FROM v_postings GROUP BY field)"""
 

@@ -25,7 +25,14 @@ def stream_refresh(spark, sf):
     return stream.refresh_once(spark, root, out, "claude", _parse, stem(F.col("path"))).select(KEPT)
 
 
-@query("stream_retain")
+_KEEPS = f"""WITH {sql.V_HEALTH},
+good AS (SELECT path AS id, turn, 'second version: ' || text AS t FROM v_health JOIN conversations c ON CAST(c.conv_id AS VARCHAR) = path AND turn = line_no WHERE ok AND c.conv_id % 5 <> 0),
+second AS (SELECT id, arg_min(t, turn) AS first, string_agg('» ' || t, chr(10) || chr(10) ORDER BY turn) AS content, count(*) AS message_count FROM good GROUP BY id)
+SELECT id, 'claude' AS agent, {sql.truncated("first", 100)} AS title, '' AS directory, content, message_count, false AS yolo FROM second
+UNION ALL SELECT * FROM ({ORACLE_SQL["ingest_claude"]}) WHERE id NOT IN (SELECT id FROM second)"""
+
+
+@query("stream_retain", _KEEPS)
 def stream_retain(spark, sf):
     """A second version of every file, torn in part of them, after a first good one."""
     root, out = scratch(spark, "retain-in"), scratch(spark, "retain-out")
