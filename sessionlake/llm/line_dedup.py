@@ -5,8 +5,9 @@ normalised text or is within EDITS edits of it. Two strings within EDITS edits
 share one of EDITS + 1 segments of the shorter, at a shift that the segment's
 place and the difference of lengths bound; so each distinct line is indexed
 under its segments and probes, for every length it can match, the substrings at
-those shifts. Candidates that meet in the equi-join are verified with a banded
-bit-parallel edit distance.
+those shifts. An edit changes the counts of two letters at most, so pairs whose
+letter counts are further apart leave in the join itself; the
+candidates that stay are verified with a banded bit-parallel edit distance.
 
 Lines with equal normalised text are merged by an aggregate before the join, so
 that copies never multiply. Equal lines are told by two independent 64-bit hashes; the edit
@@ -53,21 +54,47 @@ def _key(length: Column, segment: int, part: Column) -> Column:
     return F.xxhash64(length, F.lit(segment), part)
 
 
-def index_keys(norm: Column, edits: int = EDITS) -> Column:
-    """Array of the keys under which a line is indexed: one per segment."""
+def index_keys(norm: Column, edits: int = EDITS) -> list[Column]:
+    """The keys under which a line is indexed: one per segment."""
     length = F.char_length(norm)
-    return F.array(*[_key(length, i, F.substring(norm, start, size)) for i, (start, size) in enumerate(_segments(length, edits + 1))])
+    return [_key(length, i, F.substring(norm, start, size)) for i, (start, size) in enumerate(_segments(length, edits + 1))]
 
 
-def probe_keys(norm: Column, edits: int = EDITS) -> Column:
-    """Array of the keys that a line probes: its substrings at the shifts that a match allows."""
+def probe_keys(norm: Column, edits: int = EDITS) -> list[Column]:
+    """The keys that a line probes: its substrings at the shifts that a match allows."""
     length, out = F.char_length(norm), []
     for less in range(edits + 1):
         target = length - less
         for i, (start, size) in enumerate(_segments(target, edits + 1)):
             low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
             out += [_key(target, i, F.substring(norm, start + shift, size)) for shift in range(low, high + 1)]
-    return F.array(*out)
+    return out
+
+
+#: Letters that are counted; any 16 give the same result.
+COUNTED = "acdeghilmnoprstu"
+#: Texts up to which the places of candidates are broadcast (24 bytes each); beyond, lines are shuffled to them.
+BROADCAST_TEXTS = 500_000
+
+
+def letter_counts(norm: Column) -> Column:
+    """Counts of the COUNTED letters modulo 16, four bits each in one long."""
+    out = F.lit(0).cast("long")
+    for i, letter in enumerate(COUNTED):
+        left = F.replace(norm, F.lit(letter), F.lit(""))
+        out = out.bitwiseOR(F.shiftleft((F.octet_length(norm) - F.octet_length(left)).cast("long").bitwiseAND(F.lit(15).cast("long")), 4 * i))
+    return out
+
+
+def counts_apart(a: str, b: str) -> Column:
+    """Sum of differences, modulo 16, of two letter_counts; at most twice the edit distance."""
+    each = [f"((shiftright({a}, {4 * i}) & 15) - (shiftright({b}, {4 * i}) & 15) + 16) & 15" for i in range(len(COUNTED))]
+    return F.expr(" + ".join(f"least({d}, 16 - ({d}))" for d in each))
+
+
+def place(doc_id: Column, line_no: Column) -> Column:
+    """A line's place in one number that orders by doc_id, then line."""
+    return doc_id.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + line_no.cast("decimal(11,0)")
 
 
 def edit_distance(a: str, b: str, edits: int = EDITS) -> Column:
@@ -119,19 +146,31 @@ def line_verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     lines = numbered_lines(source)
     slim = written(lines.select("doc_id", "line_no", "h1", "h2"))
-    keyed = lines.select("h1", "h2", "doc_id", "line_no", F.concat(index_keys(F.col("norm")), probe_keys(F.col("norm"))).alias("keys"))
-    texts = written(keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "keys")).alias("m")).select("h1", "h2", F.struct("m.doc_id", "m.line_no").alias("at"), F.col("m.keys").alias("keys")))
-    index = texts.select("h1", F.explode(F.slice("keys", 1, EDITS + 1)).alias("key")).withColumnRenamed("h1", "a")
-    probe = texts.select("h1", F.explode(F.expr(f"slice(keys, {EDITS + 2}, size(keys) - {EDITS + 1})")).alias("key")).withColumnRenamed("h1", "b")
-    met = index.join(probe, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # keys are plain columns, all equal within a text, so that a hash aggregate merges copies without sorting
+    norm = F.col("norm")
+    own, probed = index_keys(norm), probe_keys(norm)
+    n_index, n_keys = len(own), len(own) + len(probed)
+    keyed = lines.select("h1", "h2", place(F.col("doc_id"), F.col("line_no")).alias("place"), letter_counts(norm).alias("counts"), *[k.alias(f"k{i}") for i, k in enumerate(own + probed)])
+    texts = written(keyed.groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.max(c).alias(c) for c in ("counts", *(f"k{i}" for i in range(n_keys)))]))
+    index = texts.select(F.col("h1").alias("a"), F.col("counts").alias("ca"), F.explode(F.array(*[f"k{i}" for i in range(n_index)])).alias("key"))
+    probe = texts.select(F.col("h1").alias("b"), F.col("counts").alias("cb"), F.explode(F.array(*[f"k{i}" for i in range(n_index, n_keys)])).alias("key"))
+    near = (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & (counts_apart("ca", "cb") <= 2 * EDITS)
+    met = index.join(probe, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(met.distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    found = written(lines.join(wanted, "h1").groupBy("h1").agg(F.first("norm").alias("norm")))
+    # only where a text is first seen: a text with very many copies is fetched once, by its place
+    places = written(texts.join(wanted, "h1").select("h1", "place"))
+    holders = places.select(F.floor(F.col("place") / (1 << 32)).cast(source.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    if places.count() <= BROADCAST_TEXTS:
+        places, holders = F.broadcast(places), F.broadcast(holders)
+    again = numbered_lines(source.join(holders, "doc_id", "left_semi"))
+    first_lines = again.withColumn("place", place(F.col("doc_id"), F.col("line_no"))).join(places, ["h1", "place"])
+    found = written(first_lines.select("h1", "norm").dropDuplicates(["h1"]))
     sides = pairs.join(found.select(F.col("h1").alias("a"), F.col("norm").alias("na")), "a").join(found.select(F.col("h1").alias("b"), F.col("norm").alias("nb")), "b")
     shorter = F.char_length("na") <= F.char_length("nb")
     sides = sides.select("a", "b", F.when(shorter, F.col("na")).otherwise(F.col("nb")).alias("x"), F.when(shorter, F.col("nb")).otherwise(F.col("na")).alias("y"))
     links = written(sides.where(edit_distance("x", "y") <= EDITS).select("a", "b"))
-    at = texts.select("h1", "h2", "at")
+    at = texts.select("h1", "h2", F.col("place").alias("at"))
     ends = links.join(at.select(F.col("h1").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("h1").alias("b"), F.col("at").alias("at_b")), "b")
     ends = ends.select(F.explode(F.array(F.struct(F.col("a").alias("h1"), (F.col("at_b") < F.col("at_a")).alias("later")), F.struct(F.col("b").alias("h1"), (F.col("at_a") < F.col("at_b")).alias("later")))).alias("e")).select("e.*")
     per_text = ends.groupBy("h1").agg(F.count("*").alias("n_links"), F.max("later").alias("near"))
@@ -140,7 +179,7 @@ def line_verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "doc_id",
         "line_no",
         "h1",
-        (F.struct("doc_id", "line_no") == F.col("at")).alias("first"),
+        (place(F.col("doc_id"), F.col("line_no")) == F.col("at")).alias("first"),
         F.coalesce("near", F.lit(False)).alias("near"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     ), links
@@ -177,13 +216,16 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     A document without repeated lines stays as it is, null and empty texts too.
     An n_chars column, if there is one, is set to the new length.
     """
-    verdict = repeated_lines(docs.select("doc_id", "text")).where(F.size("removed") > 0).select("doc_id", F.col("removed").alias("__removed")).dropDuplicates(["doc_id"])
-    both = docs.join(verdict, "doc_id", "left")
-    parts = F.split(F.col("text"), "\n", -1)
-    kept = F.expr("array_except(sequence(0, size(__lines) - 1), __removed)")
-    both = both.withColumn("__lines", F.when(F.col("__removed").isNotNull(), parts))
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at("__lines", i + 1)), "\n"))
-    both = both.withColumn("__new", text)
-    left = both.where(F.col("__removed").isNull() | F.col("__new").rlike(r"[^\x20\x09-\x0D]"))
-    changed = {"text": F.col("__new")} | ({"n_chars": F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.char_length("__new")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return left.select([changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    verdict = repeated_lines(docs.select("doc_id", "text")).where(F.size("removed") > 0).select("doc_id", "removed").dropDuplicates(["doc_id"])
+    # the whole row travels as one column, so that no name of its own can clash
+    rows = docs.select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    both = rows.join(verdict, "doc_id", "left")
+    lines = F.split(F.col("row.text"), "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    joined = F.transform(F.array(lines), lambda x: F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n"))[0]
+    left = both.withColumn("new", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(joined))
+    left = left.where(F.col("removed").isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("removed").isNull(), F.col("row.n_chars")).otherwise(F.char_length("new")).cast(docs.schema["n_chars"].dataType)
+    return left.select([changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
