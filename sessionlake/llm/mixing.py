@@ -82,25 +82,34 @@ def placed_documents(rows: DataFrame) -> DataFrame:
 def schedule(spark, targets: DataFrame, block: int) -> DataFrame:
     """(slot, source_id, rank, block): the mix in order, as blocks of sources.
 
-    `targets` has source_id, source_size and target (a table of sources). Slots
-    beyond a source's target are left out, and the schedule is a little longer
-    than the targets so that every source reaches its own.
+    `targets` has source_id, source_size and target (a table of sources). A
+    source weighs what it needs in slots: every lap has a short last block of
+    its own. Slots beyond a source's need are left out, the schedule is a little
+    longer than all needs, and what a source still lacks after the drawn slots
+    follows them, so that every source reaches its target.
     """
-    total = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
-    n = int(total / block * 1.02) + 64 if total else 0
+    lap = F.ceil(F.col("source_size") / block)
+    end = F.round("target").cast("long")
+    rest = F.pmod(end, F.col("source_size"))
+    needs = targets.where("target > 0 and source_size > 0").select("source_id", "source_size", lap.alias("blocks"), (F.floor(end / F.col("source_size")) * lap + F.ceil(rest / block)).alias("need"))
+    needs = needs.where("need > 0")
+    total = needs.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]
+    n = int(total * 1.02) + 64 if total else 0
     order = Window.orderBy("source_id")
-    parts = targets.where("target > 0").select(
-        "source_id", "source_size", "target",
-        (F.coalesce(F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / F.lit(total or 1.0)).alias("low"),
-        (F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(total or 1.0)).alias("high"),
+    parts = needs.select(
+        "source_id", "blocks", "need",
+        (F.coalesce(F.sum("need").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / F.lit(total or 1)).alias("low"),
+        (F.sum("need").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(total or 1)).alias("high"),
+        F.row_number().over(order).alias("number"),
     )
     # the cumulative weights are cut into cells, so that a slot meets its source by equality
-    cells = max(1, parts.count()) * 4
+    sources = max(1, parts.count())
+    cells = sources * 4
     by_cell = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.floor(F.col("high") * cells))))
     points = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * F.lit(GOLDEN) % 1.0).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") * cells))
     drawn = points.join(F.broadcast(by_cell) if cells <= 4 * BROADCAST_SOURCES else by_cell, "cell").where("point >= low and point < high")
-    drawn = drawn.select("slot", "source_id", "source_size", "target", F.floor(F.col("slot") / GROUP).alias("g"))
+    drawn = drawn.select("slot", "source_id", "blocks", "need", F.floor(F.col("slot") / GROUP).alias("g"))
     counts = written(drawn.groupBy("source_id", "g").agg(F.count("*").alias("k")))
     run = F.floor(F.col("g") / GROUP)
     runs = counts.groupBy("source_id", run.alias("run")).agg(F.sum("k").alias("k"))
@@ -110,9 +119,12 @@ def schedule(spark, targets: DataFrame, block: int) -> DataFrame:
     starts = starts.join(runs, ["source_id", "run"]).select("source_id", "g", (F.col("run_start") + F.col("inner")).alias("start"))
     rank = F.row_number().over(Window.partitionBy("source_id", "g").orderBy("slot")) - 1
     ranked = drawn.withColumn("inner", rank).join(starts, ["source_id", "g"]).withColumn("rank", F.col("start") + F.col("inner"))
-    blocks = F.ceil(F.col("source_size") / block)
-    begun = F.floor(F.col("rank") / blocks) * F.col("source_size") + (F.col("rank") % blocks) * block
-    return ranked.where(begun < F.round("target")).select("slot", "source_id", "rank", (F.col("rank") % blocks).alias("block"), F.floor(F.col("rank") / blocks).alias("lap"))
+    ranked = ranked.where("rank < need").select("slot", "source_id", "rank", "blocks")
+    have = counts.groupBy("source_id").agg(F.sum("k").alias("have"))
+    lacking = parts.join(have, "source_id", "left").withColumn("have", F.coalesce("have", F.lit(0).cast("long"))).where("have < need")
+    lacking = lacking.select("source_id", "blocks", "number", "have", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("rank"))
+    added = lacking.select((F.lit(n) + (F.col("rank") - F.col("have")) * sources + F.col("number")).cast("long").alias("slot"), "source_id", "rank", "blocks")
+    return ranked.unionByName(added).select("slot", "source_id", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("lap"))
 
 
 def mixed_pieces(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

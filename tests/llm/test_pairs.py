@@ -276,6 +276,20 @@ def test_schedule_keeps_proportions_everywhere(spark):
     assert max(r[4] for r in slots if r[1] == 3) == 1
 
 
+def test_tiny_sources_beside_a_large_one_reach_their_targets(spark):
+    sizes = {"large": [2000] * 100, "b": [10], "c": [65], "d": [7, 3], "e": [100], "f": [300], None: [1]}
+    rows = [(f"{s}-{i}", "w " * n, s) for s, own in sizes.items() for i, n in enumerate(own)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()
+    for s, own in sizes.items():
+        part = [r for r in got if r.doc_id.startswith(f"{s}-")]
+        assert sum(r.taken for r in part) == round(part[0].target), s
+    targets = spark.createDataFrame([(0, 10_000_000, 10_000_000.0)] + [(i, 65, 130.0) for i in range(1, 60)], "source_id bigint, source_size bigint, target double")
+    slots = mixing.schedule(spark, targets, 64).collect()
+    assert len({r.slot for r in slots}) == len(slots)
+    for i in range(1, 60):
+        assert sorted((r["rank"], r.block, r.lap) for r in slots if r.source_id == i) == [(0, 0, 0), (1, 1, 0), (2, 0, 1), (3, 1, 1)]
+
+
 def test_source_targets_with_many_sources_at_cap(spark):
     sized = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 5), ("d", 7), (None, 100)], "source string, size bigint")
     got = {r.source: r.target for r in mixing.source_targets(sized).collect()}
