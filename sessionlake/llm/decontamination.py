@@ -1,9 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A window of SPAN tokens is hashed under fixed masks that ignore some of its
-positions, so that a window with a few substituted tokens still agrees with
-the original under some mask. Test and training hashes are equi-joined; around
-each hit, document and item are compared token by token on the hit's diagonal.
+Windows of tokens are hashed under fixed masks that ignore some of their
+positions. Every WINDOW tokens with NEEDED equal ones agree under some mask at
+some place, whichever tokens were substituted; items of fewer tokens have masks
+of their own length. Test and training hashes are equi-joined; around each hit,
+document and item are compared token by token on the hit's diagonal. Tokens are
+words, and single characters in scripts that put no spaces between words.
 
 Training hashes are first tried against a Bloom bitmap of the test hashes. Its
 size is fixed (BLOOM_BITS, 8 MB), whatever the benchmark's size: a full bitmap
@@ -22,9 +24,8 @@ from pyspark.sql import functions as F
 from sessionlake.llm.scratch import written
 from sessionlake.llm.textarrays import chunks, matching_bytes, mix, span_hashes, text_column, words
 
-#: Of SPAN tokens, each mask compares eight and ignores four.
-MASKS = ("111011001011", "110100110111", "111110110001", "101111010101")
-SPAN = 12
+#: Each compares eight tokens; together they meet every way to substitute two of 13.
+MASKS = ("111110111", "1101011111", "110011010111", "11110011011", "110111100011")
 #: A diagonal overlaps when WINDOW aligned tokens hold at least NEEDED equal ones.
 WINDOW = 13
 NEEDED = 11
@@ -35,34 +36,90 @@ REACH = 64
 BLOOM_BITS = 1 << 26
 
 _U = np.uint64
-_KEPT = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
-_FACTORS = np.random.default_rng(77).integers(1, 1 << 63, SPAN, dtype=np.uint64) * _U(2) + _U(1)
-
-
-def seed_hashes(token: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash per mask) of every window of SPAN tokens that lies in one text."""
-    n = len(token) - SPAN + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros((0, len(MASKS)), _U)
-    start = np.flatnonzero(row[:n] == row[SPAN - 1 :])
-    scaled = [token * f for f in _FACTORS]
-    out = np.empty((len(start), len(MASKS)), _U)
-    for k, kept in enumerate(_KEPT):
-        h = np.full(n, _U(k + 1))
-        for i in kept:
-            h += scaled[i][i : i + n]
-        out[:, k] = mix(h[start])
-    return start, out
+_FACTORS = np.random.default_rng(77).integers(1, 1 << 63, WINDOW, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def needed(width: int) -> int:
+    """Tokens that must be equal of `width` aligned ones: NEEDED of WINDOW in proportion."""
+    return -(-width * NEEDED // WINDOW)
+
+
+def masks(width: int) -> tuple[str, ...]:
+    """Masks of an item of `width` tokens (WINDOW for longer ones); some mask avoids any substitutions that an overlap may have.
+
+    Short items may have one substitution at most: each of their three masks ignores every third token.
+    """
+    if width == WINDOW:
+        return MASKS
+    if needed(width) == width:
+        return ("1" * width,)
+    return tuple("".join("0" if i % 3 == k else "1" for i in range(width)) for k in range(3))
+
+
+def seed_hashes(token: np.ndarray, row: np.ndarray, width: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(start, hash) of every window that lies in one text, for each mask of `width`."""
+    for k, mask in enumerate(masks(width)):
+        first, span = mask.index("1"), len(mask.rstrip("0"))
+        n = len(token) - span + 1
+        if n <= 0:
+            continue
+        start = np.flatnonzero(row[:n] == row[span - 1 :])
+        h = np.full(n, _U(8 * width + k + 1))
+        for i in range(first, span):
+            if mask[i] == "1":
+                h += token[i : i + n] * _FACTORS[i]
+        yield start, mix(h[start])
 
 
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & _U(BLOOM_BITS - 1)).astype(np.int64), ((h >> _U(32)) & _U(BLOOM_BITS - 1)).astype(np.int64)
 
 
+#: First and last code point of scripts without spaces: Thai and Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3041, 0x30FA), (0x30FC, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+#: Their punctuation, which separates as a space does.
+STOPS = ((0x3000, 0x3004), (0x3008, 0x3040), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+def _unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, bytes) of each character of an unspaced script, and every byte of their punctuation."""
+    three, four = np.flatnonzero((data >= 0xE0) & (data < 0xF0)), np.flatnonzero(data >= 0xF0)
+    three, four = three[three + 2 < len(data)], four[four + 3 < len(data)]
+
+    def code(at: np.ndarray, n: int) -> np.ndarray:
+        out = data[at].astype(np.int64) & (0x0F if n == 3 else 0x07)
+        for i in range(1, n):
+            out = out << 6 | (data[at + i] & 0x3F)
+        return out
+
+    def among(points: np.ndarray, ranges) -> np.ndarray:
+        found = np.zeros(len(points), bool)
+        for a, b in ranges:
+            found |= (points >= a) & (points <= b)
+        return found
+
+    c3 = code(three, 3)
+    one, two = three[among(c3, UNSPACED)], four[among(code(four, 4), UNSPACED)]
+    stops = three[among(c3, STOPS)]
+    return np.concatenate((one, two)), np.repeat([3, 4], [len(one), len(two)]), (stops[:, None] + np.arange(3)).ravel()
+
+
 def _tokens(chunk) -> tuple[np.ndarray, np.ndarray]:
     data = matching_bytes(chunk)
+    unspaced, size, stops = _unspaced(chunk.data)
+    data[stops] = 32
     w = words(chunk, data)
-    return span_hashes(data, w.start, w.end), w.row
+    if not len(unspaced):
+        return span_hashes(data, w.start, w.end), w.row
+    # words are cut before and after each character of an unspaced script
+    start = np.unique(np.concatenate((w.start, unspaced, unspaced + size)))
+    word = np.searchsorted(w.start, start, "right") - 1
+    inside = (word >= 0) & (start < w.end[np.maximum(word, 0)])
+    start, word = start[inside], word[inside]
+    end = w.end[word].copy()
+    same = np.flatnonzero(word[1:] == word[:-1])
+    end[same] = start[same + 1]
+    return span_hashes(data, start, end), w.row[word]
 
 
 def _list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -86,20 +143,19 @@ def _seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ids = batch.column(0)
         for i in range(batch.num_rows):
             t = np.asarray(batch.column(1)[i].values.to_numpy(zero_copy_only=False), np.int64).view(_U)
-            start, h = seed_hashes(t, np.zeros(len(t), np.int64))
-            n = h.size
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * n, ids.type), pa.array(np.repeat(start, h.shape[1]).astype(np.int32)), pa.array(h.ravel().view(np.int64))], ["item_id", "item_pos", "seed"])
+            for start, h in seed_hashes(t, np.zeros(len(t), np.int64), min(len(t), WINDOW)):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(h), ids.type), pa.array(start.astype(np.int32)), pa.array(h.view(np.int64))], ["item_id", "item_pos", "seed"])
 
 
 def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, seeds) of `benchmark` (item_id, text).
 
     Items with the same tokens are one item, under the least item_id; an item
-    of fewer than SPAN tokens has no window and is never reported.
+    without tokens is never reported.
     """
     kind = benchmark.schema["item_id"].dataType.simpleString()
     source = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    tokens = source.mapInArrow(_item_batches, f"item_id {kind}, tokens array<bigint>").where(F.size("tokens") >= SPAN)
+    tokens = source.mapInArrow(_item_batches, f"item_id {kind}, tokens array<bigint>").where(F.size("tokens") > 0)
     items = written(tokens.groupBy("tokens").agg(F.min("item_id").alias("item_id")).select("item_id", "tokens"))
     seeds = items.mapInArrow(_seed_batches, f"item_id {kind}, item_pos int, seed bigint")
     return items, written(seeds.distinct())
@@ -121,10 +177,10 @@ def bloom_bitmap(seeds: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def hit_regions(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+def hit_regions(docs: DataFrame, bitmap: np.ndarray, widths: tuple[int, ...] = (WINDOW,)) -> DataFrame:
     """(doc_id, start, tokens, offsets, seeds): runs of hits of each document with their surroundings.
 
-    Hits closer than 2 * REACH tokens share a region of up to RUN tokens and
+    `widths` are those of the items, WINDOW at most. Hits closer than 2 * REACH tokens share a region of up to RUN tokens and
     REACH more on either side, so that every window around a hit lies in its region.
     """
     spark = docs.sparkSession
@@ -136,13 +192,17 @@ def hit_regions(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
             ids = batch.column(0)
             for c in chunks(text_column(batch)):
                 token, row = _tokens(c)
-                start, h = seed_hashes(token, row)
-                one, two = _bits(h)
-                hit = ((bits[one >> 3] >> (one & 7).astype(np.uint8)) & (bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)
-                where, mask = np.nonzero(hit)
-                if len(where) == 0:
+                found = []
+                for width in widths:
+                    for start, h in seed_hashes(token, row, width):
+                        one, two = _bits(h)
+                        hit = ((bits[one >> 3] >> (one & 7).astype(np.uint8)) & (bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)
+                        found.append((start[hit], h[hit]))
+                at, seed = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, _U))
+                if len(at) == 0:
                     continue
-                at, seed = start[where], h[where, mask]
+                order = np.argsort(at, kind="stable")
+                at, seed = at[order], seed[order]
                 new = np.concatenate(([True], (at[1:] - at[:-1] > 2 * REACH) | (row[at[1:]] != row[at[:-1]])))
                 along = (at - at[np.flatnonzero(new)[np.cumsum(new) - 1]]) // RUN
                 new |= np.concatenate(([False], along[1:] != along[:-1]))
@@ -151,7 +211,7 @@ def hit_regions(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     r = row[at[a]]
                     first, last = np.searchsorted(row, [r, r + 1])
-                    lo, hi = max(int(first), int(at[a]) - REACH), min(int(last), int(at[b - 1]) + SPAN + REACH)
+                    lo, hi = max(int(first), int(at[a]) - REACH), min(int(last), int(at[b - 1]) + WINDOW + REACH)
                     rows["id"].append(ids[c.first + int(r)].as_py())
                     rows["start"].append(lo - int(first))
                     rows["tokens"].append(token[lo:hi].view(np.int64))
@@ -172,7 +232,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     match; repeated documents repeat only as the same pair.
     """
     items, seeds = benchmark_seeds(benchmark)
-    regions = written(hit_regions(docs, bloom_bitmap(seeds)).withColumn("region", F.expr("uuid()")))
+    width = F.least(F.size("tokens"), F.lit(WINDOW))
+    widths = tuple(sorted(r.width for r in items.select(width.alias("width")).distinct().collect()))
+    regions = written(hit_regions(docs, bloom_bitmap(seeds), widths).withColumn("region", F.expr("uuid()")))
     hits = regions.select("region", F.explode(F.arrays_zip("offsets", "seeds")).alias("h")).select("region", F.col("h.offsets").alias("at"), F.col("h.seeds").alias("seed"))
     diagonals = hits.join(seeds, "seed").select("region", "item_id", (F.col("at") - F.col("item_pos")).alias("diagonal")).distinct()
     both = diagonals.join(items.withColumnRenamed("tokens", "item"), "item_id").join(regions.select("region", "doc_id", "tokens"), "region")

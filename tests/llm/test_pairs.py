@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
@@ -142,6 +143,39 @@ def test_every_single_substitution_is_found(spark):
     assert decontamination.contamination(odd(spark, texts), bench).where("contaminated").count() == 16
 
 
+def test_masks_meet_every_overlap():
+    for width in range(1, decontamination.WINDOW + 1):
+        lost = width - -(-width * 11 // 13)
+        token, row = np.arange(1, width + 1, dtype=np.uint64), np.zeros(width, np.int64)
+        own = [set(zip(s.tolist(), h.tolist(), strict=True)) for s, h in decontamination.seed_hashes(token, row, width)]
+        for gone in itertools.combinations(range(width), lost):
+            other = token.copy()
+            other[list(gone)] += np.uint64(1000)
+            assert any(a & set(zip(s.tolist(), h.tolist(), strict=True)) for a, (s, h) in zip(own, decontamination.seed_hashes(other, row, width), strict=True)), (width, gone)
+
+
+def test_dense_substitutions_and_short_items_are_found(spark):
+    rng = random.Random(12)
+    long = [f"w{i}" for i in range(30)]
+    short = [[f"s{n}x{i}" for i in range(n)] for n in range(1, 13)]
+    han = "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少"
+    bench = [(0, " ".join(long)), (50, han), (51, "ราตรีสวัสดิ์")] + [(len(w), " ".join(w)) for w in short]
+    texts, want = [], {}
+    for phase in range(5):  # every fifth token replaced
+        want[len(texts)] = [0]
+        texts.append(f"{prose(rng, 20)} {' '.join('zz' if i % 5 == phase else w for i, w in enumerate(long))} {prose(rng, 9)}")
+    for w in short:
+        for gone in [None, *range(len(w))]:
+            found = gone is None or len(w) >= 7
+            want[len(texts)] = [len(w)] if found else []
+            texts.append(f"{prose(rng, 20)} {' '.join('zz' if i == gone else x for i, x in enumerate(w))} {prose(rng, 9)}")
+    for text, items in ((f"他说{han[:5]}，{han[5:10]}。{han[10:15]}、{han[15:]}好", [50]), (f"x{han[2:7]}人{han[8:13]}山{han[14:16]}", [50]), (han[:9], []), ("คืนนี้ราตรีสวัสดิ์นะ", [51])):
+        want[len(texts)] = items
+        texts.append(text)
+    got = decontamination.contamination(odd(spark, texts), spark.createDataFrame(bench, "item_id bigint, text string")).collect()
+    assert {r.doc_id: r["items"] for r in got} == want
+
+
 def levenshtein(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
