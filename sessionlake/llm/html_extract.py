@@ -6,7 +6,8 @@ scores come from labelled pages, those whose markup names its own main part
 (one <article> or <main>): log-odds of a token inside against outside it, then
 corrected by perceptron steps on pages whose best region is not the labelled
 one. An element that names itself as no main text (BOILERPLATE elements, class
-or id words in BOILERPLATE_NAMES) counts as one tag token with all it holds.
+or id words in BOILERPLATE_NAMES) counts as one tag token with all it holds,
+unless it is a frame around the main part.
 """
 
 from __future__ import annotations
@@ -41,6 +42,14 @@ BOILERPLATE_NAMES = frozenset((
 #: Of these, names of parts that may hold articles of their own.
 OTHER_TEXTS = frozenset(("comment", "comments", "disqus", "related", "promoted", "sponsored"))
 
+#: Parts that a class or id may have beside names and still say the same: nav-wrapper is a nav, no-sidebar is no sidebar.
+NEUTRAL_PARTS = frozenset((
+    "area", "bar", "block", "bottom", "box", "container", "content", "desktop", "form", "global", "group", "inner", "item", "items", "left", "link", "links", "list",
+    "main", "mobile", "outer", "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "text", "top", "wrap", "wrapper",
+))
+#: Elements whose end tags do not close a block that is open inside them.
+LOOSE = INLINE | {"p", "li", "dt", "dd", "option"}
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[A-Za-z]+")
@@ -62,57 +71,120 @@ def _boilerplate(name: str, attributes: str) -> str:
     """'element' or 'name' if an element is no main text by its kind or its class and id words, 'aside' if those name other texts, else ''."""
     if name in BOILERPLATE:
         return "element"
-    if name in ("body", "html") or not attributes:
+    if name in ("body", "html", "article", "main") or not attributes:
         return ""
-    named = {p.lower() for m in _NAMED.finditer(attributes) for p in _PART.findall(m[1] or m[2] or m[3] or "")}
+    named = set()
+    for m in _NAMED.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").split():
+            parts = {p.lower() for p in _PART.findall(token)}
+            if parts - NEUTRAL_PARTS <= BOILERPLATE_NAMES:
+                named |= parts
     if named & OTHER_TEXTS:
         return "aside"
-    return "name" if name not in ("article", "main") and named & BOILERPLATE_NAMES else ""
+    return "name" if named & BOILERPLATE_NAMES else ""
 
 
-def page_tokens(page: str) -> list[tuple[str, str, bool]]:
-    """(tag, text, is block tag) in order; tag is '' for text. Boilerplate elements are one tag.
+@dataclass
+class _Page:
+    """A page's tags and texts in order, with the end tag of each element that has one."""
 
-    An element that only its class or id calls boilerplate, but that holds the
-    page's <article> or <main>, is a frame around the page and stays.
-    """
-    out: list[tuple[str, str, bool]] = []
-    at, skip, depth, frame = 0, "", 0, 0
-    length = len(page)
+    #: (name, attributes, text, is end tag); name is '' for text
+    parts: list[tuple[str, str, str, bool]]
+    end: dict[int, int]
+    #: words, and outermost <article> and <main>, before each part and in all
+    words: list[int]
+    mains: list[int]
+
+
+def _page(page: str) -> _Page:
+    parts: list[tuple[str, str, str, bool]] = []
+    at, length = 0, len(page)
     while at < length:
         m = _TOKEN.search(page, at)
         if m is None:
-            if not skip:
-                out.append(("", page[at:], False))
+            parts.append(("", "", page[at:], False))
             break
-        if m.start() > at and not skip:
-            out.append(("", page[at : m.start()], False))
+        if m.start() > at:
+            parts.append(("", "", page[at : m.start()], False))
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if skip:
-            if frame and not closing and name in ("article", "main") and not _boilerplate(name, attributes):
-                out[-1] = (f"<{skip}>", "", skip not in INLINE)
-                at, skip = frame, ""
-                continue
-            if name == skip:
-                depth += -1 if closing else not attributes.rstrip().endswith("/")
-                if depth == 0:
-                    skip = ""
-            continue
+        closing = bool(m[1] or m[4])
+        parts.append((name, m[3] or m[6] or "", "", closing))
         if not closing and name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.IGNORECASE).search(page, at)
-            out.append((f"<{name}>", "", True))
             at = end.end() if end else length
-            continue
-        if not closing and name not in VOID and (why := _boilerplate(name, attributes)):
-            out.append((f"<{name} boilerplate>", "", True))
+    ends: dict[int, int] = {}
+    stack: list[int] = []
+    opened: Counter = Counter()
+    words, mains, inside = [0], [0], 0
+    for i, (name, attributes, text, closing) in enumerate(parts):
+        main = False
+        if name in RAW or name in VOID or not name:
+            pass
+        elif not closing:
             if not attributes.rstrip().endswith("/"):
-                skip, depth, frame = name, 1, at if why == "name" else 0
-            continue
-        out.append((f"</{name}>" if closing else f"<{name}>", "", name not in INLINE))
+                stack.append(i)
+                opened[name] += 1
+                if name in ("article", "main"):
+                    main = inside == 0
+                    inside += 1
+        elif opened[name]:
+            k = len(stack) - 1
+            while k >= 0 and parts[stack[k]][0] != name and not (name in LOOSE and parts[stack[k]][0] not in LOOSE):
+                k -= 1
+            if k >= 0 and parts[stack[k]][0] == name:
+                ends[stack[k]] = i
+                for j in stack[k:]:  # what is still open inside has no end tag
+                    opened[parts[j][0]] -= 1
+                    inside -= parts[j][0] in ("article", "main")
+                del stack[k:]
+        words.append(words[-1] + (len(text.split()) if not name else 0))
+        mains.append(mains[-1] + main)
+    return _Page(parts, ends, words, mains)
+
+
+def _is_frame(page: _Page, i: int, why: str) -> bool:
+    """Whether element `i`, boilerplate by `why`, stands around the main part and is to stay."""
+    if (end := page.end.get(i)) is None:
+        return True  # no end tag: nothing says how far it reaches
+    held = page.mains[end] - page.mains[i]
+    if why == "name":
+        return held > 0
+    if page.mains[-1]:
+        return held == 1 == page.mains[-1]
+    return page.parts[i][0] == "form" and 2 * (page.words[end] - page.words[i]) > page.words[-1]
+
+
+def page_tokens(page: str) -> list[tuple[str, str, bool]]:
+    """(tag, text, is block tag) in order; tag is '' for text. Boilerplate elements are one tag.
+
+    An element that only its class or id calls boilerplate, but that holds an
+    <article> or <main>, is a frame around the page and stays. So do other
+    boilerplate elements that hold the page's only one, a form around most of
+    the words of a page that has none, and elements without an end tag.
+    """
+    read = _page(page)
+    out: list[tuple[str, str, bool]] = []
+    i = 0
+    while i < len(read.parts):
+        name, attributes, text, closing = read.parts[i]
+        i += 1
+        if not name:
+            out.append(("", text, False))
+        elif not closing and name in RAW:
+            out.append((f"<{name}>", "", True))
+        elif not closing and name not in VOID and (why := _boilerplate(name, attributes)):
+            if attributes.rstrip().endswith("/"):
+                out.append((f"<{name} boilerplate>", "", True))
+            elif _is_frame(read, i - 1, why):
+                out.append((f"<{name}>", "", name not in INLINE))
+            else:
+                out.append((f"<{name} boilerplate>", "", True))
+                i = read.end[i - 1] + 1
+        else:
+            out.append((f"</{name}>" if closing else f"<{name}>", "", name not in INLINE))
     return out
 
 

@@ -208,6 +208,27 @@ def test_html_extraction(spark):
     assert html_extract.extract_text(pages.limit(0), html_extract.fit(pages.limit(0))).count() == 0
 
 
+def test_html_frames_open_elements_and_class_tokens():
+    weights = html_extract.train([PAGE.format(open="<article>", close="</article>", inner="") for _ in range(5)])
+    body = "body words that make the text " * 5
+    text, menu = body.strip(), '<nav><a href="/">menu words</a></nav>'
+    for page in (
+        f'<body><form id="aspnetForm">{menu}<article><p>{body}</p></article></form></body>',
+        f'<body><form id="aspnetForm">{menu}<div><p>{body}</p></div></form></body>',
+        f"<body><div><nav><ul><li>menu</li></ul></div><article><p>{body}</p></article></body>",
+        f"<body><header><h2>menu</h2><article><p>{body}</p></article></body>",
+        f'<body>{menu}<article class="post comments-open"><p>{body}</p></article></body>',
+        f'<body>{menu}<main class="has-comments"><p>{body}</p></main></body>',
+        f'<body>{menu}<article><div class="social-science"><p>{body}</p></div></article></body>',
+        f'<body>{menu}<div class="content no-sidebar"><p>{body}</p></div><div class="sidebar-left">side words</div></body>',
+        f'<body>{menu}<div class="comments"><article><p>{body}</p></article></div></body>',
+    ):
+        assert html_extract.extract(page, weights).split("\n\n")[-1] == text, page
+    comments = f'<body><article><p>{body}</p></article><div class="comments-area"><article><p>reader says</p></article></div></body>'
+    assert html_extract.extract(comments, weights) == text
+    html_extract.page_tokens("<nav>" * 20_000 + "x" + "</b>" * 20_000)
+
+
 def test_html_pages_match_their_articles(spark):
     import html as html_lib
 
