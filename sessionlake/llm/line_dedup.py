@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionlake.llm.components import connected_components
 from sessionlake.llm.scratch import written
 
 EDITS = 2
@@ -134,14 +135,15 @@ def edit_distance(a: str, b: str, edits: int = EDITS) -> Column:
             s -> s.d))[0])[0])[0])[0])[0]""")
 
 
-def line_verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def line_verdicts(docs: DataFrame, classes: bool = True) -> tuple[DataFrame, DataFrame]:
     """(lines, links).
 
-    lines: (doc_id, line_no, h1, first, near, n_links) for every line of
-    LEAST_CHARS or more: `first` marks the first of its normalised text, `near`
-    that an earlier different text is within EDITS; n_links counts the
-    different texts within EDITS. links: (a, b) pairs of those texts' hashes,
-    each once.
+    lines: (doc_id, line_no, h1, first, near, n_links, linked_class) for every
+    line of LEAST_CHARS or more: `first` marks the first of its normalised text,
+    `near` that an earlier different text is within EDITS; n_links counts the
+    different texts within EDITS; linked_class is the least hash of the texts
+    that links join to it, null without links (or without `classes`). links:
+    (a, b) pairs of those texts' hashes, each once.
     """
     source = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     lines = numbered_lines(source)
@@ -174,6 +176,10 @@ def line_verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = links.join(at.select(F.col("h1").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("h1").alias("b"), F.col("at").alias("at_b")), "b")
     ends = ends.select(F.explode(F.array(F.struct(F.col("a").alias("h1"), (F.col("at_b") < F.col("at_a")).alias("later")), F.struct(F.col("b").alias("h1"), (F.col("at_a") < F.col("at_b")).alias("later")))).alias("e")).select("e.*")
     per_text = ends.groupBy("h1").agg(F.count("*").alias("n_links"), F.max("later").alias("near"))
+    if classes:
+        per_text = per_text.join(connected_components(links).select(F.col("node").alias("h1"), F.col("component").alias("linked_class")), "h1")
+    else:
+        per_text = per_text.withColumn("linked_class", F.lit(None).cast("long"))
     marked = slim.join(at, ["h1", "h2"]).join(per_text, "h1", "left")
     return marked.select(
         "doc_id",
@@ -182,32 +188,40 @@ def line_verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         (place(F.col("doc_id"), F.col("line_no")) == F.col("at")).alias("first"),
         F.coalesce("near", F.lit(False)).alias("near"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        "linked_class",
     ), links
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_checked, n_exact, n_near, n_links, removed) for every row of `docs` (doc_id, text).
+def repeated_lines(docs: DataFrame, classes: bool = True) -> DataFrame:
+    """(doc_id, n_lines, n_checked, n_exact, n_near, n_links, removed, n_held_links, classes) for every row of `docs` (doc_id, text).
 
     n_lines: \\n-split lines (0 for a null text); n_checked: those of LEAST_CHARS
     or more; n_exact, n_near: lines to remove because an earlier line is equal
     or within EDITS; n_links: different texts within EDITS of its first-seen
-    lines; removed: their places, ascending from 0. Rows that repeat a doc_id
-    are one document, judged together. Empty tables give empty results.
+    lines; removed: their places, ascending from 0; n_held_links: different
+    texts within EDITS of each of its lines, whoever holds the text first;
+    classes: (line_no, class) of every checked line, where equal texts and texts
+    joined by links share a class (without `classes` the last column is left
+    out). Rows that repeat a doc_id are one document, judged together. Empty
+    tables give empty results.
     """
-    lines, _ = line_verdicts(docs)
+    lines, _ = line_verdicts(docs, classes)
     gone = ~F.col("first") | F.col("near")
     # a repeated row repeats its places: they count once
-    lines = lines.groupBy("doc_id", "line_no", "h1").agg(F.max("first").alias("first"), F.max("near").alias("near"), F.max("n_links").alias("n_links"))
+    lines = lines.groupBy("doc_id", "line_no", "h1").agg(F.max("first").alias("first"), F.max("near").alias("near"), F.max("n_links").alias("n_links"), F.max("linked_class").alias("linked_class"))
     per_doc = lines.groupBy("doc_id").agg(
         F.count("*").alias("n_checked"),
         F.count_if(~F.col("first")).alias("n_exact"),
         F.count_if(F.col("first") & F.col("near")).alias("n_near"),
         F.sum(F.when(F.col("first"), F.col("n_links")).otherwise(0)).alias("n_links"),
         F.array_sort(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed"),
+        F.sum("n_links").alias("n_held_links"),
+        *([F.array_sort(F.collect_set(F.struct("line_no", F.coalesce("linked_class", "h1").alias("class")))).alias("classes")] if classes else []),
     )
     rows = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"))
     zero = F.lit(0).cast("long")
-    return rows.join(per_doc, "doc_id", "left").select("doc_id", "n_lines", *[F.coalesce(c, zero).alias(c) for c in ("n_checked", "n_exact", "n_near", "n_links")], F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed"))
+    out = rows.join(per_doc, "doc_id", "left").select("doc_id", "n_lines", *[F.coalesce(c, zero).alias(c) for c in ("n_checked", "n_exact", "n_near", "n_links")], F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed"), F.coalesce("n_held_links", zero).alias("n_held_links"), *(["classes"] if classes else []))
+    return out.withColumn("classes", F.coalesce("classes", F.expr("cast(array() as array<struct<line_no: int, class: bigint>>)"))) if classes else out
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -216,7 +230,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     A document without repeated lines stays as it is, null and empty texts too.
     An n_chars column, if there is one, is set to the new length.
     """
-    verdict = repeated_lines(docs.select("doc_id", "text")).where(F.size("removed") > 0).select("doc_id", "removed").dropDuplicates(["doc_id"])
+    verdict = repeated_lines(docs.select("doc_id", "text"), classes=False).where(F.size("removed") > 0).select("doc_id", "removed").dropDuplicates(["doc_id"])
     # the whole row travels as one column, so that no name of its own can clash
     rows = docs.select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     both = rows.join(verdict, "doc_id", "left")

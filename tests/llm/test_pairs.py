@@ -245,6 +245,17 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_line_classes_and_links_of_every_holder(spark):
+    a, b, c = "the first line that is long enough", "the first lime that is long enough", "the furst lime that is long enouph"
+    other = "something else that nobody wrote twice"
+    docs = spark.createDataFrame([(1, a), (2, f"{a}\n{other}"), (3, b), (4, f"{c}\n{b}"), (5, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in line_dedup.repeated_lines(docs).collect()}
+    assert {d: r.n_held_links for d, r in got.items()} == {1: 1, 2: 1, 3: 2, 4: 3, 5: 0}
+    line = {(d, x["line_no"]): x["class"] for d, r in got.items() for x in r.classes}
+    assert len({line[k] for k in ((1, 0), (2, 0), (3, 0), (4, 0), (4, 1))}) == 1
+    assert len(line) == 6 and line[2, 1] != line[1, 0]
+
+
 def test_edit_distance_and_letter_counts(spark):
     rng = random.Random(7)
     rows = []
