@@ -23,7 +23,7 @@ from sessionlake.llm.components import connected_components
 from sessionlake.llm.scratch import written
 
 EDITS = 2
-#: Lines of fewer normalised characters are too short to be called repeated and are kept.
+#: Lines of fewer normalised characters are left out of the edit join; exact repeats of them are told apart and kept by default.
 LEAST_CHARS = 24
 
 
@@ -33,11 +33,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(spaced), "[1-9]", "0")
 
 
-def numbered_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, norm, h1, h2) of every line of LEAST_CHARS normalised characters or more; line_no from 0."""
+def numbered_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """(doc_id, line_no, norm, h1, h2) of every line of `least` normalised characters or more; line_no from 0."""
     lines = docs.select("doc_id", F.posexplode(F.split(normalised(F.col("text").cast("string")), "\n", -1)).alias("line_no", "raw"))
     lines = lines.select("doc_id", "line_no", F.trim("raw").alias("norm"))
-    return lines.where(F.char_length("norm") >= LEAST_CHARS).select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("line"), "norm").alias("h2"))
+    return lines.where(F.char_length("norm") >= least).select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("line"), "norm").alias("h2"))
 
 
 def _segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
@@ -135,11 +135,12 @@ def edit_distance(a: str, b: str, edits: int = EDITS) -> Column:
             s -> s.d))[0])[0])[0])[0])[0]""")
 
 
-def line_verdicts(docs: DataFrame, classes: bool = True) -> tuple[DataFrame, DataFrame]:
+def line_verdicts(docs: DataFrame, classes: bool = True, short: bool = True) -> tuple[DataFrame, DataFrame]:
     """(lines, links).
 
-    lines: (doc_id, line_no, h1, first, near, n_links, linked_class) for every
-    line of LEAST_CHARS or more: `first` marks the first of its normalised text,
+    lines: (doc_id, line_no, h1, short, first, near, n_links, linked_class) for
+    every line of LEAST_CHARS or more, and with `short` for every shorter line
+    with a character too (short is true, and there are no links): `first` marks the first of its normalised text,
     `near` that an earlier different text is within EDITS; n_links counts the
     different texts within EDITS; linked_class is the least hash of the texts
     that links join to it, null without links (or without `classes`). links:
@@ -147,7 +148,8 @@ def line_verdicts(docs: DataFrame, classes: bool = True) -> tuple[DataFrame, Dat
     """
     source = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     lines = numbered_lines(source)
-    slim = written(lines.select("doc_id", "line_no", "h1", "h2"))
+    every = numbered_lines(source, 1) if short else lines
+    slim = written(every.select("doc_id", "line_no", "h1", "h2", (F.char_length("norm") < LEAST_CHARS).alias("short")))
     # keys are plain columns, all equal within a text, so that a hash aggregate merges copies without sorting
     norm = F.col("norm")
     own, probed = index_keys(norm), probe_keys(norm)
@@ -180,11 +182,14 @@ def line_verdicts(docs: DataFrame, classes: bool = True) -> tuple[DataFrame, Dat
         per_text = per_text.join(connected_components(links).select(F.col("node").alias("h1"), F.col("component").alias("linked_class")), "h1")
     else:
         per_text = per_text.withColumn("linked_class", F.lit(None).cast("long"))
+    if short:
+        at = at.unionByName(slim.where("short").groupBy("h1", "h2").agg(F.min(place(F.col("doc_id"), F.col("line_no"))).alias("at")))
     marked = slim.join(at, ["h1", "h2"]).join(per_text, "h1", "left")
     return marked.select(
         "doc_id",
         "line_no",
         "h1",
+        "short",
         (place(F.col("doc_id"), F.col("line_no")) == F.col("at")).alias("first"),
         F.coalesce("near", F.lit(False)).alias("near"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
@@ -192,45 +197,54 @@ def line_verdicts(docs: DataFrame, classes: bool = True) -> tuple[DataFrame, Dat
     ), links
 
 
-def repeated_lines(docs: DataFrame, classes: bool = True) -> DataFrame:
-    """(doc_id, n_lines, n_checked, n_exact, n_near, n_links, removed, n_held_links, classes) for every row of `docs` (doc_id, text).
+def repeated_lines(docs: DataFrame, classes: bool = True, short: bool = True) -> DataFrame:
+    """(doc_id, n_lines, n_checked, n_exact, n_near, n_links, removed, n_held_links, n_short, short_repeats, classes) for every row of `docs` (doc_id, text).
 
     n_lines: \\n-split lines (0 for a null text); n_checked: those of LEAST_CHARS
     or more; n_exact, n_near: lines to remove because an earlier line is equal
     or within EDITS; n_links: different texts within EDITS of its first-seen
     lines; removed: their places, ascending from 0; n_held_links: different
     texts within EDITS of each of its lines, whoever holds the text first;
-    classes: (line_no, class) of every checked line, where equal texts and texts
+    n_short: lines of 1 to LEAST_CHARS - 1 characters; short_repeats: places of
+    those that an earlier line equals; they are not in `removed` (without
+    `short` there are none);
+    classes: (line_no, class) of every line with a character, where equal texts and texts
     joined by links share a class (without `classes` the last column is left
     out). Rows that repeat a doc_id are one document, judged together. Empty
     tables give empty results.
     """
-    lines, _ = line_verdicts(docs, classes)
-    gone = ~F.col("first") | F.col("near")
+    lines, _ = line_verdicts(docs, classes, short)
+    long = ~F.col("short")
+    gone = long & (~F.col("first") | F.col("near"))
     # a repeated row repeats its places: they count once
-    lines = lines.groupBy("doc_id", "line_no", "h1").agg(F.max("first").alias("first"), F.max("near").alias("near"), F.max("n_links").alias("n_links"), F.max("linked_class").alias("linked_class"))
+    lines = lines.groupBy("doc_id", "line_no", "h1").agg(F.max("short").alias("short"), F.max("first").alias("first"), F.max("near").alias("near"), F.max("n_links").alias("n_links"), F.max("linked_class").alias("linked_class"))
     per_doc = lines.groupBy("doc_id").agg(
-        F.count("*").alias("n_checked"),
-        F.count_if(~F.col("first")).alias("n_exact"),
+        F.count_if(long).alias("n_checked"),
+        F.count_if(long & ~F.col("first")).alias("n_exact"),
         F.count_if(F.col("first") & F.col("near")).alias("n_near"),
         F.sum(F.when(F.col("first"), F.col("n_links")).otherwise(0)).alias("n_links"),
         F.array_sort(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed"),
         F.sum("n_links").alias("n_held_links"),
+        F.count_if("short").alias("n_short"),
+        F.array_sort(F.collect_set(F.when(F.col("short") & ~F.col("first"), F.col("line_no")))).alias("short_repeats"),
         *([F.array_sort(F.collect_set(F.struct("line_no", F.coalesce("linked_class", "h1").alias("class")))).alias("classes")] if classes else []),
     )
     rows = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"))
     zero = F.lit(0).cast("long")
-    out = rows.join(per_doc, "doc_id", "left").select("doc_id", "n_lines", *[F.coalesce(c, zero).alias(c) for c in ("n_checked", "n_exact", "n_near", "n_links")], F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed"), F.coalesce("n_held_links", zero).alias("n_held_links"), *(["classes"] if classes else []))
+    out = rows.join(per_doc, "doc_id", "left").select("doc_id", "n_lines", *[F.coalesce(c, zero).alias(c) for c in ("n_checked", "n_exact", "n_near", "n_links")], F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed"), *[F.coalesce(c, zero).alias(c) for c in ("n_held_links", "n_short")], F.coalesce("short_repeats", F.expr("cast(array() as array<int>)")).alias("short_repeats"), *(["classes"] if classes else []))
     return out.withColumn("classes", F.coalesce("classes", F.expr("cast(array() as array<struct<line_no: int, class: bigint>>)"))) if classes else out
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """`docs` without repeated lines, all columns kept; a document that has no word left goes.
+def without_repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """`docs` without repeated lines (with `short`, without exact repeats of short ones too), all columns kept; a document that has no word left goes.
 
     A document without repeated lines stays as it is, null and empty texts too.
     An n_chars column, if there is one, is set to the new length.
     """
-    verdict = repeated_lines(docs.select("doc_id", "text"), classes=False).where(F.size("removed") > 0).select("doc_id", "removed").dropDuplicates(["doc_id"])
+    verdict = repeated_lines(docs.select("doc_id", "text"), classes=False, short=short)
+    if short:
+        verdict = verdict.withColumn("removed", F.concat("removed", "short_repeats"))
+    verdict = verdict.where(F.size("removed") > 0).select("doc_id", "removed").dropDuplicates(["doc_id"])
     # the whole row travels as one column, so that no name of its own can clash
     rows = docs.select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     both = rows.join(verdict, "doc_id", "left")

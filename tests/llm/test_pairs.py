@@ -256,6 +256,14 @@ def test_line_classes_and_links_of_every_holder(spark):
     assert len(line) == 6 and line[2, 1] != line[1, 0]
 
 
+def test_short_exact_repeats_are_found(spark):
+    docs = spark.createDataFrame([(1, "Read more\n\n春眠不觉晓\nyes"), (2, "read  MORE\n\n春眠不觉晓\nyet"), (3, "yes")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_checked, r.n_short, r.removed, r.short_repeats) for r in line_dedup.repeated_lines(docs).collect()}
+    assert got == {1: (0, 3, [], []), 2: (0, 3, [], [0, 2]), 3: (0, 1, [], [0])}
+    kept = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(docs, short=True).collect()}
+    assert kept == {1: "Read more\n\n春眠不觉晓\nyes", 2: "\nyet"}
+
+
 def test_edit_distance_and_letter_counts(spark):
     rng = random.Random(7)
     rows = []
