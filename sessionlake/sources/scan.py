@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sessionlake.functions.json import is_strict_json
 from sessionlake.functions.paths import path_id
 
-#: A file over this size is not one conversation; it is left to a side table instead of one row.
+#: A file over this size is not read as one row: large_lines reads its lines, unread_files names it.
 MOST_BYTES = 512 << 20
 
 
@@ -79,6 +79,31 @@ def scan_files(spark: SparkSession, root: str | DataFrame, glob: str = "*") -> D
     return files.where((F.col("size") <= MOST_BYTES) & F.col("path").rlike(_name_pattern(glob)))
 
 
+def unread_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path, mtime, size) of the files under `root` that scan_files leaves out for their size; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{glob},part-*.txt}}").load(root).where(F.col("length") > MOST_BYTES)
+    files = files.select(source_path(F.col("path")).alias("path"), (F.unix_micros("modificationTime") / 1_000_000).alias("mtime"), F.col("length").alias("size"))
+    return files.where(F.col("path").rlike(_name_pattern(glob)))
+
+
+def large_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """lines_of for the files over MOST_BYTES, which Spark reads in blocks.
+
+    A line's number is the lines of the blocks before its own and its place in
+    its block; rows of a block follow one another in one task.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{glob},part-*.txt}}").option("lineSep", "\n").text(root)
+    meta = F.col("_metadata")
+    rows = raw.where(meta["file_size"] > MOST_BYTES).select(
+        meta["file_path"].alias("file"), (F.unix_micros(meta["file_modification_time"]) / 1_000_000).alias("mtime"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("i"), F.regexp_replace("value", "\r$", "").alias("raw")
+    )
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("i").alias("least"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = rows.join(blocks, ["file", "block"]).select(source_path(F.col("file")).alias("path"), "mtime", (F.col("start") + F.col("i") - F.col("least")).cast("int").alias("line_no"), "raw")
+    return numbered.where(F.col("path").rlike(_name_pattern(glob)) & F.col("raw").rlike(r"\S"))
+
+
 def lines_of(files: DataFrame) -> DataFrame:
     """(path, mtime, line_no, raw): lines that are not blank, numbered from 0 in file order."""
     each = files.select("path", "mtime", F.posexplode(F.split("value", "\r?\n", -1)).alias("line_no", "raw"))
@@ -88,6 +113,8 @@ def lines_of(files: DataFrame) -> DataFrame:
 def scan_jsonl(spark: SparkSession, root: str | DataFrame, glob: str = "*.jsonl") -> DataFrame:
     """(path, mtime, line_no, raw, rec) of good lines: each is one JSON value; blank and bad lines are left out."""
     lines = lines_of(scan_files(spark, root, glob))
+    if not isinstance(root, DataFrame):
+        lines = lines.unionByName(large_lines(spark, root, glob))
     return lines.where(is_strict_json(F.col("raw"))).withColumn("rec", F.try_parse_json("raw"))
 
 

@@ -199,3 +199,22 @@ def test_results_do_not_depend_on_partitions(spark, tmp_path, partitions):
 
     files = scan_files(spark, str(tmp_path), "*.jsonl").repartition(partitions)
     assert {r.content.count("» ") for r in parse(files).collect()} == {5}
+
+
+def test_lines_of_files_over_the_limit_are_read(spark, tmp_path, monkeypatch):
+    from sessionlake.sources import scan
+
+    big = ["" if i % 7 == 3 else '{"n": %d}' % i for i in range(3000)]
+    (tmp_path / "big.jsonl").write_bytes("\r\n".join(big).encode())
+    (tmp_path / "small.jsonl").write_text('{"n": 0}\n{"n": 1}\n')
+    want = sorted((r.path, r.line_no, r.raw) for r in scan.scan_jsonl(spark, str(tmp_path)).collect())
+    assert len(want) > 2500 and scan.unread_files(spark, str(tmp_path), "*.jsonl").count() == 0
+    monkeypatch.setattr(scan, "MOST_BYTES", 1000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = sorted((r.path, r.line_no, r.raw) for r in scan.scan_jsonl(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want
+    assert [r.path.rsplit("/", 1)[-1] for r in scan.unread_files(spark, str(tmp_path), "*.jsonl").collect()] == ["big.jsonl"]
