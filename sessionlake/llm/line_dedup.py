@@ -1,21 +1,30 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 A line is repeated if an earlier line (by doc_id, then place) has the same
-normalised text or is within EDITS edits of it. Two strings within EDITS edits
-share one of EDITS + 1 segments of the shorter, at a shift that the segment's
-place and the difference of lengths bound; so each distinct line is indexed
-under its segments and probes, for every length it can match, the substrings at
-those shifts. An edit changes the counts of two letters at most, so pairs whose
-letter counts are further apart leave in the join itself; the
-candidates that stay are verified with a banded bit-parallel edit distance.
+normalised text or is within EDITS edits of it. A line is split into EDITS + 1
+segments, whose size depends on the class of its length. Of two strings within
+EDITS edits, the segments of the shorter hold one, the i-th say, that is whole
+in the longer with exactly i edits before it: the first one at the beginning,
+the last one at the end, one between at a shift of at most i. So each distinct
+line is indexed under its segments and probes, for the classes of the lengths
+that it can match, its substrings at those shifts.
+
+Few lines share a key. Where more than CROWD do (a family of lines with a
+common beginning, say), the key alone would make all their pairs: there the
+parities of letter counts are compared too. An edit changes two of 64 parities
+at most, so of BLOCKS blocks of them all but 2 * EDITS stay equal: crowded lines
+meet only on their key with two whole blocks. Candidates are verified with a
+banded bit-parallel edit distance.
 
 Lines with equal normalised text are merged by an aggregate before the join, so
-that copies never multiply. Equal lines are told by two independent 64-bit hashes; the edit
-join carries the first of them and verifies on the texts.
+that copies never multiply. Equal lines are told by two independent 64-bit
+hashes; the edit join carries the first of them and verifies on the texts.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,77 +34,86 @@ from sessionlake.llm.scratch import written
 EDITS = 2
 #: Lines of fewer normalised characters are left out of the edit join; exact repeats of them are told apart and kept by default.
 LEAST_CHARS = 24
+#: Index entries of a key beyond which it is crowded.
+CROWD = 64
+#: Blocks of parities: 2 * EDITS of them can differ, two are in a crowded key.
+BLOCKS = 2 * EDITS + 2
+#: Rows up to which a table of keys or places is broadcast (24 bytes each); beyond, it is shuffled.
+BROADCAST_ROWS = 500_000
+#: A text is hot if it is more than one of this many lines; so there are fewer hot texts than this, and they are broadcast.
+HOT_SHARE = 10_000
+HOT_LEAST = 1_000
+
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
 def normalised(text: Column) -> Column:
     """Lower-cased, digits as 0, white space other than newlines as one space."""
     spaced = F.regexp_replace(text, r"[\x09\x0B-\x0D]+|\x20{2,}", " ")
-    return F.regexp_replace(F.lower(spaced), "[1-9]", "0")
+    # most texts have none, and looking for it is much cheaper than replacing it
+    odd = F.contains(text, F.lit("  ")) | text.rlike(r"[\x09\x0B-\x0D]")
+    return F.regexp_replace(F.lower(F.when(odd, spaced).otherwise(text)), "[1-9]", "0")
+
+
+def _raw_lines(docs: DataFrame, text: Column) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
 
 
 def numbered_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, line_no, norm, h1, h2) of every line of `least` normalised characters or more; line_no from 0."""
-    lines = docs.select("doc_id", F.posexplode(F.split(normalised(F.col("text").cast("string")), "\n", -1)).alias("line_no", "raw"))
-    lines = lines.select("doc_id", "line_no", F.trim("raw").alias("norm"))
-    return lines.where(F.char_length("norm") >= least).select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("line"), "norm").alias("h2"))
+    """(doc_id, line_no, norm, length, h1, h2) of every line of `least` normalised characters or more; line_no from 0."""
+    lines = _raw_lines(docs, normalised(F.col("text").cast("string"))).select("doc_id", "line_no", F.trim("raw").alias("norm"))
+    lines = lines.withColumn("length", F.char_length("norm")).where(F.col("length") >= least)
+    return lines.select("doc_id", "line_no", "norm", "length", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("line"), "norm").alias("h2"))
 
 
-def _segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of each of `parts` segments; the last ones are longer by one where it does not divide."""
-    short, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    out, start = [], F.lit(1)
-    for i in range(parts):
-        size = short + F.when(F.lit(parts - i) <= longer, 1).otherwise(0)
-        out.append((start, size))
-        start = start + size
-    return out
+def class_start(length: Column) -> Column:
+    """The least length of a length's class; classes are wider than EDITS."""
+    return length - length % F.when(length < 192, 8).otherwise(32)
 
 
-def _key(length: Column, segment: int, part: Column) -> Column:
-    return F.xxhash64(length, F.lit(segment), part)
+def segment_keys(norm: Column, length: Column, start: Column, edits: int = EDITS) -> tuple[list[Column], list[Column]]:
+    """Keys of a line in the class of lengths from `start`: of its segments, and of its substrings at the shifts of the segments between."""
+    size = F.floor(start / (edits + 1)).cast("int")
 
+    def key(i: int, at: Column) -> Column:
+        return F.xxhash64(start, F.lit(i), F.substring(norm, at, size))
 
-def index_keys(norm: Column, edits: int = EDITS) -> list[Column]:
-    """The keys under which a line is indexed: one per segment."""
-    length = F.char_length(norm)
-    return [_key(length, i, F.substring(norm, start, size)) for i, (start, size) in enumerate(_segments(length, edits + 1))]
+    own = [key(i, size * i + 1) for i in range(edits)] + [key(edits, length - size + 1)]
+    return own, [key(i, size * i + 1 + shift) for i in range(1, edits) for shift in range(-i, i + 1) if shift]
 
 
-def probe_keys(norm: Column, edits: int = EDITS) -> list[Column]:
-    """The keys that a line probes: its substrings at the shifts that a match allows."""
-    length, out = F.char_length(norm), []
-    for less in range(edits + 1):
-        target = length - less
-        for i, (start, size) in enumerate(_segments(target, edits + 1)):
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            out += [_key(target, i, F.substring(norm, start + shift, size)) for shift in range(low, high + 1)]
-    return out
+def letter_counts(norm: Column) -> Column:
+    """Parities of the counts of code points, by code point modulo 64, as the bits of one long."""
+    return F.aggregate(F.split(norm, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c))))
 
 
-#: Letters that are counted; any 16 give the same result.
-COUNTED = "acdeghilmnoprstu"
-#: Texts up to which the places of candidates are broadcast (24 bytes each); beyond, lines are shuffled to them.
-BROADCAST_TEXTS = 500_000
+def counts_apart(a: str, b: str) -> Column:
+    """How many parities of two letter_counts differ; at most twice the edit distance."""
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def letter_counts(norm: Column) -> Column:
-    """Counts of the COUNTED letters modulo 16, four bits each in one long."""
-    out = F.lit(0).cast("long")
-    for i, letter in enumerate(COUNTED):
-        left = F.replace(norm, F.lit(letter), F.lit(""))
-        out = out.bitwiseOR(F.shiftleft((F.octet_length(norm) - F.octet_length(left)).cast("long").bitwiseAND(F.lit(15).cast("long")), 4 * i))
-    return out
+def parity_blocks(counts: Column, blocks: int = BLOCKS) -> list[Column]:
+    """For every two of the `blocks` blocks of a letter_counts, a number that tells which two and what they hold."""
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in itertools.pairwise(ends)]
+    both = [masks[i] | masks[j] for i, j in itertools.combinations(range(blocks), 2)]
+    return [F.xxhash64(F.lit(n), counts.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long"))) for n, m in enumerate(both)]
 
 
-def counts_apart(a: str, b: str) -> Column:
-    """Sum of differences, modulo 16, of two letter_counts; at most twice the edit distance."""
-    each = [f"((shiftright({a}, {4 * i}) & 15) - (shiftright({b}, {4 * i}) & 15) + 16) & 15" for i in range(len(COUNTED))]
-    return F.expr(" + ".join(f"least({d}, 16 - ({d}))" for d in each))
+def place(docs: DataFrame) -> Column:
+    """A line's place (doc_id, line_no), in one value that orders by doc_id, then line: a number where doc_id is one, which aggregates by hash."""
+    if dict(docs.dtypes)["doc_id"] in _INTEGRAL:
+        return F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line_no").cast("decimal(11,0)")
+    return F.struct("doc_id", "line_no")
 
 
-def place(doc_id: Column, line_no: Column) -> Column:
-    """A line's place in one number that orders by doc_id, then line."""
-    return doc_id.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + line_no.cast("decimal(11,0)")
+def _place_parts(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """`places` with doc_id and line_no read back from its column place."""
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind not in _INTEGRAL:
+        return places.withColumn("doc_id", F.col("place.doc_id")).withColumn("line_no", F.col("place.line_no"))
+    low = F.pmod("place", F.lit(1 << 32))
+    return places.withColumn("doc_id", ((F.col("place") - low) / (1 << 32)).cast(kind)).withColumn("line_no", low.cast("int"))
 
 
 def edit_distance(a: str, b: str, edits: int = EDITS) -> Column:
@@ -135,6 +153,50 @@ def edit_distance(a: str, b: str, edits: int = EDITS) -> Column:
             s -> s.d))[0])[0])[0])[0])[0]""")
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _texts_of(source: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h1, norm, counts) of the texts in `wanted` (h1), each read once, at its first place."""
+    places = written(_place_parts(texts.join(wanted, "h1").select("h1", "place"), source).select("h1", "doc_id", "line_no"))
+    n = places.count()
+    holders = _small(places.select("doc_id").distinct(), n)
+    raw = _raw_lines(source.join(holders, "doc_id", "left_semi"), F.col("text").cast("string")).join(_small(places, n), ["doc_id", "line_no"])
+    norm = raw.select("h1", F.trim(normalised(F.col("raw"))).alias("norm")).where(F.xxhash64("norm") == F.col("h1")).dropDuplicates(["h1"])
+    return written(norm.withColumn("counts", letter_counts(F.col("norm"))))
+
+
+def _candidates(source: DataFrame, texts: DataFrame, own: list[str], other: list[str]) -> DataFrame:
+    """(a, b): hashes of texts that share a key and may be within EDITS edits, each pair once.
+
+    A row of the join has a key, a text's hash and its length, negative unless
+    the text is indexed under the key. The shorter text of a pair is the
+    indexed one.
+    """
+    signed = [F.struct(F.col(k).alias("key"), F.col("length").alias("size")) for k in own] + [F.struct(F.col(k).alias("key"), (-F.col("length")).alias("size")) for k in other]
+    rows = texts.select("h1", F.inline(F.array(*signed))).where(F.col("key").isNotNull())
+    crowded = written(rows.where("size > 0").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"))
+    n = crowded.count()
+
+    def met(rows: DataFrame, *more: str) -> DataFrame:
+        x, y = (rows.select(*[F.col(c).alias(f"{side}_{c}") for c in rows.columns]) for side in "xy")
+        on = F.col("x_key") == F.col("y_key")
+        longer = F.abs("y_size") - F.col("x_size")
+        on = on & ((longer.between(1, EDITS)) | ((longer == 0) & (F.col("x_h1") < F.col("y_h1"))))
+        if more:
+            on = on & (counts_apart("x_counts", "y_counts") <= 2 * EDITS)
+        return x.join(y, on).select(F.least("x_h1", "y_h1").alias("a"), F.greatest("x_h1", "y_h1").alias("b")).where("a <> b")
+
+    if not n:
+        return written(met(rows).distinct())
+    many = rows.join(_small(crowded, n), "key", "left_semi")
+    read = _texts_of(source, texts, many.select("h1").distinct()).select("h1", "counts")
+    finer = many.join(read, "h1").select("h1", "size", "counts", F.explode(F.array(*[F.xxhash64("key", part) for part in parity_blocks(F.col("counts"))])).alias("key"))
+    few = rows.join(_small(crowded, n), "key", "left_anti")
+    return written(met(few).unionByName(met(finer, "counts")).distinct())
+
+
 def line_verdicts(docs: DataFrame, classes: bool = True, short: bool = True) -> tuple[DataFrame, DataFrame]:
     """(lines, links).
 
@@ -147,35 +209,29 @@ def line_verdicts(docs: DataFrame, classes: bool = True, short: bool = True) ->
     (a, b) pairs of those texts' hashes, each once.
     """
     source = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    lines = numbered_lines(source)
-    every = numbered_lines(source, 1) if short else lines
-    slim = written(every.select("doc_id", "line_no", "h1", "h2", (F.char_length("norm") < LEAST_CHARS).alias("short")))
+    norm, length = F.col("norm"), F.col("length")
+    own, shifted = segment_keys(norm, length, class_start(length))
+    # a line in the lowest places of its class may match a shorter one of the class below
+    below = class_start(length - EDITS)
+    lower = [F.when((below < class_start(length)) & (below >= class_start(F.lit(LEAST_CHARS))), k) for ks in segment_keys(norm, length, below) for k in ks]
+    keys = {f"k{i}": F.when(length >= LEAST_CHARS, k) for i, k in enumerate([*own, *shifted, *lower])}
     # keys are plain columns, all equal within a text, so that a hash aggregate merges copies without sorting
-    norm = F.col("norm")
-    own, probed = index_keys(norm), probe_keys(norm)
-    n_index, n_keys = len(own), len(own) + len(probed)
-    keyed = lines.select("h1", "h2", place(F.col("doc_id"), F.col("line_no")).alias("place"), letter_counts(norm).alias("counts"), *[k.alias(f"k{i}") for i, k in enumerate(own + probed)])
-    texts = written(keyed.groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.max(c).alias(c) for c in ("counts", *(f"k{i}" for i in range(n_keys)))]))
-    index = texts.select(F.col("h1").alias("a"), F.col("counts").alias("ca"), F.explode(F.array(*[f"k{i}" for i in range(n_index)])).alias("key"))
-    probe = texts.select(F.col("h1").alias("b"), F.col("counts").alias("cb"), F.explode(F.array(*[f"k{i}" for i in range(n_index, n_keys)])).alias("key"))
-    near = (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & (counts_apart("ca", "cb") <= 2 * EDITS)
-    met = index.join(probe, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = written(met.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    # only where a text is first seen: a text with very many copies is fetched once, by its place
-    places = written(texts.join(wanted, "h1").select("h1", "place"))
-    holders = places.select(F.floor(F.col("place") / (1 << 32)).cast(source.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    if places.count() <= BROADCAST_TEXTS:
-        places, holders = F.broadcast(places), F.broadcast(holders)
-    again = numbered_lines(source.join(holders, "doc_id", "left_semi"))
-    first_lines = again.withColumn("place", place(F.col("doc_id"), F.col("line_no"))).join(places, ["h1", "place"])
-    found = written(first_lines.select("h1", "norm").dropDuplicates(["h1"]))
-    sides = pairs.join(found.select(F.col("h1").alias("a"), F.col("norm").alias("na")), "a").join(found.select(F.col("h1").alias("b"), F.col("norm").alias("nb")), "b")
-    shorter = F.char_length("na") <= F.char_length("nb")
-    sides = sides.select("a", "b", F.when(shorter, F.col("na")).otherwise(F.col("nb")).alias("x"), F.when(shorter, F.col("nb")).otherwise(F.col("na")).alias("y"))
+    keyed = numbered_lines(source, 1 if short else LEAST_CHARS).select("doc_id", "line_no", "h1", "h2", "length", *[k.alias(name) for name, k in keys.items()])
+    keyed = written(keyed)
+    at = place(keyed)
+    long = keyed.where(F.col("length") >= LEAST_CHARS)
+    texts = written(long.groupBy("h1", "h2").agg(F.min(at).alias("place"), F.count("*").alias("n"), F.max("length").alias("length"), *[F.max(k).alias(k) for k in keys]))
+    names = list(keys)
+    pairs = _candidates(source, texts, names[: len(own)], names[len(own) :])
+    found = _texts_of(source, texts, pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
+    x, y = (found.select(*[F.col(c).alias(f"{side}_{c}") for c in found.columns]) for side in "xy")
+    sides = pairs.join(x, F.col("a") == F.col("x_h1")).join(y, F.col("b") == F.col("y_h1")).where(counts_apart("x_counts", "y_counts") <= 2 * EDITS)
+    shorter = F.char_length("x_norm") <= F.char_length("y_norm")
+    sides = sides.select("a", "b", F.when(shorter, F.col("x_norm")).otherwise(F.col("y_norm")).alias("x"), F.when(shorter, F.col("y_norm")).otherwise(F.col("x_norm")).alias("y"))
     links = written(sides.where(edit_distance("x", "y") <= EDITS).select("a", "b"))
-    at = texts.select("h1", "h2", F.col("place").alias("at"))
-    ends = links.join(at.select(F.col("h1").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("h1").alias("b"), F.col("at").alias("at_b")), "b")
+    seen = texts.select("h1", "h2", F.col("place").alias("at"), "n")
+    linked = links.select(F.explode(F.array("a", "b")).alias("h1")).distinct().join(seen.select("h1", "at"), "h1")
+    ends = links.join(linked.select(F.col("h1").alias("a"), F.col("at").alias("at_a")), "a").join(linked.select(F.col("h1").alias("b"), F.col("at").alias("at_b")), "b")
     ends = ends.select(F.explode(F.array(F.struct(F.col("a").alias("h1"), (F.col("at_b") < F.col("at_a")).alias("later")), F.struct(F.col("b").alias("h1"), (F.col("at_a") < F.col("at_b")).alias("later")))).alias("e")).select("e.*")
     per_text = ends.groupBy("h1").agg(F.count("*").alias("n_links"), F.max("later").alias("near"))
     if classes:
@@ -183,14 +239,19 @@ def line_verdicts(docs: DataFrame, classes: bool = True, short: bool = True) ->
     else:
         per_text = per_text.withColumn("linked_class", F.lit(None).cast("long"))
     if short:
-        at = at.unionByName(slim.where("short").groupBy("h1", "h2").agg(F.min(place(F.col("doc_id"), F.col("line_no"))).alias("at")))
-    marked = slim.join(at, ["h1", "h2"]).join(per_text, "h1", "left")
+        seen = seen.unionByName(keyed.where(F.col("length") < LEAST_CHARS).groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count("*").alias("n")))
+    facts = seen.join(per_text, "h1", "left")
+    slim = keyed.select("doc_id", "line_no", "h1", "h2", (F.col("length") < LEAST_CHARS).alias("short"))
+    # lines of hot texts never meet in one task: their few facts go to them
+    least = max(HOT_LEAST, slim.count() // HOT_SHARE)
+    hot = F.broadcast(written(facts.where(F.col("n") > least)))
+    marked = slim.join(hot, ["h1", "h2"]).unionByName(slim.join(hot, ["h1", "h2"], "left_anti").join(facts.where(F.col("n") <= least), ["h1", "h2"]))
     return marked.select(
         "doc_id",
         "line_no",
         "h1",
         "short",
-        (place(F.col("doc_id"), F.col("line_no")) == F.col("at")).alias("first"),
+        (at == F.col("at")).alias("first"),
         F.coalesce("near", F.lit(False)).alias("near"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         "linked_class",
@@ -210,29 +271,39 @@ def repeated_lines(docs: DataFrame, classes: bool = True, short: bool = True) ->
     `short` there are none);
     classes: (line_no, class) of every line with a character, where equal texts and texts
     joined by links share a class (without `classes` the last column is left
-    out). Rows that repeat a doc_id are one document, judged together. Empty
-    tables give empty results.
+    out). Rows that repeat a doc_id are one document, judged together; rows
+    without a doc_id are returned unjudged. doc_id may be of any type that has
+    an order. Other columns are not read. Empty tables give empty results.
     """
     lines, _ = line_verdicts(docs, classes, short)
-    long = ~F.col("short")
-    gone = long & (~F.col("first") | F.col("near"))
     # a repeated row repeats its places: they count once
-    lines = lines.groupBy("doc_id", "line_no", "h1").agg(F.max("short").alias("short"), F.max("first").alias("first"), F.max("near").alias("near"), F.max("n_links").alias("n_links"), F.max("linked_class").alias("linked_class"))
-    per_doc = lines.groupBy("doc_id").agg(
-        F.count_if(long).alias("n_checked"),
-        F.count_if(long & ~F.col("first")).alias("n_exact"),
-        F.count_if(F.col("first") & F.col("near")).alias("n_near"),
-        F.sum(F.when(F.col("first"), F.col("n_links")).otherwise(0)).alias("n_links"),
-        F.array_sort(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed"),
-        F.sum("n_links").alias("n_held_links"),
-        F.count_if("short").alias("n_short"),
-        F.array_sort(F.collect_set(F.when(F.col("short") & ~F.col("first"), F.col("line_no")))).alias("short_repeats"),
-        *([F.array_sort(F.collect_set(F.struct("line_no", F.coalesce("linked_class", "h1").alias("class")))).alias("classes")] if classes else []),
-    )
+    line = F.struct("line_no", "h1", "short", "first", "near", "n_links", "linked_class")
+    per_doc = lines.groupBy("doc_id").agg(F.array_sort(F.collect_set(line)).alias("lines"))
+
+    def those(which) -> Column:
+        return F.filter("lines", which)
+
+    def places(which) -> Column:
+        return F.array_distinct(F.transform(those(which), lambda x: x["line_no"]))
+
+    def links(which) -> Column:
+        return F.aggregate(those(which), F.lit(0).cast("long"), lambda n, x: n + x["n_links"])
+
+    counts = {
+        "n_checked": F.size(those(lambda x: ~x["short"])),
+        "n_exact": F.size(those(lambda x: ~x["short"] & ~x["first"])),
+        "n_near": F.size(those(lambda x: x["first"] & x["near"])),
+        "n_links": links(lambda x: x["first"]),
+        "removed": places(lambda x: ~x["short"] & (~x["first"] | x["near"])),
+        "n_held_links": links(lambda x: x["line_no"] >= 0),
+        "n_short": F.size(those(lambda x: x["short"])),
+        "short_repeats": places(lambda x: x["short"] & ~x["first"]),
+    }
+    if classes:
+        counts["classes"] = F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), F.coalesce(x["linked_class"], x["h1"]).alias("class")))
     rows = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"))
-    zero = F.lit(0).cast("long")
-    out = rows.join(per_doc, "doc_id", "left").select("doc_id", "n_lines", *[F.coalesce(c, zero).alias(c) for c in ("n_checked", "n_exact", "n_near", "n_links")], F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed"), *[F.coalesce(c, zero).alias(c) for c in ("n_held_links", "n_short")], F.coalesce("short_repeats", F.expr("cast(array() as array<int>)")).alias("short_repeats"), *(["classes"] if classes else []))
-    return out.withColumn("classes", F.coalesce("classes", F.expr("cast(array() as array<struct<line_no: int, class: bigint>>)"))) if classes else out
+    both = rows.join(per_doc, "doc_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast(per_doc.schema["lines"].dataType)))
+    return both.select("doc_id", "n_lines", *[(c.cast("long") if name.startswith("n_") else c).alias(name) for name, c in counts.items()])
 
 
 def without_repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:

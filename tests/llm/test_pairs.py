@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -264,6 +265,42 @@ def test_short_exact_repeats_are_found(spark):
     assert kept == {1: "Read more\n\n春眠不觉晓\nyes", 2: "\nyet"}
 
 
+def test_crowded_segments_in_any_script_end_in_bounded_time(spark):
+    rng = random.Random(9)
+    beginning = "в начале каждой строки стоят одни и те же слова, а потом "
+    family = list({beginning + "".join(rng.choice("абвгдежзиклмнопрстуфхцчшэюя") for _ in range(12)) for _ in range(5000)})
+    han = ["每一行的开头都是同样的二十四个以上的汉字所以它们共享一个片段" + "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(10)) for _ in range(300)]
+    near = [x[:-3] + "ъ" + x[-2:] for x in family[:20]] + [x[:5] + "兩" + x[5:] for x in han[:10]]
+    rows = list(enumerate(family + han + near))
+    started = time.monotonic()
+    got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).where("n_links > 0 or size(removed) > 0").collect()
+    assert time.monotonic() - started < 120
+    n = len(family) + len(han)
+    assert {r.doc_id: (r.n_links, r.removed) for r in got} == {**{i: (1, []) for i in range(20)}, **{n + i: (1, [0]) for i in range(30)}, **{len(family) + i: (1, []) for i in range(10)}}
+
+
+def test_parity_blocks_keep_two_after_every_edit(spark):
+    masks = [1 << i | 1 << j | 1 << k | 1 << m for i, j, k, m in ((0, 11, 22, 33), (0, 1, 2, 3), (10, 21, 42, 63), (31, 32, 53, 54))]
+    rows = [(x, x ^ m if x ^ m < 1 << 63 else (x ^ m) - (1 << 64)) for x in (0, 12345678901234567) for m in masks]
+    df = spark.createDataFrame(rows, "a bigint, b bigint")
+    same = [(p == q).cast("int") for p, q in zip(line_dedup.parity_blocks(F.col("a")), line_dedup.parity_blocks(F.col("b")), strict=True)]
+    assert df.select(sum(same).alias("n")).where("n = 0").count() == 0
+
+
+def test_lines_of_text_ids_hot_lines_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_LEAST", 3)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 1)
+    hot, other = "this line stands in every document of the corpus", "and this line stands in one document only, with x"
+    rows = [(f"d{i}", hot + ("\n" + other.replace("x", "yz"[i]) if i < 2 else "") + "\nshort", 1, 2) for i in range(9)] + [(None, hot, 1, 2), ("e", None, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, h1 int, n int")
+    got = {r.doc_id: (r.removed, r.n_links, r.short_repeats) for r in line_dedup.repeated_lines(docs).collect()}
+    want = {f"d{i}": ([0] if i else [], 0, [1] if i else []) for i in range(9)} | {None: ([], 0, []), "e": ([], 0, [])}
+    want |= {"d0": ([], 1, []), "d1": ([0, 1], 1, [2])}
+    assert got == want
+    kept = line_dedup.without_repeated_lines(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id = 'd0'").count() == 1
+
+
 def test_edit_distance_and_letter_counts(spark):
     rng = random.Random(7)
     rows = []
