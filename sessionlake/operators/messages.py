@@ -90,59 +90,84 @@ def fold_rewinds(entries: DataFrame, keys: Sequence[str] = ("session_id",), orde
     return kept.select(*keys, F.col("e.seq").alias(order), "e.kind", "e.text")
 
 
-def fold_history(entries: DataFrame) -> DataFrame:
-    """History after undo, clear and compaction, with messages held back while tool results are pending.
-
-    `entries` has session_id, seq, kind, text, count and anchor. Kinds: message,
-    step_begin, tool_call, tool_result, step_end, undo (count), clear,
-    compaction (text). undo walks back to the count-th entry with `anchor` and
-    stops at a compaction or the place of the last clear. A message that comes
-    while a call awaits its result is placed behind the step. One session per
-    group, so the fold's state is one session.
+HISTORY_EVENTS = "session_id string, seq bigint, kind string, ref string, call string, role string, texts array<string>, turn boolean, anchor boolean, summary boolean, count bigint"
+
+
+def fold_history(events: DataFrame) -> DataFrame:
+    """(session_id, place, role, texts, turn): the entries left after steps, undo, clear and compaction.
+
+    `events` has the columns of HISTORY_EVENTS. Kinds: message (role, texts,
+    turn, anchor, summary), step_begin (ref), part (ref, texts), tool_call (ref,
+    call), tool_result (call), step_end (ref), compaction (texts), undo (count),
+    clear, last_prompt (texts). A step is an entry to which the parts that name
+    it are added while it is open; other parts vanish. While calls of open steps
+    await their results, messages are held back; they follow when the last
+    result comes, when a step ends without one missing, or when a step begins.
+    undo, clear and compaction close all steps and discard what is held back.
+    undo walks back over entries to the count-th anchor, but not over a summary
+    or the place of the last clear. last_prompt is a user's turn if no turn is
+    left and nothing since the last turn has undone or cleared. Entries without
+    texts are left out. One session per group, so the fold's state is one session.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        held: list[tuple] = []
-        pending, floor = 0, 0
+        entries: list[dict] = []
+        held: list[dict] = []
+        steps: dict[str, dict] = {}
+        pending: set[str] = set()
+        floor, restorable = 0, True
+
+        def release() -> None:
+            entries.extend(held)
+            held.clear()
 
-        def flush() -> None:
-            kept.extend(held)
+        def close() -> None:
+            steps.clear()
+            pending.clear()
             held.clear()
 
         for r in rows.sort_values("seq").itertuples():
+            texts = list(r.texts) if r.texts is not None else []
             if r.kind == "message":
-                (held if pending else kept).append((r.seq, "message", r.text, bool(r.anchor)))
+                restorable = restorable or bool(r.turn)
+                (held if pending else entries).append({"role": r.role, "texts": texts, "turn": bool(r.turn), "anchor": bool(r.anchor), "summary": bool(r.summary)})
             elif r.kind == "step_begin":
-                pending = 0
-                flush()
-            elif r.kind == "tool_call":
-                pending += 1
-            elif r.kind == "tool_result":
-                pending = max(0, pending - 1)
+                pending.clear()
+                release()
+                if r.ref:
+                    steps[r.ref] = {"role": "assistant", "texts": [], "turn": False, "anchor": False, "summary": False}
+                    entries.append(steps[r.ref])
+            elif r.kind == "part" and r.ref in steps:
+                said = steps[r.ref]["texts"]
+                said[:] = ["".join(said + texts)]
+            elif r.kind == "tool_call" and r.call and r.ref in steps:
+                pending.add(r.call)
+            elif r.kind == "tool_result" and r.call in pending:
+                pending.remove(r.call)
                 if not pending:
-                    flush()
+                    release()
             elif r.kind == "step_end":
-                pending = 0
-                flush()
-            elif r.kind == "clear":
-                flush()
-                pending, floor = 0, len(kept)
+                steps.pop(r.ref, None)
+                if not pending:
+                    release()
             elif r.kind == "compaction":
-                flush()
-                pending = 0
-                kept.append((r.seq, "compaction", r.text, False))
+                close()
+                entries.append({"role": "user", "texts": texts, "turn": False, "anchor": False, "summary": True})
+            elif r.kind == "clear":
+                close()
+                floor, restorable = len(entries), False
             elif r.kind == "undo":
-                flush()
-                left = int(r.count or 0)
-                while left > 0 and len(kept) > floor and kept[-1][1] != "compaction":
-                    left -= kept.pop()[3]
-        flush()
-        out = pd.DataFrame([(r[0], i, r[1], r[2]) for i, r in enumerate(kept)], columns=["seq", "place", "kind", "text"])
-        out.insert(0, "session_id", rows.session_id.iloc[0])
-        return out
+                close()
+                left = 0 if pd.isna(r.count) else int(r.count)
+                restorable = restorable and left <= 0
+                while left > 0 and len(entries) > floor and not entries[-1]["summary"]:
+                    left -= entries.pop()["anchor"]
+            elif r.kind == "last_prompt" and restorable and not any(e["turn"] for e in entries):
+                entries.append({"role": "user", "texts": texts, "turn": True, "anchor": True, "summary": False})
+        out = [(rows.session_id.iloc[0], i, e["role"], e["texts"], e["turn"]) for i, e in enumerate(entries) if any(e["texts"])]
+        return pd.DataFrame(out, columns=["session_id", "place", "role", "texts", "turn"])
 
-    return entries.groupBy("session_id").applyInPandas(fold, "session_id string, seq bigint, place bigint, kind string, text string")
+    return events.groupBy("session_id").applyInPandas(fold, "session_id string, place bigint, role string, texts array<string>, turn boolean")
 
 
 def assemble_sessions(messages: DataFrame, min_user_chars: int = 0) -> DataFrame:
@@ -204,7 +229,14 @@ def code_blocks(messages: DataFrame, keys: Sequence[str], text: str = "text") ->
     return inside.groupBy(*keys, "block").agg(language.alias("language"), code.alias("code"))
 
 
-def project_commands(text: Column, name: Column, args: Column, plugin: Column | None = None) -> Column:
-    """Expanded prompts as the command that was typed; a skill that is no command as a note."""
-    command = F.concat(F.lit("/"), F.concat_ws(":", plugin, name) if plugin is not None else name, F.when(args.rlike(r"\S"), F.concat(F.lit(" "), F.trim(args))).otherwise(""))
-    return F.when(name.isNotNull(), command).otherwise(F.coalesce(text, F.lit("")))
+def _slash(command: Column, args: Column) -> Column:
+    given = F.coalesce(args, F.lit(""))
+    return F.concat(command, F.when(given.rlike(r"\S"), F.concat(F.lit(" "), F.regexp_replace(given, r"^\s+|\s+$", ""))).otherwise(""))
+
+
+def project_commands(kind: Column, trigger: Column, skill: Column, skill_args: Column, plugin: Column, command: Column, command_args: Column) -> Column:
+    """What was typed, for a message whose text is the expanded prompt of a skill or a plugin's command; null for any other."""
+    typed = F.coalesce(trigger == "user-slash", F.lit(False))
+    of_skill = F.when(typed, _slash(F.concat(F.lit("/"), skill), skill_args)).otherwise(F.concat(F.lit("Activated skill: "), skill))
+    of_plugin = _slash(F.concat(F.lit("/"), plugin, F.lit(":"), command), command_args)
+    return F.when((kind == "skill_activation") & (skill != ""), of_skill).when((kind == "plugin_command") & (plugin != "") & (command != ""), of_plugin)

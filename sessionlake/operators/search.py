@@ -1,26 +1,34 @@
 """Search over sessions: query parsing, postings, ranking, pages.
 
-A query table goes through the same plan as a single query: terms meet the
-postings table by an equi-join, fuzzy words meet the distinct vocabulary by
-deletion keys, and scores are summed per (query, session). Corpus totals are
-one-row aggregates. Postings can be kept as a table, bucketed by term, and
-passed in instead of being made from the sessions.
+A query table goes through the same plan as a single query. What a query asks
+for is a small table of terms: its own with their weights, and those of the
+vocabulary that its words match within one edit, found by deletion keys. They
+meet the postings by one equi-join, and one aggregate per (query, session) gives
+the score. Ranking reads keys, directories and times; wide columns are fetched
+for the rows of the page. A SearchIndex is kept beside the sessions and passed
+in; without one it is written once for the call.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.text import tokens
-from sessionlake.operators.filters import UNIT_SECONDS, filter_matches
+from sessionlake.operators.filters import UNIT_SECONDS, agent_filter, all_of, dir_filter, filter_matches
+from sessionlake.sources.scratch import scratch
 
 K1, B = 1.2, 0.75
 EXACT_WEIGHT = 5.0
 FUZZY_LEAST_CHARS = 3
 _KEYWORD = r'(-?)(agent|dir|date):(?:"([^"]+)"|(\S+))'
+#: Rows up to which what queries ask for is broadcast; beyond, it is joined by shuffle.
+BROADCAST_ROWS = 200_000
+#: Tasks among which sessions of one agent are dealt to queries without a text.
+CELLS = 64
 #: A date span over this many seconds is no filter.
 _MOST_SECONDS = 60_000_000_000
 
@@ -113,9 +121,14 @@ def postings(sessions: DataFrame) -> DataFrame:
     nothing is shuffled to make the table. A directory is one raw term.
     """
 
+    return _counted(sessions.withColumns({f: F.array_sort(tokens(F.col(f))) for f in ("title", "content")}))
+
+
+def _counted(tokenised: DataFrame) -> DataFrame:
+    """Postings of sessions whose title and content are sorted arrays of terms."""
+
     def counted(field: str) -> DataFrame:
-        words = F.array_sort(tokens(F.col(field)))
-        rows = sessions.select("agent", "id", F.lit(field).alias("field"), words.alias("w"))
+        rows = tokenised.select("agent", "id", F.lit(field).alias("field"), F.col(field).alias("w"))
         # equal terms are neighbours: a run's length is the distance between its ends
         ends = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: ~F.try_element_at("w", i + 1).eqNullSafe(F.element_at("w", i)))
         rows = rows.where(F.size("w") > 0).withColumn("ends", ends)
@@ -123,7 +136,7 @@ def postings(sessions: DataFrame) -> DataFrame:
         return rows.select("agent", "id", "field", F.size("w").cast("long").alias("len"), F.explode(runs).alias("r")).select("agent", "id", "field", "r.term", "r.tf", "len")
 
     one = F.lit(1).cast("long")
-    raw = sessions.where("directory <> ''").select("agent", "id", F.lit("directory").alias("field"), F.col("directory").alias("term"), one.alias("tf"), one.alias("len"))
+    raw = tokenised.where("directory <> ''").select("agent", "id", F.lit("directory").alias("field"), F.col("directory").alias("term"), one.alias("tf"), one.alias("len"))
     return counted("title").unionByName(counted("content")).unionByName(raw)
 
 
@@ -146,25 +159,55 @@ def query_words(parsed: DataFrame) -> DataFrame:
     return parsed.select("query_id", F.explode(F.filter(F.split(plain, r"\s+", -1), lambda w: w != "")).alias("word"))
 
 
-def bm25(parsed: DataFrame, post: DataFrame, totals: DataFrame) -> DataFrame:
-    """(query_id, agent, id, score): terms of the query or-ed over title, content and directory.
+@dataclass(frozen=True)
+class SearchIndex:
+    """Tables that searches read: slim sessions (agent, id, directory, timestamp), postings, vocabulary, field totals."""
 
-    The document frequency is the size of a term's postings, counted for the
-    query's terms only.
-    """
+    slim: DataFrame
+    postings: DataFrame
+    vocabulary: DataFrame
+    totals: DataFrame
+
+
+def build_index(sessions: DataFrame, path: str | None = None) -> SearchIndex:
+    """Write the index of `sessions` under `path` (a new scratch folder by default); what it reads of them is read once."""
+    spark = sessions.sparkSession
+    base = path or scratch(spark, "search")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    narrow = kept(sessions.select("agent", "id", "directory", "timestamp", F.array_sort(tokens(F.col("title"))).alias("title"), F.array_sort(tokens(F.col("content"))).alias("content")), "tokens")
+    post = kept(_counted(narrow).sortWithinPartitions("term"), "postings")
+    slim = narrow.select("agent", "id", "directory", "timestamp")
+    return SearchIndex(slim, post, kept(vocabulary(post), "vocabulary"), kept(field_totals(slim, post), "totals"))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def exact_terms(parsed: DataFrame, vocab: DataFrame, totals: DataFrame) -> DataFrame:
+    """(query_id, field, term, gain, avg_len): terms of each query's text that occur, with their inverse frequencies times their number."""
     words = query_words(parsed)
     analysed = words.select("query_id", F.explode(tokens(F.col("word"))).alias("term"))
     wanted = analysed.withColumn("raw", F.lit(False)).unionByName(words.select("query_id", F.col("word").alias("term"), F.lit(True).alias("raw")))
     wanted = wanted.groupBy("query_id", "term", "raw").agg(F.count("*").alias("times"))
-    needed = wanted.select("term").distinct()
-    own = post.join(needed, "term", "left_semi")
-    df = own.groupBy("field", "term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(totals), "field").select("field", "term", "avg_len", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    per_term = idf.join(wanted, "term").where((F.col("field") == "directory") == F.col("raw"))
-    hit = own.join(per_term, ["field", "term"])
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    met = vocab.join(wanted, "term").where((F.col("field") == "directory") == F.col("raw")).join(F.broadcast(totals), "field")
+    return met.select("query_id", "field", "term", (F.col("times") * idf).alias("gain"), "avg_len")
+
+
+def _bm25_score() -> Column:
     tf = F.col("tf")
-    score = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return hit.groupBy("query_id", "agent", "id").agg(F.sum(score).alias("score"))
+    return F.col("gain") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+
+
+def bm25(parsed: DataFrame, post: DataFrame, totals: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """(query_id, agent, id, score): terms of the query or-ed over title, content and directory."""
+    asked = exact_terms(parsed, vocabulary(post) if vocab is None else vocab, totals)
+    return post.join(asked, ["field", "term"]).groupBy("query_id", "agent", "id").agg(F.sum(_bm25_score()).alias("score"))
 
 
 def _deletions(c: Column) -> Column:
@@ -200,32 +243,42 @@ def fuzzy_terms(words: DataFrame, vocab: DataFrame) -> DataFrame:
     only at the lengths that some word has. The vocabulary is distinct terms,
     never the tokens of the corpus.
     """
-    # a term has under 40 bytes, so no longer word can match; that also bounds the lengths below
+    # a term has under 40 bytes, so no longer word can match; that also bounds the lengths, of which there are 41 at most
     words = words.select("word").where(F.char_length("word") <= 41).distinct()
+    lengths = words.groupBy(F.char_length("word").alias("n")).agg(F.count("*").alias("words")).collect()
     keys = words.select("word", F.explode(F.array_distinct(_deletions(F.col("word")))).alias("key"))
-    lengths = words.select(F.char_length("word").alias("n")).distinct()
+    n_keys = sum((r.n + 1) * r.words for r in lengths)
     terms = vocab.where(F.col("field").isin("title", "content")).select("field", "term")
-    distinct = terms.select("term").distinct()
     n = F.col("n")
 
     def cut(k: Column) -> Column:
         return F.substring("term", F.lit(1), k)
 
     made = F.array_distinct(F.concat(F.array(cut(n - 1), cut(n)), _deletions(cut(n)), _deletions(cut(n + 1))))
-    cuts = distinct.crossJoin(F.broadcast(lengths)).where(F.char_length("term") >= n - 1).select("term", F.explode(made).alias("key"))
-    met = cuts.join(keys, "key").select("word", "term").distinct().where(within_one_edit_prefix(F.col("word"), F.col("term")))
-    return met.join(terms, "term").select("word", "field", "term")
+    each = F.array(*[F.lit(r.n) for r in lengths]).cast("array<int>")
+    cuts = terms.withColumn("n", F.explode(each)).where(F.char_length("term") >= n - 1).select("field", "term", F.explode(made).alias("key"))
+    return cuts.join(_small(keys, n_keys), "key").select("word", "field", "term").where(within_one_edit_prefix(F.col("word"), F.col("term"))).distinct()
+
+
+def fuzzy_words(parsed: DataFrame) -> DataFrame:
+    """(query_id, need, word, times): words of three or more characters, lower-cased; need is their number."""
+    split = F.filter(F.split("text", r"\s+", -1), lambda w: F.char_length(w) >= FUZZY_LEAST_CHARS)
+    words = parsed.select("query_id", F.transform(split, lambda w: F.lower(w)).alias("ws")).select("query_id", F.size("ws").cast("long").alias("need"), F.explode("ws").alias("word"))
+    return words.groupBy("query_id", "need", "word").agg(F.count("*").alias("times"))
+
+
+def _all_words(marks: Column, need: Column) -> Column:
+    """Sum over a query's word and field matches if all its words match, else null; marks: set of (word, field, times)."""
+    found = F.aggregate(F.array_distinct(F.transform(marks, lambda m: F.struct(m["word"].alias("w"), m["times"].alias("n")))), F.lit(0).cast("long"), lambda n, m: n + m["n"])
+    return F.when((F.size(marks) > 0) & (found == need), F.aggregate(marks, F.lit(0.0), lambda n, m: n + m["times"]))
 
 
 def fuzzy(parsed: DataFrame, post: DataFrame, vocab: DataFrame) -> DataFrame:
     """(query_id, agent, id, score): every word of three or more characters matches in title or content; 1 per word and field."""
-    split = F.filter(F.split("text", r"\s+", -1), lambda w: F.char_length(w) >= FUZZY_LEAST_CHARS)
-    words = parsed.select("query_id", F.transform(split, lambda w: F.lower(w)).alias("ws")).select("query_id", F.size("ws").alias("need"), F.posexplode("ws").alias("nth", "word"))
-    matches = fuzzy_terms(words, vocab)
-    fields = post.where(F.col("field").isin("title", "content")).select("agent", "id", "field", "term").join(matches, ["field", "term"])
-    per_doc = fields.groupBy("agent", "id", "word").agg(F.count_distinct("field").alias("fields"))
-    hit = per_doc.join(words, "word")
-    return hit.groupBy("query_id", "agent", "id", "need").agg(F.count("*").alias("found"), F.sum("fields").cast("double").alias("score")).where("found = need").select("query_id", "agent", "id", "score")
+    words = fuzzy_words(parsed)
+    asked = fuzzy_terms(words, vocab).join(words, "word")
+    hit = post.join(asked, ["field", "term"]).groupBy("query_id", "agent", "id").agg(F.max("need").alias("need"), F.collect_set(F.struct("word", "field", "times")).alias("marks"))
+    return hit.select("query_id", "agent", "id", _all_words(F.col("marks"), F.col("need")).alias("score")).where("score is not null")
 
 
 def dir_text(parsed: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -241,12 +294,27 @@ def dir_text(parsed: DataFrame, sessions: DataFrame) -> DataFrame:
     return sessions.select("agent", "id", "directory").join(hit, "directory").select("query_id", "agent", "id", F.lit(1.0).alias("score"))
 
 
-def search_scores(parsed: DataFrame, sessions: DataFrame, post: DataFrame | None = None) -> DataFrame:
+def search_scores(parsed: DataFrame, sessions: DataFrame, index: SearchIndex | None = None) -> DataFrame:
     """(query_id, agent, id, score) of all sessions that a query's text matches, filters not applied."""
-    post = postings(sessions) if post is None else post
-    exact = bm25(parsed, post, field_totals(sessions, post)).withColumn("score", F.col("score") * EXACT_WEIGHT)
-    parts = exact.unionByName(fuzzy(parsed, post, vocabulary(post))).unionByName(dir_text(parsed, sessions))
-    return parts.groupBy("query_id", "agent", "id").agg(F.sum("score").alias("score"))
+    index = build_index(sessions) if index is None else index
+    words = fuzzy_words(parsed)
+    mark = "struct<word: string, field: string, times: bigint>"
+    exact = exact_terms(parsed, index.vocabulary, index.totals).select("query_id", "field", "term", "gain", "avg_len", F.lit(None).cast("long").alias("need"), F.lit(None).cast(mark).alias("mark"))
+    close = fuzzy_terms(words, index.vocabulary).join(words, "word")
+    close = close.select("query_id", "field", "term", F.lit(0.0).alias("gain"), F.lit(1.0).alias("avg_len"), "need", F.struct("word", "field", "times").cast(mark).alias("mark"))
+    asked = exact.unionByName(close)
+    path = scratch(parsed.sparkSession, "asked")
+    asked.write.parquet(path)
+    asked = parsed.sparkSession.read.schema(asked.schema).parquet(path)
+    hits = index.postings.join(_small(asked, asked.count()), ["field", "term"]).select("query_id", "agent", "id", _bm25_score().alias("exact"), "need", "mark", F.lit(None).cast("double").alias("dir"))
+    none = {"exact": F.lit(None).cast("double"), "need": F.lit(None).cast("long"), "mark": F.lit(None).cast(mark)}
+    dirs = dir_text(parsed, index.slim).select("query_id", "agent", "id", *[v.alias(c) for c, v in none.items()], F.col("score").alias("dir"))
+    every = hits.unionByName(dirs).groupBy("query_id", "agent", "id").agg(F.sum("exact").alias("exact"), F.max("need").alias("need"), F.collect_set("mark").alias("marks"), F.sum("dir").alias("dir"))
+    close_score = _all_words(F.col("marks"), F.col("need"))
+    zero = F.lit(0.0)
+    total = F.coalesce(F.col("exact"), zero) * EXACT_WEIGHT + F.coalesce(close_score, zero) + F.coalesce("dir", zero)
+    # a session that only some of the words match within an edit is no match
+    return every.withColumn("score", total).where("score > 0").select("query_id", "agent", "id", "score")
 
 
 def phrase_filter(sessions: DataFrame, phrase: str) -> DataFrame:
@@ -275,35 +343,78 @@ def one_query(spark: SparkSession, text: str, as_of: dt.datetime) -> DataFrame:
     return parse_queries(spark.createDataFrame([(0, text)], "query_id int, query string"), as_of)
 
 
-def search(sessions: DataFrame, query: str, as_of: dt.datetime, limit: int = 50, offset: int = 0, post: DataFrame | None = None) -> DataFrame:
-    """Best sessions of one query: by score, then time, agent, id; without a text, the latest."""
+def _literal_filters(row) -> Column | None:
+    """The filters of one parsed query as a predicate that reaches the scan."""
+    dated = None
+    if (d := row.date) is not None:
+        ts, cutoff = F.col("timestamp"), F.lit(d.cutoff).cast("timestamp")
+        dated = ts < cutoff if d.op == "greater" else ts >= cutoff
+        if d.until is not None and d.op != "greater":
+            dated = dated & (ts < F.lit(d.until).cast("timestamp"))
+        dated = ~dated if d.negated else dated
+    return all_of(agent_filter(row.agent_include, row.agent_exclude), dir_filter(row.dir_include, row.dir_exclude), dated)
+
+
+def search(sessions: DataFrame, query: str, as_of: dt.datetime, limit: int = 50, offset: int = 0, index: SearchIndex | None = None) -> DataFrame:
+    """Best sessions of one query: by score, then time, agent, id; without a text, the latest.
+
+    Sessions are ranked by their keys; the other columns are fetched for the page's rows.
+    """
     parsed = one_query(sessions.sparkSession, query, as_of)
     row = parsed.first()
-    kept = sessions.crossJoin(F.broadcast(parsed.drop("query_id", "query", "text"))).where(passes_filters()).select(sessions.columns)
+    passes = _literal_filters(row)
+    order = [F.desc("timestamp"), "agent", "id"]
     if not row.text:
-        return kept.withColumn("score", F.lit(None).cast("double")).orderBy(F.desc("timestamp"), "agent", "id").offset(offset).limit(limit)
-    scored = search_scores(parsed, sessions, post).drop("query_id")
-    return kept.join(scored, ["agent", "id"]).orderBy(F.desc(F.round("score", 6)), F.desc("timestamp"), "agent", "id").offset(offset).limit(limit)
+        slim = sessions.select("agent", "id", "directory", "timestamp") if index is None else index.slim
+        ranked = slim.where(passes) if passes is not None else slim
+        page = ranked.select("agent", "id", "timestamp", F.lit(None).cast("double").alias("score")).orderBy(*order)
+    else:
+        index = build_index(sessions) if index is None else index
+        kept = index.slim.where(passes) if passes is not None else index.slim
+        page = search_scores(parsed, sessions, index).join(kept.select("agent", "id", "timestamp"), ["agent", "id"])
+        order = [F.desc(F.round("score", 6)), *order]
+        page = page.select("agent", "id", "timestamp", "score").orderBy(*order)
+    page = page.offset(offset).limit(limit)
+    return sessions.join(F.broadcast(page.select("agent", "id", "score")), ["agent", "id"]).select(*sessions.columns, "score").orderBy(*order)
 
 
-def matches(parsed: DataFrame, sessions: DataFrame, post: DataFrame | None = None) -> DataFrame:
-    """(query_id, agent, id, timestamp, score) of all sessions that match each query, text and filters; score 0 without a text.
+FILTERS = ("agent_include", "agent_exclude", "dir_include", "dir_exclude", "date")
 
-    Queries without a text ask for all sessions that pass their filters; those
-    queries, a few fields each, go to every task.
+
+def _listed(parsed: DataFrame, slim: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, agent, id, timestamp, score 0) of the sessions that pass the filters of queries without a text; of the k latest for each, if asked.
+
+    Queries with the same filters are one. Filters meet sessions by equality of
+    agent (any, where none is asked for) and of a cell of the session's key.
+    """
+    asked = parsed.where("text = ''").select("query_id", *FILTERS).withColumn("filter", F.xxhash64(*FILTERS))
+    distinct = asked.groupBy("filter").agg(*[F.any_value(c).alias(c) for c in FILTERS])
+    some = F.when(F.size("agent_include") > 0, F.array_distinct("agent_include")).otherwise(F.array(F.lit("*")))
+    dealt = distinct.withColumn("who", F.explode(some)).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
+    rows = slim.withColumn("who", F.explode(F.array(F.col("agent"), F.lit("*")))).withColumn("cell", F.pmod(F.xxhash64("agent", "id"), F.lit(CELLS)).cast("int"))
+    met = rows.join(dealt, ["who", "cell"]).where(passes_filters()).select("filter", "agent", "id", "timestamp")
+    if k is not None:
+        w = Window.partitionBy("filter").orderBy(F.desc("timestamp"), "agent", "id")
+        met = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+    return met.join(asked.select("query_id", "filter"), "filter").select("query_id", "agent", "id", "timestamp", F.lit(0.0).alias("score"))
+
+
+def matches(parsed: DataFrame, sessions: DataFrame, index: SearchIndex | None = None, k: int | None = None) -> DataFrame:
+    """(query_id, agent, id, timestamp, score) of the sessions that match each query, text and filters; score 0 without a text.
+
+    All of them, or with k at least the k best of each query.
     """
-    slim = sessions.select("agent", "id", "directory", "timestamp")
+    index = build_index(sessions) if index is None else index
     typed = parsed.where("text <> ''")
-    by_text = search_scores(typed, sessions, post).join(slim, ["agent", "id"]).join(parsed.drop("query"), "query_id").where(passes_filters())
-    listed = slim.join(F.broadcast(parsed.where("text = ''").drop("query"))).where(passes_filters()).withColumn("score", F.lit(0.0))
+    by_text = search_scores(typed, sessions, index).join(index.slim, ["agent", "id"]).join(typed.select("query_id", *FILTERS), "query_id").where(passes_filters())
     columns = ["query_id", "agent", "id", "timestamp", "score"]
-    return by_text.select(columns).unionByName(listed.select(columns))
+    return by_text.select(columns).unionByName(_listed(parsed, index.slim, k).select(columns))
 
 
-def search_batch(queries: DataFrame, sessions: DataFrame, as_of: dt.datetime, k: int = 10, post: DataFrame | None = None) -> DataFrame:
+def search_batch(queries: DataFrame, sessions: DataFrame, as_of: dt.datetime, k: int = 10, index: SearchIndex | None = None) -> DataFrame:
     """(query_id, rank, agent, id, score): the k best of each query of a table."""
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), F.desc("timestamp"), "agent", "id")
-    found = matches(parse_queries(queries, as_of), sessions, post)
+    found = matches(parse_queries(queries, as_of), sessions, index, k)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "agent", "id", F.round("score", 6).alias("score"))
 
 

@@ -101,18 +101,31 @@ def coalesce_chunks(spark, sf):
     return messages.coalesce_chunks(_chunks(spark, sf)).select("session_id", "first", "kind", "text")
 
 
-@query("rewind_fold")
+@query("rewind_fold", """WITH RECURSIVE c AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn * 10 AS seq, left(text, 40) AS text,
+    CASE WHEN turn % 7 = 4 THEN 'rewind' WHEN role = 'user' THEN 'user' WHEN role = 'assistant' THEN 'agent' ELSE 'other' END AS kind FROM conversations),
+f AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(seq BIGINT, kind VARCHAR, text VARCHAR)[]) AS kept FROM c
+  UNION ALL
+  SELECT conv_id, n, CASE WHEN kind <> 'rewind' THEN list_append(kept, struct_pack(seq := seq, kind := kind, text := text)) WHEN len(users) > 1 THEN kept[1:users[2] - 1] ELSE kept END
+  FROM (SELECT c.*, kept, list_filter(range(1, len(kept) + 1), lambda i: kept[i].kind = 'user') AS users FROM f JOIN c ON c.conv_id = f.conv_id AND c.n = f.n + 1))
+SELECT conv_id AS session_id, unnest(kept, recursive := true) FROM (SELECT *, max(n) OVER (PARTITION BY conv_id) AS latest FROM f) WHERE n = latest""")
 def rewind_fold(spark, sf):
     c = _chunks(spark, sf).where("seq % 10 = 0")
-    kind = F.when(F.col("seq") % 70 == 60, "rewind").otherwise(F.col("kind"))
+    kind = F.when(F.col("seq") % 70 == 40, "rewind").otherwise(F.col("kind"))
     return messages.fold_rewinds(c.withColumn("kind", kind).withColumn("target", F.lit(1)))
 
 
-@query("history_fold")
+@query("history_fold", f"WITH RECURSIVE {sql.V_HISTORY} SELECT CAST(conv_id AS VARCHAR) AS session_id, place, role, text, turn FROM v_entries")
 def history_fold(spark, sf):
-    t = views.table(spark, sf, "conversations")
-    kind = F.when(F.col("role") == "system", "compaction").when(F.col("turn") % 9 == 8, "undo").when(F.col("turn") % 13 == 12, "clear").otherwise("message")
-    return messages.fold_history(t.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), kind.alias("kind"), "text", F.lit(1).alias("count"), (F.col("role") == "user").alias("anchor")))
+    e = views.history_events(spark, sf)
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    user = (F.col("kind") == "message") & (F.col("role") == "user")
+    ref = F.when(F.col("kind").isin("step_begin", "step_end", "part", "tool_call"), "s")
+    rows = e.select("session_id", "seq", "kind", ref.alias("ref"), F.when(F.col("kind").isin("tool_call", "tool_result"), "c").alias("call"), "role", F.array("text").alias("texts"), user.alias("turn"), user.alias("anchor"), no.alias("summary"), F.lit(1).cast("long").alias("count"))
+    last = e.where("conv_id % 4 = 0").select("session_id", "conv_id").distinct()
+    last = last.select("session_id", F.lit(1 << 40).alias("seq"), F.lit("last_prompt").alias("kind"), none.alias("ref"), none.alias("call"), none.alias("role"), F.array(F.concat(F.lit("last "), "session_id")).alias("texts"), no.alias("turn"), no.alias("anchor"), no.alias("summary"), F.lit(0).cast("long").alias("count"))
+    return messages.fold_history(rows.unionByName(last)).select("session_id", "place", "role", F.array_join("texts", "").alias("text"), "turn")
 
 
 @query("assemble_sessions", sql.with_sessions("SELECT id, agent, title, directory, timestamp, content, message_count, mtime, yolo FROM v_sessions"))
@@ -207,9 +220,9 @@ def uri_path(spark, sf):
     return p.select("page_id", paths.uri_to_path(uri).alias("path"), paths.uri_to_path(F.col("url")).alias("other"), paths.uri_to_path(F.col("url"), True).alias("kept"))
 
 
-@query("age_buckets", """SELECT event_type, CASE WHEN s < 60 THEN 'now' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'm' WHEN s < 86400 THEN CAST(s // 3600 AS VARCHAR) || 'h'
+@query("age_buckets", f"""SELECT event_type, CASE WHEN s < 60 THEN 'now' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'm' WHEN s < 86400 THEN CAST(s // 3600 AS VARCHAR) || 'h'
   WHEN s < 2592000 THEN CAST(s // 86400 AS VARCHAR) || 'd' WHEN s < 31536000 THEN CAST(s // 2592000 AS VARCHAR) || 'mo' ELSE CAST(s // 31536000 AS VARCHAR) || 'y' END AS age, count(*) AS n
-FROM (SELECT event_type, CAST(floor((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(CAST(ts AS TIMESTAMP))) / 1000000) AS BIGINT) AS s FROM events) GROUP BY ALL""")
+FROM (SELECT event_type, CAST(floor((epoch_us({sql.NOW}) - epoch_us(CAST(ts AS TIMESTAMP))) / 1000000) AS BIGINT) AS s FROM events) GROUP BY ALL""")
 def age_buckets(spark, sf):
     e = views.table(views.configure(spark), sf, "events")
     return e.groupBy("event_type", text.age_label(F.col("ts").cast("timestamp"), F.lit(views.AS_OF).cast("timestamp")).alias("age")).agg(F.count("*").alias("n"))
@@ -220,9 +233,17 @@ def tokens(spark, sf):
     return views.table(spark, sf, "documents").select(F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query("fingerprint")
+@query("fingerprint", sql.with_sessions("SELECT agent, id, CASE CAST(id AS BIGINT) % 5 WHEN 0 THEN 'title' WHEN 1 THEN 'content' WHEN 2 THEN 'count' WHEN 3 THEN 'mtime' ELSE 'none' END AS edit, CAST(id AS BIGINT) % 5 < 3 AS changed FROM v_sessions"))
 def fingerprint(spark, sf):
-    return refresh.fingerprint(views.sessions(spark, sf))
+    """Whether the fingerprint tells an edited session from the one before; the marker's time is no part of it."""
+    s, c = views.sessions(spark, sf), F.col("id").cast("long") % 5
+    edited = s.withColumns({
+        "title": F.when(c == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")), "content": F.when(c == 1, F.concat("content", F.lit(" "))).otherwise(F.col("content")),
+        "message_count": F.when(c == 2, F.col("message_count") + 1).otherwise(F.col("message_count")), "mtime": F.when(c == 3, F.col("mtime") + 9).otherwise(F.col("mtime")),
+    })
+    both = refresh.fingerprint(s).join(refresh.fingerprint(edited).withColumnRenamed("fingerprint", "after"), refresh.KEY)
+    edit = F.when(c == 0, "title").when(c == 1, "content").when(c == 2, "count").when(c == 3, "mtime").otherwise("none")
+    return both.select("agent", "id", edit.alias("edit"), (F.col("fingerprint") != F.col("after")).alias("changed"))
 
 
 # -- filters -------------------------------------------------------------------
@@ -238,11 +259,11 @@ def _filtered(name: str, where: str, make):
 
 _filtered("filter_agent", "agent IN ('claude', 'pi', 'codex') AND agent <> 'codex'", lambda: filters.agent_filter(["Claude", "pi", "codex"], ["CoDex"]))
 _filtered("filter_dir", "(contains(lower(directory), 'click') OR contains(lower(directory), 'view')) AND NOT contains(lower(directory), '/u3')", lambda: filters.dir_filter(["CLICK", "view"], ["/U3"]))
-_filtered("filter_date_rel", "timestamp >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY", lambda: filters.date_filter("<30d", views.AS_OF))
-_filtered("filter_date_day", "timestamp >= TIMESTAMP '2024-01-01' AND timestamp < TIMESTAMP '2024-01-02'", lambda: filters.date_filter("yesterday", views.dt.datetime(2024, 1, 2, 9)))
-_filtered("filter_date_neg", "NOT (timestamp >= TIMESTAMP '2024-01-31' - INTERVAL '722 hours')", lambda: filters.date_filter("!<722h", views.AS_OF))
-_filtered("filter_combined", "agent <> 'kimi' AND contains(lower(directory), 'error') AND NOT (timestamp < TIMESTAMP '2024-01-31' - INTERVAL 210 DAY)",
-          lambda: filters.all_of(filters.agent_filter((), ["kimi"]), filters.dir_filter(["error"]), filters.date_filter(">30w", views.AS_OF, True)))
+_filtered("filter_date_rel", f"timestamp >= {sql.NOW} - INTERVAL 6 DAY", lambda: filters.date_filter("<6d", views.AS_OF))
+_filtered("filter_date_day", "timestamp >= TIMESTAMP '2024-01-05' AND timestamp < TIMESTAMP '2024-01-06'", lambda: filters.date_filter("yesterday", views.dt.datetime(2024, 1, 6, 9)))
+_filtered("filter_date_neg", f"NOT (timestamp >= {sql.NOW} - INTERVAL '222 hours')", lambda: filters.date_filter("!<222h", views.AS_OF))
+_filtered("filter_combined", f"agent <> 'kimi' AND contains(lower(directory), 'i') AND NOT (timestamp < {sql.NOW} - INTERVAL 7 DAY)",
+          lambda: filters.all_of(filters.agent_filter((), ["kimi"]), filters.dir_filter(["I"]), filters.date_filter(">1w", views.AS_OF, True)))
 
 
 @query("query_validity", f"""WITH {sql.V_DIM}, f AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'agent' WHEN 1 THEN 'date' ELSE 'dir' END AS keyword,
@@ -261,12 +282,11 @@ def query_validity(spark, sf):
 _FILTERS = ("agent_include", "agent_exclude", "dir_include", "dir_exclude")
 
 
-@query("parse_queries", sql.with_sessions(f"""SELECT p.query_id, text, {", ".join(f"coalesce(array_to_string({c}, '|'), '') AS {c}" for c in _FILTERS)}, op, cutoff, until,
-  CASE WHEN cutoff IS NOT NULL THEN negated END AS negated, n.sessions FROM v_parsed p, (SELECT count(*) AS sessions FROM v_sessions) n""", sql.V_PARSED))
+@query("parse_queries", f"""WITH {sql.V_LOG} SELECT query_id, text, {", ".join(f"coalesce(array_to_string({c}, '|'), '') AS {c}" for c in _FILTERS)}, op, cutoff, until,
+  CASE WHEN cutoff IS NOT NULL THEN negated END AS negated FROM v_parsed""")
 def parse_queries(spark, sf):
-    parsed = search.parse_queries(views.queries(spark), views.AS_OF)
-    n = views.listed(spark, sf).agg(F.count("*").alias("sessions"))
-    return parsed.crossJoin(n).select("query_id", "text", *[F.array_join(c, "|").alias(c) for c in _FILTERS], "date.op", "date.cutoff", "date.until", "date.negated", "sessions")
+    parsed = search.parse_queries(views.query_log(views.configure(spark), sf), views.AS_OF)
+    return parsed.select("query_id", "text", *[F.array_join(c, "|").alias(c) for c in _FILTERS], "date.op", "date.cutoff", "date.until", "date.negated")
 
 
 @query("postings", sql.with_sessions("SELECT agent, id, field, term, tf, len FROM v_postings", sql.V_POSTINGS))
@@ -336,14 +356,18 @@ def search_batch(spark, sf):
     return search.search_batch(views.queries(spark), views.sessions(spark, sf), views.AS_OF, 10)
 
 
-@query("page_meta", sql.with_sessions("""SELECT "offset", "limit", total, returned, CASE WHEN total > 0 AND "offset" >= total THEN 'past_end' WHEN "offset" + returned < total THEN 'more' ELSE 'complete' END AS state,
+@query("page_meta", sql.with_sessions("""SELECT conv_id, turn, "offset", "limit", total, returned, CASE WHEN total > 0 AND "offset" >= total THEN 'past_end' WHEN "offset" + returned < total THEN 'more' ELSE 'complete' END AS state,
   CASE WHEN "offset" + returned < total THEN "offset" + returned END AS next_offset
-FROM (SELECT "offset", "limit", total, greatest(0, least("limit", total - "offset")) AS returned
-  FROM (SELECT o AS "offset", coalesce(l, greatest(total - o, 0)) AS "limit", total FROM (VALUES (0, 50), (50, 50), (1000000, 5), (1, NULL)) v(o, l), (SELECT count(*) AS total FROM v_sessions)))"""))
+FROM (SELECT *, greatest(0, least("limit", total - "offset")) AS returned FROM (
+  SELECT conv_id, turn, turn * 3 AS "offset", CASE WHEN turn % 3 = 2 THEN greatest(total - turn * 3, 0) ELSE conv_id % 7 END AS "limit", total
+  FROM conversations JOIN (SELECT agent, count(*) AS total FROM v_sessions GROUP BY agent) t ON t.agent = [""" + ", ".join(f"'{a}'" for a in AGENT_NAMES) + """][conv_id % 12 + 1]))"""))
 def page_meta(spark, sf):
-    total = views.listed(spark, sf).agg(F.count("*").alias("total"))
-    pages = spark.createDataFrame([(0, 50), (50, 50), (1000000, 5), (1, None)], "offset bigint, limit bigint").crossJoin(total)
-    return search.page_meta(pages).select("offset", "limit", "total", "returned", "state", "next_offset")
+    """Pages over the sessions of the turn's agent."""
+    totals = views.listed(spark, sf).groupBy("agent").agg(F.count("*").alias("total"))
+    t = views.table(spark, sf, "conversations").withColumn("agent", views.agent_of(F.col("conv_id")))
+    limit = F.when(F.col("turn") % 3 != 2, F.col("conv_id") % 7)
+    pages = t.join(totals, "agent").select("conv_id", "turn", (F.col("turn") * 3).cast("long").alias("offset"), limit.cast("long").alias("limit"), "total")
+    return search.page_meta(pages).select("conv_id", "turn", "offset", "limit", "total", "returned", "state", "next_offset")
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -362,11 +386,34 @@ def highlight(spark, sf):
     return views.sessions(spark, sf).select("agent", "id", text.highlight(F.col("title"), ["the", "in"]).alias("marked"))
 
 
-@query("result_json")
+def _argv(agent: str, binary: str, yolo: tuple, resume: tuple, ok: bool) -> str:
+    if agent == "opencode":
+        return f"['{binary}', directory, '--session', id]"
+    if agent == "copilot-vscode":
+        return f"CASE WHEN directory = '' THEN ['{binary}'] ELSE ['{binary}', directory] END"
+    flags, rest = (", ".join(f"'{x}'" for x in xs) for xs in (yolo, resume))
+    return f"['{binary}'] || CASE WHEN yolo AND {ok} THEN [{flags}]::VARCHAR[] ELSE []::VARCHAR[] END || [{rest}]::VARCHAR[] || [id]"
+
+
+_ARGV = " ".join(f"WHEN '{a}' THEN {_argv(a, b, yolo, resume, ok)}" for a, _, b, yolo, resume, ok in AGENTS)
+
+
+@query("result_json", sql.with_sessions(f"""SELECT CAST(n - 1 AS INTEGER) AS place, 1 AS schema_version, id, agent, title, directory, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, message_count,
+  array_to_string(CASE agent {_ARGV} END, ' ') AS resume_command, CASE WHEN 13 < total THEN 'more' ELSE 'complete' END AS state, total, least(10, total - 3) AS returned, CASE WHEN 13 < total THEN 13 END AS next_offset, 0 AS hidden
+FROM (SELECT *, row_number() OVER (ORDER BY timestamp DESC, agent, id) - 3 AS n, count(*) OVER () AS total FROM v_sessions) WHERE n BETWEEN 1 AND 10"""))
 def result_json(spark, sf):
+    """The envelope of a page, read back from its JSON; `hidden` counts fields that an envelope never shows."""
     s = views.sessions(spark, sf)
-    page = refresh.with_resume_command(search.search(s, "", views.AS_OF, limit=10))
-    return search.result_json(page, s.count(), 0, 10)
+    page = refresh.with_resume_command(search.search(s, "", views.AS_OF, limit=10, offset=3))
+    made = search.result_json(page, s.count(), 3, 10)
+    session = "struct<id: string, agent: string, title: string, directory: string, timestamp: string, message_count: bigint, resume_command: array<string>, content: string, mtime: string, yolo: string>"
+    read = made.select(F.from_json("json", f"schema_version int, sessions array<{session}>, meta struct<state: string, total: bigint, offset: bigint, limit: bigint, returned: bigint, next_offset: bigint>").alias("j"))
+    rows = read.select("j.schema_version", "j.meta", F.posexplode("j.sessions").alias("place", "s"))
+    hidden = sum((F.col(f"s.{c}").isNotNull().cast("int") for c in ("content", "mtime", "yolo")), F.lit(0))
+    return rows.select(
+        "place", "schema_version", "s.id", "s.agent", "s.title", "s.directory", F.substring("s.timestamp", 1, 19).alias("timestamp"), "s.message_count", F.array_join("s.resume_command", " ").alias("resume_command"),
+        "meta.state", "meta.total", "meta.returned", "meta.next_offset", hidden.alias("hidden"),
+    )
 
 
 # -- joins ---------------------------------------------------------------------
@@ -456,18 +503,6 @@ def semi_changed(spark, sf):
     return refresh.semi_changed(views.messages(spark, sf), changed, ["agent", "session_id"]).select("agent", "session_id", "seq")
 
 
-def _argv(agent: str, binary: str, yolo: tuple, resume: tuple, ok: bool) -> str:
-    if agent == "opencode":
-        return f"['{binary}', directory, '--session', id]"
-    if agent == "copilot-vscode":
-        return f"CASE WHEN directory = '' THEN ['{binary}'] ELSE ['{binary}', directory] END"
-    flags, rest = (", ".join(f"'{x}'" for x in xs) for xs in (yolo, resume))
-    return f"['{binary}'] || CASE WHEN yolo AND {ok} THEN [{flags}]::VARCHAR[] ELSE []::VARCHAR[] END || [{rest}]::VARCHAR[] || [id]"
-
-
-_ARGV = " ".join(f"WHEN '{a}' THEN {_argv(a, b, yolo, resume, ok)}" for a, _, b, yolo, resume, ok in AGENTS)
-
-
 @query("resume_command", sql.with_sessions(f"SELECT agent, id, array_to_string(CASE agent {_ARGV} END, ' ') AS resume_command FROM v_sessions"))
 def resume_command(spark, sf):
     return refresh.with_resume_command(views.sessions(spark, sf)).select("agent", "id", F.array_join("resume_command", " ").alias("resume_command"))

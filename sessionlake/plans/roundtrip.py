@@ -185,15 +185,38 @@ def ingest_grok(spark, sf):
     return agents.sessions_of("grok", agents.ingest_grok(spark, root)).select(KEPT)
 
 
-@query("ingest_kimi")
-def ingest_kimi(spark, sf):
-    t, root = _conv(spark, sf), scratch(spark, "kimi")
+_KIMI = f"""WITH RECURSIVE {sql.V_HISTORY}, g AS (
+  SELECT CAST(conv_id AS VARCHAR) AS id, conv_id, any_value(allowed) AS allowed, string_agg(CASE role WHEN 'user' THEN '» ' ELSE '  ' END || text, chr(10) || chr(10) ORDER BY place) AS content,
+    arg_min(text, place) FILTER (turn) AS first_user, count(*) FILTER (turn) AS message_count FROM v_entries GROUP BY conv_id)
+SELECT id, 'kimi' AS agent, CASE WHEN conv_id % 4 = 0 AND allowed THEN 'last ' || id ELSE {sql.truncated("first_user", 100)} END AS title, '/k/' || id AS directory, content, message_count, false AS yolo
+FROM g WHERE message_count > 0"""
+
+
+def kimi_files(spark, sf, root: str) -> None:
+    e = views.history_events(views.configure(spark), sf).withColumnRenamed("session_id", "sid")
+    kind = F.col("kind")
     said = _json(F.lit("context.append_message").alias("type"), _obj(role=F.col("role"), content=F.array(_obj(type="text", text=text()))).alias("message"))
-    undo = _json(F.lit("context.undo").alias("type"), F.lit(1).alias("count"))
-    line = F.when(F.col("turn") % 9 == 8, undo).otherwise(said)
-    land(t.select(F.col("sid").alias("dir"), F.lit("agents").alias("dir2"), F.lit("main").alias("dir3"), F.lit("wire.jsonl").alias("file"), F.col("turn").alias("seq"), line.alias("line")), root, "dir", "dir2", "dir3")
-    state = _json(F.col("sid").alias("id"), F.lit("").alias("title"), F.lit(1704067200000).alias("updatedAt"), F.concat(F.lit("/k/"), "sid").alias("cwd"))
-    land(_heads(t).select(F.col("sid").alias("dir"), F.lit("state.json").alias("file"), F.lit(0).alias("seq"), state.alias("line")), root, "dir")
+
+    def event(name: str, **more: Column | str) -> Column:
+        return _json(F.lit("context.append_loop_event").alias("type"), _obj(type=name, **more).alias("event"))
+
+    line = (
+        F.when(kind == "message", said).when(kind == "step_begin", event("step.begin", uuid="s")).when(kind == "step_end", event("step.end", uuid="s"))
+        .when(kind == "part", event("content.part", stepUuid="s", part=_obj(type="text", text=text()))).when(kind == "tool_call", event("tool.call", stepUuid="s", toolCallId="c"))
+        .when(kind == "tool_result", event("tool.result", toolCallId="c")).when(kind == "undo", _json(F.lit("context.undo").alias("type"), F.lit(1).alias("count")))
+        .when(kind == "clear", _json(F.lit("context.clear").alias("type"))).when(kind == "compaction", _json(F.lit("context.apply_compaction").alias("type"), text().alias("summary")))
+        .otherwise(_json(F.lit("context.append_message").alias("type"), _obj(role="user", content=text(), origin=_obj(kind="injection")).alias("message")))
+    )
+    land(e.select(F.col("sid").alias("dir"), F.lit("agents").alias("dir2"), F.lit("main").alias("dir3"), F.lit("wire.jsonl").alias("file"), "seq", line.alias("line")), root, "dir", "dir2", "dir3")
+    prompt = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("last "), "sid"))
+    state = _json(F.col("sid").alias("id"), F.lit("").alias("title"), prompt.alias("lastPrompt"), F.lit(1704067200000).alias("updatedAt"), F.concat(F.lit("/k/"), "sid").alias("cwd"))
+    land(_heads(e).select(F.col("sid").alias("dir"), F.lit("state.json").alias("file"), F.lit(0).alias("seq"), state.alias("line")), root, "dir")
+
+
+@query("ingest_kimi", _KIMI)
+def ingest_kimi(spark, sf):
+    root = scratch(spark, "kimi")
+    kimi_files(spark, sf, root)
     return agents.sessions_of("kimi", agents.ingest_kimi(spark, root)).select(KEPT)
 
 

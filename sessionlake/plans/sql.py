@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 from sessionlake.model import AGENT_NAMES, AGENTS
-from sessionlake.plans.views import QUERIES
+from sessionlake.plans.views import AS_OF, QUERIES, SPREAD
 
+NOW = f"TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}'"
 _AGENTS = ", ".join(f"'{a}'" for a in AGENT_NAMES)
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -37,7 +38,7 @@ v_sessions AS (
   SELECT session_id AS id, agent, {truncated("first_user", 100)} AS title,
          CASE WHEN conv_id % 17 = 0 THEN '' ELSE '/work/' || event_type || '/u' || CAST(user_id % 10 AS VARCHAR) END AS directory,
          CAST(ts AS TIMESTAMP) AS timestamp, content, message_count, epoch_us(CAST(ts AS TIMESTAMP)) / 1000000.0 AS mtime, value > 20 AS yolo
-  FROM v_made JOIN events ON event_id = conv_id)"""
+  FROM v_made JOIN events ON event_id = conv_id * {SPREAD})"""
 
 V_KNOWN = """v_known AS (
   SELECT agent, id, mtime + CASE CAST(id AS BIGINT) % 10 WHEN 1 THEN 5.0 WHEN 2 THEN 0.0005 ELSE 0.0 END AS mtime
@@ -63,9 +64,44 @@ v_postings AS (
   FROM (SELECT agent, id, field, term, count(*) AS tf FROM v_tokens GROUP BY ALL)),
 v_totals AS (SELECT field, (SELECT count(*) FROM v_sessions) AS docs, sum(tf) / (SELECT count(*) FROM v_sessions) AS avg_len FROM v_postings GROUP BY field)"""
 
+_ENTRY = "STRUCT(role VARCHAR, text VARCHAR, turn BOOLEAN, anchor BOOLEAN, summary BOOLEAN)[]"
+
+#: Events made from the conversations, and their fold row by row: entries, held back ones, place of the open step (0: none).
+V_HISTORY = f"""v_events AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, text,
+    CASE (turn + conv_id) % 9 WHEN 1 THEN 'step_begin' WHEN 2 THEN 'part' WHEN 3 THEN 'tool_call' WHEN 5 THEN CASE WHEN conv_id % 2 = 0 THEN 'tool_result' ELSE 'step_end' END
+      WHEN 7 THEN CASE conv_id % 3 WHEN 0 THEN 'undo' WHEN 1 THEN 'clear' ELSE 'compaction' END WHEN 8 THEN 'part' ELSE CASE WHEN role = 'system' THEN 'none' ELSE 'message' END END AS kind
+  FROM conversations),
+v_fold AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, CAST([] AS {_ENTRY}) AS kept, CAST([] AS {_ENTRY}) AS held, CAST(0 AS BIGINT) AS open, false AS pending, CAST(0 AS BIGINT) AS floor, true AS allowed FROM conversations
+  UNION ALL
+  SELECT conv_id, n,
+    CASE WHEN kind = 'message' AND NOT pending THEN list_append(kept, said) WHEN kind = 'step_begin' THEN list_append(kept || held, step)
+      WHEN kind = 'part' AND open > 0 THEN kept[1:open - 1] || [struct_pack(role := 'assistant', text := kept[open].text || text, turn := false, anchor := false, summary := false)] || kept[open + 1:]
+      WHEN kind = 'tool_result' AND pending OR kind = 'step_end' AND NOT pending THEN kept || held
+      WHEN kind = 'compaction' THEN list_append(kept, brief) WHEN kind = 'undo' THEN kept[1:CASE WHEN len(anchors) > 0 THEN anchors[-1] - 1 ELSE base END] ELSE kept END,
+    CASE WHEN kind = 'message' AND pending THEN list_append(held, said) WHEN kind IN ('step_begin', 'compaction', 'undo', 'clear') OR kind = 'tool_result' AND pending OR kind = 'step_end' AND NOT pending THEN CAST([] AS {_ENTRY}) ELSE held END,
+    CASE WHEN kind = 'step_begin' THEN len(kept) + len(held) + 1 WHEN kind IN ('step_end', 'compaction', 'undo', 'clear') THEN 0 ELSE open END,
+    CASE WHEN kind = 'tool_call' THEN pending OR open > 0 WHEN kind IN ('step_begin', 'tool_result', 'compaction', 'undo', 'clear') THEN false ELSE pending END,
+    CASE WHEN kind = 'clear' THEN len(kept) ELSE floor END,
+    CASE WHEN kind = 'message' AND role = 'user' THEN true WHEN kind IN ('undo', 'clear') THEN false ELSE allowed END
+  FROM (SELECT *, list_filter(range(base + 1, len(kept) + 1), lambda i: kept[i].anchor) AS anchors FROM (
+    SELECT f.conv_id, e.n, e.kind, e.role, e.text, kept, held, open, pending, floor, allowed,
+      struct_pack(role := e.role, text := e.text, turn := e.role = 'user', anchor := e.role = 'user', summary := false) AS said,
+      struct_pack(role := 'assistant', text := '', turn := false, anchor := false, summary := false) AS step,
+      struct_pack(role := 'user', text := e.text, turn := false, anchor := false, summary := true) AS brief,
+      greatest(floor, coalesce(list_max(list_filter(range(1, len(kept) + 1), lambda i: kept[i].summary)), 0)) AS base
+    FROM v_fold f JOIN v_events e ON e.conv_id = f.conv_id AND e.n = f.n + 1))),
+v_left AS (
+  SELECT conv_id, allowed, CASE WHEN conv_id % 4 = 0 AND allowed AND len(list_filter(kept, lambda e: e.turn)) = 0
+    THEN list_append(kept, struct_pack(role := 'user', text := 'last ' || CAST(conv_id AS VARCHAR), turn := true, anchor := true, summary := false)) ELSE kept END AS kept
+  FROM (SELECT *, max(n) OVER (PARTITION BY conv_id) AS latest FROM v_fold) WHERE n = latest),
+v_entries AS (
+  SELECT conv_id, allowed, i - 1 AS place, kept[i].role AS role, kept[i].text AS text, kept[i].turn AS turn
+  FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS i FROM v_left) WHERE kept[i].text <> '')"""
+
 #: Parsed queries: filters as lists, date as cutoff, end and direction.
-V_PARSED = rf"""{V_QUERIES},
-v_hits AS (
+V_PARSED_OF = r"""v_hits AS (
   SELECT query_id, k, a[k] AS no, b[k] AS key, CASE WHEN c[k] <> '' THEN c[k] ELSE d[k] END AS value
   FROM (SELECT query_id, unnest(generate_series(1, len(a))) AS k, a, b, c, d FROM (
     SELECT query_id, regexp_extract_all(query, re, 1) AS a, regexp_extract_all(query, re, 2) AS b, regexp_extract_all(query, re, 3) AS c, regexp_extract_all(query, re, 4) AS d
@@ -79,7 +115,7 @@ v_values AS (
 v_dates AS (
   SELECT query_id, no OR starts_with(value, '!') AS negated, lower(trim(regexp_replace(value, '^!', ''))) AS word FROM v_last WHERE key = 'date'),
 v_dated AS (
-  SELECT query_id, negated, word, TIMESTAMP '2024-01-31 00:00:00' AS now,
+  SELECT query_id, negated, word, @NOW AS now,
          TRY_CAST(regexp_extract(word, '^[<>]?(\d+)', 1) AS DOUBLE) * CASE regexp_extract(word, '^[<>]?\d+(m|h|d|w|mo|y)$', 1)
            WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 WHEN 'w' THEN 604800 WHEN 'mo' THEN 2592000 WHEN 'y' THEN 31536000 END AS secs FROM v_dates),
 v_cut AS (
@@ -96,7 +132,15 @@ v_parsed AS (
     coalesce((SELECT list(v ORDER BY n) FROM v_values x WHERE x.query_id = q.query_id AND key = 'dir' AND NOT ex), []) AS dir_include,
     coalesce((SELECT list(v ORDER BY n) FROM v_values x WHERE x.query_id = q.query_id AND key = 'dir' AND ex), []) AS dir_exclude,
     CASE WHEN cutoff IS NOT NULL THEN op END AS op, cutoff, until, negated
-  FROM v_queries q LEFT JOIN v_cut c ON c.query_id = q.query_id)"""
+  FROM v_queries q LEFT JOIN v_cut c ON c.query_id = q.query_id)""".replace("@NOW", NOW)
+V_PARSED = f"{V_QUERIES},\n{V_PARSED_OF}"
+
+#: A search string from each turn, parsed.
+V_LOG = f"""v_queries AS (
+  SELECT conv_id * 100 + turn AS query_id, CASE (conv_id + turn) % 6 WHEN 0 THEN 'agent:' || role || ',!Pi ' || substr(text, 1, 20) WHEN 1 THEN '-dir:"' || substr(text, 1, 8) || '" ' || substr(text, 10, 12)
+    WHEN 2 THEN 'date:<' || CAST(turn AS VARCHAR) || 'd ' || substr(text, 1, 10) WHEN 3 THEN 'xagent:claude,' || role || ' date:soon'
+    WHEN 4 THEN substr(text, 1, 30) || ' date:yesterday agent:' || role ELSE 'dir:a dir:' || role || ' -date:>' || CAST(conv_id AS VARCHAR) || 'h' END AS query FROM conversations),
+{V_PARSED_OF}"""
 
 PASSES = """(len(agent_include) = 0 OR list_contains(agent_include, s.agent)) AND NOT list_contains(agent_exclude, s.agent)
   AND (len(dir_include) = 0 OR len(list_filter(dir_include, lambda x: contains(lower(s.directory), lower(x)))) > 0)

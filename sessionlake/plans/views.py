@@ -12,17 +12,19 @@ from sessionlake.model import AGENT_NAMES, configure
 from sessionlake.operators.messages import assemble_sessions
 from sessionlake.operators.refresh import KEY
 
-AS_OF = dt.datetime(2024, 1, 31)
+#: Sessions take the event of their number times this, so that their times spread over weeks.
+SPREAD = 49
+AS_OF = dt.datetime(2024, 1, 16)
 QUERIES = (
     (1, "thing"),
     (2, "agent:claude,codex the of"),
     (3, "-dir:click retoin"),
     (4, 'agent:!kimi "of the'),
-    (5, "date:<2d ion"),
+    (5, "date:<5d ion"),
     (6, "agent:Claude,!CoDex"),
     (7, 'dir:"/work/view" date:>1w'),
     (8, "date:yesterday"),
-    (9, "-date:<20d gekeit"),
+    (9, "-date:<9d gekeit"),
     (10, "purchase"),
     (11, "xagent:claude,pi date:soon thst erst"),
     (12, "date:999999999y dir:signup,error"),
@@ -51,7 +53,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """v_sessions: assembled conversations with the time and folder of the event of the same number."""
     made = assemble_sessions(messages(spark, sf_dir)).withColumn("conv_id", F.col("session_id").cast("long"))
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("conv_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id", "value")
+    e = table(spark, sf_dir, "events").where(F.col("event_id") % SPREAD == 0).select((F.col("event_id") / SPREAD).cast("long").alias("conv_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id", "value")
     both = made.join(e, "conv_id")
     directory = F.when(F.col("conv_id") % 17 == 0, "").otherwise(F.concat(F.lit("/work/"), "event_type", F.lit("/u"), (F.col("user_id") % 10).cast("string")))
     return both.select(
@@ -65,7 +67,7 @@ def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     t = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
     made = t.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("message_count")).where("message_count > 0")
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("conv_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id")
+    e = table(spark, sf_dir, "events").where(F.col("event_id") % SPREAD == 0).select((F.col("event_id") / SPREAD).cast("long").alias("conv_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id")
     directory = F.when(F.col("conv_id") % 17 == 0, "").otherwise(F.concat(F.lit("/work/"), "event_type", F.lit("/u"), (F.col("user_id") % 10).cast("string")))
     return made.join(e, "conv_id").select(F.col("conv_id").cast("string").alias("id"), agent_of(F.col("conv_id")).alias("agent"), directory.alias("directory"), F.col("ts").alias("timestamp"), "message_count", (F.unix_micros("ts") / 1_000_000).alias("mtime"))
 
@@ -87,6 +89,25 @@ def queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(QUERIES), "query_id int, query string")
 
 
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_log: a search string from each turn."""
+    t = table(spark, sf_dir, "conversations")
+    kind, conv = (F.col("conv_id") + F.col("turn")) % 6, F.col("conv_id").cast("string")
+
+    def text(start: int, n: int) -> Column:
+        return F.substring("text", start, n)
+
+    made = (
+        F.when(kind == 0, F.concat(F.lit("agent:"), "role", F.lit(",!Pi "), text(1, 20)))
+        .when(kind == 1, F.concat(F.lit('-dir:"'), text(1, 8), F.lit('" '), text(10, 12)))
+        .when(kind == 2, F.concat(F.lit("date:<"), F.col("turn").cast("string"), F.lit("d "), text(1, 10)))
+        .when(kind == 3, F.concat(F.lit("xagent:claude,"), "role", F.lit(" date:soon")))
+        .when(kind == 4, F.concat(text(1, 30), F.lit(" date:yesterday agent:"), "role"))
+        .otherwise(F.concat(F.lit("dir:a dir:"), "role", F.lit(" -date:>"), conv, F.lit("h")))
+    )
+    return t.select((F.col("conv_id") * 100 + F.col("turn")).cast("long").alias("query_id"), made.alias("query"))
+
+
 def health_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """v_health: each conversation as a file's lines, the last torn where conv_id % 5 = 0, the first where it is 1."""
     t = table(spark, sf_dir, "conversations")
@@ -96,6 +117,17 @@ def health_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(ends, "conv_id").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line_no"), F.when(torn, "{").otherwise(raw).alias("raw"))
 
 
+def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_events: each turn as an event of a session's history; `none` where it is no event."""
+    t = table(spark, sf_dir, "conversations")
+    at, odd = (F.col("turn") + F.col("conv_id")) % 9, F.col("conv_id") % 3
+    message = F.when(F.col("role") == "system", "none").otherwise("message")
+    after = F.when(F.col("conv_id") % 2 == 0, "tool_result").otherwise("step_end")
+    rare = F.when(odd == 0, "undo").when(odd == 1, "clear").otherwise("compaction")
+    kind = F.when(at == 1, "step_begin").when(at.isin(2, 8), "part").when(at == 3, "tool_call").when(at == 5, after).when(at == 7, rare).otherwise(message)
+    return t.select(F.col("conv_id").cast("string").alias("session_id"), "conv_id", F.col("turn").cast("long").alias("seq"), kind.alias("kind"), "role", "text")
+
+
 def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """v_parts as three landed tables (sessions, messages, parts); times are made from the keys."""
     t = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "conv_id", "turn", "role", "text", F.concat_ws("-", "conv_id", "turn").alias("message_id"))

@@ -20,7 +20,7 @@ from sessionlake.functions.paths import absolute_dir, path_id, uri_to_path
 from sessionlake.functions.text import blank_to_null, truncate_title
 from sessionlake.functions.times import any_ts, epoch_ts, parse_iso
 from sessionlake.model import SESSION_COLUMNS, configure
-from sessionlake.operators.messages import coalesce_chunks, fold_history, fold_rewinds, project_commands, rendered, shell_input, unwrap_request
+from sessionlake.operators.messages import HISTORY_EVENTS, coalesce_chunks, fold_history, fold_rewinds, project_commands, rendered, shell_input, unwrap_request
 from sessionlake.operators.refresh import activity_marker, dedupe_sessions, latest_lookup
 from sessionlake.sources.scan import RULES, prefer_file, scan_files, scan_json_docs, scan_jsonl
 
@@ -260,32 +260,108 @@ def ingest_grok(spark: SparkSession, root: str | DataFrame, id_rule: str | None
     return _messages("grok", rows), _attrs("grok", facts, title, F.coalesce(F.nullif(get(F.col("rec"), "$.info.cwd"), F.lit("")), "place"), at, mtime=F.greatest("m1", "m2"))
 
 
-def ingest_kimi(spark: SparkSession, root: str | DataFrame, id_rule: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Event logs: messages, steps, tools, undo, clear and compaction, folded per session."""
-    r = scan_jsonl(configure(spark), root, "wire.jsonl").withColumn("session_id", path_id(F.col("path"), "great_grandparent" if id_rule is None else id_rule))
-    kind, rec = get(F.col("rec"), "$.type"), F.col("rec")
-    event = get(rec, "$.event.type")
-    role, origin = get(rec, "$.message.role"), get(rec, "$.message.origin.kind")
-    body = F.array_join(content_texts(F.try_variant_get("rec", "$.message.content", "variant")), "\n")
-    hidden = F.coalesce(origin.isin("injection", "shell_output", "hook", "system"), F.lit(False)) | ~F.coalesce(role.isin("user", "assistant"), F.lit(False))
-    typed = project_commands(F.coalesce(shell_input(body), body), get(rec, "$.message.origin.name"), get(rec, "$.message.origin.args"), get(rec, "$.message.origin.plugin"))
+def _kimi_events(r: DataFrame) -> DataFrame:
+    """Lines of event logs as rows of fold_history."""
+    rec = F.col("rec")
+
+    def text(path: str) -> Column:
+        return F.coalesce(get(rec, path), F.lit(""))
+
+    def origin(field: str) -> Column:
+        return text(f"$.message.origin.{field}")
+
+    kind, event = text("$.type"), F.when(text("$.type") == "context.append_loop_event", text("$.event.type"))
+    of, role = origin("kind"), text("$.message.role")
+    shell = of == "shell_command"
+    searchable = (of != "injection") & ~(shell & (origin("phase") == "output")) & role.isin("user", "assistant")
+    content = content_texts(F.try_variant_get("rec", "$.message.content", "variant"))
+    shown = F.filter(F.transform(content, lambda t: F.coalesce(shell_input(t), t)), lambda t: t != "")
+    typed = project_commands(of, origin("trigger"), origin("skillName"), origin("skillArgs"), origin("pluginId"), origin("commandName"), origin("commandArgs"))
+    said = F.when(typed.isNotNull(), F.array(typed)).when(shell & (origin("phase") == "input"), shown).otherwise(content)
+    anchor = (role == "user") & (of.isin("", "user") | (of.isin("skill_activation", "plugin_command") & (origin("trigger") == "user-slash")))
+    turn = (anchor | ((role == "user") & shell & (origin("phase") == "input"))) & (F.size(said) > 0)
+    part = F.when(get(rec, "$.event.part.type") == "text", F.nullif(get(rec, "$.event.part.text"), F.lit("")))
+    summary = F.coalesce(_plain(rec, "$.summary"), _plain(rec, "$.contextSummary"), F.array_join(content_texts(F.try_variant_get("rec", "$.summary.content", "variant")), ""))
     what = (
-        F.when((kind == "context.append_message") & ~hidden, "message").when(kind == "context.apply_compaction", "compaction").when(kind == "context.undo", "undo").when(kind == "context.clear", "clear")
-        .when(event == "step.begin", "step_begin").when(event == "step.end", "step_end").when(event == "tool.call", "tool_call").when(event == "tool.result", "tool_result").when(event == "content.part", "message")
+        F.when((kind == "context.append_message") & searchable, "message").when(kind == "context.apply_compaction", "compaction").when(kind == "context.undo", "undo").when(kind == "context.clear", "clear")
+        .when(event == "step.begin", "step_begin").when(event == "step.end", "step_end").when(event == "tool.call", "tool_call").when(event == "tool.result", "tool_result").when((event == "content.part") & part.isNotNull(), "part")
     )
-    is_user = F.coalesce(role == "user", F.lit(False))
-    text = F.when(kind == "context.append_message", F.concat(F.when(is_user, "u").otherwise("a"), F.when(is_user, typed).otherwise(body))).when(event == "content.part", F.concat(F.lit("a"), F.coalesce(get(rec, "$.event.part.text"), get(rec, "$.event.text"), F.lit("")))).otherwise(F.concat(F.lit("a"), F.coalesce(get(rec, "$.summary"), F.lit(""))))
-    folded = fold_history(r.where(what.isNotNull()).select("session_id", F.col("line_no").cast("long").alias("seq"), what.alias("kind"), text.alias("text"), F.coalesce(get(rec, "$.count", "int"), F.lit(1)).alias("count"), is_user.alias("anchor")))
-    user = F.startswith("text", F.lit("u"))
-    own = folded.withColumn("line_no", F.col("place")).withColumn("body", F.expr("substring(text, 2)")).where("body <> ''")
-    rows = _texts(own, ["session_id"], F.array("body"), F.when(user, "user").otherwise("assistant"), user, user)
-    docs = scan_json_docs(spark, root, "state.json").where("rec is not null").select(path_id(F.col("path"), "parent").alias("session_id"), "rec", F.col("mtime").alias("m1"))
-    facts = docs.join(r.groupBy("session_id").agg(F.max("mtime").alias("m2")), "session_id", "left")
-    custom = F.try_variant_get("rec", "$.isCustomTitle", "boolean").isNotNull()
-    title = F.coalesce(blank_to_null(F.when(custom, get(rec, "$.title")).otherwise(F.coalesce(blank_to_null(get(rec, "$.customTitle")), get(rec, "$.title")))), blank_to_null(get(rec, "$.lastPrompt")))
-    place = F.coalesce(*[F.nullif(get(rec, f"$.{k}"), F.lit("")) for k in ("cwd", "workDir", "custom.cwd")])
-    at = F.coalesce(any_ts(get(rec, "$.updatedAt")), any_ts(get(rec, "$.createdAt")))
-    return _messages("kimi", rows), _attrs("kimi", facts, title, place, at, mtime=F.greatest("m1", "m2"))
+    texts = F.when(kind == "context.append_message", said).when(event == "content.part", F.array(part)).when(kind == "context.apply_compaction", F.array(summary))
+    message = kind == "context.append_message"
+    return r.select(
+        "session_id", F.col("line_no").cast("long").alias("seq"), what.alias("kind"), F.when(event.isin("step.begin", "step.end"), text("$.event.uuid")).otherwise(text("$.event.stepUuid")).alias("ref"), text("$.event.toolCallId").alias("call"),
+        role.alias("role"), texts.alias("texts"), (message & turn).alias("turn"), (message & anchor).alias("anchor"), (message & (of == "compaction_summary")).alias("summary"), F.coalesce(get(rec, "$.count", "bigint"), F.lit(0)).alias("count"),
+    ).where("kind is not null")
+
+
+def _plain(v: Column, path: str) -> Column:
+    """The value at `path` if it is a string."""
+    inner = F.try_variant_get(v, path, "variant")
+    return F.when(is_kind(inner, "STRING"), F.try_variant_get(v, path, "string"))
+
+
+def _resolved(path: Column) -> Column:
+    """A path without . and .. parts."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, p: F.when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.array_append(out, p)))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def kimi_work_dirs(spark: SparkSession, root: str | DataFrame, origin: str) -> DataFrame:
+    """(session_id, at, work_dir): last valid entries of the session index under `root`.
+
+    `origin` is the sessions folder on the machine that wrote the index, `at` a session's
+    folder below it. An entry is valid if its folder lies there and has the session's name.
+    """
+    entries = scan_jsonl(configure(spark), root, "session_index.jsonl")
+    rec = F.col("rec")
+    base, place = _resolved(F.lit(origin)), _resolved(get(rec, "$.sessionDir"))
+    deleted = F.coalesce(get(rec, "$.deleted", "boolean"), F.lit(False))
+    inside = F.startswith(get(rec, "$.sessionDir"), F.lit("/")) & F.startswith(place, F.concat(base, F.lit("/"))) & (F.element_at(F.split(place, "/"), -1) == get(rec, "$.sessionId"))
+    valid = (get(rec, "$.sessionId") != "") & (deleted | (inside & get(rec, "$.workDir").isNotNull()))
+    log = entries.select(get(rec, "$.sessionId").alias("id"), "line_no", F.coalesce(valid, F.lit(False)).alias("valid"), deleted.alias("deleted"), F.substring(place, F.char_length(base) + 2, F.lit(1 << 30)).alias("at"), get(rec, "$.workDir").alias("work_dir"))
+    return latest_lookup(log).select(F.col("id").alias("session_id"), "at", "work_dir")
+
+
+def ingest_kimi(spark: SparkSession, root: str | DataFrame, id_rule: str | None = None, origin: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Event logs: messages, steps, tools, undo, clear and compaction, folded per session.
+
+    `root` holds the sessions folder, and session_index.jsonl beside it if there is one; `origin`: see
+    kimi_work_dirs, without which the index is not used. Of two states of a session the one in its own folder
+    counts, not the one in session-meta.
+    """
+    spark = configure(spark)
+    r = scan_jsonl(spark, root, "wire.jsonl").withColumn("session_id", path_id(F.col("path"), "great_grandparent" if id_rule is None else id_rule))
+    docs = scan_json_docs(spark, root, "state.json").where("rec is not null").withColumn("dir", F.regexp_replace("path", r"(/session-meta)?/state\.json$", ""))
+    docs = docs.withColumn("legacy", F.col("path").rlike(r"/session-meta/state\.json$")).withColumn("session_id", F.element_at(F.split("dir", "/"), -1))
+    own = F.min_by(F.struct("dir", "mtime", "raw"), F.struct("legacy", "path"))
+    docs = docs.groupBy("session_id").agg(own.alias("s")).select("session_id", F.col("s.dir").alias("dir"), F.col("s.mtime").alias("m1"), F.try_parse_json("s.raw").alias("rec"))
+    rec = F.col("rec")
+    events = _kimi_events(r)
+    prompt = F.coalesce(get(rec, "$.lastPrompt"), F.lit(""))
+    nothing = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in HISTORY_EVENTS.split(", ")}
+    last = docs.where(prompt.rlike(r"\S")).select(*[v.alias(c) for c, v in (nothing | {"session_id": F.col("session_id"), "seq": F.lit((1 << 63) - 1), "kind": F.lit("last_prompt"), "texts": F.array(prompt)}).items()])
+    folded = fold_history(events.unionByName(last)).withColumn("line_no", F.col("place"))
+    user = F.col("role") == "user"
+    rows = _texts(folded, ["session_id"], F.col("texts"), F.col("role"), F.col("turn"), user & F.col("turn"))
+    # whether the state's last prompt may still stand for the session, by the last event that decides it
+    says = F.when((F.col("kind") == "message") & F.col("turn"), True).when((F.col("kind") == "clear") | ((F.col("kind") == "undo") & (F.col("count") > 0)), False)
+    allowed = events.groupBy("session_id").agg(F.max_by(says, F.when(says.isNotNull(), F.col("seq"))).alias("allowed"))
+    facts = docs.join(r.groupBy("session_id").agg(F.max("mtime").alias("m2")), "session_id", "left").join(allowed, "session_id", "left")
+    if origin is not None:
+        index = scan_files(spark, root, "session_index.jsonl").agg(F.max("mtime").alias("m3"))
+        work = kimi_work_dirs(spark, root, origin)
+        facts = facts.join(work, "session_id", "left").join(F.broadcast(index), how="cross")
+        # the folder that the index names is the one in which the state lies
+        facts = facts.withColumn("work_dir", F.when(F.endswith(F.concat(F.lit("/"), "dir"), F.concat(F.lit("/"), "at")), F.col("work_dir")))
+    else:
+        facts = facts.withColumn("work_dir", _none()).withColumn("m3", _none("double"))
+    custom = is_kind(F.try_variant_get("rec", "$.isCustomTitle", "variant"), "BOOLEAN")
+    named = F.when(custom, blank_to_null(get(rec, "$.title"))).otherwise(F.coalesce(blank_to_null(get(rec, "$.customTitle")), blank_to_null(get(rec, "$.title"))))
+    title = F.coalesce(named, F.when(F.coalesce("allowed", F.lit(True)), blank_to_null(prompt)))
+    place = F.coalesce(*[blank_to_null(get(rec, f"$.{k}")) for k in ("cwd", "workDir", "custom.cwd")], blank_to_null(F.col("work_dir")))
+    at = F.coalesce(*[t for k in ("updatedAt", "createdAt") for t in (epoch_ts(get(rec, f"$.{k}"), "ms"), parse_iso(get(rec, f"$.{k}")))], F.timestamp_micros((F.col("m1") * 1_000_000).cast("long")))
+    return _messages("kimi", rows), _attrs("kimi", facts, title, place, at, mtime=F.greatest("m1", "m2", "m3"))
 
 
 def ingest_opencode(sessions: DataFrame, messages: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:

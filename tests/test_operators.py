@@ -145,22 +145,53 @@ def test_rewinds_count_surviving_users(spark):
     assert [r.text for r in messages.fold_rewinds(df).orderBy("seq").collect()] == ["u0", "a0", "u2", "end"]
 
 
-def test_history_fold(spark):
-    def fold(*rows):
-        df = spark.createDataFrame([("s", i, k, t, c, a) for i, (k, t, c, a) in enumerate(rows)], "session_id string, seq bigint, kind string, text string, count int, anchor boolean")
-        return [r.text for r in messages.fold_history(df).orderBy("place").collect()]
-
-    def u(t):
-        return ("message", t, None, True)
-
-    def a(t):
-        return ("message", t, None, False)
-
-    assert fold(u("u1"), a("a1"), u("u2"), a("a2"), ("undo", None, 1, False)) == ["u1", "a1"]
-    assert fold(u("u1"), ("compaction", "sum", None, False), u("u2"), ("undo", None, 5, False)) == ["u1", "sum"]
-    assert fold(u("u1"), ("clear", None, None, False), u("u2"), ("undo", None, 5, False)) == ["u1"]
-    assert fold(("step_begin", None, None, False), ("tool_call", None, None, False), u("late"), ("tool_result", None, None, False), a("after")) == ["late", "after"]
-    assert fold(("tool_call", None, None, False), u("held"), ("step_begin", None, None, False), a("next")) == ["held", "next"]
+def folded(spark, *events):
+    rows = [("s", i, *e) for i, e in enumerate(events)]
+    return [(r.role, *r.texts) for r in messages.fold_history(spark.createDataFrame(rows, messages.HISTORY_EVENTS)).orderBy("place").collect()]
+
+
+def event(kind, ref=None, call=None, role=None, texts=None, turn=False, anchor=False, summary=False, count=None):
+    return (kind, ref, call, role, texts, turn, anchor, summary, count)
+
+
+def u(t, **more):
+    return event("message", role="user", texts=[t], **({"turn": True, "anchor": True} | more))
+
+
+def a(t):
+    return event("message", role="assistant", texts=[t])
+
+
+def part(step, t):
+    return event("part", ref=step, texts=[t])
+
+
+def test_undo_clear_and_compaction(spark):
+    undo, clear = event("undo", count=1), event("clear")
+    assert folded(spark, u("u1"), a("a1"), u("u2"), a("a2"), undo) == [("user", "u1"), ("assistant", "a1")]
+    assert folded(spark, u("u1"), event("compaction", texts=["sum"]), u("u2"), event("undo", count=5)) == [("user", "u1"), ("user", "sum")]
+    assert folded(spark, u("u1"), clear, u("u2"), event("undo", count=5)) == [("user", "u1")]
+    assert folded(spark, u("u1"), event("undo")) == folded(spark, u("u1"), event("undo", count=0)) == [("user", "u1")]
+    assert folded(spark, u("u1"), u("note", turn=False, anchor=False), undo, a("end")) == [("assistant", "end")]
+    begin, call = event("step_begin", "s"), event("tool_call", "s", "c")
+    for discards in (undo, clear, event("compaction", texts=[""])):
+        assert ("user", "held") not in folded(spark, begin, call, u("held"), discards, part("s", "late"), begin)
+    assert folded(spark, u("gone"), undo, event("last_prompt", texts=["gone"])) == []
+    assert folded(spark, event("last_prompt", texts=["only"])) == [("user", "only")]
+    assert folded(spark, u("u1"), event("last_prompt", texts=["no"])) == [("user", "u1")]
+
+
+def test_steps_and_what_they_hold_back(spark):
+    begin, end, call, result = event("step_begin", "s"), event("step_end", "s"), event("tool_call", "s", "c"), event("tool_result", call="c")
+    assert folded(spark, u("q"), begin, part("s", "Hel"), u("note"), part("s", "lo"), part("x", "nowhere"), end, part("s", "too late")) == [("user", "q"), ("assistant", "Hello"), ("user", "note")]
+    assert folded(spark, begin, part("s", "x"), call, u("held"), a("also"), result, a("after")) == [("assistant", "x"), ("user", "held"), ("assistant", "also"), ("assistant", "after")]
+    # a step that ends while a result is missing goes on holding back; the next step releases
+    assert folded(spark, begin, call, u("held"), end, u("still")) == []
+    assert folded(spark, begin, call, u("held"), end, u("still"), event("step_begin", "t"), part("t", "y")) == [("user", "held"), ("user", "still"), ("assistant", "y")]
+    # calls count by their ids and only from open steps
+    assert folded(spark, event("tool_call", "closed", "c"), u("at once")) == [("user", "at once")]
+    assert folded(spark, begin, call, call, event("tool_call", "s", "d"), u("held"), result, u("too"), event("tool_result", call="d")) == [("user", "held"), ("user", "too")]
+    assert folded(spark, event("step_begin", "a"), part("a", "failed"), event("step_begin", "b"), part("b", "retried"), end) == [("assistant", "failed"), ("assistant", "retried")]
 
 
 def test_explode_and_code(spark):

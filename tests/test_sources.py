@@ -109,18 +109,61 @@ def test_grok(spark, tmp_path):
     assert (s.id, s.title, s.message_count, s.content) == ("g1", "G", 2, "» Hello\n\n  Hi!\n\n» kept")
 
 
-def test_kimi(spark, tmp_path):
-    def said(role, text, **origin):
-        return {"type": "context.append_message", "message": {"role": role, "content": [{"type": "text", "text": text}], "origin": origin or None}}
+def said(role, text, **origin):
+    return {"type": "context.append_message", "message": {"role": role, "content": [{"type": "text", "text": text}], "origin": origin or None}}
+
+
+def loop(kind, **more):
+    return {"type": "context.append_loop_event", "event": {"type": kind, **more}}
+
+
+def kimi(spark, root, **more):
+    return agents.sessions_of("kimi", agents.ingest_kimi(spark, str(root), **more))
 
+
+def test_kimi(spark, tmp_path):
+    write(
+        tmp_path, "sessions/ws/k1/agents/main/wire.jsonl", {"type": "metadata"}, said("user", "hidden reminder", kind="injection"), said("user", "first question", kind="user"), loop("step.begin", uuid="s1"),
+        loop("content.part", stepUuid="s1", part={"type": "text", "text": "Streamed "}), loop("content.part", stepUuid="s1", part={"type": "think", "text": "hm"}), loop("content.part", stepUuid="s1", part={"type": "text", "text": "answer"}),
+        loop("tool.call", stepUuid="s1", toolCallId="c1", args={"path": "secret"}), loop("step.end", uuid="s1"), "{torn",
+    )
+    write(tmp_path, "sessions/ws/k1/state.json", {"id": "other", "title": "Named", "updatedAt": 1784110807000, "createdAt": 1})
+    s = only(kimi(spark, tmp_path))
+    assert (s.id, s.title, s.directory, s.message_count, str(s.timestamp)) == ("k1", "Named", "", 1, "2026-07-15 10:20:07")
+    assert s.content == "» first question\n\n  Streamed answer"
+    index = {"sessionId": "k1", "sessionDir": "/home/u/x/../sessions/ws/k1", "workDir": "/repo"}
+    bad = [index | {"sessionDir": d, "workDir": "/no"} for d in ("/home/u/sessions/ws/k2", "/elsewhere/k1", "sessions/ws/k1")]
+    write(tmp_path, "session_index.jsonl", "{", index, *bad, {"sessionId": "gone", "deleted": True})
+    assert only(kimi(spark, tmp_path, origin="/home/u/sessions")).directory == "/repo"
+    assert only(kimi(spark, tmp_path, origin="/home/other")).directory == ""
+    write(tmp_path, "session_index.jsonl", index, {"sessionId": "k1", "deleted": True})
+    assert only(kimi(spark, tmp_path, origin="/home/u/sessions")).directory == ""
+
+
+def test_kimi_origins_and_commands(spark, tmp_path):
     write(
-        tmp_path, "ws/k1/agents/main/wire.jsonl", said("user", "first"), said("user", "hidden", kind="injection"), said("assistant", "reply"), said("user", "expanded prompt", kind="command", name="fix", args="it"),
-        said("user", "gone"), {"type": "context.undo", "count": 1}, {"type": "context.append_loop_event", "event": {"type": "content.part", "part": {"text": "streamed"}}}, {"type": "context.apply_compaction", "summary": "sum"},
+        tmp_path, "ws/k1/agents/main/wire.jsonl", said("user", "task done", kind="task"), said("user", "output", kind="shell_command", phase="output"), said("user", "<bash-input>\nls &lt;a&gt;\n</bash-input>", kind="shell_command", phase="input"),
+        said("user", "TEMPLATE", kind="skill_activation", skillName="review", skillArgs="  src  ", trigger="user-slash"), said("user", "TEMPLATE", kind="skill_activation", skillName="auto", trigger="model"),
+        said("user", "TEMPLATE", kind="plugin_command", pluginId="hub", commandName="issue", commandArgs=" 42 ", trigger="user-slash"), said("user", "kept as it is", kind="plugin_command", trigger="user-slash"), said("tool", "no"),
+        {"type": "context.apply_compaction", "summary": {"content": [{"text": "brief "}, {"text": "text"}]}},
     )
-    write(tmp_path, "ws/k1/state.json", {"id": "k1", "title": "", "updatedAt": "2024-01-01T00:00:00Z", "lastPrompt": "last", "workDir": "/k"})
-    s = only(agents.sessions_of("kimi", agents.ingest_kimi(spark, str(tmp_path))))
-    assert (s.id, s.title, s.directory, s.message_count) == ("k1", "last", "/k", 2)
-    assert s.content == "» first\n\n  reply\n\n» /fix it\n\n  streamed\n\n  sum"
+    write(tmp_path, "ws/k1/state.json", {"isCustomTitle": False, "customTitle": "stale", "title": " ", "workDir": "/k"})
+    s = only(kimi(spark, tmp_path))
+    assert (s.title, s.directory, s.message_count) == ("ls <a>", "/k", 4)
+    assert s.content.split("\n\n") == ["» task done", "» ls <a>", "» /review src", "» Activated skill: auto", "» /hub:issue 42", "» kept as it is", "» brief text"]
+
+
+def test_kimi_states_and_last_prompts(spark, tmp_path):
+    for name in ("undone", "cleared", "full"):
+        more = {"undone": [{"type": "context.undo", "count": 1}], "cleared": [{"type": "context.clear"}], "full": []}[name]
+        write(tmp_path, f"ws/{name}/agents/main/wire.jsonl", said("user", "the prompt"), *more)
+        write(tmp_path, f"ws/{name}/state.json", {"lastPrompt": "the last prompt", "createdAt": "2026-07-15T10:00:00Z"})
+    write(tmp_path, "ws/old/state.json", {"customTitle": "Pinned", "title": "made", "lastPrompt": "resume me", "custom": {"cwd": "/c"}})
+    write(tmp_path, "ws/old/session-meta/state.json", {"title": "Legacy", "lastPrompt": "no"})
+    write(tmp_path, "ws/legacy/session-meta/state.json", {"title": "Legacy", "lastPrompt": "yes"})
+    write(tmp_path, "ws/empty/state.json", {"title": "Empty"})
+    got = {r.id: (r.title, r.content, r.message_count) for r in kimi(spark, tmp_path).collect()}
+    assert got == {"cleared": ("the prompt", "» the prompt", 1), "full": ("the last prompt", "» the prompt", 1), "old": ("Pinned", "» resume me", 1), "legacy": ("Legacy", "» yes", 1)}
 
 
 def test_pi(spark, tmp_path):
