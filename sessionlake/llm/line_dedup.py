@@ -11,10 +11,10 @@ that it can match, its substrings at those shifts.
 
 Few lines share a key. Where more than CROWD do (a family of lines with a
 common beginning, say), the key alone would make all their pairs: there the
-parities of letter counts are compared too. An edit changes two of 64 parities
-at most, so of BLOCKS blocks of them all but 2 * EDITS stay equal: crowded lines
-meet only on their key with two whole blocks. Candidates are verified with a
-banded bit-parallel edit distance.
+parities of the counts of letters and of pairs of letters are compared too. An
+edit changes two of 64 letter parities at most, so of BLOCKS blocks of them all
+but 2 * EDITS stay equal: crowded lines meet only on their key with two whole
+blocks. Candidates are verified with a banded bit-parallel edit distance.
 
 Lines with equal normalised text are merged by an aggregate before the join, so
 that copies never multiply. Equal lines are told by two independent 64-bit
@@ -35,7 +35,7 @@ EDITS = 2
 #: Lines of fewer normalised characters are left out of the edit join; exact repeats of them are told apart and kept by default.
 LEAST_CHARS = 24
 #: Index entries of a key beyond which it is crowded.
-CROWD = 64
+CROWD = 4
 #: Blocks of parities: 2 * EDITS of them can differ, two are in a crowded key.
 BLOCKS = 2 * EDITS + 2
 #: Rows up to which a table of keys or places is broadcast (24 bytes each); beyond, it is shuffled.
@@ -84,7 +84,7 @@ def segment_keys(norm: Column, length: Column, start: Column, edits: int = EDITS
 
 def letter_counts(norm: Column) -> Column:
     """Parities of the counts of code points, by code point modulo 64, as the bits of one long."""
-    return F.aggregate(F.split(norm, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c))))
+    return F.aggregate(F.split(norm, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(_bit(F.ascii(c))))
 
 
 def counts_apart(a: str, b: str) -> Column:
@@ -92,6 +92,24 @@ def counts_apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n)
+
+
+def signatures(norm: DataFrame) -> DataFrame:
+    """`norm` (.., norm) with counts (letter_counts) and p0, p1: parities of the counts of 128 classes of letter pairs, the last letter and nothing among them."""
+    letters = norm.withColumn("letters", F.split("norm", ""))
+    twos = F.transform("letters", lambda c, i: F.xxhash64(c, F.get("letters", i + 1)).bitwiseAND(F.lit(127).cast("long")).cast("int"))
+    none = F.lit(0).cast("long")
+    both = F.aggregate(twos, F.struct(none.alias("a"), none.alias("b")), lambda s, t: F.struct(F.when(t < 64, s["a"].bitwiseXOR(_bit(t))).otherwise(s["a"]).alias("a"), F.when(t < 64, s["b"]).otherwise(s["b"].bitwiseXOR(_bit(t))).alias("b")))
+    return letters.withColumn("counts", letter_counts(F.col("norm"))).withColumn("p", both).select(*norm.columns, "counts", F.col("p.a").alias("p0"), F.col("p.b").alias("p1"))
+
+
+def may_be_near(x: str = "x", y: str = "y", edits: int = EDITS) -> Column:
+    """Whether the signatures of two texts, in columns with these prefixes, allow `edits` edits: an edit changes two letter parities and four of pairs at most."""
+    return (counts_apart(f"{x}_counts", f"{y}_counts") <= 2 * edits) & (counts_apart(f"{x}_p0", f"{y}_p0") + counts_apart(f"{x}_p1", f"{y}_p1") <= 4 * edits)
+
+
 def parity_blocks(counts: Column, blocks: int = BLOCKS) -> list[Column]:
     """For every two of the `blocks` blocks of a letter_counts, a number that tells which two and what they hold."""
     ends = [64 * i // blocks for i in range(blocks + 1)]
@@ -158,13 +176,13 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _texts_of(source: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, norm, counts) of the texts in `wanted` (h1), each read once, at its first place."""
+    """(h1, norm) and signatures of the texts in `wanted` (h1), each read once, at its first place."""
     places = written(_place_parts(texts.join(wanted, "h1").select("h1", "place"), source).select("h1", "doc_id", "line_no"))
     n = places.count()
     holders = _small(places.select("doc_id").distinct(), n)
     raw = _raw_lines(source.join(holders, "doc_id", "left_semi"), F.col("text").cast("string")).join(_small(places, n), ["doc_id", "line_no"])
     norm = raw.select("h1", F.trim(normalised(F.col("raw"))).alias("norm")).where(F.xxhash64("norm") == F.col("h1")).dropDuplicates(["h1"])
-    return written(norm.withColumn("counts", letter_counts(F.col("norm"))))
+    return written(signatures(norm))
 
 
 def _candidates(source: DataFrame, texts: DataFrame, own: list[str], other: list[str]) -> DataFrame:
@@ -179,22 +197,22 @@ def _candidates(source: DataFrame, texts: DataFrame, own: list[str], other: list
     crowded = written(rows.where("size > 0").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"))
     n = crowded.count()
 
-    def met(rows: DataFrame, *more: str) -> DataFrame:
+    def met(rows: DataFrame, signed: bool = False) -> DataFrame:
         x, y = (rows.select(*[F.col(c).alias(f"{side}_{c}") for c in rows.columns]) for side in "xy")
         on = F.col("x_key") == F.col("y_key")
         longer = F.abs("y_size") - F.col("x_size")
         on = on & ((longer.between(1, EDITS)) | ((longer == 0) & (F.col("x_h1") < F.col("y_h1"))))
-        if more:
-            on = on & (counts_apart("x_counts", "y_counts") <= 2 * EDITS)
+        if signed:
+            on = on & may_be_near()
         return x.join(y, on).select(F.least("x_h1", "y_h1").alias("a"), F.greatest("x_h1", "y_h1").alias("b")).where("a <> b")
 
     if not n:
         return written(met(rows).distinct())
     many = rows.join(_small(crowded, n), "key", "left_semi")
-    read = _texts_of(source, texts, many.select("h1").distinct()).select("h1", "counts")
-    finer = many.join(read, "h1").select("h1", "size", "counts", F.explode(F.array(*[F.xxhash64("key", part) for part in parity_blocks(F.col("counts"))])).alias("key"))
+    read = _texts_of(source, texts, many.select("h1").distinct()).drop("norm")
+    finer = many.join(read, "h1").select("h1", "size", "counts", "p0", "p1", F.explode(F.array(*[F.xxhash64("key", part) for part in parity_blocks(F.col("counts"))])).alias("key"))
     few = rows.join(_small(crowded, n), "key", "left_anti")
-    return written(met(few).unionByName(met(finer, "counts")).distinct())
+    return written(met(few).unionByName(met(finer, True)).distinct())
 
 
 def line_verdicts(docs: DataFrame, classes: bool = True, short: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -225,7 +243,7 @@ def line_verdicts(docs: DataFrame, classes: bool = True, short: bool = True) ->
     pairs = _candidates(source, texts, names[: len(own)], names[len(own) :])
     found = _texts_of(source, texts, pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
     x, y = (found.select(*[F.col(c).alias(f"{side}_{c}") for c in found.columns]) for side in "xy")
-    sides = pairs.join(x, F.col("a") == F.col("x_h1")).join(y, F.col("b") == F.col("y_h1")).where(counts_apart("x_counts", "y_counts") <= 2 * EDITS)
+    sides = pairs.join(x, F.col("a") == F.col("x_h1")).join(y, F.col("b") == F.col("y_h1")).where(may_be_near())
     shorter = F.char_length("x_norm") <= F.char_length("y_norm")
     sides = sides.select("a", "b", F.when(shorter, F.col("x_norm")).otherwise(F.col("y_norm")).alias("x"), F.when(shorter, F.col("y_norm")).otherwise(F.col("x_norm")).alias("y"))
     links = written(sides.where(edit_distance("x", "y") <= EDITS).select("a", "b"))

@@ -314,6 +314,10 @@ def test_edit_distance_and_letter_counts(spark):
     df = df.withColumn("cx", line_dedup.letter_counts(F.col("x"))).withColumn("cy", line_dedup.letter_counts(F.col("y")))
     assert df.where("(d <= 2) <> (g <= 2) or (d <= 2 and d <> g)").count() == 0
     assert df.where(line_dedup.counts_apart("cx", "cy") > 2 * F.col("d")).count() == 0
+    x, y = (line_dedup.signatures(df.select("d", F.monotonically_increasing_id().alias("i"), F.col(c).alias("norm"))) for c in "xy")
+    both = x.select("d", "i", *[F.col(c).alias(f"x_{c}") for c in ("counts", "p0", "p1")]).join(y.select("i", *[F.col(c).alias(f"y_{c}") for c in ("counts", "p0", "p1")]), "i")
+    for n in range(4):
+        assert both.where((F.col("d") <= n) & ~line_dedup.may_be_near(edits=n)).count() == 0
 
 
 def test_repeated_document_rows_are_one_document(spark):
