@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages used for the scores, at most about.
+#: Labelled pages used for the scores, at most about, and the bytes of the longest of them, so that they fit on the driver.
 TRAIN_PAGES = 400
+TRAIN_BYTES = 256 << 10
 
 #: Element and attribute names of HTML.
 RAW = frozenset(("script", "style", "template", "noscript", "iframe", "svg", "textarea", "title", "object", "math"))
@@ -50,6 +51,12 @@ NEUTRAL_PARTS = frozenset((
 #: Elements whose end tags do not close a block that is open inside them.
 LOOSE = INLINE | {"p", "li", "dt", "dd", "option"}
 
+#: What the start tag of an element ends without an end tag: itself and these (HTML's optional end tags).
+IMPLIED_END = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)} | dict.fromkeys((
+    "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+    "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
+), ("p",))
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[A-Za-z]+")
@@ -118,28 +125,46 @@ def _page(page: str) -> _Page:
     ends: dict[int, int] = {}
     stack: list[int] = []
     opened: Counter = Counter()
+    #: open LOOSE elements by name, above each open element that is not LOOSE
+    levels: list[Counter] = [Counter()]
     words, mains, inside = [0], [0], 0
+
+    def close(name: str, at: int) -> None:
+        """End the innermost open `name` at part `at`; what is still open inside it has no end tag."""
+        nonlocal inside
+        while True:
+            own = parts[j := stack.pop()][0]
+            opened[own] -= 1
+            inside -= own in ("article", "main")
+            if own in LOOSE:
+                levels[-1][own] -= 1
+            else:
+                levels.pop()
+            if own == name:
+                ends[j] = at
+                return
+
     for i, (name, attributes, text, closing) in enumerate(parts):
         main = False
+        if not closing:
+            for ended in IMPLIED_END.get(name, ()):
+                if levels[-1][ended]:
+                    close(ended, i - 1)
         if name in RAW or name in VOID or not name:
             pass
         elif not closing:
             if not attributes.rstrip().endswith("/"):
                 stack.append(i)
                 opened[name] += 1
+                if name in LOOSE:
+                    levels[-1][name] += 1
+                else:
+                    levels.append(Counter())
                 if name in ("article", "main"):
                     main = inside == 0
                     inside += 1
-        elif opened[name]:
-            k = len(stack) - 1
-            while k >= 0 and parts[stack[k]][0] != name and not (name in LOOSE and parts[stack[k]][0] not in LOOSE):
-                k -= 1
-            if k >= 0 and parts[stack[k]][0] == name:
-                ends[stack[k]] = i
-                for j in stack[k:]:  # what is still open inside has no end tag
-                    opened[parts[j][0]] -= 1
-                    inside -= parts[j][0] in ("article", "main")
-                del stack[k:]
+        elif levels[-1][name] if name in LOOSE else opened[name]:
+            close(name, i)
         words.append(words[-1] + (len(text.split()) if not name else 0))
         mains.append(mains[-1] + main)
     return _Page(parts, ends, words, mains)
@@ -271,7 +296,7 @@ def train(pages: list[str], rounds: int = 10) -> Weights:
 
 def fit(pages: DataFrame, n: int = TRAIN_PAGES) -> Weights:
     """Scores from a bounded sample of labelled pages, the same ones on every run."""
-    marked = pages.where(F.lower(F.col("html").cast("string")).rlike(r"<(article|main)\b")).select("page_id", F.col("html").cast("string").alias("html"))
+    marked = pages.where((F.octet_length("html") <= TRAIN_BYTES) & F.lower(F.col("html").cast("string")).rlike(r"<(article|main)\b")).select("page_id", F.col("html").cast("string").alias("html"))
     total = marked.count()
     point = F.pmod(F.xxhash64(F.col("page_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = marked.where(point < n / max(total, 1)).limit(4 * n).collect()
@@ -279,7 +304,13 @@ def fit(pages: DataFrame, n: int = TRAIN_PAGES) -> Weights:
 
 
 def extract_text(pages: DataFrame, weights: Weights) -> DataFrame:
-    """(page_id, url, text) for every row of `pages` (page_id, url, html). Whole pages; text is never null."""
+    """(page_id, url, text) for every row of `pages` (page_id, url, html). Whole pages; text is never null.
+
+    A page's text depends on its html alone: repeated rows are each returned,
+    with equal texts; null ids and urls stay null. Of regions with equal sums
+    the earliest is taken. Other columns are not read. An empty table gives an
+    empty result.
+    """
     shared = pages.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

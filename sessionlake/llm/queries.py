@@ -76,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _OP5 = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
+  SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS rid, hash(doc_id, source, text) AS did FROM documents),
 w AS (
   SELECT rid, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
 win AS (
@@ -88,16 +88,16 @@ covered AS (
   SELECT rid, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words
   FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM twice) GROUP BY rid),
 l AS (
-  SELECT rid, source, line FROM (SELECT rid, source, unnest(string_split(text, chr(10))) AS line FROM d)
+  SELECT rid, did, source, line FROM (SELECT rid, did, source, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid),
 norm AS (
-  SELECT rid, source, lower(trim(line)) AS line,
+  SELECT rid, did, source, lower(trim(line)) AS line,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
-lim AS (SELECT source, greatest(20, floor(count(*) * 0.1)) AS lim FROM d GROUP BY source),
+lim AS (SELECT source, greatest(20, floor(count(DISTINCT did) * 0.1)) AS lim FROM d GROUP BY source),
 freq AS (
   SELECT norm.source, line FROM norm JOIN lim ON norm.source IS NOT DISTINCT FROM lim.source
-  GROUP BY norm.source, line HAVING count(DISTINCT rid) > any_value(lim)),
+  GROUP BY norm.source, line HAVING count(DISTINCT did) > any_value(lim)),
 lost AS (
   SELECT rid, sum(n) AS lost FROM norm JOIN freq
     ON norm.source IS NOT DISTINCT FROM freq.source AND norm.line = freq.line GROUP BY rid),

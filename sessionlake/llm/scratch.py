@@ -1,7 +1,8 @@
 """Where jobs of this subpackage keep intermediate tables.
 
 `spark.checkpoint.dir` names a folder that all executors share; where it is
-unset (local tests), a temporary folder of this machine is set once.
+unset, a temporary folder of this machine is set once if all executors are in
+this process (local tests), and on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -18,18 +19,28 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sessionlake-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder once and return a scan of what was written.
 
     Cuts lineage: losing executors afterwards costs a re-read, not a re-run.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sl-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "sl")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,7 +24,7 @@ BITS = 18
 PER_LABEL = 3000
 #: Bytes of a word's beginning that are features besides the whole word.
 BEGINNINGS = (4, 5, 6)
-#: Group names that are swapped for one another, by kind.
+#: Group names that are swapped for one another, by kind, in the corpus's languages (English, German, Spanish, French). No word is in two groups.
 IDENTITY = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -34,6 +34,27 @@ IDENTITY = (
     ("gay", "lesbian", "straight", "transgender", "bisexual"),
     ("immigrants", "refugees", "foreigners", "natives"),
     ("disabled", "deaf", "blind", "elderly"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("behinderte", "gehörlose", "blinde", "senioren"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("mujer", "hombre", "chica", "chico"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "latinos", "africanos", "europeos"),
+    ("gais", "lesbianas", "heterosexuales", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
+    ("discapacitados", "sordos", "ciegos", "ancianos"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("homosexuels", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("handicapés", "sourds", "aveugles", "vieillards"),
 )
 TERMS = [t for group in IDENTITY for t in group]
 
@@ -144,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, out: int = 2, per_la
     sample = training_texts(docs, labels, "toxic", folds, out, per_label)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named = {int(term_features(t)[0]) if len(t) <= BEGINNINGS[0] else int(chunk_tokens(next(chunks(pa.array([t]))))[1][0][0]): k for k, t in enumerate(TERMS)}
+        named = {int(chunk_tokens(next(chunks(pa.array([t]))))[1][0][0]): k for k, t in enumerate(TERMS)}
         for batch in batches:
             y = batch.column(batch.schema.get_field_index("y"))
             for c in chunks(text_column(batch)):
@@ -180,7 +201,10 @@ def score_chunk(chunk: Chunk, model: ToxicityModel, weight: np.ndarray) -> np.nd
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score) for every row of `docs` (doc_id, text); null and empty texts get the bias alone.
 
-    Whole texts. With no labelled rows the score is the same for every text.
+    Whole texts. With no labelled rows the score is the same for every text. A
+    row's score depends on its text alone: repeated rows are each returned,
+    with equal scores; null doc_ids stay null. Other columns are not read. An
+    empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

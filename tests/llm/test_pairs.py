@@ -384,6 +384,26 @@ def test_tiny_sources_beside_a_large_one_reach_their_targets(spark):
         assert sorted((r["rank"], r.block, r.lap) for r in slots if r.source_id == i) == [(0, 0, 0), (1, 1, 0), (2, 0, 1), (3, 1, 1)]
 
 
+def test_mix_takes_the_same_words_for_every_block(spark):
+    rng = random.Random(17)
+    rows = [(None if i % 9 == 0 else i % 60, prose(rng, rng.randint(0, 90)), f"s{i % 4}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken = [sorted((str(r.doc_id), r.size, r.taken) for r in mixing.mix(docs, block).collect()) for block in (1, 64, 5000)]
+    assert taken[0] == taken[1] == taken[2]
+    nulls = spark.createDataFrame([(None, None, None)] * 5, docs.schema)
+    assert [(r.size, r.taken) for r in mixing.mix(nulls).collect()] == [(0, 0)] * 5
+
+
+def test_running_sums_match_one_window(spark):
+    rng = random.Random(18)
+    rows = [(f"k{rng.randint(0, 10**6):06d}" if i else None, rng.randint(0, 50)) for i in range(300)]
+    got = {r.k: (r.nth, r.v_before) for r in mixing.running(spark.createDataFrame(rows, "k string, v bigint"), [F.col("k").asc_nulls_last()], ["v"]).collect()}
+    before, want = 0, {}
+    for n, (k, v) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or "")), 1):
+        want[k], before = (n, before), before + v
+    assert got == want
+
+
 def test_source_targets_with_many_sources_at_cap(spark):
     sized = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 5), ("d", 7), (None, 100)], "source string, size bigint")
     got = {r.source: r.target for r in mixing.source_targets(sized).collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from hashlib import sha256
 
 import numpy as np
@@ -187,6 +188,42 @@ def test_boilerplate_lines_deplete_documents(spark):
     assert not got[100][0].kept and got[101][0].kept and [r.kept for r in got[102]] == [True, True]
 
 
+def test_repeated_rows_are_one_document_and_lines_are_removed(spark):
+    rng = random.Random(15)
+    line, own, host = prose(rng, 12), [prose(rng, 30) for _ in range(40)], prose(rng, 12)
+    rows = [(1, f"{line}\n{own[0]}", "h")] * 25 + [(2, f"{line}\n{own[1]}", "h"), (3, None, "h"), (4, "", None)]
+    rows += [(10 + i, f"{own[i]}\n\n{host.upper()}" if i else host, "g") for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({"id": F.lit(1), "gone": F.lit("x"), "row": F.lit(2), "n_chars": F.lit(0)})
+    got = quality_rules.quality_rules(docs).groupBy("doc_id").agg(F.max("n_boilerplate_words").alias("n"), F.min("n_boilerplate_words").alias("least"), F.count("*").alias("rows"), F.max("kept").alias("kept")).collect()
+    want = {1: (0, 0, 25, True), 2: (0, 0, 1, True), 3: (0, 0, 1, False), 4: (0, 0, 1, False)} | {10 + i: (12, 12, 1, i > 0) for i in range(25)}
+    assert {r.doc_id: (r.n, r.least, r["rows"], r.kept) for r in got} == want
+    cleaned = quality_rules.without_boilerplate(docs)
+    assert cleaned.dtypes == docs.dtypes
+    texts = {}
+    for r in cleaned.collect():
+        texts.setdefault(r.doc_id, []).append((r.text, r.n_chars))
+    assert texts == {1: [(rows[0][1], 0)] * 25, 2: [(rows[25][1], 0)], 3: [(None, 0)], 4: [("", 0)]} | {10 + i: [(f"{own[i]}\n", len(own[i]) + 1)] for i in range(1, 25)}
+    assert quality_rules.without_boilerplate(docs.limit(0)).count() == 0
+
+
+def test_identity_terms_cover_the_corpus_languages():
+    assert len(set(toxicity.TERMS)) == len(toxicity.TERMS)
+    for pair in (("frauen", "männer"), ("mujeres", "hombres"), ("femmes", "hommes")):
+        assert any(set(pair) <= set(g) for g in toxicity.IDENTITY)
+    rng = random.Random(16)
+    bad, texts, y, terms = toxicity.term_features("zorgel"), [], [], []
+    name, other = toxicity.term_features("flüchtlinge"), toxicity.term_features("ausländer")
+    for i in range(400):
+        toxic = i % 2
+        named = rng.random() < (0.9 if toxic else 0.1)
+        texts.append(np.unique(np.concatenate([bad if toxic and i % 3 else np.array([777]), name if named else other])))
+        y.append(toxic)
+        terms.append([toxicity.TERMS.index("flüchtlinge")] if named else [])
+    weight = {c: dict(zip(*(lambda m: (m.features.tolist(), m.weights.tolist()))(toxicity.train(texts, np.array(y), terms, 0.5, cost=c)), strict=True)) for c in (0.0, 50.0)}
+    gap = {c: abs(sum(w.get(int(f), 0.0) for f in name) - sum(w.get(int(f), 0.0) for f in other)) for c, w in weight.items()}
+    assert gap[50.0] < 0.2 * gap[0.0]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href="/">menu words here</a></li></ul></nav>
 <div class="ad">buy this now</div>{open}<h1>Head &amp; line</h1><p><b>First   block<br>goes on &lt;x&gt;.</p><p>Second\n block with   words.{inner}</p><p>End</p>{close}<aside>side</aside><form>f <input></form>
 <section id="comments"><p>I disagree strongly with all of these many words of yours.</p></section><footer>&copy; foot words</footer></body></html>"""
@@ -229,6 +266,33 @@ def test_html_frames_open_elements_and_class_tokens():
     html_extract.page_tokens("<nav>" * 20_000 + "x" + "</b>" * 20_000)
 
 
+def test_html_optional_end_tags_close_skipped_elements():
+    w = html_extract.Weights()
+    main = "Main text that is long enough to win the page"
+    for page in (f"<p class=notice>Hi<p>{main}", f"<div class=ad>buy</div><div><p>{main}</div>", f"<ul><li class=share>Share<li>{main}</ul>", f"<dl><dt class=ad>Ad<dd>{main}</dl>", f"<div class='main-content ad-free'>{main}</div>", f"<article><p id='related-work'>{main}</article>"):
+        assert html_extract.extract(page, w) == main
+    assert main in html_extract.extract(f"<nav>menu<p>{main}", w) and main in html_extract.extract(f"<div class=ad>buy<p>{main}</p>", w)
+
+
+def test_html_reading_is_linear():
+    pages = ["<div class=ad>" * 8000 + "x" + "</div>" * 8000, "<b><div>" + "<i>" * 8000 + "</b>" * 8000, "<p><i>" * 8000, "<li>" * 8000 + "</ul>" * 8000, "<" * 20000, "<a href='" * 4000]
+    for page in pages:
+        started = time.monotonic()
+        html_extract.extract(page, html_extract.Weights())
+        assert time.monotonic() - started < 2, page[:20]
+
+
+def test_best_region_matches_brute_force():
+    rng = random.Random(14)
+    w = html_extract.Weights(1.0, {"<a>": -2.0, "<b>": -0.5, "</b>": -3.5})
+    for _ in range(300):
+        tokens = [(t, "", True) if (t := rng.choice(("<a>", "<b>", "</b>", "", ""))) else ("", "w " * rng.randint(0, 4), False) for _ in range(rng.randint(0, 12))]
+        score = [w.tag(t) if t else float(len(x.split())) for t, x, _ in tokens]
+        best = max([sum(score[i:j]) for i in range(len(score)) for j in range(i + 1, len(score) + 1)], default=0.0)
+        start, end = html_extract.best_region(tokens, w)
+        assert sum(score[start:end]) == max(best, 0.0)
+
+
 def test_html_pages_match_their_articles(spark):
     import html as html_lib
 
