@@ -152,15 +152,18 @@ def fingerprint(sessions: DataFrame) -> DataFrame:
 
 
 def dedupe_sessions(sessions: DataFrame) -> DataFrame:
-    """One row per key: latest marker, then time, then more content.
+    """One row per key: latest marker, then time, then more content, then a hash of the row.
 
-    A row that is no less in all three always wins; the order makes the rest
-    independent of how rows arrive. Sessions are ranked by key alone and the
-    wide columns follow through max_by of one struct.
+    A row that is no less in the first three always wins; the order makes the
+    rest independent of how rows arrive. Ranks are narrow and pre-aggregated;
+    the wide rows meet only the ranks that won. `sessions` is read twice, so it
+    should be a table or a scan.
     """
-    order = F.struct("mtime", "timestamp", F.octet_length("content").alias("bytes"), "content", "title")
-    best = sessions.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in sessions.columns if c not in KEY]), order).alias("s"))
-    return best.select(*[F.col(c) if c in KEY else F.col(f"s.{c}").alias(c) for c in sessions.columns])
+    own = F.xxhash64(*sessions.columns)
+    rank = F.struct("mtime", F.unix_micros("timestamp").alias("time"), F.octet_length("content").alias("bytes"), own.alias("own"))
+    best = sessions.groupBy(*KEY).agg(F.max(rank).alias("best")).select(*KEY, F.col("best.own").alias("__own"))
+    # only copies of one row are left to drop
+    return sessions.withColumn("__own", own).join(best, [*KEY, "__own"], "left_semi").drop("__own").dropDuplicates(KEY)
 
 
 def union_by_precedence(first: DataFrame, second: DataFrame, keys: Sequence[str] = ("agent", "id")) -> DataFrame:
@@ -180,8 +183,12 @@ def log_rows(sessions: DataFrame, version: int, op: str = "upsert") -> DataFrame
 
 
 def latest_snapshot(log: DataFrame) -> DataFrame:
-    """Sessions as of the log's last version of each key; removed keys hidden. A delete beats a put of the same version's key only if it is later."""
-    payload = [c for c in log.columns if c not in (*KEY, "version", "op")]
-    order = F.struct("version", F.when(F.col("op") == "delete", 1).otherwise(0))
-    best = log.groupBy(*KEY).agg(F.max_by(F.struct("op", *payload), order).alias("s")).where("s.op <> 'delete'")
-    return best.select(*[F.col(c) if c in KEY else F.col(f"s.{c}").alias(c) for c in SESSION_COLUMNS])
+    """Sessions as of the log's last version of each key; removed keys hidden. A delete beats a put of the same version.
+
+    The last versions are found on narrow columns, in a hash aggregate; wide
+    rows meet them by key and version. A version puts a key once.
+    """
+    rank = F.col("version") * 2 + F.when(F.col("op") == "delete", 1).otherwise(0)
+    best = log.groupBy(*KEY).agg(F.max(rank).alias("__rank"))
+    puts = log.where("op <> 'delete'").withColumn("__rank", rank)
+    return puts.join(best, [*KEY, "__rank"], "left_semi").select(*SESSION_COLUMNS)

@@ -429,12 +429,14 @@ def page_meta(pages: DataFrame) -> DataFrame:
 
 
 def result_json(page: DataFrame, total: int, offset: int, limit: int) -> DataFrame:
-    """One row `json`: the envelope of a page (at most `limit` rows), without content, mtime and yolo."""
+    """One row `json`: the envelope of a page (at most `limit` rows) in the order of searches, without content, mtime and yolo."""
     fields = [c for c in page.columns if c not in ("content", "mtime", "yolo", "score", "rank", "resume_command")]
-    ordered = page.withColumn("__n", F.monotonically_increasing_id())
     if "resume_command" in page.columns:
         fields.append("resume_command")
-    rows = ordered.agg(F.array_sort(F.collect_list(F.struct("__n", F.struct(*fields).alias("s")))).alias("x")).select(F.transform("x", lambda r: r["s"]).alias("sessions"))
+    # the order is made here: a sort of the page does not outlive a join
+    score = -F.round("score", 6) if "score" in page.columns else F.lit(0.0)
+    item = F.struct(score.alias("score"), (-F.unix_micros("timestamp")).alias("time"), "agent", "id", F.struct(*fields).alias("s"))
+    rows = page.agg(F.array_sort(F.collect_list(item)).alias("x")).select(F.transform("x", lambda r: r["s"]).alias("sessions"))
     meta = page_meta(rows.select(F.lit(total).cast("long").alias("total"), F.lit(offset).cast("long").alias("offset"), F.lit(limit).cast("long").alias("limit"), "sessions"))
     body = F.struct(F.lit(1).alias("schema_version"), "sessions", F.struct("state", "total", "offset", "limit", "returned", "next_offset").alias("meta"))
     return meta.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))

@@ -51,8 +51,9 @@ def text() -> Column:
     return F.col("text")
 
 
-def claude_files(spark, sf, root: str) -> None:
+def claude_files(spark, sf, root: str, which: Column | None = None) -> None:
     t = _conv(spark, sf)
+    t = t if which is None else t.where(which)
     file = F.concat("sid", F.lit(".jsonl"))
     cwd = F.concat(F.lit("/w/"), "sid")
     asked = _json(F.lit("user").alias("type"), cwd.alias("cwd"), _obj(content=text()).alias("message"))
@@ -82,7 +83,7 @@ def ingest_claude(spark, sf):
 
 def codex_files(spark, sf, root: str) -> None:
     t = _conv(spark, sf)
-    file = F.concat(F.lit("rollout-"), "sid", F.lit(".jsonl"))
+    file = F.concat(F.lit("rollout-of-"), "sid", F.lit(".jsonl"))  # the header's id is another than the path's
     asked = _json(F.lit("event_msg").alias("type"), _obj(type="user_message", message=text()).alias("payload"))
     reply = _json(F.lit("response_item").alias("type"), _obj(role="assistant", content=F.array(_obj(type="output_text", text=text()))).alias("payload"))
     env = _json(F.lit("response_item").alias("type"), _obj(role="user", content=F.array(_obj(text=F.concat(F.lit("<environment_context>"), text())))).alias("payload"))
@@ -99,67 +100,95 @@ def ingest_codex(spark, sf):
     return agents.sessions_of("codex", agents.ingest_codex(spark, root)).select(KEPT)
 
 
-@query("ingest_copilot_cli", _oracle("copilot-cli", f"CASE WHEN conv_id % 3 = 0 THEN 'named ' || id ELSE {sql.truncated('first_user', 100)} END", "'/y/' || id", _ALL, 10))
-def ingest_copilot_cli(spark, sf):
-    t, root = _conv(spark, sf).where(_ALL), scratch(spark, "copilot")
+def copilot_cli_files(spark, sf, root: str) -> None:
+    t = _conv(spark, sf).where(_ALL)
     file = F.concat("sid", F.lit(".jsonl"))
     line = _json(F.when(user(), "user.message").otherwise("assistant.message").alias("type"), _obj(content=text()).alias("data"))
     start = _json(F.lit("session.start").alias("type"), _obj(sessionId=F.col("sid"), context=_obj(cwd=F.concat(F.lit("/y/"), "sid"))).alias("data"))
     title = _json(F.lit("session.title_changed").alias("type"), _obj(title=F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("named "), "sid")).otherwise(" ")).alias("data"))
     h = _heads(t)
     land(_rows(t, F.col("turn"), line, file).unionByName(_rows(h, F.lit(-2), start, file)).unionByName(_rows(h, F.lit(-1), title, file)), root)
+
+
+@query("ingest_copilot_cli", _oracle("copilot-cli", f"CASE WHEN conv_id % 3 = 0 THEN 'named ' || id ELSE {sql.truncated('first_user', 100)} END", "'/y/' || id", _ALL, 10))
+def ingest_copilot_cli(spark, sf):
+    root = scratch(spark, "copilot_cli")
+    copilot_cli_files(spark, sf, root)
     return agents.sessions_of("copilot-cli", agents.ingest_copilot_cli(spark, root)).select(KEPT)
 
 
-@query("ingest_pi", _oracle("pi", f"CASE WHEN conv_id % 3 = 0 THEN 'pi ' || id WHEN first_user IS NULL THEN '(no messages)' ELSE {sql.truncated('first_user', 100)} END", "'/p/' || id", "role = 'user'", where="content IS NOT NULL"))
-def ingest_pi(spark, sf):
-    t, root = _conv(spark, sf).where(_ALL), scratch(spark, "pi")
-    file = F.concat(F.lit("2024-01-01_"), "sid", F.lit(".jsonl"))
+def pi_files(spark, sf, root: str) -> None:
+    t = _conv(spark, sf).where(_ALL)
+    file = F.concat(F.lit("2024-01-01_path-"), "sid", F.lit(".jsonl"))  # the header's id is another than the path's
     line = _json(F.lit("message").alias("type"), _obj(role=F.col("role"), content=F.array(_obj(type="text", text=text()))).alias("message"))
     start = _json(F.lit("session").alias("type"), F.col("sid").alias("id"), F.concat(F.lit("/p/"), "sid").alias("cwd"))
     name = _json(F.lit("session_info").alias("type"), F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("pi "), "sid")).otherwise("").alias("name"))
     h = _heads(t)
     land(_rows(t, F.col("turn"), line, file).unionByName(_rows(h, F.lit(-2), start, file)).unionByName(_rows(h, F.lit(-1), name, file)), root)
+
+
+@query("ingest_pi", _oracle("pi", f"CASE WHEN conv_id % 3 = 0 THEN 'pi ' || id WHEN first_user IS NULL THEN '(no messages)' ELSE {sql.truncated('first_user', 100)} END", "'/p/' || id", "role = 'user'", where="content IS NOT NULL"))
+def ingest_pi(spark, sf):
+    root = scratch(spark, "pi")
+    pi_files(spark, sf, root)
     return agents.sessions_of("pi", agents.ingest_pi(spark, root)).select(KEPT)
 
 
-@query("ingest_vibe", _oracle("vibe", f"CASE WHEN first_user IS NULL THEN 'Vibe session' ELSE {sql.truncated('first_user', 80, False)} END", "'/v/' || id", _ALL, where="true", yolo="conv_id % 4 = 0").replace("directory, content,", "directory, coalesce(content, '') AS content,"))
-def ingest_vibe(spark, sf):
-    t, root = _conv(spark, sf), scratch(spark, "vibe")
+def vibe_files(spark, sf, root: str) -> None:
+    t = _conv(spark, sf)
     folder = F.concat(F.lit("session_"), "sid").alias("dir")
     land(t.select(folder, F.lit("messages.jsonl").alias("file"), F.col("turn").alias("seq"), _json(F.col("role"), F.col("text").alias("content")).alias("line")), root, "dir")
     meta = _json(F.col("sid").alias("session_id"), _obj(working_directory=F.concat(F.lit("/v/"), "sid")).alias("environment"), _obj(auto_approve=F.col("conv_id") % 4 == 0).alias("config"))
     land(_heads(t).select(folder, F.lit("meta.json").alias("file"), F.lit(0).alias("seq"), meta.alias("line")), root, "dir")
+
+
+@query("ingest_vibe", _oracle("vibe", f"CASE WHEN first_user IS NULL THEN 'Vibe session' ELSE {sql.truncated('first_user', 80, False)} END", "'/v/' || id", _ALL, where="true", yolo="conv_id % 4 = 0").replace("directory, content,", "directory, coalesce(content, '') AS content,"))
+def ingest_vibe(spark, sf):
+    root = scratch(spark, "vibe")
+    vibe_files(spark, sf, root)
     return agents.sessions_of("vibe", agents.ingest_vibe(spark, root)).select(KEPT)
 
 
-@query("ingest_copilot_vscode", _oracle("copilot-vscode", f"CASE WHEN first_user IS NULL THEN 'VS Code chat' ELSE {sql.truncated('first_user', 100)} END", "''", _ALL, where="content IS NOT NULL"))
-def ingest_copilot_vscode(spark, sf):
-    t, root = _conv(spark, sf).where(_ALL), scratch(spark, "vscode")
+def copilot_vscode_files(spark, sf, root: str) -> None:
+    t = _conv(spark, sf).where(_ALL)
     asked = F.when(user(), _obj(text=text())).otherwise(_obj(text=F.lit("")))
     answer = F.when(user(), F.array(_obj(value=F.lit("")))).otherwise(F.array(_obj(value=text())))
     requests = F.transform(F.array_sort(F.collect_list(F.struct("turn", _obj(message=asked, response=answer).alias("q")))), lambda x: x["q"])
     docs = t.groupBy("sid").agg(requests.alias("requests"))
     land(docs.select(F.concat("sid", F.lit(".json")).alias("file"), F.lit(0).alias("seq"), _json(F.lit(1704067200000).alias("lastMessageDate"), F.col("requests")).alias("line")), root)
+
+
+@query("ingest_copilot_vscode", _oracle("copilot-vscode", f"CASE WHEN first_user IS NULL THEN 'VS Code chat' ELSE {sql.truncated('first_user', 100)} END", "''", _ALL, where="content IS NOT NULL"))
+def ingest_copilot_vscode(spark, sf):
+    root = scratch(spark, "copilot_vscode")
+    copilot_vscode_files(spark, sf, root)
     return agents.sessions_of("copilot-vscode", agents.ingest_copilot_vscode(spark, root)).select(KEPT)
 
 
-@query("ingest_crush", _oracle("crush", sql.truncated("first_user", 100), "''", "true", 5).replace("FILTER (role IN ('user', 'assistant')) AS content", "AS content"))
-def ingest_crush(spark, sf):
+def crush_tables(spark, sf) -> tuple[DataFrame, ...]:
     t = _conv(spark, sf)
     s = t.groupBy(F.col("sid").alias("id")).agg(F.lit("").alias("title"), F.count_if(user()).alias("message_count"), F.lit(1704067200).alias("created_at"), F.lit(1704067200000).alias("updated_at"))
     m = t.select(F.col("sid").alias("session_id"), "role", F.to_json(F.array(_obj(type="text", data=_obj(text=text())))).alias("parts"), F.col("turn").alias("created_at"))
-    return agents.sessions_of("crush", agents.ingest_crush(s, m)).select(KEPT)
+    return s, m
 
 
-@query("ingest_cursor", _oracle("cursor", "'chat ' || id", "'/work'", "role = 'user'"))
-def ingest_cursor(spark, sf):
+@query("ingest_crush", _oracle("crush", sql.truncated("first_user", 100), "''", "true", 5).replace("FILTER (role IN ('user', 'assistant')) AS content", "AS content"))
+def ingest_crush(spark, sf):
+    return agents.sessions_of("crush", agents.ingest_crush(*crush_tables(spark, sf))).select(KEPT)
+
+
+def cursor_tables(spark, sf) -> tuple[DataFrame, ...]:
     t = _conv(spark, sf)
     meta = _heads(t).select(F.col("sid").alias("session_id"), F.lit("meta").alias("key"), _json(F.concat(F.lit("chat "), "sid").alias("name"), F.lit(1704067200000).alias("createdAt")).alias("value"), F.lit(1704067200.0).alias("mtime"), F.lit("%2Fwork").alias("directory"))
     plain = _json(F.col("role"), F.array(_obj(type="text", text=text())).alias("content"))
     nested = _json(F.array(F.struct("role", "text")).alias("messages"))
     blobs = t.select(F.col("sid").alias("session_id"), F.col("turn").alias("seq"), F.when(F.col("turn") % 2 == 0, plain).otherwise(nested).alias("value"))
-    return agents.sessions_of("cursor", agents.ingest_cursor(meta, blobs)).select(KEPT)
+    return meta, blobs
+
+
+@query("ingest_cursor", _oracle("cursor", "'chat ' || id", "'/work'", "role = 'user'"))
+def ingest_cursor(spark, sf):
+    return agents.sessions_of("cursor", agents.ingest_cursor(*cursor_tables(spark, sf))).select(KEPT)
 
 
 _RUNS = """WITH r AS (
@@ -172,9 +201,9 @@ g AS (SELECT CAST(conv_id AS VARCHAR) AS id, string_agg(CASE role WHEN 'user' TH
   arg_min(text, first) FILTER (role = 'user') AS first_user, count(*) FILTER (role = 'user') AS message_count FROM runs GROUP BY conv_id)"""
 
 
-@query("ingest_grok", f"{_RUNS} SELECT id, 'grok' AS agent, {sql.truncated('first_user', 100)} AS title, '/g/' || id AS directory, content, message_count, false AS yolo FROM g WHERE first_user IS NOT NULL")
-def ingest_grok(spark, sf):
-    t, root = _conv(spark, sf), scratch(spark, "grok")
+def grok_files(spark, sf, root: str, which: Column | None = None) -> None:
+    t = _conv(spark, sf)
+    t = t if which is None else t.where(which)
     name = F.when(user(), "user_message_chunk").when(F.col("role") == "assistant", "agent_message_chunk").otherwise("tool_call")
     half = F.when(F.col("n") == 0, F.substring("text", 1, 30)).otherwise(F.expr("substring(text, 31)"))
     line = _json(_obj(update=_obj(sessionUpdate=name, content=_obj(text=half))).alias("params"))
@@ -182,6 +211,12 @@ def ingest_grok(spark, sf):
     land(chunks.select(F.col("sid").alias("dir"), F.lit("updates.jsonl").alias("file"), (F.col("turn") * 2 + F.col("n")).alias("seq"), line.alias("line")), root, "dir")
     summary = _json(_obj(id=F.col("sid"), cwd=F.concat(F.lit("/g/"), "sid")).alias("info"), F.lit("2024-01-01T00:00:00Z").alias("created_at"))
     land(_heads(t).select(F.col("sid").alias("dir"), F.lit("summary.json").alias("file"), F.lit(0).alias("seq"), summary.alias("line")), root, "dir")
+
+
+@query("ingest_grok", f"{_RUNS} SELECT id, 'grok' AS agent, {sql.truncated('first_user', 100)} AS title, '/g/' || id AS directory, content, message_count, false AS yolo FROM g WHERE first_user IS NOT NULL")
+def ingest_grok(spark, sf):
+    root = scratch(spark, "grok")
+    grok_files(spark, sf, root)
     return agents.sessions_of("grok", agents.ingest_grok(spark, root)).select(KEPT)
 
 
@@ -223,47 +258,67 @@ def ingest_kimi(spark, sf):
 _EVERY = "FILTER (role IN ('user', 'assistant')) AS content"
 
 
-@query("ingest_opencode", _oracle("opencode", "'open ' || id", "'/o'", "true", where="true").replace(_EVERY, "AS content"))
-def ingest_opencode(spark, sf):
+def opencode_tables(spark, sf) -> tuple[DataFrame, ...]:
     t = _conv(spark, sf)
     at = (F.col("conv_id") * 1000 + F.col("turn") + 1704067200000).alias("time_created")
     s = _heads(t).select(F.col("sid").alias("id"), F.concat(F.lit("open "), "sid").alias("title"), F.lit("/o").alias("directory"), (F.col("conv_id") * 1000 + 1704067200000).alias("time_created"), (F.col("conv_id") * 1000 + 1704067200007).alias("time_updated"))
     message_id = F.concat_ws("-", "sid", F.col("turn").cast("string"))
     m = t.select(message_id.alias("id"), F.col("sid").alias("session_id"), at, _json(F.col("role")).alias("data"))
     p = t.select(F.concat(message_id, F.lit("-p")).alias("id"), message_id.alias("message_id"), F.col("sid").alias("session_id"), at, _json(F.lit("text").alias("type"), F.col("text")).alias("data"))
-    return agents.sessions_of("opencode", agents.ingest_opencode(s, m, p)).select(KEPT)
+    return s, m, p
 
 
-@query("ingest_antigravity", _oracle("antigravity", sql.truncated("first_user", 100), "''", "role = 'user'"))
-def ingest_antigravity(spark, sf):
-    t, root = _conv(spark, sf), scratch(spark, "antigravity")
+@query("ingest_opencode", _oracle("opencode", "'open ' || id", "'/o'", "true", where="true").replace(_EVERY, "AS content"))
+def ingest_opencode(spark, sf):
+    return agents.sessions_of("opencode", agents.ingest_opencode(*opencode_tables(spark, sf))).select(KEPT)
+
+
+def antigravity_files(spark, sf, root: str) -> None:
+    t = _conv(spark, sf)
     request = _json(F.lit("USER_EXPLICIT").alias("source"), F.lit("USER_INPUT").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("created_at"), F.concat(F.lit("<USER_REQUEST>"), text(), F.lit("</USER_REQUEST>")).alias("content"))
     model = _json(F.lit("MODEL").alias("source"), F.lit("PLANNER_RESPONSE").alias("type"), F.lit("2024-01-02T00:00:00Z").alias("created_at"), F.lit("").alias("content"), text().alias("thinking"))
     history = _json(F.lit("USER").alias("source"), F.lit("EPHEMERAL_MESSAGE").alias("type"), text().alias("content"))
     line = F.when(user(), request).when(F.col("role") == "assistant", model).otherwise(history)
     land(t.select(F.col("sid").alias("dir"), F.lit("system").alias("dir2"), F.lit("logs").alias("dir3"), F.lit("transcript.jsonl").alias("file"), F.col("turn").alias("seq"), line.alias("line")), root, "dir", "dir2", "dir3")
+
+
+@query("ingest_antigravity", _oracle("antigravity", sql.truncated("first_user", 100), "''", "role = 'user'"))
+def ingest_antigravity(spark, sf):
+    root = scratch(spark, "antigravity")
+    antigravity_files(spark, sf, root)
     return agents.sessions_of("antigravity", agents.ingest_antigravity(spark, root)).select(KEPT)
 
 
-_EACH = ("ingest_claude", "ingest_codex")
+_FILES = {
+    "antigravity": antigravity_files, "claude": claude_files, "codex": codex_files, "copilot-cli": copilot_cli_files, "copilot-vscode": copilot_vscode_files,
+    "grok": grok_files, "kimi": kimi_files, "pi": pi_files, "vibe": vibe_files,
+}
+_TABLES = {"crush": crush_tables, "cursor": cursor_tables, "opencode": opencode_tables}
 
 
-@query("ingest_all", " UNION ALL ".join(f"SELECT * FROM ({ORACLE_SQL[n]})" for n in _EACH))
+def _key(agent: str) -> str:
+    return "ingest_" + agent.replace("-", "_")
+
+
+@query("ingest_all", " UNION ALL ".join(f"SELECT * FROM ({ORACLE_SQL[_key(a)]})" for a in (*_FILES, *_TABLES)))
 def ingest_all(spark, sf):
-    roots = {"claude": scratch(spark, "claude"), "codex": scratch(spark, "codex")}
-    claude_files(spark, sf, roots["claude"])
-    codex_files(spark, sf, roots["codex"])
-    return agents.ingest_all(spark, roots).select(KEPT)
+    """All twelve sources as one plan."""
+    roots = {a: scratch(spark, a) for a in _FILES}
+    for a, make in _FILES.items():
+        make(spark, sf, roots[a])
+    return agents.ingest_all(spark, roots, {a: make(spark, sf) for a, make in _TABLES.items()}).select(KEPT)
 
 
-@query("list_files", """SELECT 'claude' AS agent, CAST(conv_id AS VARCHAR) || '.jsonl' AS file FROM conversations GROUP BY conv_id""")
+@query("list_files", """SELECT 'claude' AS agent, CAST(conv_id AS VARCHAR) AS session_id, CAST(conv_id AS VARCHAR) || '.jsonl' AS file FROM conversations GROUP BY conv_id""")
 def list_files(spark, sf):
-    from sessionlake.sources.scan import FileRule, list_source_files
+    from sessionlake.sources.scan import RULES, list_source_files
 
     root = scratch(spark, "list")
     claude_files(spark, sf, root)
-    files = list_source_files(spark, root, FileRule("claude", "part-*.txt")).where("size > 0")
-    return files.select("agent", F.regexp_extract("path", "file=([^/]*)/", 1).alias("file"))
+    t = _conv(spark, sf)
+    # a side chain's file, which the rule leaves out
+    land(_rows(_heads(t), F.lit(0), F.lit("{}"), F.concat(F.lit("agent-"), "sid", F.lit(".jsonl"))), root)
+    return list_source_files(spark, root, RULES["claude"]).select("agent", "session_id", F.regexp_extract("path", "([^/]*)$", 1).alias("file"))
 
 
 @query("scan_jsonl", f"""WITH {sql.V_HEALTH}, n AS (SELECT path, ok, row_number() OVER (PARTITION BY path ORDER BY line_no) - 1 AS line_no, line_no AS turn FROM v_health)

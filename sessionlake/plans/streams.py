@@ -8,9 +8,10 @@ from sessionlake.functions.paths import stem
 from sessionlake.operators import refresh
 from sessionlake.plans import sql, views
 from sessionlake.plans.queries import _SNAPSHOT, ORACLE_SQL, _log, query
-from sessionlake.plans.roundtrip import KEPT, claude_files, land
+from sessionlake.plans.roundtrip import KEPT, claude_files, grok_files, land
 from sessionlake.sources.agents import ingest_claude, sessions_of
 from sessionlake.sources.scratch import scratch
+from sessionlake.streaming import incremental
 from sessionlake.streaming import refresh as stream
 
 
@@ -46,6 +47,19 @@ def stream_retain(spark, sf):
     return stream.refresh_once(spark, root, out, "claude", _parse, stem(F.col("path"))).select(KEPT)
 
 
+@query("refresh_incremental", f"""SELECT *, CAST(conv_id % 2 AS BIGINT) AS wave FROM (SELECT *, CAST(id AS BIGINT) AS conv_id FROM ({ORACLE_SQL["ingest_claude"]}) UNION ALL SELECT *, CAST(id AS BIGINT) FROM ({ORACLE_SQL["ingest_grok"]}))""".replace("SELECT *, CAST(conv_id % 2", "SELECT * EXCLUDE (conv_id), CAST(conv_id % 2"))
+def refresh_incremental(spark, sf):
+    """Half of the sessions of two sources, then the rest: the second run parses only what came. `wave` is the run that put a session."""
+    roots, out = {a: scratch(spark, f"in-{a}") for a in ("claude", "grok")}, scratch(spark, "incremental-out")
+    for half in (0, 1):
+        kept = F.col("conv_id") % 2 == half
+        claude_files(spark, sf, roots["claude"], kept)
+        grok_files(spark, sf, roots["grok"], kept)
+        incremental.refresh_incremental(spark, roots, out)
+    log = stream.read_log(spark, out).groupBy("agent", "id").agg((F.max("version") >= 2).cast("long").alias("wave"))
+    return stream.read_snapshot(spark, out).join(log, ["agent", "id"]).select(*KEPT, "wave")
+
+
 @query("upsert_sessions", _SNAPSHOT)
 def upsert_sessions(spark, sf):
     """The log as committed batches on disk, read back as a snapshot."""
@@ -66,12 +80,11 @@ def delete_sessions(spark, sf):
 
 @query("rebuild_roundtrip", sql.with_sessions("SELECT id, agent, title, directory, timestamp, content, message_count, mtime, yolo, false AS changed FROM v_sessions"))
 def rebuild_roundtrip(spark, sf):
-    """A full rebuild, compacted to a new log; an incremental scan after it finds nothing changed."""
-    out, fresh = scratch(spark, "rebuild"), scratch(spark, "compact")
-    current = refresh.dedupe_sessions(views.sessions(spark, sf))
-    counts = spark.range(1).select(*[F.lit(0).cast("long").alias(c) for c in ("files", "upserts", "retained", "deletes")])
-    stream.commit_batch(refresh.log_rows(current, 0), counts, out, 0)
-    stream.compact(spark, out, fresh)
-    snapshot = stream.read_snapshot(spark, fresh)
+    """A full rebuild over an empty one, then compacted; an incremental scan after it finds nothing changed."""
+    out = scratch(spark, "rebuild")
+    stream.rebuild(spark, out, refresh.dedupe_sessions(views.sessions(spark, sf)).limit(0))
+    stream.rebuild(spark, out, refresh.dedupe_sessions(views.sessions(spark, sf)))
+    stream.compact(spark, out)
+    snapshot = stream.read_snapshot(spark, out)
     changed = refresh.detect_changes(views.listed(spark, sf), snapshot.select("agent", "id", "mtime")).select("agent", "id", F.lit(True).alias("changed"))
     return snapshot.join(changed, refresh.KEY, "left").withColumn("changed", F.coalesce("changed", F.lit(False)))

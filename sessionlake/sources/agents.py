@@ -12,17 +12,18 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionlake.functions.json import content_texts, get, is_kind, tool_summaries, typed_texts
+from sessionlake.functions.json import content_texts, get, is_kind, is_strict_json, tool_summaries, typed_texts
 from sessionlake.functions.paths import absolute_dir, path_id, uri_to_path
 from sessionlake.functions.text import blank_to_null, truncate_title
 from sessionlake.functions.times import any_ts, epoch_ts, parse_iso
-from sessionlake.model import SESSION_COLUMNS, configure
+from sessionlake.model import SESSION_COLUMNS, SESSIONS, configure
 from sessionlake.operators.messages import HISTORY_EVENTS, coalesce_chunks, fold_history, fold_rewinds, project_commands, rendered, shell_input, unwrap_request
 from sessionlake.operators.refresh import activity_marker, dedupe_sessions, latest_lookup
 from sessionlake.sources.scan import RULES, prefer_file, scan_files, scan_json_docs, scan_jsonl
+from sessionlake.sources.scratch import scratch
 
 PARTS = 1_000_000  # a record's parts are numbered within its line
 
@@ -107,9 +108,30 @@ def _file_time() -> Column:
     return F.timestamp_micros((F.col("mtime") * 1_000_000).cast("long"))
 
 
+def claude_index(spark: SparkSession, root: str | DataFrame) -> DataFrame:
+    """(session_id, summary, modified, file_mtime, index_mtime) of the entries with a summary in the folders' sessions-index.json files; of one session the latest file's last."""
+    docs = scan_json_docs(configure(spark), root, "sessions-index.json")
+    each = docs.select("path", "mtime", F.posexplode(F.try_variant_get("rec", "$.entries", "array<variant>")).alias("n", "e"))
+    entry = each.select(
+        F.col("e").isNotNull().alias("valid"), _plain(F.col("e"), "$.sessionId").alias("session_id"), F.trim(_plain(F.col("e"), "$.summary")).alias("summary"), _plain(F.col("e"), "$.modified").alias("modified"),
+        F.try_variant_get("e", "$.fileMtime", "double").alias("file_mtime"), F.col("mtime").alias("index_mtime"), F.struct("mtime", "path", "n").alias("place"),
+    ).where((F.col("session_id") != "") & F.col("summary").rlike(r"\S"))
+    fields = ("summary", "modified", "file_mtime", "index_mtime")
+    return entry.groupBy("session_id").agg(F.max_by(F.struct(*fields), "place").alias("e")).select("session_id", *[f"e.{c}" for c in fields])
+
+
+def codex_names(spark: SparkSession, root: str | DataFrame) -> DataFrame:
+    """(id, line_no, thread_name, updated_at, valid, deleted) of the lines of session_index.jsonl under `root`; without a time of its own a line has its file's."""
+    r = scan_jsonl(configure(spark), root, "session_index.jsonl")
+    name, at = F.trim(_plain(F.col("rec"), "$.thread_name")), _plain(F.col("rec"), "$.updated_at")
+    known = F.coalesce((_plain(F.col("rec"), "$.id") != "") & name.rlike(r"\S"), F.lit(False))
+    return r.select(_plain(F.col("rec"), "$.id").alias("id"), "line_no", name.alias("thread_name"), F.when(parse_iso(at).isNotNull(), at).otherwise(F.col("mtime").cast("decimal(20,6)").cast("string")).alias("updated_at"), known.alias("valid"), F.lit(False).alias("deleted"))
+
+
 def ingest_claude(spark: SparkSession, root: str | DataFrame, id_rule: str | None = None, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """`index` (session_id, summary, modified, file_mtime ms, index_mtime): the sidecar's entries."""
+    """`index` (session_id, summary, modified, file_mtime ms, index_mtime): the sidecars' entries; read from the files under `root` by default."""
     r = _jsonl(spark, root, "claude", id_rule)
+    index = claude_index(spark, root) if index is None else index
     kind, content = get(F.col("rec"), "$.type"), F.try_variant_get("rec", "$.message.content", "variant")
     user, string = kind == "user", is_kind(content, "STRING")
     noisy = F.coalesce(get(F.col("rec"), "$.isMeta", "boolean"), F.lit(False)) | F.startswith(get(content, "$"), F.lit("<command")) | F.startswith(get(content, "$"), F.lit("<local-command"))
@@ -119,16 +141,15 @@ def ingest_claude(spark: SparkSession, root: str | DataFrame, id_rule: str | Non
     long = F.when(string, F.char_length(get(content, "$")) > 10).otherwise(True)
     rows = _texts(r.where(kind.isin("user", "assistant")), ["session_id"], texts, F.when(user, "user").otherwise("assistant"), turn, user & long)
     facts = r.groupBy("session_id").agg(F.max("mtime").alias("mtime"), _first(F.when(user, get(F.col("rec"), "$.cwd"))).alias("cwd"), _last(blank_to_null(F.when(kind == "ai-title", get(F.col("rec"), "$.aiTitle")))).alias("ai_title"))
-    if index is None:
-        return _messages("claude", rows), _attrs("claude", facts, F.col("ai_title"), F.col("cwd"), _file_time())
     both = facts.join(index, "session_id", "left")
     marker = F.greatest("mtime", "index_mtime", F.unix_micros(parse_iso(F.col("modified"))) / 1_000_000, F.col("file_mtime") / 1000)
     return _messages("claude", rows), _attrs("claude", both, F.coalesce(blank_to_null(F.col("summary")), "ai_title"), F.col("cwd"), _file_time(), mtime=marker)
 
 
 def ingest_codex(spark: SparkSession, root: str | DataFrame, id_rule: str | None = None, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """`names` (id, line_no, thread_name, updated_at, valid, deleted): the thread index, last entry first."""
+    """`names` (id, line_no, thread_name, updated_at, valid, deleted): the thread index, last entry first; read from the file under `root` by default."""
     r = _jsonl(spark, root, "codex", id_rule)
+    names = codex_names(spark, root) if names is None else names
     kind, inner = get(F.col("rec"), "$.type"), get(F.col("rec"), "$.payload.type")
     ids = r.groupBy("session_id").agg(
         F.max("mtime").alias("mtime"), _first(F.when(kind == "session_meta", get(F.col("rec"), "$.payload.id"))).alias("header"), _first(F.when(kind == "session_meta", get(F.col("rec"), "$.payload.cwd"))).alias("cwd"),
@@ -143,11 +164,9 @@ def ingest_codex(spark: SparkSession, root: str | DataFrame, id_rule: str | None
     real = ids.select("session_id", F.coalesce("header", "session_id").alias("real"))
     rows = rows.join(real, "session_id").drop("session_id").withColumnRenamed("real", "session_id")
     facts = ids.withColumn("session_id", F.coalesce("header", "session_id"))
-    if names is not None:
-        latest = latest_lookup(names).select(F.col("id").alias("session_id"), "thread_name", "updated_at")
-        facts = facts.join(latest, "session_id", "left").withColumn("mtime", F.greatest("mtime", F.unix_micros(any_ts(F.col("updated_at"))) / 1_000_000))
-    title = F.col("thread_name") if names is not None else None
-    return _messages("codex", rows), _attrs("codex", facts, title, F.col("cwd"), _file_time(), F.col("yolo"))
+    latest = latest_lookup(names).select(F.col("id").alias("session_id"), "thread_name", "updated_at")
+    facts = facts.withColumn("at", _file_time()).join(latest, "session_id", "left").withColumn("mtime", F.greatest("mtime", F.unix_micros(any_ts(F.col("updated_at"))) / 1_000_000))
+    return _messages("codex", rows), _attrs("codex", facts, F.col("thread_name"), F.col("cwd"), F.col("at"), F.col("yolo"))
 
 
 def ingest_copilot_cli(spark: SparkSession, root: str | DataFrame, id_rule: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -203,33 +222,56 @@ def ingest_crush(sessions: DataFrame, messages: DataFrame, project: Column | Non
     return _messages("crush", rows), _attrs("crush", kept, F.col("title"), project, at, mtime=F.unix_micros(at) / 1_000_000)
 
 
+def _cursor_records(blobs: DataFrame) -> DataFrame:
+    """(session_id, at, rec): records of blobs and all records nested in them; `at` orders them, an inner one before the one that holds it."""
+    sliced = F.regexp_extract("value", r"(?s)(\{.*\})", 1)
+    text = F.when(is_strict_json(F.col("value")), F.col("value")).when(is_strict_json(sliced), sliced)
+    level = blobs.select("session_id", F.array(F.col("seq").cast("long")).alias("path"), F.try_parse_json(text).alias("rec"))
+    found = []
+    # one level of nesting at a time, until none is left
+    while True:
+        found.append(level.select("session_id", F.array_append("path", F.lit(2).cast("long")).alias("at"), "rec"))
+        inner = []
+        for n, name in enumerate(("messages", "conversation")):
+            items = level.select("session_id", "path", F.posexplode(F.try_variant_get("rec", f"$.{name}", "array<variant>")).alias("i", "rec"))
+            inner.append(items.select("session_id", F.concat("path", F.array(F.lit(n).cast("long"), F.col("i").cast("long"))).alias("path"), "rec"))
+        level = inner[0].unionByName(inner[1])
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
 def ingest_cursor(meta: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Landed key-value tables of chats: meta(session_id, key, value, mtime, directory), blobs(session_id, seq, value), values JSON.
 
-    A record that holds messages or a conversation is taken apart, two levels deep.
+    A record that holds messages or a conversation is taken apart, at any depth. Around a JSON object other
+    text is passed over; a text that is none, but ends in $ and an id, is what a user typed.
     """
-    v = blobs.select("session_id", F.col("seq").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.try_parse_json("value").alias("rec"))
-
-    def inner(df: DataFrame, name: str) -> DataFrame:
-        held = F.coalesce(F.try_variant_get("rec", "$.messages", "array<variant>"), F.try_variant_get("rec", "$.conversation", "array<variant>"))
-        return df.where(held.isNotNull()).select("session_id", "a", F.posexplode(held).alias(name, "rec")).select("session_id", "a", F.col(name).cast("long").alias("b"), "rec")
-
-    every = v.unionByName(inner(v, "i")).unionByName(inner(inner(v, "i"), "j"))
-    raw = F.lower(F.coalesce(get(F.col("rec"), "$.role"), get(F.col("rec"), "$.type")))
-    role = F.when(raw.isin("user", "1"), "user").when(raw.isin("assistant", "ai", "2"), "assistant")
-    body = F.coalesce(*[F.try_variant_get("rec", f"$.{k}", "variant") for k in ("text", "content", "parts")])
-    text = F.array_join(content_texts(body), "\n")
-    own = every.withColumn("line_no", F.col("a") * 10_000 + F.col("b")).where(role.isNotNull() & (text != ""))
-    user = role == "user"
-    rows = _texts(own, ["session_id"], F.array(text), role, user, user & text.rlike(r"\S"), any_ts(F.coalesce(get(F.col("rec"), "$.timestamp"), get(F.col("rec"), "$.createdAt"))))
+    rec = F.col("rec")
+    every = _cursor_records(blobs)
+    named, kind = _plain(rec, "$.role"), F.try_variant_get("rec", "$.type", "variant")
+    number = F.when(is_kind(kind, "BIGINT"), get(rec, "$.type"))
+    word = _plain(rec, "$.type")
+    role = F.when(named.isin("user", "assistant"), named).when((number == "1") | (word == "user"), "user").when((number == "2") | word.isin("ai", "assistant"), "assistant")
+    parts = F.transform(F.try_variant_get("rec", "$.content", "array<variant>"), lambda p: F.coalesce(_plain(p, "$.text"), _plain(p, "$.data")))
+    text = F.coalesce(_plain(rec, "$.text"), _plain(rec, "$.content"), F.array_join(F.filter(parts, lambda t: t.isNotNull()), "\n"), F.lit(""))
+    said = every.select("session_id", "at", role.alias("role"), text.alias("text"), any_ts(get(rec, "$.timestamp")).alias("ts")).where(F.col("role").isNotNull() & F.col("text").rlike(r"\S"))
+    typed = F.regexp_extract("value", r"(?s)^[\s\x00]*(.*)\$[\p{Cntrl}\s]*([^$]*?)[\p{Cntrl}\s]*$", 1)
+    ident = F.regexp_extract("value", r"(?s)^[\s\x00]*(.*)\$[\p{Cntrl}\s]*([^$]*?)[\p{Cntrl}\s]*$", 2)
+    plain = ~is_strict_json(F.col("value")) & typed.rlike(r"\S") & (F.octet_length(ident) >= 8) & F.contains(ident, F.lit("-"))
+    old = blobs.where(plain).select("session_id", F.array(F.col("seq").cast("long")).alias("at"), F.lit("user").alias("role"), F.regexp_replace(typed, r"^[\p{Cntrl}\s]+|[\p{Cntrl}\s]+$", "").alias("text"), F.lit(None).cast("timestamp").alias("ts"))
+    own = said.unionByName(old).withColumn("line_no", F.row_number().over(Window.partitionBy("session_id").orderBy("at")))
+    user = F.col("role") == "user"
+    rows = _texts(own, ["session_id"], F.array("text"), F.col("role"), user, user, F.col("ts"))
+    names = every.select("session_id", "at", F.coalesce(_plain(rec, "$.name"), _plain(rec, "$.title")).alias("name"), any_ts(get(rec, "$.createdAt")).alias("made"))
+    names = names.groupBy("session_id").agg(_first(F.col("name"), "at").alias("name"), F.min_by("made", F.when(F.col("made").isNotNull(), F.col("at"))).alias("made"))
     doc = F.try_parse_json("value")
     facts = meta.groupBy("session_id").agg(
         F.max("mtime").alias("mtime"), F.max(blank_to_null(F.coalesce(get(doc, "$.name"), get(doc, "$.title")))).alias("title"),
         F.coalesce(F.max(F.nullif(F.coalesce(get(doc, "$.cwd"), get(doc, "$.workspace")), F.lit(""))), F.max(absolute_dir(F.col("directory")))).alias("cwd"), F.max(epoch_ts(get(doc, "$.createdAt"))).alias("created"),
     )
     latest = rows.groupBy("session_id").agg(F.max("ts").alias("last"))
-    facts = facts.join(latest, "session_id", "left")
-    return _messages("cursor", rows), _attrs("cursor", facts, F.col("title"), F.col("cwd"), F.coalesce("last", "created"))
+    facts = facts.join(latest, "session_id", "left").join(names, "session_id", "left")
+    return _messages("cursor", rows), _attrs("cursor", facts, F.coalesce("title", blank_to_null(F.col("name"))), F.col("cwd"), F.coalesce("last", "created", "made"))
 
 
 def ingest_grok(spark: SparkSession, root: str | DataFrame, id_rule: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -252,7 +294,7 @@ def ingest_grok(spark: SparkSession, root: str | DataFrame, id_rule: str | None
     user = F.col("kind") == "user"
     rows = _texts(kept, ["session_id"], F.array("text"), F.when(user, "user").otherwise("assistant"), user, user & F.col("text").rlike(r"\S"))
     docs = scan_json_docs(spark, root, "summary.json").where("rec is not null")
-    docs = docs.select(F.coalesce(F.nullif(get(F.col("rec"), "$.info.id"), F.lit("")), path_id(F.col("path"), "parent")).alias("session_id"), "rec", F.col("mtime").alias("m1"), absolute_dir(path_id(F.col("path"), "grandparent")).alias("place"))
+    docs = docs.select(path_id(F.col("path"), "parent").alias("session_id"), "rec", F.col("mtime").alias("m1"), absolute_dir(path_id(F.col("path"), "grandparent")).alias("place"))
     last = chunks.groupBy("session_id").agg(F.max("ts").alias("last")).join(r.groupBy("session_id").agg(F.max("mtime").alias("m2")), "session_id")
     facts = docs.join(last, "session_id")
     at = F.coalesce("last", *[any_ts(get(F.col("rec"), f"$.{k}")) for k in ("updated_at", "last_active_at", "created_at")])
@@ -481,6 +523,8 @@ def ingest_all(spark: SparkSession, roots: dict[str, str], landed: dict[str, tup
     parts = [sessions_of(agent, FILE_SOURCES[agent](spark, root)) for agent, root in roots.items()]
     jobs = {"crush": ingest_crush, "cursor": ingest_cursor, "opencode": ingest_opencode}
     parts += [sessions_of(agent, jobs[agent](*tables)) for agent, tables in (landed or {}).items()]
-    return dedupe_sessions(reduce(DataFrame.unionByName, parts))
+    path = scratch(spark, "ingested")
+    reduce(DataFrame.unionByName, parts).write.parquet(path)
+    return dedupe_sessions(spark.read.schema(SESSIONS).parquet(path))
 
 

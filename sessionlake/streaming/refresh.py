@@ -5,10 +5,14 @@ and appended to `log/batch_id=<n>`, written over if the batch is retried. A row
 in `metrics/batch_id=<n>` follows; a batch without it is not committed and
 readers do not see it. The file source reads a path once, so sources land new
 versions of a file under new folders; deletes come from listing jobs only.
+
+All of it lies in a generation. Compaction and rebuilds write a new one and then
+switch the pointer `CURRENT` to it, so readers see the old or the new one whole.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,42 +25,75 @@ from sessionlake.sources.scan import file_health, source_path
 
 BATCH_FILES = 500
 EVERY = "1 second"
+#: Batches after which the log is compacted.
+COMPACT_EVERY = 10_000
 METRICS = "files bigint, upserts bigint, retained bigint, deletes bigint"
 
 #: files (path, mtime, size, value) -> sessions, their id being the file's session_id
 Parser = Callable[[DataFrame], DataFrame]
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def current(spark: SparkSession, out: str) -> str:
+    """Folder of the current generation: the one that `CURRENT` names, `out` itself before the first switch."""
+    fs, p = _fs(spark, f"{out}/CURRENT")
+    if not fs.exists(p):
+        return out
+    return f"{out}/{spark.read.text(f'{out}/CURRENT').first().value}"
+
+
+def switch(spark: SparkSession, out: str, generation: str) -> None:
+    """Make `generation`, a complete folder under `out`, the current one."""
+    fs, p = _fs(spark, f"{out}/CURRENT")
+    _, new = _fs(spark, f"{out}/CURRENT-{uuid.uuid4().hex}")
+    stream = fs.create(new)
+    stream.write(bytearray(generation.encode()))
+    stream.close()
+    # contexts rename over an existing file in one step
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(new), fs.makeQualified(p), overwrite)
+
+
 def read_log(spark: SparkSession, out: str) -> DataFrame:
     """The session log of committed batches; empty before the first."""
-    log = _table(spark, f"{out}/log", SESSION_LOG)
-    done = _table(spark, f"{out}/metrics", METRICS).select("batch_id").distinct()
-    return log.join(F.broadcast(done), "batch_id", "left_semi").drop("batch_id")
+    base = current(spark, out)
+    log = _table(spark, f"{base}/log", SESSION_LOG)
+    done = _table(spark, f"{base}/metrics", METRICS).select("batch_id").distinct()
+    return log.join(done, "batch_id", "left_semi").drop("batch_id")
 
 
-def read_snapshot(spark: SparkSession, out: str) -> DataFrame:
-    """Current sessions."""
-    return latest_snapshot(read_log(spark, out)).select(SESSION_COLUMNS)
+def read_snapshot(spark: SparkSession, out: str, keys: DataFrame | None = None) -> DataFrame:
+    """Current sessions; of `keys` (agent, id), few enough to broadcast, alone if they are given."""
+    log = read_log(spark, out)
+    if keys is not None:
+        log = log.join(F.broadcast(keys.select(*KEY)), KEY, "left_semi")
+    return latest_snapshot(log).select(SESSION_COLUMNS)
 
 
 def read_metrics(spark: SparkSession, out: str) -> DataFrame:
-    return _table(spark, f"{out}/metrics", METRICS)
+    return _table(spark, f"{current(spark, out)}/metrics", METRICS)
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     full = f"{schema}, batch_id bigint"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
         return spark.createDataFrame([], full)
     return spark.read.schema(full).parquet(path)
 
 
-def batch_changes(files: DataFrame, sessions: DataFrame, snapshot: DataFrame, agent: str, session_id, version: int) -> tuple[DataFrame, DataFrame]:
+def batch_changes(files: DataFrame, sessions: DataFrame, snapshot: Callable[[DataFrame], DataFrame], agent: str, session_id, version: int) -> tuple[DataFrame, DataFrame]:
     """(log rows, outcomes) of a batch: what the health gate lets through, as puts or removals.
 
     Of several versions of one session in a batch the last file counts. A
-    retained file leaves the snapshot's row as it is.
+    retained file leaves the snapshot's row as it is. `snapshot` gives the
+    current rows of the keys that it is asked for.
     """
     named = files.select("path", "mtime", session_id.alias("id")).groupBy("id").agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
     health = named.join(file_health(files), "path")
@@ -65,7 +102,8 @@ def batch_changes(files: DataFrame, sessions: DataFrame, snapshot: DataFrame, ag
     gated = gate_outcome(health.join(parsed, "id", "left").withColumn("parsed", F.coalesce("parsed", F.lit(False))).withColumn("usable", F.col("parsed")))
     outcomes = gated.select(F.lit(agent).alias("agent"), "id", "outcome")
     puts = log_rows(sessions.join(outcomes.where("outcome = 'session'").select(*KEY), KEY, "left_semi"), version)
-    gone = outcomes.where("outcome = 'delete'").join(snapshot.select(*KEY), KEY, "left_semi")
+    gone = outcomes.where("outcome = 'delete'")
+    gone = gone.join(snapshot(gone).select(*KEY), KEY, "left_semi")
     return puts.unionByName(log_rows(gone, version, "delete")), outcomes
 
 
@@ -90,17 +128,18 @@ def start_refresh(spark: SparkSession, root: str, out: str, agent: str, parse: P
         if files.isEmpty():
             return
         session = files.sparkSession
-        snapshot = read_snapshot(session, out)
         files = files.persist()
         try:
-            rows, outcomes = batch_changes(files, parse(files), snapshot, agent, session_id, batch_id)
+            rows, outcomes = batch_changes(files, parse(files), lambda keys: read_snapshot(session, out, keys), agent, session_id, batch_id)
             counts = outcomes.agg(
                 F.count("*").alias("files"), F.count_if(F.col("outcome") == "session").alias("upserts"),
                 F.count_if(F.col("outcome") == "retain").alias("retained"), F.count_if(F.col("outcome") == "delete").alias("deletes"),
             )
-            commit_batch(rows, counts, out, batch_id)
+            commit_batch(rows, counts, current(session, out), batch_id)
         finally:
             files.unpersist()
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            compact(session, out)
 
     writer = stream_files(spark, root, batch_files).writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{out}/checkpoint")
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
@@ -113,7 +152,22 @@ def refresh_once(spark: SparkSession, root: str, out: str, agent: str, parse: Pa
     return read_snapshot(spark, out)
 
 
-def compact(spark: SparkSession, out: str, to: str) -> None:
-    """Write the snapshot as a fresh log under `to`; readers switch to it when it is complete."""
-    rows = log_rows(read_snapshot(spark, out), 0)
-    commit_batch(rows, rows.agg(F.count("*").alias("files"), F.count("*").alias("upserts"), F.lit(0).cast("long").alias("retained"), F.lit(0).cast("long").alias("deletes")), to, 0)
+def _fresh(spark: SparkSession, sessions: DataFrame, to: str) -> None:
+    rows = log_rows(sessions, 0)
+    none = F.lit(0).cast("long")
+    commit_batch(rows, rows.agg(F.count("*").alias("files"), F.count("*").alias("upserts"), none.alias("retained"), none.alias("deletes")), to, 0)
+
+
+def rebuild(spark: SparkSession, out: str, sessions: DataFrame) -> None:
+    """Replace everything by `sessions`, one row per key: a new generation, then the switch to it."""
+    generation = f"generation-{uuid.uuid4().hex}"
+    _fresh(spark, sessions, f"{out}/{generation}")
+    switch(spark, out, generation)
+
+
+def compact(spark: SparkSession, out: str, to: str | None = None) -> None:
+    """Write the snapshot as a fresh log: a new generation of `out`, or the folder `to`."""
+    if to is None:
+        rebuild(spark, out, read_snapshot(spark, out))
+    else:
+        _fresh(spark, read_snapshot(spark, out), to)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,9 +85,10 @@ def test_landed_tables(spark):
     r = only(agents.sessions_of("crush", agents.ingest_crush(s, m)))
     assert (r.id, r.title, r.content, r.message_count) == ("c1", "question", "» question\n\n  [calling ls]", 2)
     meta = spark.createDataFrame([("k", "m", '{"name":"Chat","createdAt":1704067200000}', 9.0, "%2Fw")], "session_id string, key string, value string, mtime double, directory string")
-    blobs = spark.createDataFrame([("k", 0, '{"role":"user","content":[{"type":"text","text":"hi"}]}'), ("k", 1, '{"conversation":[{"type":2,"text":"yo"},{"messages":[{"role":"user","text":"deep"}]}]}'), ("k", 2, "junk")], "session_id string, seq bigint, value string")
+    blobs = spark.createDataFrame([("k", 0, '{"role":"user","content":[{"type":"text","text":"hi"}]}'), ("k", 1, '{"conversation":[{"type":2,"text":"yo"},{"messages":[{"role":"user","text":"deep"}]}]}'), ("k", 2, "junk"), ("k", 3, 'x{"role":"assistant","content":"sliced"}y'), ("k", 4, "typed text$0123-4567"), ("k", 5, '{"messages":[{"conversation":[{"messages":[{"role":"user","text":"bottom"}],"type":1,"text":"above"}]}]}'), ("k", 6, '{"type":"1","text":"no role"}')], "session_id string, seq bigint, value string")
     r = only(agents.sessions_of("cursor", agents.ingest_cursor(meta, blobs)))
-    assert (r.title, r.directory, r.message_count, r.mtime) == ("Chat", "/w", 2, 9.0) and {"» hi", "  yo", "» deep"} == set(r.content.split("\n\n"))
+    assert (r.title, r.directory, r.message_count, r.mtime) == ("Chat", "/w", 5, 9.0)
+    assert r.content.split("\n\n") == ["» hi", "  yo", "» deep", "  sliced", "» typed text", "» bottom", "» above"]
     s = spark.createDataFrame([("o", "", "/o", 1000, 2000)], "id string, title string, directory string, time_created bigint, time_updated bigint")
     m = spark.createDataFrame([("m1", "o", 1, '{"role":"user"}'), ("m2", "o", 2, '{"role":"assistant"}')], "id string, session_id string, time_created bigint, data string")
     p = spark.createDataFrame([("p2", "m1", "o", 9000, '{"type":"text","text":"b"}'), ("p1", "m1", "o", 1, '{"type":"text","text":"a"}'), ("p3", "m2", "o", 1, '{"type":"tool"}')], "id string, message_id string, session_id string, time_created bigint, data string")
@@ -261,3 +263,65 @@ def test_lines_of_files_over_the_limit_are_read(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == want
     assert [r.path.rsplit("/", 1)[-1] for r in scan.unread_files(spark, str(tmp_path), "*.jsonl").collect()] == ["big.jsonl"]
+
+
+def prompt(t):
+    return {"type": "user", "message": {"content": t}}
+
+
+def contents(spark, out):
+    return {(r.agent, r.id): r.content for r in stream.read_snapshot(spark, out).collect()}
+
+
+def test_incremental_refresh_parses_what_changed(spark, tmp_path):
+    from sessionlake.streaming.incremental import refresh_incremental
+
+    c, g, v, out = tmp_path / "claude", tmp_path / "grok", tmp_path / "vibe", str(tmp_path / "out")
+    for i in range(4):
+        write(c, f"p/s{i}.jsonl", prompt(f"the first version of {i}"))
+    write(c, "p/sessions-index.json", {"entries": [{"sessionId": "s0", "summary": "From the index"}, {"sessionId": "s1", "summary": " "}]})
+    write(g, "%2Fw/g1/updates.jsonl", chunk("user_message_chunk", "Hello"))
+    write(g, "%2Fw/g1/summary.json", {"info": {"id": "g1"}, "created_at": "2024-01-01T00:00:00Z"})
+    write(v, "session_1/meta.json", {"session_id": "v", "start_time": "2024-01-01T00:00:00"})
+    write(v, "session_1/messages.jsonl", {"role": "user", "content": "hello"})
+    roots = {"claude": str(c), "grok": str(g), "vibe": str(v)}
+    assert refresh_incremental(spark, roots, out, wave=2) == {"claude": 4, "grok": 2, "vibe": 2}
+    want = {**{("claude", f"s{i}"): f"» the first version of {i}" for i in range(4)}, ("grok", "g1"): "» Hello", ("vibe", "v"): "» hello"}
+    assert contents(spark, out) == want
+    assert {r.title for r in stream.read_snapshot(spark, out).where("id = 's0'").collect()} == {"From the index"}
+    assert refresh_incremental(spark, roots, out) == {"claude": 0, "grok": 0, "vibe": 0}
+
+    def later(path, *records):
+        write(path.parent, path.name, *records)
+        os.utime(path, (path.stat().st_mtime + 9,) * 2)
+
+    later(c / "p/s0.jsonl", prompt("the second version of 0"))
+    later(c / "p/s1.jsonl", prompt("the second version of 1"), "{torn")  # nothing good behind it: the old one stays
+    later(c / "p/s2.jsonl", {"type": "other"})  # clean, but no session any more
+    (c / "p/s3.jsonl").unlink()
+    later(g / "%2Fw/g1/updates.jsonl", chunk("user_message_chunk", "Hello again"))  # its summary did not change
+    later(v / "session_1/messages.jsonl", "{torn", {"role": "assistant", "content": "no user any more"})
+    assert refresh_incremental(spark, roots, out) == {"claude": 3, "grok": 2, "vibe": 2}
+    want = {("claude", "s0"): "» the second version of 0", ("claude", "s1"): "» the first version of 1", ("grok", "g1"): "» Hello again", ("vibe", "v"): "» hello"}
+    assert contents(spark, out) == want
+    # what was retained is tried again
+    assert refresh_incremental(spark, roots, out) == {"claude": 1, "grok": 0, "vibe": 2}
+    assert contents(spark, out) == want
+
+
+def test_a_new_generation_is_seen_only_when_it_is_current(spark, tmp_path):
+    out = str(tmp_path / "out")
+    first = parse_rows(spark, tmp_path / "a", "one")
+    stream.rebuild(spark, out, first)
+    before = stream.current(spark, out)
+    stream._fresh(spark, parse_rows(spark, tmp_path / "b", "two"), f"{out}/generation-x")
+    assert {r.id for r in stream.read_snapshot(spark, out).collect()} == {"one"}
+    stream.switch(spark, out, "generation-x")
+    assert {r.id for r in stream.read_snapshot(spark, out).collect()} == {"two"}
+    stream.compact(spark, out)
+    assert {r.id for r in stream.read_snapshot(spark, out).collect()} == {"two"} and stream.current(spark, out) not in (before, f"{out}/generation-x")
+
+
+def parse_rows(spark, root, name):
+    write(root, f"{name}.jsonl", prompt(f"a long enough prompt of {name}"))
+    return agents.sessions_of("claude", agents.ingest_claude(spark, str(root)))
