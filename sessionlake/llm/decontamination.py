@@ -254,11 +254,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     items are the ids of overlapping benchmark items (least id of equal items),
     ascending; an item is reported once. Documents without an overlap, empty
-    and null texts among them, have contaminated false and an empty list.
+    and null texts among them, have contaminated false and an empty list. Rows
+    that repeat a doc_id are one document, judged together and each returned; so
+    are the rows without one. Other columns are not read.
     """
     found = overlaps(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("matched").alias("matched"), F.array_sort(F.collect_set("item_id")).alias("items"))
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return docs.select("doc_id").join(found, "doc_id", "left").select(
+    found = found.withColumnRenamed("doc_id", "found_id")
+    return docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select(
         "doc_id",
         F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
@@ -268,6 +271,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of `docs` that overlap no benchmark item, with all their columns."""
-    found = overlaps(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Rows of `docs` that overlap no benchmark item, with all their columns; rows without a doc_id are one document."""
+    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("found_id")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti")

@@ -177,7 +177,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of `docs` (doc_id, text).
 
     `und` with score 0 if the text is null or has no letter, or if nothing was
-    learned. Whole texts; other columns are ignored.
+    learned. Whole texts; other columns are ignored. A prediction depends on the
+    text alone: repeated rows are each returned, alike; null doc_ids stay null;
+    ties between languages go to the first by name. An empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)

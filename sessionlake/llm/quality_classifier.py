@@ -188,7 +188,9 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
     """(doc_id, score) for every row of `docs` (doc_id, text), 1 for good quality.
 
     Whole texts; null and empty texts have all statistics zero. With no
-    labelled rows every score is 0.5.
+    labelled rows every score is 0.5. A score depends on the text alone:
+    repeated rows are each returned, alike; null doc_ids stay null. Other
+    columns are not read. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -203,7 +205,7 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
 
 
 def keep_accepted(docs: DataFrame, model: Trees, accept: float) -> DataFrame:
-    """Rows of `docs` whose score is `accept` or more, with all their columns; scored where they are, without a shuffle."""
+    """Rows of `docs` whose score is `accept` or more, with all their columns; scored where they are, without a shuffle. Rows alike are judged alike; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
