@@ -27,6 +27,8 @@ FUZZY_LEAST_CHARS = 3
 _KEYWORD = r'(-?)(agent|dir|date):(?:"([^"]+)"|(\S+))'
 #: Rows up to which what queries ask for is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Words up to which each is compared with the terms by an expression of its own; more meet them by deletion keys.
+FEW_WORDS = 16
 #: Tasks among which sessions of one agent are dealt to queries without a text.
 CELLS = 64
 #: A date span over this many seconds is no filter.
@@ -236,19 +238,35 @@ def within_one_edit_prefix(word: Column, term: Column) -> Column:
     )
 
 
+def _may_begin(word: str, term: Column) -> Column:
+    """A cheap test that every term passes that begins within one edit of `word`: one half of the word is whole, or its middle letters are swapped."""
+    h = len(word) // 2
+    swapped = word[: h - 1] + word[h] + word[h - 1]
+    found = F.startswith(term, F.lit(word[:h])) | F.startswith(term, F.lit(swapped))
+    for shift in (-1, 0, 1):
+        found = found | (F.substring(term, h + 1 + shift, len(word) - h) == word[h:])
+    return found
+
+
 def fuzzy_terms(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """(word, field, term) of `words` (word) whose word matches a prefix of the term within one edit.
 
-    Words and prefixes meet on strings that lack one character; a term is cut
+    A few words are compared with the vocabulary in one pass. More of them, and
+    prefixes of terms, meet on strings that lack one character; a term is cut
     only at the lengths that some word has. The vocabulary is distinct terms,
     never the tokens of the corpus.
     """
     # a term has under 40 bytes, so no longer word can match; that also bounds the lengths, of which there are 41 at most
     words = words.select("word").where(F.char_length("word") <= 41).distinct()
+    terms = vocab.where(F.col("field").isin("title", "content")).select("field", "term")
+    some = [r.word for r in words.limit(FEW_WORDS + 1).collect()]
+    if len(some) <= FEW_WORDS and all(len(w) >= FUZZY_LEAST_CHARS for w in some):
+        met = F.array(*[F.when(_may_begin(w, F.col("term")), F.lit(w)) for w in sorted(some)]).cast("array<string>")
+        found = terms.select("field", "term", F.explode(F.array_compact(met)).alias("word"))
+        return found.where(within_one_edit_prefix(F.col("word"), F.col("term"))).select("word", "field", "term")
     lengths = words.groupBy(F.char_length("word").alias("n")).agg(F.count("*").alias("words")).collect()
     keys = words.select("word", F.explode(F.array_distinct(_deletions(F.col("word")))).alias("key"))
     n_keys = sum((r.n + 1) * r.words for r in lengths)
-    terms = vocab.where(F.col("field").isin("title", "content")).select("field", "term")
     n = F.col("n")
 
     def cut(k: Column) -> Column:

@@ -299,11 +299,14 @@ def osa_prefix(word, term):
     return any(osa(word, term[:k]) <= 1 for k in range(len(term) + 1))
 
 
-def test_fuzzy_terms_match_brute_force(spark):
+@pytest.mark.parametrize("few", [0, 16])
+def test_fuzzy_terms_match_brute_force(spark, monkeypatch, few):
     import itertools
 
+    monkeypatch.setattr(search, "FEW_WORDS", few)
+
     vocab = ["".join(p) for n in (1, 2, 3, 4, 5) for p in itertools.product("ab", repeat=n)] + ["abé", "xyz", "axbyc"]
-    words = ["aba", "bbab", "éab", "ab-", "abab", "zzz"]
+    words = ["aba", "bbab", "éab", "ab-", "abab", "zzz", "babab", "aabba"]
     v = spark.createDataFrame([("title", t, 1) for t in vocab], "field string, term string, df bigint")
     got = {(r.word, r.term) for r in search.fuzzy_terms(spark.createDataFrame([(w,) for w in words], "word string"), v).collect()}
     assert got == {(w, t) for w in words for t in vocab if osa_prefix(w, t)}
