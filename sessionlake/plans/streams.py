@@ -8,7 +8,7 @@ from sessionlake.functions.paths import stem
 from sessionlake.operators import refresh
 from sessionlake.plans import sql, views
 from sessionlake.plans.queries import _SNAPSHOT, ORACLE_SQL, _log, query
-from sessionlake.plans.roundtrip import KEPT, claude_files, grok_files, land
+from sessionlake.plans.roundtrip import KEPT, claude_files, grok_files, land, vibe_files
 from sessionlake.sources.agents import ingest_claude, sessions_of
 from sessionlake.sources.scratch import scratch
 from sessionlake.streaming import incremental
@@ -60,6 +60,17 @@ def refresh_incremental(spark, sf):
     return stream.read_snapshot(spark, out).join(log, ["agent", "id"]).select(*KEPT, "wave")
 
 
+@query("stream_siblings", f"""SELECT * FROM ({ORACLE_SQL["ingest_grok"]}) UNION ALL SELECT * FROM ({ORACLE_SQL["ingest_vibe"]})""")
+def stream_siblings(spark, sf):
+    """Two sources with several files a session, followed as they come."""
+    out = scratch(spark, "siblings-out")
+    for agent, make in (("grok", grok_files), ("vibe", vibe_files)):
+        root = scratch(spark, f"in-{agent}")
+        make(spark, sf, root)
+        incremental.start_following(spark, root, out, agent, None).awaitTermination()
+    return stream.read_snapshot(spark, out).select(KEPT)
+
+
 @query("upsert_sessions", _SNAPSHOT)
 def upsert_sessions(spark, sf):
     """The log as committed batches on disk, read back as a snapshot."""

@@ -420,6 +420,33 @@ def ingest_opencode(sessions: DataFrame, messages: DataFrame, parts: DataFrame)
     return _messages("opencode", rows), _attrs("opencode", facts, F.col("title"), F.col("directory"), at)
 
 
+def ingest_opencode_legacy(spark: SparkSession, root: str | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The older file tree: session/**/ses_*.json, message/<session>/msg_*.json, part/<message>/*.json below `root`; used where there is no store.
+
+    Messages and parts follow one another by path. A session with a message or a
+    part that cannot be read whole is left out of both results, so that its old row stays.
+    """
+    docs, rec = scan_json_docs(configure(spark), root), F.col("rec")
+    s = docs.where(F.col("path").rlike(r"/session/.*/ses_[^/]*\.json$|/session/ses_[^/]*\.json$") & (_plain(rec, "$.id") != ""))
+    m = docs.where(F.col("path").rlike(r"/message/.*/msg_[^/]*\.json$")).select(path_id(F.col("path"), "parent").alias("session_id"), "path", F.col("mtime").alias("m2"), _plain(rec, "$.id").alias("message_id"), _plain(rec, "$.role").alias("role"))
+    kind, text = _plain(rec, "$.type"), _plain(rec, "$.text")
+    p = docs.where(F.col("path").rlike(r"/part/.*\.json$")).select(path_id(F.col("path"), "parent").alias("message_id"), F.col("path").alias("part"), F.col("mtime").alias("m3"), F.when(kind == "text", text).alias("text"), (kind.isNull() | ((kind == "text") & text.isNull())).alias("torn"))
+    of = m.where("message_id <> ''").join(p, "message_id", "left")
+    torn = m.where("message_id is null or message_id = ''").select("session_id").unionByName(of.where("torn").select("session_id")).distinct()
+    of = of.join(torn, "session_id", "left_anti")
+    grouped = of.groupBy("session_id", "message_id", "path", "role").agg(F.max("m2").alias("m2"), F.max("m3").alias("m3"), F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("part", "text")))), lambda x: x["text"]).alias("texts"))
+    own = grouped.withColumn("line_no", F.row_number().over(Window.partitionBy("session_id").orderBy("path", "message_id")))
+    user = F.coalesce(F.col("role") == "user", F.lit(False))
+    rows = _texts(own, ["session_id"], F.col("texts"), F.when(user, "user").otherwise("assistant"), F.lit(True), user)
+    seen = grouped.groupBy("session_id").agg(F.greatest(F.max("m2"), F.max("m3")).alias("seen"))
+    made = F.coalesce(epoch_ts(get(rec, "$.time.updated"), "ms"), epoch_ts(get(rec, "$.time.created"), "ms"))
+    s = s.select(_plain(rec, "$.id").alias("session_id"), "mtime", _plain(rec, "$.title").alias("title"), _plain(rec, "$.directory").alias("directory"), made.alias("made"))
+    facts = s.join(torn, "session_id", "left_anti").join(seen, "session_id", "left")
+    # a store's session is named by its title alone
+    titled = F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled session"))
+    return _messages("opencode", rows), _attrs("opencode", facts, titled, F.col("directory"), F.coalesce("made", _file_time()), mtime=F.greatest("mtime", "seen", F.unix_micros("made") / 1_000_000))
+
+
 def ingest_pi(spark: SparkSession, root: str | DataFrame, id_rule: str | None = None) -> tuple[DataFrame, DataFrame]:
     r = _jsonl(spark, root, "pi", id_rule)
     kind, rec = get(F.col("rec"), "$.type"), F.col("rec")
@@ -518,9 +545,11 @@ def sessions_of(agent: str, made: tuple[DataFrame, DataFrame]) -> DataFrame:
 def ingest_all(spark: SparkSession, roots: dict[str, str], landed: dict[str, tuple[DataFrame, ...]] | None = None) -> DataFrame:
     """All sources as branches of one plan, one row per session.
 
-    roots: folder of each file source; landed: tables of crush, cursor and opencode.
+    roots: folder of each file source, and of opencode's older file tree, which
+    is read only where its store is not landed; landed: tables of crush, cursor and opencode.
     """
-    parts = [sessions_of(agent, FILE_SOURCES[agent](spark, root)) for agent, root in roots.items()]
+    files = {**FILE_SOURCES, "opencode": ingest_opencode_legacy}
+    parts = [sessions_of(agent, files[agent](spark, root)) for agent, root in roots.items() if agent not in (landed or {})]
     jobs = {"crush": ingest_crush, "cursor": ingest_cursor, "opencode": ingest_opencode}
     parts += [sessions_of(agent, jobs[agent](*tables)) for agent, tables in (landed or {}).items()]
     path = scratch(spark, "ingested")

@@ -93,7 +93,9 @@ def batch_changes(files: DataFrame, sessions: DataFrame, snapshot: Callable[[Dat
 
     Of several versions of one session in a batch the last file counts. A
     retained file leaves the snapshot's row as it is. `snapshot` gives the
-    current rows of the keys that it is asked for.
+    current rows of the keys that it is asked for. A file is a whole session:
+    sources with several files a session are followed by
+    streaming.incremental.start_following.
     """
     named = files.select("path", "mtime", session_id.alias("id")).groupBy("id").agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
     health = named.join(file_health(files), "path")

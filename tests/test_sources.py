@@ -96,6 +96,26 @@ def test_landed_tables(spark):
     assert (r.title, r.content, r.message_count, r.mtime) == ("a\nb", "» a\nb", 2, 9.0)
 
 
+def test_opencode_file_tree(spark, tmp_path):
+    write(tmp_path, "session/p1/ses_a.json", {"id": "a", "title": "", "directory": "/o", "time": {"created": 1704067200000, "updated": 1704153600000}})
+    write(tmp_path, "session/p1/ses_b.json", {"id": "b", "title": "Torn"})
+    write(tmp_path, "session/p1/ses_c.json", {"id": "c", "title": "Empty"})
+    write(tmp_path, "message/a/msg_2.json", {"id": "m2", "role": "assistant"})
+    write(tmp_path, "message/a/msg_1.json", {"id": "m1", "role": "user"})
+    write(tmp_path, "message/b/msg_3.json", {"id": "m3", "role": "user"})
+    write(tmp_path, "part/m1/p1.json", {"type": "text", "text": "ask"})
+    write(tmp_path, "part/m1/p2.json", {"type": "text", "text": "more"})
+    write(tmp_path, "part/m2/p3.json", {"type": "tool"})
+    write(tmp_path, "part/m2/p4.json", {"type": "text", "text": "answer"})
+    write(tmp_path, "part/m3/p5.json", "{torn")
+    got = {r.id: r for r in agents.sessions_of("opencode", agents.ingest_opencode_legacy(spark, str(tmp_path))).collect()}
+    assert set(got) == {"a", "c"} and (got["c"].title, got["c"].content, got["c"].message_count) == ("Empty", "", 0)
+    assert (got["a"].title, got["a"].content, got["a"].message_count, str(got["a"].timestamp)) == ("Untitled session", "» ask\n\n» more\n\n  answer", 2, "2024-01-02 00:00:00")
+    write(tmp_path / "pi", "2024_u1.jsonl", {"type": "message", "message": {"role": "user", "content": "ask"}})
+    both = agents.ingest_all(spark, {"opencode": str(tmp_path), "pi": str(tmp_path / "pi")})
+    assert sorted(r.id for r in both.collect()) == ["a", "c", "u1"]
+
+
 def chunk(kind, text, index=None, **more):
     meta = {"promptIndex": index} if index is not None else {}
     return {"params": {"update": {"sessionUpdate": kind, "content": {"text": text}, "_meta": meta | more.pop("meta", {}), **more}}}
@@ -325,3 +345,28 @@ def test_a_new_generation_is_seen_only_when_it_is_current(spark, tmp_path):
 def parse_rows(spark, root, name):
     write(root, f"{name}.jsonl", prompt(f"a long enough prompt of {name}"))
     return agents.sessions_of("claude", agents.ingest_claude(spark, str(root)))
+
+
+def test_sessions_whose_files_come_apart_are_followed(spark, tmp_path):
+    from sessionlake.streaming.incremental import refresh_source, start_following
+
+    g, v, out = tmp_path / "grok", tmp_path / "vibe", str(tmp_path / "out")
+
+    def follow():
+        for agent, root in (("grok", g), ("vibe", v)):
+            start_following(spark, str(root), out, agent, None, batch_files=1).awaitTermination()
+        return contents(spark, out)
+
+    write(g, "%2Fw/g1/updates.jsonl", chunk("user_message_chunk", "Hello"))
+    write(v, "session_1/meta.json", {"session_id": "v", "start_time": "2024-01-01T00:00:00"})
+    follow()
+    write(g, "%2Fw/g1/summary.json", {"created_at": "2024-01-01T00:00:00Z"})
+    write(v, "session_1/messages.jsonl", {"role": "user", "content": "hello"})
+    want = {("grok", "g1"): "» Hello", ("vibe", "v"): "» hello"}
+    assert follow() == want
+    write(g, "%2Fw/g2/summary.json", {"created_at": "2024-01-01T00:00:00Z"})
+    assert follow() == want
+    write(g, "%2Fw/g2/updates.jsonl", chunk("user_message_chunk", "Late"))
+    os.utime(g / "%2Fw/g2/updates.jsonl", (1.7e9,) * 2)
+    # a stream passes over files with old times, a listing does not
+    assert refresh_source(spark, str(g), out, "grok") == 2 and contents(spark, out) == want | {("grok", "g2"): "» Late"}
