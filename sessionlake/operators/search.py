@@ -389,7 +389,9 @@ def search(sessions: DataFrame, query: str, as_of: dt.datetime, limit: int = 50,
     else:
         index = build_index(sessions) if index is None else index
         kept = index.slim.where(passes) if passes is not None else index.slim
-        page = search_scores(parsed, sessions, index).join(kept.select("agent", "id", "timestamp"), ["agent", "id"])
+        # parsed once: the plans below start from its text
+        typed = sessions.sparkSession.createDataFrame([(0, row.text)], "query_id int, text string")
+        page = search_scores(typed, sessions, index).join(kept.select("agent", "id", "timestamp"), ["agent", "id"])
         order = [F.desc(F.round("score", 6)), *order]
         page = page.select("agent", "id", "timestamp", "score").orderBy(*order)
     page = page.offset(offset).limit(limit)
