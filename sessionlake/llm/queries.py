@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm import decontamination, html_extract, language_id, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, toxicity
+from sessionlake.llm import alignment, clustering, decontamination, html_extract, language_id, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, simhash, toxicity
 from sessionlake.llm.labelled import fold
 
 ACCEPT = 0.3
@@ -69,9 +69,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.with_inertia(clustering.cluster(clustering.whole_vectors(_table(spark, sf_dir, "embeddings"))))
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_counts(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_line_dedup, op3_language_id, op4_toxicity, op5_quality_rules, op6_quality_classifier, op7_simhash, op8_html_extraction, op9_pii, op10_mixing)
+    for f in (op1_decontamination, op2_line_dedup, op3_language_id, op4_toxicity, op5_quality_rules, op6_quality_classifier, op7_simhash, op8_html_extraction, op9_pii, op10_mixing, op11_clustering, op12_alignment, op13_packing)
 }
 
 _OP5 = r"""
@@ -139,4 +157,29 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": _OP5, "op10_mixing": _OP10}
+
+
+def _op11_sql(k: int = 16, rounds: int = 3) -> str:
+    """Plain rounds over all distances, in DuckDB's SQL."""
+    parts = ["""v AS (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"""c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m
+  FROM (SELECT v, sha256('1:' || vec_id) AS h FROM v WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT rid, c, CAST(list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{r}) GROUP BY rid)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m2, m) AS m FROM c{r} LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m2
+    FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v JOIN a{r} USING (rid)) GROUP BY c, i) GROUP BY c) USING (c))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(m, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (rid) JOIN c{rounds} USING (c)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": _OP5, "op10_mixing": _OP10, "op11_clustering": _op11_sql()}
