@@ -29,9 +29,19 @@ def truncate_title(c: Column, limit: int, word_break: bool = True) -> Column:
     return F.when(F.char_length(t) <= limit, t).otherwise(F.concat(head, F.lit("...")))
 
 
+def all_tokens(c: Column) -> Column:
+    """Lower-cased runs of letters and digits."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+", -1), lambda t: t != "")
+
+
+def is_term(token: Column) -> Column:
+    """Whether a token is indexed: those of 40 bytes or more are not."""
+    return F.octet_length(token) < 40
+
+
 def tokens(c: Column) -> Column:
     """Lower-cased runs of letters and digits, those of 40 bytes or more left out."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+", -1), lambda t: (t != "") & (F.octet_length(t) < 40))
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+", -1), lambda t: (t != "") & is_term(t))
 
 
 def display_dir(directory: Column, home: str) -> Column:

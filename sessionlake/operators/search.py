@@ -1,29 +1,30 @@
 """Search over sessions: query parsing, postings, ranking, pages.
 
 A query table goes through the same plan as a single query. What a query asks
-for is a small table of terms: its own with their weights, and those of the
-vocabulary that its words match within one edit, found by deletion keys. They
-meet the postings by one equi-join, and one aggregate per (query, session) gives
-the score. Ranking reads keys, directories and times; wide columns are fetched
-for the rows of the page. A SearchIndex is kept beside the sessions and passed
-in; without one it is written once for the call.
+for is a small table of terms: those of its clauses (operators.query_text) with
+their weights, and those of the vocabulary that its words match within one edit.
+They meet the postings by one equi-join; phrases are found by the positions that
+postings carry; and one aggregate per (query, session) gives the score. Ranking
+reads keys, directories and times; wide columns are fetched for the rows of the
+page. A SearchIndex is kept beside the sessions (operators.search_index) and
+passed in; without one it is written once for the call.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.text import tokens
 from sessionlake.operators.filters import UNIT_SECONDS, agent_filter, all_of, dir_filter, filter_matches
+from sessionlake.operators import query_text
+from sessionlake.operators.search_index import FUZZY_LEAST_CHARS, SearchIndex, build_index, cells_of_fuzzy, open_index, postings, vocabulary  # noqa: F401
 from sessionlake.sources.scratch import scratch
 
 K1, B = 1.2, 0.75
 EXACT_WEIGHT = 5.0
-FUZZY_LEAST_CHARS = 3
 _KEYWORD = r'(-?)(agent|dir|date):(?:"([^"]+)"|(\S+))'
 #: Rows up to which what queries ask for is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -113,108 +114,79 @@ def passes_filters(parsed_date: str = "date") -> Column:
     return filter_matches(F.col("agent"), F.col("agent_include"), F.col("agent_exclude")) & filter_matches(F.col("directory"), F.col("dir_include"), F.col("dir_exclude"), substring=True) & dated
 
 
-# -- postings ----------------------------------------------------------------
+# -- what queries ask for ------------------------------------------------------
 
 
-def postings(sessions: DataFrame) -> DataFrame:
-    """(agent, id, field, term, tf, len): a row per field and distinct term.
-
-    len is the field's length in terms. Terms are counted within their row, so
-    nothing is shuffled to make the table. A directory is one raw term.
-    """
-
-    return _counted(sessions.withColumns({f: F.array_sort(tokens(F.col(f))) for f in ("title", "content")}))
-
-
-def _counted(tokenised: DataFrame) -> DataFrame:
-    """Postings of sessions whose title and content are sorted arrays of terms."""
-
-    def counted(field: str) -> DataFrame:
-        rows = tokenised.select("agent", "id", F.lit(field).alias("field"), F.col(field).alias("w"))
-        # equal terms are neighbours: a run's length is the distance between its ends
-        ends = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: ~F.try_element_at("w", i + 1).eqNullSafe(F.element_at("w", i)))
-        rows = rows.where(F.size("w") > 0).withColumn("ends", ends)
-        runs = F.transform("ends", lambda e, k: F.struct(F.element_at("w", e).alias("term"), (e - F.coalesce(F.get("ends", k - 1), F.lit(0))).cast("long").alias("tf")))
-        return rows.select("agent", "id", "field", F.size("w").cast("long").alias("len"), F.explode(runs).alias("r")).select("agent", "id", "field", "r.term", "r.tf", "len")
-
-    one = F.lit(1).cast("long")
-    raw = tokenised.where("directory <> ''").select("agent", "id", F.lit("directory").alias("field"), F.col("directory").alias("term"), one.alias("tf"), one.alias("len"))
-    return counted("title").unionByName(counted("content")).unionByName(raw)
-
-
-def vocabulary(post: DataFrame) -> DataFrame:
-    """(field, term, df)."""
-    return post.groupBy("field", "term").agg(F.count("*").alias("df"))
-
-
-def field_totals(sessions: DataFrame, post: DataFrame) -> DataFrame:
-    """(field, docs, avg_len): all sessions count, also those with an empty field."""
-    n = sessions.agg(F.count("*").alias("docs"))
-    # a field's length is on each of its rows, in proportion to tf
-    lengths = post.groupBy("field").agg(F.sum("tf").alias("total"))
-    return lengths.crossJoin(F.broadcast(n)).select("field", "docs", (F.col("total") / F.col("docs")).alias("avg_len"))
-
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
-def query_words(parsed: DataFrame) -> DataFrame:
-    """(query_id, word): the text's words as typed, quotes left out."""
-    plain = F.replace("text", F.lit('"'), F.lit(" "))
-    return parsed.select("query_id", F.explode(F.filter(F.split(plain, r"\s+", -1), lambda w: w != "")).alias("word"))
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-@dataclass(frozen=True)
-class SearchIndex:
-    """Tables that searches read: slim sessions (agent, id, directory, timestamp), postings, vocabulary, field totals."""
 
-    slim: DataFrame
-    postings: DataFrame
-    vocabulary: DataFrame
-    totals: DataFrame
+def exact_terms(clauses: DataFrame, index: SearchIndex) -> DataFrame:
+    """(query_id, clause, group, field, term, k, n, gain, avg_len): the terms of clauses in the fields where all of a clause's terms occur.
 
+    k is the term's place in its clause of n terms; gain is the sum of the
+    terms' inverse frequencies, 0 where the clause forbids.
+    """
+    every = clauses.withColumn("field", F.explode(F.when(F.col("field") != "", F.array("field")).otherwise(F.array(*[F.lit(f) for f in query_text.FIELDS]))))
+    whole = F.col("field") == "directory"
+    each = every.select("query_id", "clause", "group", "sign", "field", F.posexplode(F.when(whole, F.array("raw")).otherwise(F.col("terms"))).alias("k", "term"), F.when(whole, 1).otherwise(F.size("terms")).alias("n"))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    met = index.vocabulary_of(each.select("term")).join(each, ["field", "term"]).join(F.broadcast(index.totals), "field").withColumn("idf", idf)
+    own = met.groupBy("query_id", "clause", "group", "sign", "field", "n", "avg_len").agg(F.sum("idf").alias("gain"), F.collect_list(F.struct("k", "term")).alias("found")).where(F.size("found") == F.col("n"))
+    gain = F.when(F.col("sign") == "-", 0.0).otherwise(F.col("gain"))
+    return own.select("query_id", "clause", "group", "field", "n", gain.alias("gain"), "avg_len", F.inline("found")).select("query_id", "clause", "group", "field", "term", "k", "n", "gain", "avg_len")
 
-def build_index(sessions: DataFrame, path: str | None = None) -> SearchIndex:
-    """Write the index of `sessions` under `path` (a new scratch folder by default); what it reads of them is read once."""
-    spark = sessions.sparkSession
-    base = path or scratch(spark, "search")
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{base}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+def _bm25_score() -> Column:
+    tf = F.col("tf")
+    return F.col("gain") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
 
-    narrow = kept(sessions.select("agent", "id", "directory", "timestamp", F.array_sort(tokens(F.col("title"))).alias("title"), F.array_sort(tokens(F.col("content"))).alias("content")), "tokens")
-    post = kept(_counted(narrow).sortWithinPartitions("term"), "postings")
-    slim = narrow.select("agent", "id", "directory", "timestamp")
-    return SearchIndex(slim, post, kept(vocabulary(post), "vocabulary"), kept(field_totals(slim, post), "totals"))
 
+def phrase_hits(post: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, clause, group, agent, id, exact) of phrases `asked`: their terms at places that follow one another in a field.
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    Each term's positions are shifted back by its place in the phrase; what all
+    of them share are the phrase's beginnings, whose number is its frequency.
+    """
+    met = post.join(asked, ["field", "term"]).withColumn("at", F.transform("positions", lambda p: p - F.col("k")))
+    key = ["query_id", "clause", "group", "field", "agent", "id"]
+    held = met.groupBy(*key).agg(F.collect_list("at").alias("at"), *[F.any_value(c).alias(c) for c in ("n", "gain", "avg_len", "len")]).where(F.size("at") == F.col("n"))
+    shared = F.aggregate(F.slice("at", F.lit(2), F.size("at")), F.element_at("at", F.lit(1)), lambda x, y: F.array_intersect(x, y))
+    return held.withColumn("tf", F.size(shared).cast("long")).where("tf > 0").select("query_id", "clause", "group", "agent", "id", _bm25_score().alias("exact"))
 
 
-def exact_terms(parsed: DataFrame, vocab: DataFrame, totals: DataFrame) -> DataFrame:
-    """(query_id, field, term, gain, avg_len): terms of each query's text that occur, with their inverse frequencies times their number."""
-    words = query_words(parsed)
-    analysed = words.select("query_id", F.explode(tokens(F.col("word"))).alias("term"))
-    wanted = analysed.withColumn("raw", F.lit(False)).unionByName(words.select("query_id", F.col("word").alias("term"), F.lit(True).alias("raw")))
-    wanted = wanted.groupBy("query_id", "term", "raw").agg(F.count("*").alias("times"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    met = vocab.join(wanted, "term").where((F.col("field") == "directory") == F.col("raw")).join(F.broadcast(totals), "field")
-    return met.select("query_id", "field", "term", (F.col("times") * idf).alias("gain"), "avg_len")
+def _exact_score() -> Column:
+    """Sum of the matching clauses' scores if the query's clauses match, else null, over a session's clauses joined to the query's rules."""
+    groups = query_text.matched_groups(F.col("clauses"))
+    joined = F.aggregate(F.filter("grouped", lambda g: F.array_contains(groups, g["group"])), F.lit(0.0), lambda total, g: total + g["exact"])
+    return F.when(query_text.passes(F.col("clauses"), groups), F.coalesce("alone", F.lit(0.0)) + joined)
 
 
-def _bm25_score() -> Column:
-    tf = F.col("tf")
-    return F.col("gain") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+def _met() -> tuple[Column, Column, Column]:
+    """What an aggregate per (query, session) makes of its hits (clause, group, exact)."""
+    apart = F.col("group").isNull()
+    return F.collect_set("clause").alias("clauses"), F.sum(F.when(apart, F.col("exact"))).alias("alone"), F.collect_list(F.when(~apart, F.struct("group", "exact"))).alias("grouped")
 
 
-def bm25(parsed: DataFrame, post: DataFrame, totals: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
-    """(query_id, agent, id, score): terms of the query or-ed over title, content and directory."""
-    asked = exact_terms(parsed, vocabulary(post) if vocab is None else vocab, totals)
-    return post.join(asked, ["field", "term"]).groupBy("query_id", "agent", "id").agg(F.sum(_bm25_score()).alias("score"))
+def bm25(parsed: DataFrame, index: SearchIndex) -> DataFrame:
+    """(query_id, agent, id, score) of the sessions that the clauses of each query match, fuzzy matches and directories apart."""
+    found = _kept(query_text.clauses(parsed), "clauses")
+    asked = _kept(exact_terms(found, index), "asked")
+    hits = _exact_hits(index.postings_of(asked.select("term")), asked, asked.count())
+    met = hits.groupBy("query_id", "agent", "id").agg(*_met()).join(query_text.rules(found), "query_id")
+    return met.select("query_id", "agent", "id", _exact_score().alias("score")).where("score > 0")
 
 
-def _deletions(c: Column) -> Column:
-    """The string and all strings that lack one of its characters."""
-    return F.array_append(F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.char_length(c)))), c)
+def _exact_hits(post: DataFrame, asked: DataFrame, rows: int) -> DataFrame:
+    single, phrases = asked.where("n = 1"), asked.where("n > 1")
+    hits = post.join(_small(single, rows), ["field", "term"]).select("query_id", "clause", "group", "agent", "id", _bm25_score().alias("exact"))
+    return hits if phrases.isEmpty() else hits.unionByName(phrase_hits(post, _small(phrases, rows)))
 
 
 def within_one_edit_prefix(word: Column, term: Column) -> Column:
@@ -248,34 +220,32 @@ def _may_begin(word: str, term: Column) -> Column:
     return found
 
 
-def fuzzy_terms(words: DataFrame, vocab: DataFrame) -> DataFrame:
+def fuzzy_terms(words: DataFrame, index: SearchIndex) -> DataFrame:
     """(word, field, term) of `words` (word) whose word matches a prefix of the term within one edit.
 
-    A few words are compared with the vocabulary in one pass. More of them, and
-    prefixes of terms, meet on strings that lack one character; a term is cut
-    only at the lengths that some word has. The vocabulary is distinct terms,
-    never the tokens of the corpus.
+    With the index's table of fuzzy keys, words meet terms on keys that lack one
+    character, and the vocabulary is not read. Without it a few words are
+    compared with the vocabulary in one pass, and more of them meet it on keys
+    made for the call. The vocabulary is distinct terms, never the tokens of the
+    corpus.
     """
-    # a term has under 40 bytes, so no longer word can match; that also bounds the lengths, of which there are 41 at most
+    # a term has under 40 bytes, so no longer word can match
     words = words.select("word").where(F.char_length("word") <= 41).distinct()
-    terms = vocab.where(F.col("field").isin("title", "content")).select("field", "term")
-    some = [r.word for r in words.limit(FEW_WORDS + 1).collect()]
-    if len(some) <= FEW_WORDS and all(len(w) >= FUZZY_LEAST_CHARS for w in some):
-        met = F.array(*[F.when(_may_begin(w, F.col("term")), F.lit(w)) for w in sorted(some)]).cast("array<string>")
-        found = terms.select("field", "term", F.explode(F.array_compact(met)).alias("word"))
-        return found.where(within_one_edit_prefix(F.col("word"), F.col("term"))).select("word", "field", "term")
-    lengths = words.groupBy(F.char_length("word").alias("n")).agg(F.count("*").alias("words")).collect()
-    keys = words.select("word", F.explode(F.array_distinct(_deletions(F.col("word")))).alias("key"))
-    n_keys = sum((r.n + 1) * r.words for r in lengths)
-    n = F.col("n")
-
-    def cut(k: Column) -> Column:
-        return F.substring("term", F.lit(1), k)
-
-    made = F.array_distinct(F.concat(F.array(cut(n - 1), cut(n)), _deletions(cut(n)), _deletions(cut(n + 1))))
-    each = F.array(*[F.lit(r.n) for r in lengths]).cast("array<int>")
-    cuts = terms.withColumn("n", F.explode(each)).where(F.char_length("term") >= n - 1).select("field", "term", F.explode(made).alias("key"))
-    return cuts.join(_small(keys, n_keys), "key").select("word", "field", "term").where(within_one_edit_prefix(F.col("word"), F.col("term"))).distinct()
+    if index.fuzzy_keys is None:
+        terms = index.vocabulary.where(F.col("field").isin("title", "content")).select("field", "term")
+        some = [r.word for r in words.limit(FEW_WORDS + 1).collect()]
+        if len(some) <= FEW_WORDS and all(len(w) >= FUZZY_LEAST_CHARS for w in some):
+            met = F.array(*[F.when(_may_begin(w, F.col("term")), F.lit(w)) for w in sorted(some)]).cast("array<string>")
+            found = terms.select("field", "term", F.explode(F.array_compact(met)).alias("word"))
+            return found.where(within_one_edit_prefix(F.col("word"), F.col("term"))).select("word", "field", "term")
+    keys = _kept(word_keys(words), "keys")
+    found = index.terms_near(keys.select("key")).join(_small(keys, keys.count()), "key")
+    return found.where(within_one_edit_prefix(F.col("word"), F.col("term"))).select("word", "field", "term").distinct()
+
+
+def word_keys(words: DataFrame) -> DataFrame:
+    """(word, key): the keys under which terms near a word are filed."""
+    return words.select("word", F.explode(cells_of_fuzzy(F.col("word"))).alias("key"))
 
 
 def fuzzy_words(parsed: DataFrame) -> DataFrame:
@@ -291,11 +261,11 @@ def _all_words(marks: Column, need: Column) -> Column:
     return F.when((F.size(marks) > 0) & (found == need), F.aggregate(marks, F.lit(0.0), lambda n, m: n + m["times"]))
 
 
-def fuzzy(parsed: DataFrame, post: DataFrame, vocab: DataFrame) -> DataFrame:
+def fuzzy(parsed: DataFrame, index: SearchIndex) -> DataFrame:
     """(query_id, agent, id, score): every word of three or more characters matches in title or content; 1 per word and field."""
     words = fuzzy_words(parsed)
-    asked = fuzzy_terms(words, vocab).join(words, "word")
-    hit = post.join(asked, ["field", "term"]).groupBy("query_id", "agent", "id").agg(F.max("need").alias("need"), F.collect_set(F.struct("word", "field", "times")).alias("marks"))
+    asked = fuzzy_terms(words, index).join(words, "word")
+    hit = index.postings.join(asked, ["field", "term"]).groupBy("query_id", "agent", "id").agg(F.max("need").alias("need"), F.collect_set(F.struct("word", "field", "times")).alias("marks"))
     return hit.select("query_id", "agent", "id", _all_words(F.col("marks"), F.col("need")).alias("score")).where("score is not null")
 
 
@@ -315,23 +285,36 @@ def dir_text(parsed: DataFrame, sessions: DataFrame) -> DataFrame:
 def search_scores(parsed: DataFrame, sessions: DataFrame, index: SearchIndex | None = None) -> DataFrame:
     """(query_id, agent, id, score) of all sessions that a query's text matches, filters not applied."""
     index = build_index(sessions) if index is None else index
+    clauses = _kept(query_text.clauses(parsed), "clauses")
     words = fuzzy_words(parsed)
     mark = "struct<word: string, field: string, times: bigint>"
-    exact = exact_terms(parsed, index.vocabulary, index.totals).select("query_id", "field", "term", "gain", "avg_len", F.lit(None).cast("long").alias("need"), F.lit(None).cast(mark).alias("mark"))
-    close = fuzzy_terms(words, index.vocabulary).join(words, "word")
-    close = close.select("query_id", "field", "term", F.lit(0.0).alias("gain"), F.lit(1.0).alias("avg_len"), "need", F.struct("word", "field", "times").cast(mark).alias("mark"))
-    asked = exact.unionByName(close)
-    path = scratch(parsed.sparkSession, "asked")
-    asked.write.parquet(path)
-    asked = parsed.sparkSession.read.schema(asked.schema).parquet(path)
-    hits = index.postings.join(_small(asked, asked.count()), ["field", "term"]).select("query_id", "agent", "id", _bm25_score().alias("exact"), "need", "mark", F.lit(None).cast("double").alias("dir"))
-    none = {"exact": F.lit(None).cast("double"), "need": F.lit(None).cast("long"), "mark": F.lit(None).cast(mark)}
-    dirs = dir_text(parsed, index.slim).select("query_id", "agent", "id", *[v.alias(c) for c, v in none.items()], F.col("score").alias("dir"))
-    every = hits.unionByName(dirs).groupBy("query_id", "agent", "id").agg(F.sum("exact").alias("exact"), F.max("need").alias("need"), F.collect_set("mark").alias("marks"), F.sum("dir").alias("dir"))
-    close_score = _all_words(F.col("marks"), F.col("need"))
+    null = F.lit(None)
+    exact = exact_terms(clauses, index).select("*", null.cast("long").alias("need"), null.cast(mark).alias("mark"))
+    close = fuzzy_terms(words, index).join(words, "word")
+    close = close.select(
+        "query_id", null.cast("int").alias("clause"), null.cast("int").alias("group"), "field", "term", F.lit(0).alias("k"), F.lit(1).alias("n"), F.lit(0.0).alias("gain"), F.lit(1.0).alias("avg_len"),
+        "need", F.struct("word", "field", "times").cast(mark).alias("mark"),
+    )
+    asked = _kept(exact.unionByName(close), "asked")
+    counts = asked.agg(F.count("*").alias("rows"), F.count_if(F.col("n") > 1).alias("phrases")).first()
+    post = index.postings_of(asked.select("term"))
+    columns = {"clause": "int", "group": "int", "exact": "double", "need": "bigint", "mark": mark, "dir": "double"}
+
+    def hit(df: DataFrame, **own: Column) -> DataFrame:
+        return df.select("query_id", "agent", "id", *[own.get(c, null).cast(t).alias(c) for c, t in columns.items()])
+
+    met = post.join(_small(asked.where("n = 1"), counts.rows), ["field", "term"])
+    hits = hit(met, clause=F.col("clause"), group=F.col("group"), exact=F.when(F.col("clause").isNotNull(), _bm25_score()), need=F.col("need"), mark=F.col("mark"))
+    if counts.phrases:
+        phrases = asked.where("n > 1")
+        found = phrase_hits(index.postings_of(phrases.select("term")), _small(phrases, counts.phrases))
+        hits = hits.unionByName(hit(found, clause=F.col("clause"), group=F.col("group"), exact=F.col("exact")))
+    hits = hits.unionByName(hit(dir_text(parsed, index.slim), dir=F.col("score")))
+    every = hits.groupBy("query_id", "agent", "id").agg(*_met(), F.max("need").alias("need"), F.collect_set("mark").alias("marks"), F.sum("dir").alias("dir"))
     zero = F.lit(0.0)
-    total = F.coalesce(F.col("exact"), zero) * EXACT_WEIGHT + F.coalesce(close_score, zero) + F.coalesce("dir", zero)
-    # a session that only some of the words match within an edit is no match
+    every = every.join(query_text.rules(clauses), "query_id", "left")
+    total = F.coalesce(_exact_score(), zero) * EXACT_WEIGHT + F.coalesce(_all_words(F.col("marks"), F.col("need")), zero) + F.coalesce("dir", zero)
+    # a session that only some of the words match within an edit, or that a clause forbids, is no match
     return every.withColumn("score", total).where("score > 0").select("query_id", "agent", "id", "score")
 
 

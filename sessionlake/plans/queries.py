@@ -12,6 +12,7 @@ from sessionlake.functions import paths, text, times
 from sessionlake.model import AGENT_NAMES, AGENTS
 from sessionlake.operators import filters, messages, refresh, search, stats
 from sessionlake.plans import sql, views
+from sessionlake.sources.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -278,6 +279,9 @@ def query_validity(spark, sf):
 
 # -- search --------------------------------------------------------------------
 
+_BEST = """SELECT query_id, rank, agent, id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, timestamp DESC, agent, id) AS rank FROM v_found) WHERE rank <= 10"""
+
 
 _FILTERS = ("agent_include", "agent_exclude", "dir_include", "dir_exclude")
 
@@ -291,7 +295,7 @@ def parse_queries(spark, sf):
 
 @query("postings", sql.with_sessions("SELECT agent, id, field, term, tf, len FROM v_postings", sql.V_POSTINGS))
 def postings(spark, sf):
-    return search.postings(views.sessions(spark, sf))
+    return search.postings(views.sessions(spark, sf)).drop("positions")
 
 
 @query("vocab_df", sql.with_sessions("SELECT field, term, count(*) AS df FROM v_postings GROUP BY field, term", sql.V_POSTINGS))
@@ -305,9 +309,7 @@ def _typed(spark):
 
 @query("bm25_exact", sql.with_sessions("SELECT query_id, agent, id, round(score / 5.0, 6) AS score FROM v_exact", *sql.SEARCH))
 def bm25_exact(spark, sf):
-    s = views.sessions(spark, sf)
-    post = search.postings(s)
-    return search.bm25(_typed(spark), post, search.field_totals(s, post)).withColumn("score", F.round("score", 6))
+    return search.bm25(_typed(spark), search.build_index(views.sessions(spark, sf))).withColumn("score", F.round("score", 6))
 
 
 @query("phrase", sql.with_sessions(f"""SELECT agent, id FROM v_sessions WHERE contains(' ' || array_to_string({sql.tokens("title")}, ' ') || ' ', ' of the ')
@@ -318,8 +320,7 @@ def phrase(spark, sf):
 
 @query("fuzzy_prefix", sql.with_sessions("SELECT query_id, agent, id, score FROM v_fuzzy", *sql.SEARCH))
 def fuzzy_prefix(spark, sf):
-    post = search.postings(views.sessions(spark, sf))
-    return search.fuzzy(_typed(spark), post, search.vocabulary(post))
+    return search.fuzzy(_typed(spark), search.build_index(views.sessions(spark, sf)))
 
 
 @query("dir_text", sql.with_sessions("SELECT query_id, agent, id, score FROM v_dirs", *sql.SEARCH))
@@ -350,12 +351,37 @@ def search_count(spark, sf):
     return search.matches(search.parse_queries(views.queries(spark), views.AS_OF), s).groupBy("query_id").agg(F.count("*").alias("matches"))
 
 
-@query("search_batch", sql.with_sessions("""SELECT query_id, rank, agent, id, round(score, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, timestamp DESC, agent, id) AS rank FROM v_found) WHERE rank <= 10""", *sql.SEARCH))
+@query("search_batch", sql.with_sessions(_BEST, *sql.SEARCH))
 def search_batch(spark, sf):
     return search.search_batch(views.queries(spark), views.sessions(spark, sf), views.AS_OF, 10)
 
 
+@query("search_boolean", sql.with_sessions(_BEST, *sql.CLAUSE_SEARCH))
+def search_boolean(spark, sf):
+    """Phrases, signs, joined clauses and fields."""
+    return search.search_batch(views.clause_queries(spark), views.sessions(spark, sf), views.AS_OF, 10)
+
+
+@query("search_phrase", sql.with_sessions("SELECT query_id, agent, id, round(score / 5.0, 6) AS score FROM v_exact", *sql.CLAUSE_SEARCH))
+def search_phrase(spark, sf):
+    """What the clauses themselves score, from a kept index: positions, and the files of the terms."""
+    index = search.build_index(views.sessions(spark, sf), scratch(spark, "index"))
+    return search.bm25(search.parse_queries(views.clause_queries(spark), views.AS_OF), index).withColumn("score", F.round("score", 6))
+
+
+@query("search_kept_index", sql.with_sessions(_BEST, *sql.SEARCH))
+def search_kept_index(spark, sf):
+    """search_batch from an index that lies on disk."""
+    s, path = views.sessions(spark, sf), scratch(spark, "index")
+    search.build_index(s, path)
+    return search.search_batch(views.queries(spark), s, views.AS_OF, 10, search.open_index(spark, path))
+
+
+@query("postings_positions", sql.with_sessions("SELECT agent, id, field, term, string_agg(CAST(pos - 1 AS VARCHAR), ',' ORDER BY pos) AS positions FROM v_places GROUP BY agent, id, field, term", sql.V_PLACES))
+def postings_positions(spark, sf):
+    return search.postings(views.sessions(spark, sf)).select("agent", "id", "field", "term", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+
+
 @query("page_meta", sql.with_sessions("""SELECT conv_id, turn, "offset", "limit", total, returned, CASE WHEN total > 0 AND "offset" >= total THEN 'past_end' WHEN "offset" + returned < total THEN 'more' ELSE 'complete' END AS state,
   CASE WHEN "offset" + returned < total THEN "offset" + returned END AS next_offset
 FROM (SELECT *, greatest(0, least("limit", total - "offset")) AS returned FROM (

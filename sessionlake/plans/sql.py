@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from sessionlake.model import AGENT_NAMES, AGENTS
-from sessionlake.plans.views import AS_OF, QUERIES, SPREAD
+from sessionlake.plans.views import AS_OF, CLAUSE_QUERIES, QUERIES, SPREAD
 
 NOW = f"TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}'"
 _AGENTS = ", ".join(f"'{a}'" for a in AGENT_NAMES)
@@ -48,7 +48,13 @@ v_status AS (SELECT agent, agent <> 'kimi' AS complete, agent = 'grok' AS failed
 
 V_DIM = "v_dim(agent, badge, ord) AS (VALUES " + ", ".join(f"('{a[0]}', '{a[1]}', {i})" for i, a in enumerate(AGENTS)) + ")"
 
-V_QUERIES = "v_queries(query_id, query) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUERIES) + ")"
+
+
+def _log(queries) -> str:
+    return "v_queries(query_id, query) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in queries) + ")"
+
+
+V_QUERIES = _log(QUERIES)
 
 V_HEALTH = """v_health AS (
   SELECT CAST(c.conv_id AS VARCHAR) AS path, turn AS line_no,
@@ -160,14 +166,13 @@ def fuzzy_pattern(word: str) -> str:
     return "^(" + "|".join(dict.fromkeys(out)) + ")"
 
 
-def _words() -> list[str]:
-    text = [re.sub(r'(-?)(agent|dir|date):(?:"([^"]+)"|(\S+))', "", q) for _, q in QUERIES]
-    return sorted({w.lower() for t in text for w in t.split() if len(w) >= 3})
+def _patterns(queries) -> str:
+    text = [re.sub(r'(-?)(agent|dir|date):(?:"([^"]+)"|(\S+))', "", q) for _, q in queries]
+    words = sorted({w.lower() for t in text for w in t.split() if len(w) >= 3})
+    return "v_patterns(word, pattern) AS (VALUES " + ", ".join(f"('{w}', '{fuzzy_pattern(w)}')" for w in words) + ")"
 
 
-V_PATTERNS = "v_patterns(word, pattern) AS (VALUES " + ", ".join(f"('{w}', '{fuzzy_pattern(w)}')" for w in _words()) + ")"
-
-V_SCORES = rf"""v_words AS (
+_V_WORDS = rf"""v_words AS (
   SELECT query_id, unnest(list_filter(regexp_split_to_array(replace(text, '"', ' '), '\s+'), lambda w: w <> '')) AS word FROM v_parsed),
 v_wanted AS (
   SELECT query_id, term, raw, count(*) AS times FROM (
@@ -176,9 +181,9 @@ v_df AS (SELECT field, term, count(*) AS df FROM v_postings GROUP BY field, term
 v_exact AS (
   SELECT query_id, agent, id, 5.0 * sum(times * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score
   FROM v_postings JOIN v_df USING (field, term) JOIN v_totals USING (field) JOIN v_wanted USING (term)
-  WHERE (field = 'directory') = raw GROUP BY query_id, agent, id),
-{V_PATTERNS},
-v_fwords AS (
+  WHERE (field = 'directory') = raw GROUP BY query_id, agent, id)"""
+
+_V_REST = rf"""v_fwords AS (
   SELECT query_id, ws, len(ws) AS need FROM (
     SELECT query_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) >= 3) AS ws FROM v_parsed) WHERE len(ws) > 0),
 v_fword AS (SELECT query_id, need, unnest(ws) AS word FROM v_fwords),
@@ -202,4 +207,59 @@ def with_sessions(select: str, *views: str) -> str:
     return "WITH " + ",\n".join((V_SESSIONS, *views)) + "\n" + select
 
 
-SEARCH = (V_PARSED, V_POSTINGS, V_SCORES)
+SEARCH = (V_PARSED, V_POSTINGS, _V_WORDS, _patterns(QUERIES), _V_REST)
+
+#: The clauses of CLAUSE_QUERIES: query, clause, group of clauses joined by AND, sign, field, raw text, terms.
+_CLAUSES = (
+    (1, 0, 0, "", "", "of the", "of the"),
+    (2, 0, 0, "+", "", "the", "the"), (2, 1, 0, "-", "", "of", "of"),
+    (3, 0, 0, "", "title", "the of", "the of"), (3, 1, 0, "", "", "thing", "thing"),
+    (4, 0, 1, "", "", "thing", "thing"), (4, 1, 1, "", "", "of", "of"), (4, 2, 0, "", "", "purchase", "purchase"),
+    (5, 0, 1, "", "", "the", "the"), (5, 1, 1, "-", "", "of the", "of the"), (5, 2, 0, "", "", "retoin", "retoin"),
+    (6, 0, 0, "", "", "in the", "in the"),
+    (7, 0, 0, "-", "", "the", "the"),
+    (8, 0, 0, "", "content", "the-of", "the of"),
+    (9, 0, 0, "+", "", "thing", "thing"), (9, 1, 0, "+", "", "in the", "in the"), (9, 2, 0, "-", "", "zzz", "zzz"),
+    (10, 0, 0, "", "", "/work/view/u3", "work view u3"), (10, 1, 0, "", "", "half", "half"), (10, 2, 0, "", "", "of", "of"),
+)
+
+
+def _places(field: str) -> str:
+    every = tokens(field).replace(" AND octet_length(encode(t)) < 40", "")
+    return f"SELECT agent, id, '{field}' AS field, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (SELECT agent, id, {every} AS w FROM v_sessions)"
+
+
+V_PLACES = f"""v_places AS (
+  SELECT * FROM ({_places("title")} UNION ALL {_places("content")}) WHERE octet_length(encode(term)) < 40
+  UNION ALL SELECT agent, id, 'directory', directory, 1 FROM v_sessions WHERE directory <> '')"""
+
+#: Scores of clauses: a clause occurs where all its terms stand at their places; then signs and groups decide.
+V_CLAUSES = "v_clauses(query_id, clause, grp, sign, field, raw, terms) AS (VALUES " + ", ".join(str(c) for c in _CLAUSES) + """),
+v_asked AS (
+  SELECT query_id, clause, grp, sign, f.field, CASE f.field WHEN 'directory' THEN [raw] ELSE string_split(terms, ' ') END AS ts
+  FROM v_clauses c JOIN (SELECT unnest(['title', 'content', 'directory']) AS field) f ON c.field IN ('', f.field)),
+v_term AS (SELECT query_id, clause, grp, sign, field, len(ts) AS n, unnest(ts) AS term, generate_subscripts(ts, 1) AS k FROM v_asked),
+v_df AS (SELECT field, term, count(*) AS df FROM v_postings GROUP BY field, term),
+v_begin AS (
+  SELECT query_id, clause, field, agent, id, pos - k AS begin FROM v_places JOIN v_term USING (field, term) GROUP BY ALL HAVING count(*) = any_value(n)),
+v_gain AS (
+  SELECT query_id, clause, field, sum(ln(1 + (docs - df + 0.5) / (df + 0.5))) AS gain FROM v_term JOIN v_df USING (field, term) JOIN v_totals USING (field) GROUP BY ALL),
+v_lens AS (SELECT DISTINCT agent, id, field, len FROM v_postings),
+v_hit AS (
+  SELECT query_id, clause, agent, id, sum(gain * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score
+  FROM (SELECT query_id, clause, field, agent, id, count(*) AS tf FROM v_begin GROUP BY ALL) JOIN v_gain USING (query_id, clause, field) JOIN v_lens USING (agent, id, field) JOIN v_totals USING (field)
+  GROUP BY query_id, clause, agent, id),
+v_at AS (
+  SELECT query_id, agent, id, grp, count(*) FILTER (sign = '+') AS must, count(*) FILTER (sign = '-') AS nots, count(*) FILTER (sign <> '-') AS yes, coalesce(sum(score) FILTER (sign <> '-'), 0) AS score
+  FROM v_hit JOIN v_clauses USING (query_id, clause) GROUP BY ALL),
+v_need AS (SELECT query_id, grp, count(*) FILTER (sign = '+') AS must, count(*) FILTER (sign <> '-') AS yes FROM v_clauses GROUP BY ALL),
+v_sum AS (
+  SELECT query_id, agent, id, sum(CASE WHEN grp = 0 THEN a.score WHEN a.nots = 0 AND a.yes = n.yes THEN a.score ELSE 0 END) AS score,
+    coalesce(any_value(a.must) FILTER (grp = 0), 0) AS must, coalesce(any_value(a.nots) FILTER (grp = 0), 0) AS nots,
+    bool_or(CASE WHEN grp = 0 THEN a.yes > 0 ELSE a.nots = 0 AND a.yes = n.yes END) AS any_yes
+  FROM v_at a JOIN v_need n USING (query_id, grp) GROUP BY query_id, agent, id),
+v_exact AS (
+  SELECT query_id, agent, id, 5.0 * s.score AS score FROM v_sum s LEFT JOIN (SELECT query_id, must AS needed FROM v_need WHERE grp = 0) USING (query_id)
+  WHERE must = coalesce(needed, 0) AND nots = 0 AND any_yes)"""
+
+CLAUSE_SEARCH = (_log(CLAUSE_QUERIES), V_PARSED_OF, V_POSTINGS, V_PLACES, V_CLAUSES, _patterns(CLAUSE_QUERIES), _V_REST)

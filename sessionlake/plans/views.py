@@ -30,6 +30,20 @@ QUERIES = (
     (12, "date:999999999y dir:signup,error"),
 )
 
+#: Searches with quotes, signs and joined clauses.
+CLAUSE_QUERIES = (
+    (1, '"of the"'),
+    (2, "+the -of"),
+    (3, 'title:"the of" thing'),
+    (4, "thing AND of OR purchase"),
+    (5, 'the AND NOT "of the" retoin'),
+    (6, '"in the" agent:claude,pi date:<400d'),
+    (7, "-the"),
+    (8, "content:the-of nofield:thing"),
+    (9, '+thing +"in the" -zzz'),
+    (10, '"/work/view/u3" "half of'),
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -89,6 +103,10 @@ def queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(QUERIES), "query_id int, query string")
 
 
+def clause_queries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(CLAUSE_QUERIES), "query_id int, query string")
+
+
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """v_log: a search string from each turn."""
     t = table(spark, sf_dir, "conversations")

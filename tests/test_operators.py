@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from sessionlake.functions import json as fj
 from sessionlake.functions import paths, text, times
 from sessionlake.model import AGENT_NAMES, SESSIONS, configure
-from sessionlake.operators import filters, messages, refresh, search, stats
+from sessionlake.operators import filters, messages, refresh, search, search_index, stats
 from sessionlake.sources import scan
 
 NOW = dt.datetime(2024, 5, 20, 12)
@@ -299,19 +300,85 @@ def osa_prefix(word, term):
     return any(osa(word, term[:k]) <= 1 for k in range(len(term) + 1))
 
 
-@pytest.mark.parametrize("few", [0, 16])
-def test_fuzzy_terms_match_brute_force(spark, monkeypatch, few):
+@pytest.mark.parametrize("few,kept", [(0, False), (16, False), (16, True)])
+def test_fuzzy_terms_match_brute_force(spark, monkeypatch, few, kept):
     import itertools
 
     monkeypatch.setattr(search, "FEW_WORDS", few)
 
-    vocab = ["".join(p) for n in (1, 2, 3, 4, 5) for p in itertools.product("ab", repeat=n)] + ["abé", "xyz", "axbyc"]
-    words = ["aba", "bbab", "éab", "ab-", "abab", "zzz", "babab", "aabba"]
+    vocab = ["".join(p) for n in (1, 2, 3, 4, 5, 6, 7) for p in itertools.product("ab", repeat=n)] + ["abé", "xyz", "axbyc"]
+    words = ["aba", "bbab", "éab", "ab-", "abab", "zzz", "babab", "aabba", "ababab", "bbabaab", "abbabbabb", "cababab"]
     v = spark.createDataFrame([("title", t, 1) for t in vocab], "field string, term string, df bigint")
-    got = {(r.word, r.term) for r in search.fuzzy_terms(spark.createDataFrame([(w,) for w in words], "word string"), v).collect()}
+    index = search.SearchIndex(None, None, v, None, search_index.fuzzy_keys(v) if kept else None)
+    got = {(r.word, r.term) for r in search.fuzzy_terms(spark.createDataFrame([(w,) for w in words], "word string"), index).collect()}
     assert got == {(w, t) for w in words for t in vocab if osa_prefix(w, t)}
 
 
+AUTH = (
+    session("near", "claude", "x", content="an auth bug in the api"), session("apart", "codex", "x", content="a bug in the auth module"), session("alone", "pi", "x", content="auth alone"),
+    session("title", "vibe", "Auth-bug", content="of the day"), session("none", "kimi", "x", "/srv/auth bug", content="nothing"),
+)
+
+
+@pytest.mark.parametrize("kept", [False, True])
+def test_phrases_and_signs(spark, tmp_path, kept):
+    s = table(spark, *AUTH)
+    index = search.build_index(s, str(tmp_path / "index")) if kept else None
+    texts = [
+        "auth bug", '"auth bug"', "auth-bug", '"bug auth', "+auth +module", "auth AND alone", "alone OR module", "auth -bug", "+auth -bug", "title:auth", 'content:"in the"', "foo:auth", "-zz", 'module AND NOT "in the"',
+        "of AND NOT bug", "of AND NOT module", '"/srv/auth bug"', 'directory:"/srv/auth bug"', "NOT auth alone", "+zzz auth",
+    ]
+    queries = search.parse_queries(spark.createDataFrame(list(enumerate(texts)), "query_id int, query string"), NOW)
+    found = {t: {} for t in texts}
+    for r in search.search_scores(queries, s, index).collect():
+        found[texts[r.query_id]][r.id] = r.score
+    plain, phrase = found["auth bug"], found['"auth bug"']
+    assert set(plain) == {"near", "apart", "alone", "title"}
+    # the words apart match within an edit, a point for each of them in its field, and no more
+    assert set(phrase) == {"near", "apart", "title"} and phrase["apart"] == 2.0 and min(phrase["near"], phrase["title"]) > 2.0
+    assert found["auth-bug"].keys() == {"near", "title"} and found['"bug auth'].keys() == plain.keys()
+    assert found["+auth +module"].keys() == {"apart"} and found["auth AND alone"].keys() == {"alone"} and found["alone OR module"].keys() == {"alone", "apart"}
+    # the fuzzy part does not see signs: both words are there
+    assert found["auth -bug"] == found["+auth -bug"] and found["auth -bug"] == {"alone": found["auth -bug"]["alone"], "near": 2.0, "apart": 2.0, "title": 2.0}
+    # nor fields
+    assert found["title:auth"].keys() == {"title"} and found['content:"in the"'].keys() == {"near", "apart"} and found["foo:auth"] == {} and found["-zz"] == {}
+    assert found['module AND NOT "in the"'].keys() == set() and found["of AND NOT bug"] == {} and found["of AND NOT module"].keys() == {"title"}
+    assert found['"/srv/auth bug"'].keys() == {"none"} and found['directory:"/srv/auth bug"'].keys() == {"none"}  # a directory is one raw term
+    assert found["NOT auth alone"].keys() == {"alone"} and found["+zzz auth"] == {}
+
+
+def test_phrase_is_found_from_positions_alone(spark, tmp_path):
+    long = "x" * 50
+    s = table(spark, session("a", "pi", "t", content="red red green red green"), session("b", "pi", "t", content=f"red {long} green"), session("c", "pi", "t", content="green red"))
+    index = search.build_index(s, str(tmp_path / "index"))
+    scores = search.search_scores(spark.createDataFrame([(0, '"red green"'), (1, '"red red green"')], "query_id int, text string"), s, index)
+    got = search.bm25(spark.createDataFrame([(0, '"red green"'), (1, '"red red green"'), (2, '"green green"')], "query_id int, text string"), index)
+    assert {(r.query_id, r.id) for r in got.collect()} == {(0, "a"), (1, "a")}
+    assert "content" not in scores._jdf.queryExecution().optimizedPlan().toString().replace("content,", "")
+    idf = {w: math.log(1 + (3 - n + 0.5) / (n + 0.5)) for w, n in (("red", 3), ("green", 3))}
+    mean = (5 + 2 + 2) / 3
+    want = (idf["red"] + idf["green"]) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 5 / mean))
+    assert got.where("query_id = 0").first().score == pytest.approx(want)
+
+
+def test_a_kept_index_reads_the_files_of_its_terms(spark, tmp_path):
+    def files(words):
+        made = table(spark, *[session(str(i), "pi", "t", content=f"word{i} other{i} both") for i in range(words)])
+        index = search.build_index(made, str(tmp_path / f"index{words}"))
+        named = index.postings_of(spark.createDataFrame([("word3",), ("both",)], "term string"))
+        shown = named._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [bucket" in shown and "PushedFilters: [" in shown and "term" in shown.split("PushedFilters")[1].split("]")[0]
+        assert {r.term for r in named.select("term").distinct().collect()} == {"word3", "both"}
+        near = index.terms_near(search.word_keys(spark.createDataFrame([("word",)], "word string")).select("key"))
+        assert "PartitionFilters: [bucket" in near._jdf.queryExecution().executedPlan().toString()
+        return named.select(F.input_file_name().alias("f")).distinct().count()
+
+    assert files(40) <= 2 and files(400) <= 2
+    reopened = search.open_index(spark, str(tmp_path / "index40"))
+    s = table(spark, *[session(str(i), "pi", "t", content=f"word{i} other{i} both") for i in range(40)])
+    assert [r.id for r in search.search(s, "word31 both", NOW, limit=1, index=reopened).collect()] == ["31"]
+
+
 def test_same_id_in_two_agents(spark):
     s = table(spark, session("same", "claude", "apple"), session("same", "codex", "banana"))
     assert [(r.agent, r.id) for r in search.search(s, "banana", NOW).collect()] == [("codex", "same")]
