@@ -40,29 +40,41 @@ def _typed_clauses(text: Column) -> Column:
     return F.aggregate(parts, start, step, lambda state: state["out"])
 
 
+def clause_list(text: Column) -> Column:
+    """Array of (clause, group, sign, field, raw, terms) of a text; field '' is any; group is null for a clause that stands alone."""
+    each = F.transform(_typed_clauses(text), lambda c: F.struct(c["clause"].alias("clause"), c["group"].alias("group"), c["sign"].alias("sign"), c["field"].alias("field"), c["text"].alias("raw"), tokens(c["text"]).alias("terms")))
+    return F.filter(each, lambda c: (F.size(c["terms"]) > 0) & c["field"].isin("", *FIELDS))
+
+
 def clauses(parsed: DataFrame) -> DataFrame:
-    """(query_id, clause, group, sign, field, raw, terms) of the queries' texts; field '' is any; group is null for a clause that stands alone."""
-    typed = parsed.select("query_id", _typed_clauses(F.col("text")).alias("cs"))
-    # what is left out leaves no trace, so a group may become a clause that stands alone
-    with_terms = F.transform("cs", lambda c: F.struct(c["clause"].alias("clause"), c["group"].alias("group"), c["sign"].alias("sign"), c["field"].alias("field"), c["text"].alias("raw"), tokens(c["text"]).alias("terms")))
-    known = typed.select("query_id", F.filter(with_terms, lambda c: (F.size(c["terms"]) > 0) & c["field"].isin("", *FIELDS)).alias("cs"))
-    each = known.select("query_id", F.transform("cs", lambda c: c["group"]).alias("groups"), F.explode("cs").alias("c"))
-    alone = F.size(F.filter("groups", lambda g: g == F.col("c.group"))) == 1
-    return each.select("query_id", "c.clause", F.when(~alone, F.col("c.group")).alias("group"), "c.sign", "c.field", "c.raw", "c.terms")
-
-
-def rules(found: DataFrame) -> DataFrame:
-    """(query_id, must, nots, shoulds, groups): how the clauses of each query decide; groups: (group, must, nots) of clauses joined by AND."""
-    minus = F.col("sign") == "-"
-    grouped = found.where("group is not null").groupBy("query_id", "group").agg(F.collect_list(F.when(~minus, F.col("clause"))).alias("must"), F.collect_list(F.when(minus, F.col("clause"))).alias("nots"))
-    grouped = grouped.groupBy("query_id").agg(F.collect_list(F.struct("group", "must", "nots")).alias("groups"))
-    alone = F.col("group").isNull()
-    own = found.groupBy("query_id").agg(
-        F.collect_list(F.when(alone & (F.col("sign") == "+"), F.col("clause"))).alias("must"), F.collect_list(F.when(alone & minus, F.col("clause"))).alias("nots"),
-        F.collect_list(F.when(alone & (F.col("sign") == ""), F.col("clause"))).alias("shoulds"),
-    )
-    none = F.array().cast("array<struct<group: int, must: array<int>, nots: array<int>>>")
-    return own.join(grouped, "query_id", "left").withColumn("groups", F.coalesce("groups", none))
+    """(query_id, clause, group, sign, field, raw, terms) of the queries' texts."""
+    typed = parsed.select("query_id", clause_list(F.col("text")).alias("cs"))
+    return typed.select("query_id", F.inline(with_groups(F.col("cs"))))
+
+
+def with_groups(cs: Column) -> Column:
+    """Clauses whose group has no other one stand alone: what was left out leaves no trace."""
+    groups = F.transform(cs, lambda c: c["group"])
+
+    def apart(c: Column) -> Column:
+        shared = F.when(F.size(F.filter(groups, lambda g: g == c["group"])) > 1, c["group"])
+        return F.struct(c["clause"].alias("clause"), shared.alias("group"), c["sign"].alias("sign"), c["field"].alias("field"), c["raw"].alias("raw"), c["terms"].alias("terms"))
+
+    return F.transform(cs, apart)
+
+
+def rule(cs: Column) -> tuple[Column, Column, Column, Column]:
+    """(must, nots, shoulds, groups): how clauses (with_groups) decide; groups: (group, must, nots) of clauses joined by AND."""
+
+    def numbers(which) -> Column:
+        return F.transform(F.filter(cs, which), lambda c: c["clause"])
+
+    def alone(sign: str) -> Column:
+        return numbers(lambda c: c["group"].isNull() & (c["sign"] == sign))
+
+    joined = F.array_distinct(F.array_compact(F.transform(cs, lambda c: c["group"])))
+    groups = F.transform(joined, lambda g: F.struct(g.alias("group"), numbers(lambda c: (c["group"] == g) & (c["sign"] != "-")).alias("must"), numbers(lambda c: (c["group"] == g) & (c["sign"] == "-")).alias("nots")))
+    return alone("+").alias("must"), alone("-").alias("nots"), alone("").alias("shoulds"), groups.alias("groups")
 
 
 def matched_groups(met: Column) -> Column:

@@ -13,9 +13,13 @@ passed in; without one it is written once for the call.
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from sessionlake.functions.text import tokens
 from sessionlake.operators.filters import UNIT_SECONDS, agent_filter, all_of, dir_filter, filter_matches
@@ -28,6 +32,10 @@ EXACT_WEIGHT = 5.0
 _KEYWORD = r'(-?)(agent|dir|date):(?:"([^"]+)"|(\S+))'
 #: Rows up to which what queries ask for is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Rows of asked terms that the driver takes up at once; more are written.
+LOCAL_ROWS = 20_000
+#: Queries up to which what they ask for is made on the driver.
+FEW_QUERIES = 200
 #: Words up to which each is compared with the terms by an expression of its own; more meet them by deletion keys.
 FEW_WORDS = 16
 #: Tasks among which sessions of one agent are dealt to queries without a text.
@@ -127,17 +135,65 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def exact_terms(clauses: DataFrame, index: SearchIndex) -> DataFrame:
+@dataclass(frozen=True)
+class Typed:
+    """What texts ask for: clauses, the words of the fuzzy part with the number that must match, keys of those words, and the rules of clauses.
+
+    terms and key_list are the same on the driver, if the queries are few.
+    """
+
+    clauses: DataFrame
+    words: DataFrame
+    keys: DataFrame
+    rules: DataFrame
+    terms: list[str] | None = None
+    key_list: list[str] | None = None
+
+
+def _local(spark: SparkSession, schema: str, rows: list[dict]) -> DataFrame:
+    return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(_parse_datatype_string(schema))), schema)
+
+
+_CLAUSES = "query_id {0}, clause int, group int, sign string, field string, raw string, terms array<string>"
+_RULES = "query_id {0}, must array<int>, nots array<int>, shoulds array<int>, groups array<struct<group: int, must: array<int>, nots: array<int>>>"
+
+
+def typed_queries(parsed: DataFrame) -> Typed:
+    """What `parsed` (query_id, text) asks for: of a few queries on the driver, of more in written tables."""
+    spark, kind = parsed.sparkSession, dict(parsed.dtypes)["query_id"]
+    cs = query_text.with_groups(query_text.clause_list(F.col("text")))
+    whole = parsed.select("query_id", cs.alias("cs"), _fuzzy_list(F.col("text")).alias("ws"))
+    whole = whole.select("query_id", "cs", F.struct(*query_text.rule(F.col("cs"))).alias("rule"), F.transform("ws", lambda w: F.struct(w["word"].alias("word"), w["times"].alias("times"), cells_of_fuzzy(w["word"]).alias("keys"))).alias("ws"))
+    rows = whole.limit(FEW_QUERIES + 1).collect()
+    if len(rows) > FEW_QUERIES:
+        whole = _kept(whole, "typed")
+        need = F.aggregate("ws", F.lit(0).cast("long"), lambda n, w: n + w["times"]).alias("need")
+        words = whole.select("query_id", need, F.inline("ws")).select("query_id", "need", "word", "times", "keys")
+        return Typed(whole.select("query_id", F.inline("cs")), words.drop("keys"), words.select("word", F.explode("keys").alias("key")).distinct(), whole.select("query_id", "rule.*"))
+    found = [r.asDict(recursive=True) for r in rows]
+    clauses = [{"query_id": r["query_id"], **c} for r in found for c in r["cs"]]
+    words = [{"query_id": r["query_id"], "need": sum(w["times"] for w in r["ws"]), **w} for r in found for w in r["ws"]]
+    keys = sorted({(w["word"], k) for w in words for k in w["keys"]})
+    return Typed(
+        _local(spark, _CLAUSES.format(kind), clauses),
+        _local(spark, f"query_id {kind}, need bigint, word string, times bigint", [{k: v for k, v in w.items() if k != "keys"} for w in words]),
+        _local(spark, "word string, key string", [{"word": w, "key": k} for w, k in keys]),
+        _local(spark, _RULES.format(kind), [{"query_id": r["query_id"], **r["rule"]} for r in found]),
+        sorted({t for c in clauses for t in (*c["terms"], c["raw"])}), sorted({k for _, k in keys}),
+    )
+
+
+def exact_terms(typed: Typed, index: SearchIndex) -> DataFrame:
     """(query_id, clause, group, field, term, k, n, gain, avg_len): the terms of clauses in the fields where all of a clause's terms occur.
 
     k is the term's place in its clause of n terms; gain is the sum of the
     terms' inverse frequencies, 0 where the clause forbids.
     """
-    every = clauses.withColumn("field", F.explode(F.when(F.col("field") != "", F.array("field")).otherwise(F.array(*[F.lit(f) for f in query_text.FIELDS]))))
+    every = typed.clauses.withColumn("field", F.explode(F.when(F.col("field") != "", F.array("field")).otherwise(F.array(*[F.lit(f) for f in query_text.FIELDS]))))
     whole = F.col("field") == "directory"
     each = every.select("query_id", "clause", "group", "sign", "field", F.posexplode(F.when(whole, F.array("raw")).otherwise(F.col("terms"))).alias("k", "term"), F.when(whole, 1).otherwise(F.size("terms")).alias("n"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    met = index.vocabulary_of(each.select("term")).join(each, ["field", "term"]).join(F.broadcast(index.totals), "field").withColumn("idf", idf)
+    met = index.vocabulary_of(each.select("term") if typed.terms is None else typed.terms).join(each, ["field", "term"]).join(F.broadcast(index.totals), "field").withColumn("idf", idf)
     own = met.groupBy("query_id", "clause", "group", "sign", "field", "n", "avg_len").agg(F.sum("idf").alias("gain"), F.collect_list(F.struct("k", "term")).alias("found")).where(F.size("found") == F.col("n"))
     gain = F.when(F.col("sign") == "-", 0.0).otherwise(F.col("gain"))
     return own.select("query_id", "clause", "group", "field", "n", gain.alias("gain"), "avg_len", F.inline("found")).select("query_id", "clause", "group", "field", "term", "k", "n", "gain", "avg_len")
@@ -176,17 +232,40 @@ def _met() -> tuple[Column, Column, Column]:
 
 def bm25(parsed: DataFrame, index: SearchIndex) -> DataFrame:
     """(query_id, agent, id, score) of the sessions that the clauses of each query match, fuzzy matches and directories apart."""
-    found = _kept(query_text.clauses(parsed), "clauses")
-    asked = _kept(exact_terms(found, index), "asked")
-    hits = _exact_hits(index.postings_of(asked.select("term")), asked, asked.count())
-    met = hits.groupBy("query_id", "agent", "id").agg(*_met()).join(query_text.rules(found), "query_id")
+    typed = typed_queries(parsed)
+    asked = _asked(exact_terms(typed, index))
+    hits = asked.single(index).select("query_id", "clause", "group", "agent", "id", _bm25_score().alias("exact"))
+    hits = hits.unionByName(asked.phrased(index)) if asked.phrases else hits
+    met = hits.groupBy("query_id", "agent", "id").agg(*_met()).join(typed.rules, "query_id")
     return met.select("query_id", "agent", "id", _exact_score().alias("score")).where("score > 0")
 
 
-def _exact_hits(post: DataFrame, asked: DataFrame, rows: int) -> DataFrame:
-    single, phrases = asked.where("n = 1"), asked.where("n > 1")
-    hits = post.join(_small(single, rows), ["field", "term"]).select("query_id", "clause", "group", "agent", "id", _bm25_score().alias("exact"))
-    return hits if phrases.isEmpty() else hits.unionByName(phrase_hits(post, _small(phrases, rows)))
+@dataclass(frozen=True)
+class Asked:
+    """Rows of terms that queries ask for; how many, and of them of phrases; the terms on the driver, if they are few."""
+
+    rows: DataFrame
+    count: int
+    phrases: int
+    terms: list[str] | None
+
+    def single(self, index: SearchIndex) -> DataFrame:
+        """Postings joined to the rows that ask for one term."""
+        rows = self.rows.where("n = 1")
+        return index.postings_of(rows.select("term") if self.terms is None else self.terms).join(_small(rows, self.count), ["field", "term"])
+
+    def phrased(self, index: SearchIndex) -> DataFrame:
+        rows = self.rows.where("n > 1")
+        return phrase_hits(index.postings_of(rows.select("term")), _small(rows, self.phrases))
+
+
+def _asked(rows: DataFrame) -> Asked:
+    found = rows.limit(LOCAL_ROWS + 1).toArrow()
+    if found.num_rows <= LOCAL_ROWS:
+        return Asked(rows.sparkSession.createDataFrame(found, rows.schema), found.num_rows, sum(n > 1 for n in found.column("n").to_pylist()), found.column("term").to_pylist())
+    kept = _kept(rows, "asked")
+    counts = kept.agg(F.count("*").alias("rows"), F.count_if(F.col("n") > 1).alias("phrases")).first()
+    return Asked(kept, counts.rows, counts.phrases, None)
 
 
 def within_one_edit_prefix(word: Column, term: Column) -> Column:
@@ -220,14 +299,14 @@ def _may_begin(word: str, term: Column) -> Column:
     return found
 
 
-def fuzzy_terms(words: DataFrame, index: SearchIndex) -> DataFrame:
+def fuzzy_terms(words: DataFrame, index: SearchIndex, keys: DataFrame | None = None, key_list: list[str] | None = None) -> DataFrame:
     """(word, field, term) of `words` (word) whose word matches a prefix of the term within one edit.
 
     With the index's table of fuzzy keys, words meet terms on keys that lack one
     character, and the vocabulary is not read. Without it a few words are
     compared with the vocabulary in one pass, and more of them meet it on keys
     made for the call. The vocabulary is distinct terms, never the tokens of the
-    corpus.
+    corpus. `keys` (word, key), and their list, may be given.
     """
     # a term has under 40 bytes, so no longer word can match
     words = words.select("word").where(F.char_length("word") <= 41).distinct()
@@ -238,8 +317,11 @@ def fuzzy_terms(words: DataFrame, index: SearchIndex) -> DataFrame:
             met = F.array(*[F.when(_may_begin(w, F.col("term")), F.lit(w)) for w in sorted(some)]).cast("array<string>")
             found = terms.select("field", "term", F.explode(F.array_compact(met)).alias("word"))
             return found.where(within_one_edit_prefix(F.col("word"), F.col("term"))).select("word", "field", "term")
-    keys = _kept(word_keys(words), "keys")
-    found = index.terms_near(keys.select("key")).join(_small(keys, keys.count()), "key")
+    keys = word_keys(words) if keys is None else keys
+    if key_list is None:
+        keys = _kept(keys, "keys")
+        keys = _small(keys, keys.count())
+    found = index.terms_near(keys.select("key") if key_list is None else key_list).join(keys, "key")
     return found.where(within_one_edit_prefix(F.col("word"), F.col("term"))).select("word", "field", "term").distinct()
 
 
@@ -248,11 +330,16 @@ def word_keys(words: DataFrame) -> DataFrame:
     return words.select("word", F.explode(cells_of_fuzzy(F.col("word"))).alias("key"))
 
 
+def _fuzzy_list(text: Column) -> Column:
+    """Array of (word, times): words of three or more characters, lower-cased, and how often each comes."""
+    words = F.transform(F.filter(F.split(text, r"\s+", -1), lambda w: F.char_length(w) >= FUZZY_LEAST_CHARS), lambda w: F.lower(w))
+    return F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("word"), F.size(F.filter(words, lambda x: x == w)).cast("long").alias("times")))
+
+
 def fuzzy_words(parsed: DataFrame) -> DataFrame:
     """(query_id, need, word, times): words of three or more characters, lower-cased; need is their number."""
-    split = F.filter(F.split("text", r"\s+", -1), lambda w: F.char_length(w) >= FUZZY_LEAST_CHARS)
-    words = parsed.select("query_id", F.transform(split, lambda w: F.lower(w)).alias("ws")).select("query_id", F.size("ws").cast("long").alias("need"), F.explode("ws").alias("word"))
-    return words.groupBy("query_id", "need", "word").agg(F.count("*").alias("times"))
+    words = parsed.select("query_id", _fuzzy_list(F.col("text")).alias("ws"))
+    return words.select("query_id", F.aggregate("ws", F.lit(0).cast("long"), lambda n, w: n + w["times"]).alias("need"), F.inline("ws"))
 
 
 def _all_words(marks: Column, need: Column) -> Column:
@@ -285,34 +372,28 @@ def dir_text(parsed: DataFrame, sessions: DataFrame) -> DataFrame:
 def search_scores(parsed: DataFrame, sessions: DataFrame, index: SearchIndex | None = None) -> DataFrame:
     """(query_id, agent, id, score) of all sessions that a query's text matches, filters not applied."""
     index = build_index(sessions) if index is None else index
-    clauses = _kept(query_text.clauses(parsed), "clauses")
-    words = fuzzy_words(parsed)
+    typed = typed_queries(parsed)
     mark = "struct<word: string, field: string, times: bigint>"
     null = F.lit(None)
-    exact = exact_terms(clauses, index).select("*", null.cast("long").alias("need"), null.cast(mark).alias("mark"))
-    close = fuzzy_terms(words, index).join(words, "word")
+    exact = exact_terms(typed, index).select("*", null.cast("long").alias("need"), null.cast(mark).alias("mark"))
+    close = fuzzy_terms(typed.words, index, typed.keys, typed.key_list).join(typed.words, "word")
     close = close.select(
         "query_id", null.cast("int").alias("clause"), null.cast("int").alias("group"), "field", "term", F.lit(0).alias("k"), F.lit(1).alias("n"), F.lit(0.0).alias("gain"), F.lit(1.0).alias("avg_len"),
         "need", F.struct("word", "field", "times").cast(mark).alias("mark"),
     )
-    asked = _kept(exact.unionByName(close), "asked")
-    counts = asked.agg(F.count("*").alias("rows"), F.count_if(F.col("n") > 1).alias("phrases")).first()
-    post = index.postings_of(asked.select("term"))
+    asked = _asked(exact.unionByName(close))
     columns = {"clause": "int", "group": "int", "exact": "double", "need": "bigint", "mark": mark, "dir": "double"}
 
     def hit(df: DataFrame, **own: Column) -> DataFrame:
         return df.select("query_id", "agent", "id", *[own.get(c, null).cast(t).alias(c) for c, t in columns.items()])
 
-    met = post.join(_small(asked.where("n = 1"), counts.rows), ["field", "term"])
-    hits = hit(met, clause=F.col("clause"), group=F.col("group"), exact=F.when(F.col("clause").isNotNull(), _bm25_score()), need=F.col("need"), mark=F.col("mark"))
-    if counts.phrases:
-        phrases = asked.where("n > 1")
-        found = phrase_hits(index.postings_of(phrases.select("term")), _small(phrases, counts.phrases))
-        hits = hits.unionByName(hit(found, clause=F.col("clause"), group=F.col("group"), exact=F.col("exact")))
+    hits = hit(asked.single(index), clause=F.col("clause"), group=F.col("group"), exact=F.when(F.col("clause").isNotNull(), _bm25_score()), need=F.col("need"), mark=F.col("mark"))
+    if asked.phrases:
+        hits = hits.unionByName(hit(asked.phrased(index), clause=F.col("clause"), group=F.col("group"), exact=F.col("exact")))
     hits = hits.unionByName(hit(dir_text(parsed, index.slim), dir=F.col("score")))
     every = hits.groupBy("query_id", "agent", "id").agg(*_met(), F.max("need").alias("need"), F.collect_set("mark").alias("marks"), F.sum("dir").alias("dir"))
     zero = F.lit(0.0)
-    every = every.join(query_text.rules(clauses), "query_id", "left")
+    every = every.join(typed.rules, "query_id", "left")
     total = F.coalesce(_exact_score(), zero) * EXACT_WEIGHT + F.coalesce(_all_words(F.col("marks"), F.col("need")), zero) + F.coalesce("dir", zero)
     # a session that only some of the words match within an edit, or that a clause forbids, is no match
     return every.withColumn("score", total).where("score > 0").select("query_id", "agent", "id", "score")
@@ -341,7 +422,7 @@ def phrase_filter(sessions: DataFrame, phrase: str) -> DataFrame:
 
 
 def one_query(spark: SparkSession, text: str, as_of: dt.datetime) -> DataFrame:
-    return parse_queries(spark.createDataFrame([(0, text)], "query_id int, query string"), as_of)
+    return parse_queries(_local(spark, "query_id int, query string", [{"query_id": 0, "query": text}]), as_of)
 
 
 def _literal_filters(row) -> Column | None:
@@ -373,7 +454,7 @@ def search(sessions: DataFrame, query: str, as_of: dt.datetime, limit: int = 50,
         index = build_index(sessions) if index is None else index
         kept = index.slim.where(passes) if passes is not None else index.slim
         # parsed once: the plans below start from its text
-        typed = sessions.sparkSession.createDataFrame([(0, row.text)], "query_id int, text string")
+        typed = _local(sessions.sparkSession, "query_id int, text string", [{"query_id": 0, "text": row.text}])
         page = search_scores(typed, sessions, index).join(kept.select("agent", "id", "timestamp"), ["agent", "id"])
         order = [F.desc(F.round("score", 6)), *order]
         page = page.select("agent", "id", "timestamp", "score").orderBy(*order)

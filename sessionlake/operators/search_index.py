@@ -10,6 +10,7 @@ pages with them are read; more terms meet the tables by a join.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,7 +115,7 @@ def fuzzy_keys(vocab: DataFrame) -> DataFrame:
 
 
 def _bucket(c: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+    return (F.crc32(c.cast("binary")) % buckets).cast("int")
 
 
 @dataclass(frozen=True)
@@ -131,27 +132,28 @@ class SearchIndex:
     fuzzy_keys: DataFrame | None = None
     buckets: int = 0
 
-    def postings_of(self, terms: DataFrame) -> DataFrame:
-        """Postings in which those of `terms` (term) are."""
+    def postings_of(self, terms: DataFrame | list[str]) -> DataFrame:
+        """Postings in which those of `terms` (term, or a list of them) are."""
         return self._named(self.postings, "term", terms)
 
-    def vocabulary_of(self, terms: DataFrame) -> DataFrame:
+    def vocabulary_of(self, terms: DataFrame | list[str]) -> DataFrame:
         return self._named(self.vocabulary, "term", terms)
 
-    def terms_near(self, keys: DataFrame) -> DataFrame:
-        """(key, field, term) in which those of `keys` (key) are."""
+    def terms_near(self, keys: DataFrame | list[str]) -> DataFrame:
+        """(key, field, term) in which those of `keys` (key, or a list of them) are."""
         return fuzzy_keys(self.vocabulary) if self.fuzzy_keys is None else self._named(self.fuzzy_keys, "key", keys)
 
-    def _named(self, table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    def _named(self, table: DataFrame, column: str, wanted: DataFrame | list[str]) -> DataFrame:
         if not self.buckets:
             return table
-        wanted = wanted.distinct().withColumn("bucket", _bucket(F.col(column), self.buckets))
-        rows = wanted.limit(NAMED_TERMS + 1).collect()
-        if len(rows) > NAMED_TERMS:
-            some = [r.bucket for r in wanted.select("bucket").distinct().collect()]  # at most BUCKETS[1]
-            return table.where(F.col("bucket").isin(some)).drop("bucket")
-        named = F.col("bucket").isin(sorted({r.bucket for r in rows})) & F.col(column).isin([r[column] for r in rows])
-        return table.where(named).drop("bucket")
+        if isinstance(wanted, DataFrame):
+            names = [r[0] for r in wanted.distinct().limit(NAMED_TERMS + 1).collect()]
+            some = None if len(names) <= NAMED_TERMS else [r[0] for r in wanted.select(_bucket(F.col(column), self.buckets)).distinct().collect()]  # at most BUCKETS[1]
+        else:
+            names, some = sorted(set(wanted)), None
+        some = sorted({crc32(n.encode()) % self.buckets for n in names}) if some is None else some
+        found = table.where(F.col("bucket").isin(some))
+        return (found.where(F.col(column).isin(names)) if len(names) <= NAMED_TERMS else found).drop("bucket")
 
 
 def _spread(df: DataFrame, path: str, by: str, buckets: int) -> None:

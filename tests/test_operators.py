@@ -326,7 +326,7 @@ def test_phrases_and_signs(spark, tmp_path, kept):
     index = search.build_index(s, str(tmp_path / "index")) if kept else None
     texts = [
         "auth bug", '"auth bug"', "auth-bug", '"bug auth', "+auth +module", "auth AND alone", "alone OR module", "auth -bug", "+auth -bug", "title:auth", 'content:"in the"', "foo:auth", "-zz", 'module AND NOT "in the"',
-        "of AND NOT bug", "of AND NOT module", '"/srv/auth bug"', 'directory:"/srv/auth bug"', "NOT auth alone", "+zzz auth",
+        "of AND NOT bug", "of AND NOT module", '"/srv/auth bug"', 'directory:"/srv/auth bug"', "NOT auth alone", "NOT auth module", "NOT zzz module", "+zzz auth",
     ]
     queries = search.parse_queries(spark.createDataFrame(list(enumerate(texts)), "query_id int, query string"), NOW)
     found = {t: {} for t in texts}
@@ -344,7 +344,7 @@ def test_phrases_and_signs(spark, tmp_path, kept):
     assert found["title:auth"].keys() == {"title"} and found['content:"in the"'].keys() == {"near", "apart"} and found["foo:auth"] == {} and found["-zz"] == {}
     assert found['module AND NOT "in the"'].keys() == set() and found["of AND NOT bug"] == {} and found["of AND NOT module"].keys() == {"title"}
     assert found['"/srv/auth bug"'].keys() == {"none"} and found['directory:"/srv/auth bug"'].keys() == {"none"}  # a directory is one raw term
-    assert found["NOT auth alone"].keys() == {"alone"} and found["+zzz auth"] == {}
+    assert found["NOT auth alone"] == {} and found["NOT auth module"].keys() == set() and found["NOT zzz module"].keys() == {"apart"} and found["+zzz auth"] == {}
 
 
 def test_phrase_is_found_from_positions_alone(spark, tmp_path):
