@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from sessionlake.model import SESSION_COLUMNS, agent_dim
+from sessionlake.model import SESSION_COLUMNS, SESSIONS, agent_dim
 
 TOLERANCE = 0.001
 KEY = ["agent", "id"]
@@ -177,8 +178,8 @@ def union_by_precedence(first: DataFrame, second: DataFrame, keys: Sequence[str]
 
 def log_rows(sessions: DataFrame, version: int, op: str = "upsert") -> DataFrame:
     """Rows of the session log: sessions to put, or (with op delete) keys to remove."""
-    columns = [c for c in SESSION_COLUMNS if c not in KEY]
-    values = [F.col(c) if c in sessions.columns else F.lit(None).alias(c) for c in columns]
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(SESSIONS)}
+    values = [F.col(c) if c in sessions.columns else F.lit(None).cast(kinds[c]).alias(c) for c in SESSION_COLUMNS if c not in KEY]
     return sessions.select(*KEY, F.lit(version).cast("long").alias("version"), F.lit(op).alias("op"), *values)
 
 

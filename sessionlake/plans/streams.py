@@ -13,6 +13,7 @@ from sessionlake.sources.agents import ingest_claude, sessions_of
 from sessionlake.sources.scratch import scratch
 from sessionlake.streaming import incremental
 from sessionlake.streaming import refresh as stream
+from sessionlake.streaming.commits import METRICS, file_system
 
 
 def _parse(files):
@@ -75,7 +76,7 @@ def stream_siblings(spark, sf):
 def upsert_sessions(spark, sf):
     """The log as committed batches on disk, read back as a snapshot."""
     out, log = scratch(spark, "log"), _log(spark, sf)
-    counts = spark.range(1).select(*[F.lit(0).cast("long").alias(c) for c in ("files", "upserts", "retained", "deletes")])
+    counts = spark.createDataFrame([(0, 0, 0, 0, None, None)], METRICS)
     for batch in (1, 2, 3):
         stream.commit_batch(log.where(F.col("version") == batch), counts, out, batch)
     # a batch without its metrics row is not committed
@@ -89,6 +90,21 @@ def delete_sessions(spark, sf):
     return log.select(*refresh.KEY).distinct().join(refresh.latest_snapshot(log).select(*refresh.KEY), refresh.KEY, "left_anti")
 
 
+@query("rebuild_then_delete", f"""SELECT *, CAST(0 AS BIGINT) AS parsed FROM ({ORACLE_SQL["ingest_claude"]}) WHERE CAST(id AS BIGINT) % 3 <> 0""")
+def rebuild_then_delete(spark, sf):
+    """A compaction and a rebuild, after which a third of the files is gone: the refresh parses nothing (`parsed`) and removes their sessions."""
+    root, out = scratch(spark, "rebuild-in"), scratch(spark, "rebuild-out")
+    for folder, kept in (("gone", F.col("conv_id") % 3 == 0), ("left", F.col("conv_id") % 3 != 0)):
+        claude_files(spark, sf, f"{root}/dir={folder}", kept)
+    incremental.refresh_source(spark, root, out, "claude")
+    stream.compact(spark, out)
+    stream.rebuild(spark, out, stream.read_snapshot(spark, out))
+    fs, p = file_system(spark, f"{root}/dir=gone")
+    fs.delete(p, True)
+    parsed = incremental.refresh_source(spark, root, out, "claude").parsed
+    return stream.read_snapshot(spark, out).select(*KEPT, F.lit(parsed).cast("long").alias("parsed"))
+
+
 @query("rebuild_roundtrip", sql.with_sessions("SELECT id, agent, title, directory, timestamp, content, message_count, mtime, yolo, false AS changed FROM v_sessions"))
 def rebuild_roundtrip(spark, sf):
     """A full rebuild over an empty one, then compacted; an incremental scan after it finds nothing changed."""

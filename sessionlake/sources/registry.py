@@ -8,11 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.functions.json import get
+from sessionlake.functions.json import get, is_strict_json
 from sessionlake.functions.paths import path_id
 from sessionlake.model import configure
 from sessionlake.sources import agents
-from sessionlake.sources.scan import listing, scan_json_docs, scan_jsonl
+from sessionlake.sources.scan import lines_of, readable_listing, scan_files, scan_json_docs, scan_jsonl
 
 
 def _key(rule: str) -> Callable[[Column], Column]:
@@ -31,7 +31,8 @@ class Source:
     session have in common; lines: pattern of those whose health decides;
     shared: pattern of files about many sessions, which every parse reads; head:
     pattern, and value of a record, of the file that may name the session
-    otherwise than its key does; usable: whether a session parsed from a partial
+    otherwise than its key does; sure_head: whether bad lines before that record
+    leave the id uncertain; usable: whether a session parsed from a partial
     file is kept.
     """
 
@@ -41,23 +42,24 @@ class Source:
     lines: str = r"\.jsonl$"
     shared: str = ""
     head: tuple[str, Column] | None = None
+    sure_head: bool = False
     usable: Callable[[], Column] = field(default=lambda: F.lit(True))
 
     def parse(self, spark: SparkSession, files: str | DataFrame) -> DataFrame:
         """Sessions of a folder, or of files (path, mtime, size, value) that were read."""
         return agents.sessions_of(self.agent, agents.FILE_SOURCES[self.agent](spark, files))
 
-    def list_files(self, spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-        """(own, shared) files below `root`: own with key. Contents are not read."""
-        files = listing(spark, root)
+    def list_files(self, spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, bool]:
+        """(own, shared) files below `root`, own with key, and whether all folders could be listed. Contents are not read."""
+        files, complete = readable_listing(spark, root)
         own = files.where(F.col("path").rlike(self.own)).withColumn("key", self.key(F.col("path"))).where("key <> ''")
-        return own, files.where(F.col("path").rlike(self.shared)) if self.shared else files.limit(0)
+        return own, files.where(F.col("path").rlike(self.shared)) if self.shared else files.limit(0), complete
 
     def ids(self, files: DataFrame) -> DataFrame:
-        """(key, id) of the sessions of `files`."""
+        """(key, id, uncertain) of the sessions of `files`."""
         keys = files.where(F.col("path").rlike(self.own)).select(self.key(F.col("path")).alias("key")).where("key <> ''").distinct()
         if self.head is None:
-            return keys.select("key", F.col("key").alias("id"))
+            return keys.select("key", F.col("key").alias("id"), F.lit(False).alias("uncertain"))
         name, value = self.head
         spark = configure(files.sparkSession)
         if name.endswith(".jsonl"):
@@ -66,7 +68,14 @@ class Source:
             found = scan_json_docs(spark, files, name).withColumn("line_no", F.lit(0))
         value = F.nullif(value, F.lit(""))
         named = found.groupBy(self.key(F.col("path")).alias("key")).agg(F.min_by(value, F.when(value.isNotNull(), F.col("line_no"))).alias("named"))
-        return keys.join(named, "key", "left").select("key", F.coalesce("named", "key").alias("id"))
+        ids = keys.join(named, "key", "left").select("key", F.coalesce("named", "key").alias("id"))
+        if not self.sure_head:
+            return ids.withColumn("uncertain", F.lit(False))
+        header = found.where(value.isNotNull()).groupBy(self.key(F.col("path")).alias("key")).agg(F.min("line_no").alias("header"))
+        lines = lines_of(scan_files(spark, files, name)).where(~is_strict_json(F.col("raw")))
+        bad = lines.groupBy(self.key(F.col("path")).alias("key")).agg(F.min("line_no").alias("bad"))
+        # a header that was found names the session, whatever stands before it
+        return ids.join(header, "key", "left").join(bad, "key", "left").select("key", "id", (F.col("bad").isNotNull() & F.col("header").isNull()).alias("uncertain"))
 
 
 def _sources() -> dict[str, Source]:
@@ -76,7 +85,7 @@ def _sources() -> dict[str, Source]:
         Source("antigravity", r"/transcript(_full)?\.jsonl$", _key("great_grandparent"), shared=r"/history\.jsonl$"),
         Source("claude", r"/(?!agent-)[^/]*\.jsonl$", _key("stem"), shared=r"/sessions-index\.json$"),
         Source("codex", r"/rollout-[^/]*\.jsonl$", _key("uuid_tail"), shared=r"/session_index\.jsonl$", head=("*.jsonl", F.when(kind == "session_meta", get(rec, "$.payload.id")))),
-        Source("copilot-cli", r"\.jsonl$", _key("parent_or_stem"), head=("*.jsonl", F.when(kind == "session.start", get(rec, "$.data.sessionId")))),
+        Source("copilot-cli", r"\.jsonl$", _key("parent_or_stem"), head=("*.jsonl", F.when(kind == "session.start", get(rec, "$.data.sessionId"))), sure_head=True),
         Source("copilot-vscode", r"/(?!workspace\.json$)[^/]*\.json$", _key("stem"), lines="", shared=r"/workspace\.json$", head=("*.json", get(rec, "$.sessionId"))),
         Source("grok", r"/(updates\.jsonl|summary\.json)$", _key("parent")),
         Source("kimi", r"/(state\.json|agents/main/wire\.jsonl)$", _kimi_key, shared=r"/session_index\.jsonl$", usable=lambda: F.col("message_count") > 0),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 from dataclasses import dataclass
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +62,28 @@ def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return files.where(F.col("path").rlike(_name_pattern(glob)))
 
 
+def readable_listing(spark: SparkSession, root: str) -> tuple[DataFrame, bool]:
+    """`listing` of what can be listed below `root`, and whether that is all of it.
+
+    If some folder cannot be read, the folders of `root` are listed one by one
+    and those that cannot are left out. A root that is no folder is an error.
+    """
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
+        raise NotADirectoryError(root)
+    try:
+        return listing(spark, root), True
+    except (Py4JJavaError, PySparkException):
+        parts = []
+        for child in fs.listStatus(p):
+            with contextlib.suppress(Py4JJavaError, PySparkException):
+                parts.append(listing(spark, child.getPath().toString()))
+        if not parts:
+            raise
+        return reduce(DataFrame.unionByName, parts), False
+
+
 def source_path(path: Column) -> Column:
     """A file's path at its source.
 

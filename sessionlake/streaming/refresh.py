@@ -1,71 +1,38 @@
 """Streaming refresh: landed files to the session log, one committed batch at a time.
 
 Each micro-batch is parsed, gated by file health, planned against the snapshot
-and appended to `log/batch_id=<n>`, written over if the batch is retried. A row
-in `metrics/batch_id=<n>` follows; a batch without it is not committed and
-readers do not see it. The file source reads a path once, so sources land new
-versions of a file under new folders; deletes come from listing jobs only.
-
-All of it lies in a generation. Compaction and rebuilds write a new one and then
-switch the pointer `CURRENT` to it, so readers see the old or the new one whole.
+and committed (streaming.commits); a retry of one that was committed does
+nothing. The file source reads a path once, so sources land new versions of a
+file under new folders; deletes come from listing jobs only.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sessionlake.model import SESSION_COLUMNS, SESSION_LOG, configure
+from sessionlake.model import SESSION_COLUMNS, configure
 from sessionlake.operators.refresh import KEY, gate_outcome, latest_snapshot, log_rows
 from sessionlake.sources.scan import file_health, source_path
+from sessionlake.sources.scratch import scratch
+from sessionlake.streaming import commits
+from sessionlake.streaming.commits import commit, commit_batch, compact, current, has_committed, read_committed, read_part, switch, vacuum  # noqa: F401
 
 BATCH_FILES = 500
 EVERY = "1 second"
 #: Batches after which the log is compacted.
 COMPACT_EVERY = 10_000
-METRICS = "files bigint, upserts bigint, retained bigint, deletes bigint"
 
 #: files (path, mtime, size, value) -> sessions, their id being the file's session_id
 Parser = Callable[[DataFrame], DataFrame]
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def current(spark: SparkSession, out: str) -> str:
-    """Folder of the current generation: the one that `CURRENT` names, `out` itself before the first switch."""
-    fs, p = _fs(spark, f"{out}/CURRENT")
-    if not fs.exists(p):
-        return out
-    return f"{out}/{spark.read.text(f'{out}/CURRENT').first().value}"
-
-
-def switch(spark: SparkSession, out: str, generation: str) -> None:
-    """Make `generation`, a complete folder under `out`, the current one."""
-    fs, p = _fs(spark, f"{out}/CURRENT")
-    _, new = _fs(spark, f"{out}/CURRENT-{uuid.uuid4().hex}")
-    stream = fs.create(new)
-    stream.write(bytearray(generation.encode()))
-    stream.close()
-    # contexts rename over an existing file in one step
-    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    overwrite = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fs.makeQualified(new), fs.makeQualified(p), overwrite)
-
-
 def read_log(spark: SparkSession, out: str) -> DataFrame:
     """The session log of committed batches; empty before the first."""
-    base = current(spark, out)
-    log = _table(spark, f"{base}/log", SESSION_LOG)
-    done = _table(spark, f"{base}/metrics", METRICS).select("batch_id").distinct()
-    return log.join(done, "batch_id", "left_semi").drop("batch_id")
+    return read_committed(spark, current(spark, out), "log")
 
 
 def read_snapshot(spark: SparkSession, out: str, keys: DataFrame | None = None) -> DataFrame:
@@ -77,15 +44,7 @@ def read_snapshot(spark: SparkSession, out: str, keys: DataFrame | None = None)
 
 
 def read_metrics(spark: SparkSession, out: str) -> DataFrame:
-    return _table(spark, f"{current(spark, out)}/metrics", METRICS)
-
-
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    full = f"{schema}, batch_id bigint"
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(path)
+    return read_part(spark, current(spark, out), "metrics")
 
 
 def batch_changes(files: DataFrame, sessions: DataFrame, snapshot: Callable[[DataFrame], DataFrame], agent: str, session_id, version: int) -> tuple[DataFrame, DataFrame]:
@@ -109,12 +68,6 @@ def batch_changes(files: DataFrame, sessions: DataFrame, snapshot: Callable[[Dat
     return puts.unionByName(log_rows(gone, version, "delete")), outcomes
 
 
-def commit_batch(rows: DataFrame, metrics: DataFrame, out: str, batch_id: int) -> None:
-    """Write a batch's rows, then the metrics row that makes it visible; a retry writes the same folders again."""
-    rows.write.mode("overwrite").parquet(f"{out}/log/batch_id={batch_id}")
-    metrics.write.mode("overwrite").parquet(f"{out}/metrics/batch_id={batch_id}")
-
-
 def stream_files(spark: SparkSession, root: str, batch_files: int = BATCH_FILES) -> DataFrame:
     """Streaming (path, mtime, size, value) of whole files that appear under `root`."""
     raw = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", batch_files).text(root, wholetext=True)
@@ -126,21 +79,20 @@ def start_refresh(spark: SparkSession, root: str, out: str, agent: str, parse: P
     """Start the refresh of one source; `every` None processes what there is and ends."""
     configure(spark)
 
+    writer_name = f"refresh:{agent}:{root}"
+
     def on_batch(files: DataFrame, batch_id: int) -> None:
-        if files.isEmpty():
-            return
         session = files.sparkSession
-        files = files.persist()
-        try:
-            rows, outcomes = batch_changes(files, parse(files), lambda keys: read_snapshot(session, out, keys), agent, session_id, batch_id)
-            counts = outcomes.agg(
-                F.count("*").alias("files"), F.count_if(F.col("outcome") == "session").alias("upserts"),
-                F.count_if(F.col("outcome") == "retain").alias("retained"), F.count_if(F.col("outcome") == "delete").alias("deletes"),
-            )
-            commit_batch(rows, counts, current(session, out), batch_id)
-        finally:
-            files.unpersist()
-        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+        if files.isEmpty() or has_committed(session, out, writer_name, batch_id):
+            return
+        path = scratch(session, "batch")  # read once: a file may change while it is judged
+        files.write.parquet(path)
+        files = session.read.schema(files.schema).parquet(path)
+        rows, outcomes = batch_changes(files, parse(files), lambda keys: read_snapshot(session, out, keys), agent, session_id, 0)
+        n = {r.outcome: r["count"] for r in outcomes.groupBy("outcome").count().collect()}
+        numbered = lambda number: (rows.withColumn("version", F.lit(number).cast("long")), None)
+        number = commit(session, out, numbered, (n.get("session", 0), n.get("retain", 0), n.get("delete", 0)), writer_name, batch_id)
+        if number % COMPACT_EVERY == COMPACT_EVERY - 1:
             compact(session, out)
 
     writer = stream_files(spark, root, batch_files).writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{out}/checkpoint")
@@ -154,22 +106,6 @@ def refresh_once(spark: SparkSession, root: str, out: str, agent: str, parse: Pa
     return read_snapshot(spark, out)
 
 
-def _fresh(spark: SparkSession, sessions: DataFrame, to: str) -> None:
-    rows = log_rows(sessions, 0)
-    none = F.lit(0).cast("long")
-    commit_batch(rows, rows.agg(F.count("*").alias("files"), F.count("*").alias("upserts"), none.alias("retained"), none.alias("deletes")), to, 0)
-
-
 def rebuild(spark: SparkSession, out: str, sessions: DataFrame) -> None:
     """Replace everything by `sessions`, one row per key: a new generation, then the switch to it."""
-    generation = f"generation-{uuid.uuid4().hex}"
-    _fresh(spark, sessions, f"{out}/{generation}")
-    switch(spark, out, generation)
-
-
-def compact(spark: SparkSession, out: str, to: str | None = None) -> None:
-    """Write the snapshot as a fresh log: a new generation of `out`, or the folder `to`."""
-    if to is None:
-        rebuild(spark, out, read_snapshot(spark, out))
-    else:
-        _fresh(spark, read_snapshot(spark, out), to)
+    commits.rebuild(spark, out, sessions, log_rows)

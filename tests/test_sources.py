@@ -6,6 +6,7 @@ import json
 import os
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sessionlake.functions.paths import stem
@@ -244,8 +245,8 @@ def test_stream_equals_batch_and_keeps_torn_sessions(spark, tmp_path):
     assert got == {"s0": "» the second version of 0", "s1": "» the first version of 1", "s2": "» the second version of 2", "s4": "» the first version of 4"}
     m = stream.read_metrics(spark, out).agg(F.sum("files"), F.sum("upserts"), F.sum("retained"), F.sum("deletes")).first()
     assert tuple(m) == (9, 7, 1, 1)
-    stream.compact(spark, out, str(tmp_path / "fresh"))
-    assert stream.read_snapshot(spark, str(tmp_path / "fresh")).count() == 4
+    stream.compact(spark, out)
+    assert stream.read_snapshot(spark, out).count() == 4
 
 
 def test_uncommitted_batches_are_unseen(spark, tmp_path):
@@ -294,7 +295,10 @@ def contents(spark, out):
 
 
 def test_incremental_refresh_parses_what_changed(spark, tmp_path):
-    from sessionlake.streaming.incremental import refresh_incremental
+    from sessionlake.streaming import incremental
+
+    def refresh_incremental(*args, **more):
+        return {a: r.parsed for a, r in incremental.refresh_incremental(*args, **more).items() if r.error is None}
 
     c, g, v, out = tmp_path / "claude", tmp_path / "grok", tmp_path / "vibe", str(tmp_path / "out")
     for i in range(4):
@@ -329,17 +333,146 @@ def test_incremental_refresh_parses_what_changed(spark, tmp_path):
     assert contents(spark, out) == want
 
 
-def test_a_new_generation_is_seen_only_when_it_is_current(spark, tmp_path):
+def test_a_new_generation_is_seen_only_when_it_is_current(spark, tmp_path, monkeypatch):
+    from sessionlake.streaming import commits
+
     out = str(tmp_path / "out")
-    first = parse_rows(spark, tmp_path / "a", "one")
-    stream.rebuild(spark, out, first)
+    stream.rebuild(spark, out, parse_rows(spark, tmp_path / "a", "one"))
     before = stream.current(spark, out)
-    stream._fresh(spark, parse_rows(spark, tmp_path / "b", "two"), f"{out}/generation-x")
-    assert {r.id for r in stream.read_snapshot(spark, out).collect()} == {"one"}
-    stream.switch(spark, out, "generation-x")
-    assert {r.id for r in stream.read_snapshot(spark, out).collect()} == {"two"}
+    seen, real = [], commits.switch
+
+    def watched(spark, out, generation):
+        seen.append({r.id for r in stream.read_snapshot(spark, out).collect()})
+        real(spark, out, generation)
+
+    monkeypatch.setattr(commits, "switch", watched)
+    stream.rebuild(spark, out, parse_rows(spark, tmp_path / "b", "two"))
+    stream.compact(spark, out)
+    assert seen == [{"one"}, {"two"}] and {r.id for r in stream.read_snapshot(spark, out).collect()} == {"two"} and stream.current(spark, out) != before
+    # what is not current goes after its time
+    assert commits.vacuum(spark, out) == [] and before in commits.vacuum(spark, out, 0) and {r.id for r in stream.read_snapshot(spark, out).collect()} == {"two"}
+
+
+def claude_folder(tmp_path, n):
+    for i in range(n):
+        write(tmp_path / "claude", f"p/s{i}.jsonl", prompt(f"the first version of {i}"))
+    return tmp_path / "claude"
+
+
+@pytest.mark.parametrize("fresh", ["compact", "rebuild"])
+def test_marks_survive_a_new_generation(spark, tmp_path, fresh):
+    from sessionlake.streaming.incremental import refresh_source
+
+    root, out = claude_folder(tmp_path, 3), str(tmp_path / "out")
+    assert refresh_source(spark, str(root), out, "claude").parsed == 3
+    if fresh == "compact":
+        stream.compact(spark, out)
+    else:
+        stream.rebuild(spark, out, stream.read_snapshot(spark, out))
+    (root / "p/s1.jsonl").unlink()
+    assert refresh_source(spark, str(root), out, "claude").parsed == 0
+    assert contents(spark, out).keys() == {("claude", "s0"), ("claude", "s2")}
+
+
+def test_sessions_without_marks_go_with_their_files(spark, tmp_path):
+    from sessionlake.streaming.incremental import refresh_source
+
+    root, out = claude_folder(tmp_path, 2), str(tmp_path / "out")
+    stream.rebuild(spark, out, agents.sessions_of("claude", agents.ingest_claude(spark, str(root))))
+    (root / "p/s0.jsonl").unlink()
+    assert refresh_source(spark, str(root), out, "claude").parsed == 1 and contents(spark, out).keys() == {("claude", "s1")}
+
+
+def test_writers_at_the_same_time_lose_nothing(spark, tmp_path):
+    """Two followers, a refresh and a compaction of one log, all at once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from sessionlake.streaming import commits
+    from sessionlake.streaming.incremental import refresh_source, start_following
+
+    root, g, out = claude_folder(tmp_path, 4), tmp_path / "grok", str(tmp_path / "out")
+    for k in range(3):
+        write(g, f"%2Fw/g{k}/updates.jsonl", chunk("user_message_chunk", f"Hello {k}"))
+        write(g, f"%2Fw/g{k}/summary.json", {"created_at": "2024-01-01T00:00:00Z"})
+    write(tmp_path / "vibe", "session_1/meta.json", {"session_id": "v", "start_time": "2024-01-01T00:00:00"})
+    write(tmp_path / "vibe", "session_1/messages.jsonl", {"role": "user", "content": "hello"})
+    jobs = [lambda a=a, r=r: start_following(spark, str(r), out, a, None, batch_files=2).awaitTermination() for a, r in (("claude", root), ("grok", g))]
+    jobs += [lambda: refresh_source(spark, str(tmp_path / "vibe"), out, "vibe"), lambda: refresh_source(spark, str(root), out, "claude", wave=1), lambda: commits.compact(spark, out)]
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(j) for j in jobs]:
+            done.result()
+    want = {("claude", f"s{i}"): f"» the first version of {i}" for i in range(4)} | {("grok", f"g{k}"): f"» Hello {k}" for k in range(3)} | {("vibe", "v"): "» hello"}
+    assert contents(spark, out) == want
+    assert [refresh_source(spark, str(r), out, a).parsed for a, r in (("claude", root), ("grok", g), ("vibe", tmp_path / "vibe"))] == [0, 0, 0]
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda _: commits.claim(spark, str(tmp_path / "claimed")), range(24)))
+    assert sorted(numbers) == list(range(24))
+
+
+def test_a_commit_between_the_reading_and_the_switch_of_a_compaction_stays(spark, tmp_path, monkeypatch):
+    from sessionlake.streaming import commits
+    from sessionlake.streaming.incremental import refresh_source
+
+    root, out = claude_folder(tmp_path, 2), str(tmp_path / "out")
+    refresh_source(spark, str(root), out, "claude")
+    real = commits.switch
+
+    def late(spark, out, generation):
+        write(root, "p/late.jsonl", prompt("a prompt that came late"))
+        (root / "p/s0.jsonl").unlink()
+        refresh_source(spark, str(root), out, "claude")
+        real(spark, out, generation)
+
+    monkeypatch.setattr(commits, "switch", late)
     stream.compact(spark, out)
-    assert {r.id for r in stream.read_snapshot(spark, out).collect()} == {"two"} and stream.current(spark, out) not in (before, f"{out}/generation-x")
+    assert contents(spark, out).keys() == {("claude", "s1"), ("claude", "late")}
+    assert refresh_source(spark, str(root), out, "claude").parsed == 0
+
+
+def test_sources_fail_alone_and_incomplete_listings_remove_nothing(spark, tmp_path, monkeypatch):
+    from sessionlake.sources import scan
+    from sessionlake.streaming import incremental
+
+    root, out = claude_folder(tmp_path, 2), str(tmp_path / "out")
+    write(root, "q/s9.jsonl", prompt("a prompt in another folder"))
+    roots = {"claude": str(root), "codex": str(tmp_path / "missing"), "pi": str(root / "p/s0.jsonl")}
+    found = incremental.refresh_incremental(spark, roots, out)
+    assert found["claude"].parsed == 3 and {a: r.error is None for a, r in found.items()} == {"claude": True, "codex": False, "pi": False}
+    assert {tuple(r) for r in incremental.scan_status(spark, found).collect()} == {("claude", True, False), ("codex", False, True), ("pi", False, True)}
+    (root / "p/s0.jsonl").unlink()
+    real = scan.listing
+
+    def unreadable(spark, path, glob="*"):
+        if path == str(root) or path.endswith("/q"):
+            raise PySparkException("Permission denied")
+        return real(spark, path, glob)
+
+    monkeypatch.setattr(scan, "listing", unreadable)
+    found = incremental.refresh_source(spark, str(root), out, "claude")
+    assert not found.complete and contents(spark, out).keys() == {("claude", "s0"), ("claude", "s1"), ("claude", "s9")}
+    monkeypatch.setattr(scan, "listing", real)
+    (root / "p").rename(tmp_path / "aside")
+    (tmp_path / "file").write_text("not a directory")
+    assert incremental.refresh_incremental(spark, {"claude": str(tmp_path / "file")}, out)["claude"].error and len(contents(spark, out)) == 3
+    assert incremental.refresh_source(spark, str(root), out, "claude").complete and contents(spark, out).keys() == {("claude", "s9")}
+
+
+def test_an_uncertain_header_keeps_what_is_known(spark, tmp_path):
+    from sessionlake.streaming.incremental import refresh_source
+
+    root, out = tmp_path / "copilot", str(tmp_path / "out")
+    said = {"type": "user.message", "data": {"content": "a prompt that is long enough"}}
+    for name in ("one", "two"):
+        write(root, f"{name}.jsonl", {"type": "session.start", "data": {"sessionId": f"id-{name}"}}, said)
+    assert refresh_source(spark, str(root), out, "copilot-cli").parsed == 2
+    (root / "two.jsonl").unlink()
+    write(root, "one.jsonl", "{torn", said)
+    os.utime(root / "one.jsonl", ((root / "one.jsonl").stat().st_mtime + 9,) * 2)
+    found = refresh_source(spark, str(root), out, "copilot-cli")
+    assert not found.complete and contents(spark, out).keys() == {("copilot-cli", "id-one"), ("copilot-cli", "id-two")}
+    write(root, "one.jsonl", {"type": "session.start", "data": {"sessionId": "id-one"}}, said)
+    os.utime(root / "one.jsonl", ((root / "one.jsonl").stat().st_mtime + 19,) * 2)
+    assert refresh_source(spark, str(root), out, "copilot-cli").complete and contents(spark, out).keys() == {("copilot-cli", "id-one")}
 
 
 def parse_rows(spark, root, name):
@@ -369,4 +502,4 @@ def test_sessions_whose_files_come_apart_are_followed(spark, tmp_path):
     write(g, "%2Fw/g2/updates.jsonl", chunk("user_message_chunk", "Late"))
     os.utime(g / "%2Fw/g2/updates.jsonl", (1.7e9,) * 2)
     # a stream passes over files with old times, a listing does not
-    assert refresh_source(spark, str(g), out, "grok") == 2 and contents(spark, out) == want | {("grok", "g2"): "» Late"}
+    assert refresh_source(spark, str(g), out, "grok").parsed == 2 and contents(spark, out) == want | {("grok", "g2"): "» Late"}
