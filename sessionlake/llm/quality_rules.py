@@ -81,11 +81,16 @@ def _lost(base: DataFrame, frequent: DataFrame) -> DataFrame:
     return lines.join(frequent, "key", "left_semi").groupBy("id").agg(F.sum("n").alias("lost"), F.collect_set("line").alias("gone"))
 
 
+def _document_id(doc_id: Column, host: Column, text: Column) -> Column:
+    """Hash of a document's id, host and text; a null id is not a null host."""
+    return F.xxhash64(doc_id.cast("string"), doc_id.isNull(), host, host.isNull(), text)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     host = F.col("source").cast("string")
     rows = docs.select("doc_id", host.alias("host"), text.alias("text")).withColumns(base_columns(F.col("text")))
-    return rows.withColumn("id", F.xxhash64(F.col("doc_id").cast("string"), "host", "text"))
+    return rows.withColumn("id", _document_id(F.col("doc_id"), F.col("host"), F.col("text")))
 
 
 def _hashed_lines() -> Column:
@@ -136,7 +141,7 @@ def without_boilerplate(docs: DataFrame, least_docs: int = LEAST_DOCS, share: fl
     verdict = lost.join(facts, "id").select("id", "gone", (F.col("lost") / F.col("copies") > MOST_LOST * F.col("n_words")).alias("depleted"))
     # the whole row travels as one column, so that no name of its own can clash
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(docs["doc_id"].cast("string"), docs["source"].cast("string"), text).alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = docs.select(_document_id(docs["doc_id"], docs["source"].cast("string"), text).alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     both = rows.join(verdict, "id", "left").where(~F.coalesce("depleted", F.lit(False)))
     left = F.filter(F.split(F.col("row.text").cast("string"), "\n", -1), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("gone", F.xxhash64(_normalised(x)))))
     both = both.withColumn("new", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n")))

@@ -204,14 +204,25 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` that are the first of their component, with all their columns.
+    """One row of each component of `docs` (doc_id, text, ...), with all its columns: that with the least doc_id.
 
-    A row stays if its doc_id is its component's least; rows that repeat that
-    doc_id with another component's text are judged by doc_id.
+    Rows without a doc_id come after all others; of rows alike in doc_id and
+    text one stays. Rows are told apart by a hash of both. An empty table gives
+    an empty result.
     """
-    verdict = simhash_components(docs.select("doc_id", "text"))
-    gone = verdict.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # the whole row travels as one column, so that no name of its own can clash
+    key = F.xxhash64(docs["doc_id"], docs["doc_id"].isNull(), docs["text"], docs["text"].isNull())
+    rows = docs.select(key.alias("key"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    parts = simhash_components(rows.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
+    parts = parts.groupBy("key").agg(F.any_value("component_id").alias("component_id"))
+    copies = rows.groupBy("key").agg(F.any_value("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    found = written(copies.join(parts, "key"))
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("first")).select("first.key")
+    gone = found.join(first, "key", "left_anti").select("key")
+    repeated = found.where("copies > 1").select("key")
+    left = docs.select(key.alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).join(gone, "key", "left_anti")
+    once = left.join(repeated, "key", "left_anti").unionByName(left.join(repeated, "key", "left_semi").dropDuplicates(["key"]))
+    return once.select([F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def hex_fingerprint(fp: Column) -> Column:
