@@ -24,7 +24,7 @@ from pyspark.sql.types import _parse_datatype_string
 from sessionlake.functions.text import tokens
 from sessionlake.operators.filters import UNIT_SECONDS, agent_filter, all_of, dir_filter, filter_matches
 from sessionlake.operators import query_text
-from sessionlake.operators.search_index import FUZZY_LEAST_CHARS, SearchIndex, build_index, cells_of_fuzzy, open_index, postings, vocabulary  # noqa: F401
+from sessionlake.operators.search_index import FUZZY_LEAST_CHARS, SearchIndex, build_index, cells_of_fuzzy, live, merge_segments, open_index, postings, update_index, vocabulary  # noqa: F401
 from sessionlake.sources.scratch import scratch
 
 K1, B = 1.2, 0.75
@@ -352,7 +352,7 @@ def fuzzy(parsed: DataFrame, index: SearchIndex) -> DataFrame:
     """(query_id, agent, id, score): every word of three or more characters matches in title or content; 1 per word and field."""
     words = fuzzy_words(parsed)
     asked = fuzzy_terms(words, index).join(words, "word")
-    hit = index.postings.join(asked, ["field", "term"]).groupBy("query_id", "agent", "id").agg(F.max("need").alias("need"), F.collect_set(F.struct("word", "field", "times")).alias("marks"))
+    hit = live(index.postings, index.removed).join(asked, ["field", "term"]).groupBy("query_id", "agent", "id").agg(F.max("need").alias("need"), F.collect_set(F.struct("word", "field", "times")).alias("marks"))
     return hit.select("query_id", "agent", "id", _all_words(F.col("marks"), F.col("need")).alias("score")).where("score is not null")
 
 

@@ -5,18 +5,28 @@ keys are partitioned by a hash of the term (or key), sorted by it inside, and a
 bucket that one term fills is written by several tasks. A search whose terms are
 few enough names them in the filter, so only their buckets are listed and only
 pages with them are read; more terms meet the tables by a join.
+
+A kept index is a list of segments that never change. An update writes one for
+the sessions that changed: their rows, the keys that hide rows of those sessions
+in earlier segments, and by how much frequencies and lengths differ, so sums over
+segments are what a whole rebuild would count. Later segments are merged into one
+when they have grown to a share of what stands before them, so each row is
+rewritten a number of times that grows as the logarithm of the index.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions.text import all_tokens, is_term
-from sessionlake.sources.scratch import scratch
+from sessionlake.sources.scratch import read_text, replace_text, scratch
 
 FUZZY_LEAST_CHARS = 3
 #: Lengths of the beginnings under which terms are filed; a word uses the longest that it has.
@@ -122,7 +132,8 @@ def _bucket(c: Column, buckets: int) -> Column:
 class SearchIndex:
     """Tables that searches read: slim sessions (agent, id, directory, timestamp), postings, vocabulary, field totals and, in one that is kept, fuzzy keys.
 
-    buckets: into how many the last tables are partitioned, 0 if they are not.
+    buckets: into how many the last tables are partitioned, 0 if they are not;
+    removed: (agent, id, at) of keys that hide rows of segments under `at`.
     """
 
     slim: DataFrame
@@ -131,13 +142,15 @@ class SearchIndex:
     totals: DataFrame
     fuzzy_keys: DataFrame | None = None
     buckets: int = 0
+    removed: DataFrame | None = None
 
     def postings_of(self, terms: DataFrame | list[str]) -> DataFrame:
         """Postings in which those of `terms` (term, or a list of them) are."""
-        return self._named(self.postings, "term", terms)
+        return live(self._named(self.postings, "term", terms), self.removed)
 
     def vocabulary_of(self, terms: DataFrame | list[str]) -> DataFrame:
-        return self._named(self.vocabulary, "term", terms)
+        found = self._named(self.vocabulary, "term", terms)
+        return found if self.removed is None else _summed(found)
 
     def terms_near(self, keys: DataFrame | list[str]) -> DataFrame:
         """(key, field, term) in which those of `keys` (key, or a list of them) are."""
@@ -162,39 +175,148 @@ def _spread(df: DataFrame, path: str, by: str, buckets: int) -> None:
     rows.sortWithinPartitions("bucket", by).write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
+def live(rows: DataFrame, removed: DataFrame | None) -> DataFrame:
+    """Rows (agent, id, segment, ...) that no later segment hides, without the segment."""
+    if removed is None:
+        return rows.drop("segment")
+    hides = removed.withColumnsRenamed({"agent": "__agent", "id": "__id"})
+    return rows.join(hides, (F.col("agent") == F.col("__agent")) & (F.col("id") == F.col("__id")) & (F.col("at") > F.col("segment")), "left_anti").drop("segment")
+
+
+def _summed(vocab: DataFrame) -> DataFrame:
+    return vocab.groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
+
+
+def _narrow(sessions: DataFrame) -> DataFrame:
+    return sessions.select("agent", "id", "directory", "timestamp", _placed(F.col("title")).alias("title"), _placed(F.col("content")).alias("content"))
+
+
 def build_index(sessions: DataFrame, path: str | None = None) -> SearchIndex:
     """Write the index of `sessions` under `path`; without one, a plainer one for a few searches in a new scratch folder. What it reads of them is read once."""
     spark = sessions.sparkSession
-    base = path or scratch(spark, "search")
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{base}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
-
-    narrow = kept(sessions.select("agent", "id", "directory", "timestamp", _placed(F.col("title")).alias("title"), _placed(F.col("content")).alias("content")), "tokens")
-    slim = narrow.select("agent", "id", "directory", "timestamp")
-    if path is None:
-        post = kept(_counted(narrow), "postings")
-        return SearchIndex(slim, post, kept(vocabulary(post), "vocabulary"), kept(field_totals(slim, post), "totals"))
-    terms = narrow.agg(F.sum(F.size("title") + F.size("content")).alias("n")).first().n or 0
-    buckets = min(max(terms // BUCKET_ROWS, BUCKETS[0]), BUCKETS[1])
-    _spread(_counted(narrow), f"{base}/postings", "term", buckets)
-    post = spark.read.parquet(f"{base}/postings").drop("bucket")
-    _spread(vocabulary(post), f"{base}/vocabulary", "term", buckets)
-    _spread(fuzzy_keys(spark.read.parquet(f"{base}/vocabulary")), f"{base}/fuzzy_keys", "key", buckets)
-    field_totals(slim, post).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{base}/totals")
-    return open_index(spark, base)
+    if path is not None:
+        segment = f"segment-{uuid.uuid4().hex}"
+        narrow = _table(_narrow(sessions).sortWithinPartitions("agent", "id"), f"{path}/{segment}/tokens")
+        size = narrow.agg(F.count("*").alias("docs"), F.sum(F.size("title") + F.size("content")).alias("n")).first()
+        buckets = min(max((size.n or 0) // BUCKET_ROWS, BUCKETS[0]), BUCKETS[1])
+        _write_segment(narrow, narrow.limit(0), f"{path}/{segment}", buckets)
+        replace_text(spark, f"{path}/MANIFEST", json.dumps({"buckets": buckets, "segments": [{"name": segment, "docs": size.docs, "rows": size.docs}]}))
+        return open_index(spark, path)
+    base = scratch(spark, "search")
+    narrow = _table(_narrow(sessions), f"{base}/tokens")
+    slim, post = narrow.select("agent", "id", "directory", "timestamp"), _table(_counted(narrow), f"{base}/postings")
+    return SearchIndex(slim, post, _table(vocabulary(post), f"{base}/vocabulary"), _table(field_totals(slim, post), f"{base}/totals"))
+
+
+def _table(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _write_segment(narrow: DataFrame, old: DataFrame, path: str, buckets: int) -> None:
+    """Everything of a segment but its tokens: of the sessions `narrow`, which take the place of `old`."""
+    spark = narrow.sparkSession
+    _spread(_counted(narrow), f"{path}/postings", "term", buckets)
+    post = spark.read.schema(_TABLES["postings"]).parquet(f"{path}/postings")
+    own = post.select("field", "term", "tf", F.lit(1).cast("long").alias("sign")).unionByName(_counted(old).select("field", "term", "tf", F.lit(-1).cast("long").alias("sign")))
+    df = own.groupBy("field", "term").agg(F.sum("sign").alias("df"))
+    _spread(df.where("df <> 0"), f"{path}/vocabulary", "term", buckets)
+    _spread(fuzzy_keys(vocabulary(post)), f"{path}/fuzzy_keys", "key", buckets)
+    own.groupBy("field").agg(F.sum(F.col("tf") * F.col("sign")).alias("total")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 _KEY = "agent string, id string"
+_TERMS = "array<struct<term: string, at: int>>"
 _TABLES = {
-    "tokens": f"{_KEY}, directory string, timestamp timestamp", "postings": f"{_KEY}, field string, term string, tf bigint, len bigint, positions array<int>, bucket int",
-    "vocabulary": "field string, term string, df bigint, bucket int", "totals": "field string, docs bigint, avg_len double, buckets int", "fuzzy_keys": "key string, field string, term string, bucket int",
+    "tokens": f"{_KEY}, directory string, timestamp timestamp, title {_TERMS}, content {_TERMS}", "postings": f"{_KEY}, field string, term string, tf bigint, len bigint, positions array<int>, bucket int",
+    "vocabulary": "field string, term string, df bigint, bucket int", "totals": "field string, total bigint", "fuzzy_keys": "key string, field string, term string, bucket int", "removed": _KEY,
 }
+#: A segment joins those after it when it has under this many times their rows.
+MERGE_FACTOR = 2
+
+
+def manifest(spark: SparkSession, path: str) -> dict:
+    """{"buckets", "segments": [{"name", "docs" (sessions more than before), "rows" (sessions in it)}]}, in their order."""
+    return json.loads(read_text(spark, f"{path}/MANIFEST"))
+
+
+def _parts(spark: SparkSession, path: str, segments: list[dict], part: str, first: int = 0) -> DataFrame:
+    """A table of all segments, each row with the number of its segment."""
+    found = [spark.read.schema(_TABLES[part]).parquet(f"{path}/{s['name']}/{part}").withColumn("segment", F.lit(k)) for k, s in enumerate(segments, first)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _removed(spark: SparkSession, path: str, segments: list[dict]) -> DataFrame | None:
+    """(agent, id, at): the last segment that hides a key in those before it; None if none does."""
+    later = segments[1:]
+    if not later:
+        return None
+    return _parts(spark, path, later, "removed", 1).groupBy("agent", "id").agg(F.max("segment").alias("at"))
 
 
 def open_index(spark: SparkSession, path: str) -> SearchIndex:
-    """The index that build_index wrote under `path`."""
-    tokens, post, vocab, totals, fuzzy = (spark.read.schema(s).parquet(f"{path}/{name}") for name, s in _TABLES.items())
-    row = totals.select("buckets").first()
-    return SearchIndex(tokens, post, vocab, totals.drop("buckets"), fuzzy, row.buckets if row else BUCKETS[0])
+    """The index that build_index and update_index wrote under `path`."""
+    found = manifest(spark, path)
+    segments = found["segments"]
+    removed = _removed(spark, path, segments)
+    docs = sum(s["docs"] for s in segments)
+    slim = live(_parts(spark, path, segments, "tokens").select("agent", "id", "directory", "timestamp", "segment"), removed)
+    totals = _parts(spark, path, segments, "totals").groupBy("field").agg(F.sum("total").alias("total")).where("total > 0")
+    totals = totals.select("field", F.lit(docs).cast("long").alias("docs"), (F.col("total") / docs).alias("avg_len"))
+    post, vocab, fuzzy = (_parts(spark, path, segments, part) for part in ("postings", "vocabulary", "fuzzy_keys"))
+    return SearchIndex(slim, post, vocab.drop("segment"), totals, fuzzy.drop("segment"), found["buckets"], removed)
+
+
+def update_index(spark: SparkSession, path: str, changed: DataFrame, removed_keys: DataFrame) -> SearchIndex:
+    """Bring the index under `path` up to `changed` sessions (new ones too) and the loss of `removed_keys` (agent, id).
+
+    Of the other sessions nothing is rewritten; the tokens of changed ones are
+    read by their keys. One update at a time: the manifest is replaced whole.
+    """
+    found = manifest(spark, path)
+    segments, buckets = found["segments"], found["buckets"]
+    base = f"{path}/segment-{uuid.uuid4().hex}"
+    narrow = _table(_narrow(changed).sortWithinPartitions("agent", "id"), f"{base}/tokens")
+    keys = _table(narrow.select("agent", "id").unionByName(removed_keys.select("agent", "id")).distinct(), f"{base}/removed")
+    before = _parts(spark, path, segments, "tokens")
+    some = keys.select("id").limit(NAMED_TERMS + 1).collect()
+    if len(some) <= NAMED_TERMS:
+        before = before.where(F.col("id").isin([r.id for r in some]))
+    old = live(before.join(keys, ["agent", "id"], "left_semi"), _removed(spark, path, segments))
+    old = _table(old, scratch(spark, "replaced"))
+    _write_segment(narrow, old, base, buckets)
+    rows = narrow.count()
+    segments = [*segments, {"name": base.rpartition("/")[2], "docs": rows - old.count(), "rows": rows}]
+    replace_text(spark, f"{path}/MANIFEST", json.dumps({"buckets": buckets, "segments": segments}))
+    _merge_small(spark, path)
+    return open_index(spark, path)
+
+
+def _merge_small(spark: SparkSession, path: str) -> None:
+    """Merge the last segments into one, as far back as a segment has under MERGE_FACTOR times the rows of those after it."""
+    segments = manifest(spark, path)["segments"]
+    k, after = len(segments) - 1, max(segments[-1]["rows"], 1)
+    while k > 0 and segments[k - 1]["rows"] < MERGE_FACTOR * after:
+        k -= 1
+        after += segments[k]["rows"]
+    if k < len(segments) - 1:
+        merge_segments(spark, path, k)
+
+
+def merge_segments(spark: SparkSession, path: str, first: int = 0) -> None:
+    """Make one of the segments from number `first` on: their live rows and sums. Contents of sessions are not read."""
+    found = manifest(spark, path)
+    segments, buckets = found["segments"], found["buckets"]
+    own, base = segments[first:], f"{path}/segment-{uuid.uuid4().hex}"
+    removed = _removed(spark, path, own)
+    narrow = _table(live(_parts(spark, path, own, "tokens"), removed).sortWithinPartitions("agent", "id"), f"{base}/tokens")
+    if first:
+        _parts(spark, path, own, "removed").select("agent", "id").distinct().write.parquet(f"{base}/removed")
+    post = live(_parts(spark, path, own, "postings"), removed).drop("bucket")
+    _spread(post, f"{base}/postings", "term", buckets)
+    vocab = _parts(spark, path, own, "vocabulary").groupBy("field", "term").agg(F.sum("df").alias("df"))
+    _spread(vocab.where("df <> 0"), f"{base}/vocabulary", "term", buckets)
+    _spread(fuzzy_keys(vocabulary(spark.read.schema(_TABLES["postings"]).parquet(f"{base}/postings"))), f"{base}/fuzzy_keys", "key", buckets)
+    _parts(spark, path, own, "totals").groupBy("field").agg(F.sum("total").alias("total")).write.parquet(f"{base}/totals")
+    merged = {"name": base.rpartition("/")[2], "docs": sum(s["docs"] for s in own), "rows": narrow.count()}
+    replace_text(spark, f"{path}/MANIFEST", json.dumps({"buckets": buckets, "segments": [*segments[:first], merged]}))

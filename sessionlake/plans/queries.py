@@ -377,6 +377,18 @@ def search_kept_index(spark, sf):
     return search.search_batch(views.queries(spark), s, views.AS_OF, 10, search.open_index(spark, path))
 
 
+@query("search_index_update", sql.with_sessions(_BEST, *sql.SEARCH))
+def search_index_update(spark, sf):
+    """An index of older sessions (some with another text, some gone since, some not yet there), brought up to date by what changed."""
+    s, path = views.sessions(spark, sf), scratch(spark, "index")
+    kind = F.col("id").cast("long") % 20
+    before = s.where(kind != 1).withColumn("content", F.when(kind == 2, F.concat(F.lit("of the things before "), "title")).otherwise(F.col("content")))
+    gone = s.where(kind == 3).withColumn("id", F.concat(F.lit("gone-"), "id"))
+    search.build_index(before.unionByName(gone), path)
+    index = search.update_index(spark, path, s.where(kind.isin(1, 2)), gone.select("agent", "id"))
+    return search.search_batch(views.queries(spark), s, views.AS_OF, 10, index)
+
+
 @query("postings_positions", sql.with_sessions("SELECT agent, id, field, term, string_agg(CAST(pos - 1 AS VARCHAR), ',' ORDER BY pos) AS positions FROM v_places GROUP BY agent, id, field, term", sql.V_PLACES))
 def postings_positions(spark, sf):
     return search.postings(views.sessions(spark, sf)).select("agent", "id", "field", "term", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))

@@ -542,14 +542,23 @@ def sessions_of(agent: str, made: tuple[DataFrame, DataFrame]) -> DataFrame:
     return to_sessions(*made, RULES_OF.get(agent, Rules()))
 
 
-def ingest_all(spark: SparkSession, roots: dict[str, str], landed: dict[str, tuple[DataFrame, ...]] | None = None) -> DataFrame:
+#: Sources whose index names folders as they were on another machine.
+WITH_ORIGIN = ("kimi",)
+
+
+def ingest_all(spark: SparkSession, roots: dict[str, str], landed: dict[str, tuple[DataFrame, ...]] | None = None, origins: dict[str, str] | None = None) -> DataFrame:
     """All sources as branches of one plan, one row per session.
 
     roots: folder of each file source, and of opencode's older file tree, which
-    is read only where its store is not landed; landed: tables of crush, cursor and opencode.
+    is read only where its store is not landed; landed: tables of crush, cursor
+    and opencode; origins: the folder in which kimi's index was written.
     """
     files = {**FILE_SOURCES, "opencode": ingest_opencode_legacy}
-    parts = [sessions_of(agent, files[agent](spark, root)) for agent, root in roots.items() if agent not in (landed or {})]
+
+    def more(agent: str) -> dict[str, str | None]:
+        return {"origin": (origins or {}).get(agent)} if agent in WITH_ORIGIN else {}
+
+    parts = [sessions_of(agent, files[agent](spark, root, **more(agent))) for agent, root in roots.items() if agent not in (landed or {})]
     jobs = {"crush": ingest_crush, "cursor": ingest_cursor, "opencode": ingest_opencode}
     parts += [sessions_of(agent, jobs[agent](*tables)) for agent, tables in (landed or {}).items()]
     path = scratch(spark, "ingested")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions.json import get, is_strict_json
 from sessionlake.functions.paths import path_id
+from sessionlake.functions.times import parse_iso
 from sessionlake.model import configure
+from sessionlake.operators.refresh import latest_lookup
 from sessionlake.sources import agents
 from sessionlake.sources.scan import lines_of, readable_listing, scan_files, scan_json_docs, scan_jsonl
 
@@ -32,7 +34,8 @@ class Source:
     shared: pattern of files about many sessions, which every parse reads; head:
     pattern, and value of a record, of the file that may name the session
     otherwise than its key does; sure_head: whether bad lines before that record
-    leave the id uncertain; usable: whether a session parsed from a partial
+    leave the id uncertain; entries: what the shared files say of sessions, as
+    (id, entry) with a hash of it; usable: whether a session parsed from a partial
     file is kept.
     """
 
@@ -43,11 +46,13 @@ class Source:
     shared: str = ""
     head: tuple[str, Column] | None = None
     sure_head: bool = False
+    entries: Callable[[SparkSession, DataFrame, str | None], DataFrame] | None = None
     usable: Callable[[], Column] = field(default=lambda: F.lit(True))
 
-    def parse(self, spark: SparkSession, files: str | DataFrame) -> DataFrame:
-        """Sessions of a folder, or of files (path, mtime, size, value) that were read."""
-        return agents.sessions_of(self.agent, agents.FILE_SOURCES[self.agent](spark, files))
+    def parse(self, spark: SparkSession, files: str | DataFrame, origin: str | None = None) -> DataFrame:
+        """Sessions of a folder, or of files (path, mtime, size, value) that were read; origin: the folder in which an index's paths were written (kimi)."""
+        more = {"origin": origin} if self.agent in agents.WITH_ORIGIN else {}
+        return agents.sessions_of(self.agent, agents.FILE_SOURCES[self.agent](spark, files, **more))
 
     def list_files(self, spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, bool]:
         """(own, shared) files below `root`, own with key, and whether all folders could be listed. Contents are not read."""
@@ -78,17 +83,33 @@ class Source:
         return ids.join(header, "key", "left").join(bad, "key", "left").select("key", "id", (F.col("bad").isNotNull() & F.col("header").isNull()).alias("uncertain"))
 
 
+def _claude_entries(spark: SparkSession, files: DataFrame, origin: str | None) -> DataFrame:
+    return agents.claude_index(spark, files).select(F.col("session_id").alias("id"), F.xxhash64("summary", "modified", "file_mtime").alias("entry"))
+
+
+def _codex_entries(spark: SparkSession, files: DataFrame, origin: str | None) -> DataFrame:
+    # an entry without a time of its own has its file's, which says nothing of the entry
+    own = F.when(parse_iso(F.col("updated_at")).isNotNull(), F.col("updated_at"))
+    return latest_lookup(agents.codex_names(spark, files)).select("id", F.xxhash64("thread_name", own).alias("entry"))
+
+
+def _kimi_entries(spark: SparkSession, files: DataFrame, origin: str | None) -> DataFrame:
+    if origin is None:
+        return spark.createDataFrame([], "id string, entry bigint")
+    return agents.kimi_work_dirs(spark, files, origin).select(F.col("session_id").alias("id"), F.xxhash64("at", "work_dir").alias("entry"))
+
+
 def _sources() -> dict[str, Source]:
     rec = F.col("rec")
     kind = get(rec, "$.type")
     every = (
         Source("antigravity", r"/transcript(_full)?\.jsonl$", _key("great_grandparent"), shared=r"/history\.jsonl$"),
-        Source("claude", r"/(?!agent-)[^/]*\.jsonl$", _key("stem"), shared=r"/sessions-index\.json$"),
-        Source("codex", r"/rollout-[^/]*\.jsonl$", _key("uuid_tail"), shared=r"/session_index\.jsonl$", head=("*.jsonl", F.when(kind == "session_meta", get(rec, "$.payload.id")))),
+        Source("claude", r"/(?!agent-)[^/]*\.jsonl$", _key("stem"), shared=r"/sessions-index\.json$", entries=_claude_entries),
+        Source("codex", r"/rollout-[^/]*\.jsonl$", _key("uuid_tail"), shared=r"/session_index\.jsonl$", head=("*.jsonl", F.when(kind == "session_meta", get(rec, "$.payload.id"))), entries=_codex_entries),
         Source("copilot-cli", r"\.jsonl$", _key("parent_or_stem"), head=("*.jsonl", F.when(kind == "session.start", get(rec, "$.data.sessionId"))), sure_head=True),
         Source("copilot-vscode", r"/(?!workspace\.json$)[^/]*\.json$", _key("stem"), lines="", shared=r"/workspace\.json$", head=("*.json", get(rec, "$.sessionId"))),
         Source("grok", r"/(updates\.jsonl|summary\.json)$", _key("parent")),
-        Source("kimi", r"/(state\.json|agents/main/wire\.jsonl)$", _kimi_key, shared=r"/session_index\.jsonl$", usable=lambda: F.col("message_count") > 0),
+        Source("kimi", r"/(state\.json|agents/main/wire\.jsonl)$", _kimi_key, shared=r"/session_index\.jsonl$", entries=_kimi_entries, usable=lambda: F.col("message_count") > 0),
         Source("pi", r"\.jsonl$", _key("after_underscore"), head=("*.jsonl", F.when(kind == "session", get(rec, "$.id")))),
         Source("vibe", r"/session_[^/]*/(messages\.jsonl|meta\.json)$", _key("parent"), head=("meta.json", get(rec, "$.session_id")), usable=lambda: F.col("content").rlike("(^|\n\n)» ")),
     )

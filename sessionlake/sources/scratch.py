@@ -1,4 +1,4 @@
-"""The folder that all executors share, for tables that a job writes and reads again."""
+"""The folder that all executors share, for tables that a job writes and reads again; small files beside tables."""
 
 from __future__ import annotations
 
@@ -24,3 +24,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
+
+
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, such as a pointer or a manifest."""
+    fs, p = _file(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file; readers see the old one or the new one whole."""
+    fs, p = _file(spark, path)
+    _, new = _file(spark, f"{path}-{uuid.uuid4().hex}")
+    stream = fs.create(new)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    # contexts rename over an existing file in one step
+    context = jvm.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    overwrite[0] = jvm.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(new), fs.makeQualified(p), overwrite)

@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.model import SESSION_LOG
+from sessionlake.sources.scratch import read_text, replace_text
 
 METRICS = "files bigint, upserts bigint, retained bigint, deletes bigint, writer string, writer_batch bigint"
-MARKS = "agent string, key string, id string, mtime double, size bigint, version bigint"
+MARKS = "agent string, key string, id string, mtime double, size bigint, entry bigint, version bigint"
 _SCHEMAS = {"log": SESSION_LOG, "marks": MARKS, "metrics": METRICS}
 #: Generations number their batches from multiples of this, so that batches taken over from an older one keep their numbers.
 STEP = 1_000_000
@@ -75,21 +76,12 @@ def current(spark: SparkSession, out: str) -> str:
     fs, p = file_system(spark, f"{out}/CURRENT")
     if not fs.exists(p):
         return out
-    return f"{out}/{spark.read.text(f'{out}/CURRENT').first().value}"
+    return f"{out}/{read_text(spark, f'{out}/CURRENT')}"
 
 
 def switch(spark: SparkSession, out: str, generation: str) -> None:
     """Make `generation`, a complete folder under `out`, the current one."""
-    fs, p = file_system(spark, f"{out}/CURRENT")
-    _, new = file_system(spark, f"{out}/CURRENT-{uuid.uuid4().hex}")
-    stream = fs.create(new)
-    stream.write(bytearray(generation.encode()))
-    stream.close()
-    # contexts rename over an existing file in one step
-    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    overwrite = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fs.makeQualified(new), fs.makeQualified(p), overwrite)
+    replace_text(spark, f"{out}/CURRENT", generation)
 
 
 def _numbers(spark: SparkSession, base: str, part: str) -> set[int]:
@@ -167,7 +159,7 @@ def last_rows(log: DataFrame) -> DataFrame:
 
 def last_marks(marks: DataFrame) -> DataFrame:
     """The last mark of every key, cleared ones (without mtime) too."""
-    last = marks.groupBy("agent", "key").agg(F.max_by(F.struct("id", "mtime", "size", "version"), "version").alias("m"))
+    last = marks.groupBy("agent", "key").agg(F.max_by(F.struct("id", "mtime", "size", "entry", "version"), "version").alias("m"))
     return last.select("agent", "key", "m.*")
 
 

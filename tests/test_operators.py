@@ -379,6 +379,39 @@ def test_a_kept_index_reads_the_files_of_its_terms(spark, tmp_path):
     assert [r.id for r in search.search(s, "word31 both", NOW, limit=1, index=reopened).collect()] == ["31"]
 
 
+def test_an_updated_index_is_a_rebuilt_one(spark, tmp_path):
+    import random
+
+    rng, words = random.Random(6), ["auth", "bug", "module", "red", "green", "fast", "resume", "token", "the", "of"]
+
+    def some(i, version=0):
+        text = random.Random(i * 100 + version)
+        return session(str(i), "pi" if i % 2 else "codex", " ".join(text.choices(words, k=3)), f"/w/{i % 3}", content=" ".join(text.choices([*words, f"own{i}v{version}"], k=12)))
+
+    rows = {i: some(i) for i in range(60)}
+    path = str(tmp_path / "index")
+    search.build_index(table(spark, *rows.values()), path)
+    queries = search.parse_queries(spark.createDataFrame(list(enumerate(['"red green"', "auth bug", "+the -of", "own3v1 token", "own7v0", "tokn", "own61v9"])), "query_id int, query string"), NOW)
+
+    def scores(index, sessions):
+        return {(r.query_id, r.agent, r.id): round(r.score, 9) for r in search.search_scores(queries, sessions, index).collect()}
+
+    for step in range(3):
+        changed = {i: some(i, step + 1) for i in rng.sample(sorted(rows), 3)} | {60 + step: some(60 + step, 9)}
+        gone = rng.choice([i for i in rows if i not in changed])
+        rows = {i: r for i, r in (rows | changed).items() if i != gone}
+        index = search.update_index(spark, path, table(spark, *changed.values()), spark.createDataFrame([(some(gone)[1], str(gone))], "agent string, id string"))
+        now = table(spark, *rows.values())
+        assert scores(index, now) == scores(search.build_index(now), now)
+        found = search_index.manifest(spark, path)["segments"]
+        assert sum(s["docs"] for s in found) == len(rows) and found[0]["rows"] == 60 and found[-1]["rows"] <= 4 * (step + 1)
+    # what was written for a change is in proportion to it
+    size = [spark.read.parquet(f"{path}/{s['name']}/postings").count() for s in found]
+    assert sum(size[1:]) < 0.35 * size[0] and len(found) <= 3
+    search.merge_segments(spark, path)
+    assert len(search_index.manifest(spark, path)["segments"]) == 1 and scores(search.open_index(spark, path), now) == scores(search.build_index(now), now)
+
+
 def test_same_id_in_two_agents(spark):
     s = table(spark, session("same", "claude", "apple"), session("same", "codex", "banana"))
     assert [(r.agent, r.id) for r in search.search(s, "banana", NOW).collect()] == [("codex", "same")]

@@ -457,6 +457,47 @@ def test_sources_fail_alone_and_incomplete_listings_remove_nothing(spark, tmp_pa
     assert incremental.refresh_source(spark, str(root), out, "claude").complete and contents(spark, out).keys() == {("claude", "s9")}
 
 
+def test_a_renamed_thread_is_seen_without_a_change_of_its_file(spark, tmp_path):
+    from sessionlake.streaming.incremental import refresh_source
+
+    def titles(out):
+        return {r.id: r.title for r in stream.read_snapshot(spark, out).collect()}
+
+    c, out = claude_folder(tmp_path, 3), str(tmp_path / "out")
+    index = c / "p/sessions-index.json"
+    write(c, "p/sessions-index.json", {"entries": [{"sessionId": "s0", "summary": "First name"}, {"sessionId": "s1", "summary": "Stays"}]})
+    assert refresh_source(spark, str(c), out, "claude").parsed == 3
+    write(c, "p/sessions-index.json", {"entries": [{"sessionId": "s0", "summary": "Second name"}, {"sessionId": "s1", "summary": "Stays"}]})
+    os.utime(index, (index.stat().st_mtime + 9,) * 2)
+    assert refresh_source(spark, str(c), out, "claude").parsed == 1 and titles(out)["s0"] == "Second name" and titles(out)["s1"] == "Stays"
+    write(c, "p/sessions-index.json", {"entries": [{"sessionId": "s1", "summary": "Stays"}]})
+    assert refresh_source(spark, str(c), out, "claude").parsed == 1 and titles(out)["s0"] == "the first version of 0"
+    assert refresh_source(spark, str(c), out, "claude").parsed == 0
+
+    x = tmp_path / "codex"
+    for k in "ab":
+        write(x, f"sessions/rollout-{k}.jsonl", {"type": "session_meta", "payload": {"id": f"thread-{k}", "cwd": "/w"}}, {"type": "event_msg", "payload": {"type": "user_message", "message": f"a prompt of {k}"}})
+    write(x, "session_index.jsonl", {"id": "thread-a", "thread_name": "Old"})
+    assert refresh_source(spark, str(x), out, "codex").parsed == 2 and titles(out)["thread-a"] == "Old"
+    write(x, "session_index.jsonl", {"id": "thread-a", "thread_name": "Old"}, {"id": "thread-a", "thread_name": "New"})
+    assert refresh_source(spark, str(x), out, "codex").parsed == 1 and titles(out)["thread-a"] == "New" and titles(out)["thread-b"] == "a prompt of b"
+
+
+def test_kimi_index_in_a_refresh(spark, tmp_path):
+    from sessionlake.streaming.incremental import refresh_incremental
+
+    k, out = tmp_path / "kimi", str(tmp_path / "out")
+    write(k, "sessions/h/one/state.json", {"title": "T"})
+    write(k, "sessions/h/one/agents/main/wire.jsonl", {"type": "context.append_message", "message": {"role": "user", "content": [{"type": "text", "text": "hello"}], "origin": {"kind": "user"}}})
+    write(k, "session_index.jsonl", {"sessionId": "one", "sessionDir": "/home/u/sessions/h/one", "workDir": "/work/a"})
+    go = lambda: refresh_incremental(spark, {"kimi": str(k)}, out, origins={"kimi": "/home/u/sessions"})["kimi"]
+    first = go()
+    assert first.error is None and first.parsed == 2 and [r.directory for r in stream.read_snapshot(spark, out).collect()] == ["/work/a"]
+    write(k, "session_index.jsonl", {"sessionId": "one", "sessionDir": "/home/u/sessions/h/one", "workDir": "/work/b"})
+    assert go().parsed == 2 and [r.directory for r in stream.read_snapshot(spark, out).collect()] == ["/work/b"] and go().parsed == 0
+    assert [r.directory for r in agents.ingest_all(spark, {"kimi": str(k)}, origins={"kimi": "/home/u/sessions"}).collect()] == ["/work/b"]
+
+
 def test_an_uncertain_header_keeps_what_is_known(spark, tmp_path):
     from sessionlake.streaming.incremental import refresh_source
 
