@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,7 +15,7 @@ from sessionlake.functions.times import parse_iso
 from sessionlake.model import configure
 from sessionlake.operators.refresh import latest_lookup
 from sessionlake.sources import agents
-from sessionlake.sources.scan import lines_of, readable_listing, scan_files, scan_json_docs, scan_jsonl
+from sessionlake.sources.scan import lines_of, listing, readable_listing, scan_files, scan_json_docs, scan_jsonl
 
 
 def _key(rule: str) -> Callable[[Column], Column]:
@@ -31,7 +32,8 @@ class Source:
 
     own: pattern of the paths of a session's files; key: what such files of one
     session have in common; lines: pattern of those whose health decides;
-    shared: pattern of files about many sessions, which every parse reads; head:
+    shared: pattern of files about many sessions, which every parse reads;
+    folder: whether a session's files share a folder of its own; head:
     pattern, and value of a record, of the file that may name the session
     otherwise than its key does; sure_head: whether bad lines before that record
     leave the id uncertain; entries: what the shared files say of sessions, as
@@ -44,6 +46,7 @@ class Source:
     key: Callable[[Column], Column]
     lines: str = r"\.jsonl$"
     shared: str = ""
+    folder: bool = False
     head: tuple[str, Column] | None = None
     sure_head: bool = False
     entries: Callable[[SparkSession, DataFrame, str | None], DataFrame] | None = None
@@ -60,6 +63,30 @@ class Source:
         own = files.where(F.col("path").rlike(self.own)).withColumn("key", self.key(F.col("path"))).where("key <> ''")
         return own, files.where(F.col("path").rlike(self.shared)) if self.shared else files.limit(0), complete
 
+    def home(self, file: str) -> str:
+        """The file, or the folder of its session if that has several files, as they lie (landed names too)."""
+        if not self.folder:
+            return file
+        place = re.sub(r"(/file=[^/]+)?/[^/]*$", "", file)
+        return re.sub(r"(/(dir\d?=)?agents/(dir\d?=)?main|/(dir\d?=)?session-meta)$", "", place)
+
+    def list_near(self, spark: SparkSession, root: str, files: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(own, shared) files of the sessions of some files below `root`, found from their paths: nothing else is listed."""
+        homes = sorted({self.home(f) for f in files})
+        own = listing(spark, homes)
+        own = own.where(F.col("path").rlike(self.own)).withColumn("key", self.key(F.col("path"))).where("key <> ''")
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        above, top = set(), fs.makeQualified(p).toUri().getPath().rstrip("/")
+        for home in homes:
+            while len(home := home.rpartition("/")[0]) and spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home).toUri().getPath().startswith(top):
+                if home in above:
+                    break
+                above.add(home)
+        name = re.sub(r"^/|\$$|\\", "", self.shared)
+        found = [s.getPath().toString() for folder in sorted(above) for glob in (name, f"file={name}/part-*") for s in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{glob}")) or ()] if name else []
+        return own, listing(spark, found) if found else own.limit(0).drop("key")
+
     def ids(self, files: DataFrame) -> DataFrame:
         """(key, id, uncertain) of the sessions of `files`."""
         keys = files.where(F.col("path").rlike(self.own)).select(self.key(F.col("path")).alias("key")).where("key <> ''").distinct()
@@ -103,15 +130,15 @@ def _sources() -> dict[str, Source]:
     rec = F.col("rec")
     kind = get(rec, "$.type")
     every = (
-        Source("antigravity", r"/transcript(_full)?\.jsonl$", _key("great_grandparent"), shared=r"/history\.jsonl$"),
+        Source("antigravity", r"/transcript(_full)?\.jsonl$", _key("great_grandparent"), folder=True, shared=r"/history\.jsonl$"),
         Source("claude", r"/(?!agent-)[^/]*\.jsonl$", _key("stem"), shared=r"/sessions-index\.json$", entries=_claude_entries),
         Source("codex", r"/rollout-[^/]*\.jsonl$", _key("uuid_tail"), shared=r"/session_index\.jsonl$", head=("*.jsonl", F.when(kind == "session_meta", get(rec, "$.payload.id"))), entries=_codex_entries),
         Source("copilot-cli", r"\.jsonl$", _key("parent_or_stem"), head=("*.jsonl", F.when(kind == "session.start", get(rec, "$.data.sessionId"))), sure_head=True),
         Source("copilot-vscode", r"/(?!workspace\.json$)[^/]*\.json$", _key("stem"), lines="", shared=r"/workspace\.json$", head=("*.json", get(rec, "$.sessionId"))),
-        Source("grok", r"/(updates\.jsonl|summary\.json)$", _key("parent")),
-        Source("kimi", r"/(state\.json|agents/main/wire\.jsonl)$", _kimi_key, shared=r"/session_index\.jsonl$", entries=_kimi_entries, usable=lambda: F.col("message_count") > 0),
+        Source("grok", r"/(updates\.jsonl|summary\.json)$", _key("parent"), folder=True),
+        Source("kimi", r"/(state\.json|agents/main/wire\.jsonl)$", _kimi_key, folder=True, shared=r"/session_index\.jsonl$", entries=_kimi_entries, usable=lambda: F.col("message_count") > 0),
         Source("pi", r"\.jsonl$", _key("after_underscore"), head=("*.jsonl", F.when(kind == "session", get(rec, "$.id")))),
-        Source("vibe", r"/session_[^/]*/(messages\.jsonl|meta\.json)$", _key("parent"), head=("meta.json", get(rec, "$.session_id")), usable=lambda: F.col("content").rlike("(^|\n\n)» ")),
+        Source("vibe", r"/session_[^/]*/(messages\.jsonl|meta\.json)$", _key("parent"), folder=True, head=("meta.json", get(rec, "$.session_id")), usable=lambda: F.col("content").rlike("(^|\n\n)» ")),
     )
     return {s.agent: s for s in every}
 

@@ -55,8 +55,8 @@ def list_source_files(spark: SparkSession, root: str, rule: FileRule) -> DataFra
     return out.select("agent", path_id(F.col("path"), rule.id_rule).alias("session_id"), "path", "mtime", "size")
 
 
-def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(file, path, mtime, size) of files under `root`, empty ones left out; contents are not read. `file` is where it lies, `path` its source_path."""
+def listing(spark: SparkSession, root: str | list[str], glob: str = "*") -> DataFrame:
+    """(file, path, mtime, size) of files under `root` (a folder, or a list of folders and files), empty ones left out; contents are not read. `file` is where it lies, `path` its source_path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{glob},part-*.txt}}").load(root)
     files = files.where("length > 0").select(F.col("path").alias("file"), source_path(F.col("path")).alias("path"), (F.unix_micros("modificationTime") / 1_000_000).alias("mtime"), F.col("length").alias("size"))
     return files.where(F.col("path").rlike(_name_pattern(glob)))

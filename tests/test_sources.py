@@ -457,6 +457,27 @@ def test_sources_fail_alone_and_incomplete_listings_remove_nothing(spark, tmp_pa
     assert incremental.refresh_source(spark, str(root), out, "claude").complete and contents(spark, out).keys() == {("claude", "s9")}
 
 
+def test_following_looks_at_what_came_alone(spark, tmp_path, monkeypatch):
+    from sessionlake.sources import registry
+    from sessionlake.streaming.incremental import start_following
+
+    c, k, out = claude_folder(tmp_path, 2), tmp_path / "kimi", str(tmp_path / "out")
+    write(c, "p/sessions-index.json", {"entries": [{"sessionId": "s0", "summary": "From the index"}]})
+    write(k, "h/one/state.json", {"title": "T"})
+    write(k, "h/one/agents/main/wire.jsonl", {"type": "context.append_message", "message": {"role": "user", "content": [{"type": "text", "text": "hello"}], "origin": {"kind": "user"}}})
+    monkeypatch.setattr(registry, "readable_listing", None)  # a listing of the root would fail
+    seen, real = [], registry.listing
+    monkeypatch.setattr(registry, "listing", lambda spark, paths, *glob: seen.extend(paths) or real(spark, paths, *glob))
+    for agent, root in (("claude", c), ("kimi", k)):
+        start_following(spark, str(root), out, agent, None).awaitTermination()
+    assert contents(spark, out) == {("claude", "s0"): "» the first version of 0", ("claude", "s1"): "» the first version of 1", ("kimi", "one"): "» hello"}
+    assert {r.title for r in stream.read_snapshot(spark, out).where("id = 's0'").collect()} == {"From the index"}
+    seen.clear()
+    write(c, "p/s7.jsonl", prompt("a prompt that came later"))
+    start_following(spark, str(c), out, "claude", None).awaitTermination()
+    assert ("claude", "s7") in contents(spark, out) and {p.rpartition("/")[2] for p in seen} == {"s7.jsonl", "sessions-index.json"}
+
+
 def test_a_renamed_thread_is_seen_without_a_change_of_its_file(spark, tmp_path):
     from sessionlake.streaming.incremental import refresh_source
 
