@@ -7,6 +7,12 @@ of their own length. Test and training hashes are equi-joined; around each hit,
 document and item are compared token by token on the hit's diagonal. Tokens are
 words, and single characters in scripts that put no spaces between words.
 
+A passage that many items and many documents share is not compared for each pair
+of them. Seeds that the same items hold form a class. A window whose tokens are
+all equal verifies a document against its class at once, and further hits of
+that class in the document are settled with it. Of the other hits, distinct
+surroundings are compared, once for each seed.
+
 Training hashes are first tried against a Bloom bitmap of the test hashes. Its
 size is fixed (BLOOM_BITS, 8 MB), whatever the benchmark's size: a full bitmap
 lets more training hashes into the join and changes no result.
@@ -33,6 +39,12 @@ NEEDED = 11
 RUN = 256
 #: Tokens of the document kept on either side of a run of hits, to verify them.
 REACH = 64
+#: A verified window around a hit begins at most so many tokens before it (WINDOW less the shortest mask).
+BEFORE = 4
+#: Items of fewer tokens than this must be held verbatim. One that more than COMMON_LEAST documents hold, and more than COMMON_SHARE of all, is common.
+VERBATIM = 7
+COMMON_LEAST = 20
+COMMON_SHARE = 0.001
 BLOOM_BITS = 1 << 26
 
 _U = np.uint64
@@ -56,6 +68,14 @@ def masks(width: int) -> tuple[str, ...]:
     return tuple("".join("0" if i % 3 == k else "1" for i in range(width)) for k in range(3))
 
 
+def exact_hashes(token: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the whole window of `width` tokens at each `start`."""
+    h = np.full(len(start), _U(8 * width + len(masks(width)) + 1))
+    for i in range(width):
+        h += token[start + i] * _FACTORS[i]
+    return mix(h)
+
+
 def seed_hashes(token: np.ndarray, row: np.ndarray, width: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(start, hash) of every window that lies in one text, for each mask of `width`."""
     for k, mask in enumerate(masks(width)):
@@ -143,12 +163,18 @@ def _seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ids = batch.column(0)
         for i in range(batch.num_rows):
             t = np.asarray(batch.column(1)[i].values.to_numpy(zero_copy_only=False), np.int64).view(_U)
-            for start, h in seed_hashes(t, np.zeros(len(t), np.int64), min(len(t), WINDOW)):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(h), ids.type), pa.array(start.astype(np.int32)), pa.array(h.view(np.int64))], ["item_id", "item_pos", "seed"])
+            width = min(len(t), WINDOW)
+            whole = np.arange(len(t) - width + 1)
+            for start, h, exact in [(*x, False) for x in seed_hashes(t, np.zeros(len(t), np.int64), width)] + [(whole, exact_hashes(t, whole, width), True)]:
+                n = len(h)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[i].as_py()] * n, ids.type), pa.array(start.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.full(n, width, np.int32)), pa.array(np.full(n, exact))],
+                    ["item_id", "item_pos", "seed", "width", "exact"],
+                )
 
 
 def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, seeds) of `benchmark` (item_id, text).
+    """(items, seeds) of `benchmark` (item_id, text); a seed is exact if it is of a window's every token.
 
     Items with the same tokens are one item, under the least item_id; an item
     without tokens is never reported.
@@ -157,7 +183,7 @@ def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     tokens = source.mapInArrow(_item_batches, f"item_id {kind}, tokens array<bigint>").where(F.size("tokens") > 0)
     items = written(tokens.groupBy("tokens").agg(F.min("item_id").alias("item_id")).select("item_id", "tokens"))
-    seeds = items.mapInArrow(_seed_batches, f"item_id {kind}, item_pos int, seed bigint")
+    seeds = items.mapInArrow(_seed_batches, f"item_id {kind}, item_pos int, seed bigint, width int, exact boolean")
     return items, written(seeds.distinct())
 
 
@@ -188,16 +214,27 @@ def hit_regions(docs: DataFrame, bitmap: np.ndarray, widths: tuple[int, ...] = (
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
+
+        def among(h: np.ndarray) -> np.ndarray:
+            one, two = _bits(h)
+            return ((bits[one >> 3] >> (one & 7).astype(np.uint8)) & (bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)
+
         for batch in batches:
             ids = batch.column(0)
             for c in chunks(text_column(batch)):
                 token, row = _tokens(c)
                 found = []
                 for width in widths:
-                    for start, h in seed_hashes(token, row, width):
-                        one, two = _bits(h)
-                        hit = ((bits[one >> 3] >> (one & 7).astype(np.uint8)) & (bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)
+                    for k, (start, h) in enumerate(seed_hashes(token, row, width)):
+                        hit = among(h)
                         found.append((start[hit], h[hit]))
+                        if k == 0:  # where all tokens are equal, each mask's are
+                            whole = start[hit]
+                            whole = whole[whole + width <= len(token)]
+                            whole = whole[row[whole + width - 1] == row[whole]]
+                            h = exact_hashes(token, whole, width)
+                            hit = among(h)
+                            found.append((whole[hit], h[hit]))
                 at, seed = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, _U))
                 if len(at) == 0:
                     continue
@@ -223,54 +260,104 @@ def hit_regions(docs: DataFrame, bitmap: np.ndarray, widths: tuple[int, ...] = (
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(regions, f"doc_id {kind}, start int, tokens array<bigint>, offsets array<int>, seeds array<bigint>")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched, item_tokens) of every verified overlap.
+def seed_classes(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): the class (c1, c2) of every seed, and the items of every class.
 
-    `matched` is the most tokens that agree on one diagonal. A pair is verified
-    if some WINDOW aligned tokens (the whole item, if it is shorter) hold
-    NEEDED equal ones in proportion. Empty inputs give no rows; nulls never
-    match; repeated documents repeat only as the same pair.
+    Seeds that the same items hold are of one class; it is named by two xors of
+    hashes of their ids, so no list of items is gathered. Items of a class are
+    those of its least seed.
+    """
+    held = seeds.select("seed", "item_id", "width", "exact").distinct()
+    name = (F.bit_xor(F.xxhash64("item_id")).alias("c1"), F.bit_xor(F.xxhash64("item_id", F.lit(1))).alias("c2"))
+    classes = written(held.groupBy("seed", "width", "exact").agg(*name))
+    least = classes.groupBy("c1", "c2").agg(F.min("seed").alias("seed"))
+    return classes, written(held.join(least, "seed").select("c1", "c2", "item_id", "width").distinct())
+
+
+def _surroundings(tokens: str, at: str) -> str:
+    """SQL: the tokens that a window around a hit may have, null beyond the text; of shorter items, their own window."""
+    return f"transform(sequence(if(width = {WINDOW}, -{BEFORE}, 0), width - 1), i -> try_element_at({tokens}, if({at} + i < 0, cast(null as int), {at} + i + 1)))"
+
+
+def verified_hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(exact, near, members, items): what was verified, before it is told for each item.
+
+    exact: (doc_id, c1, c2, width, common) of documents that hold a whole window
+    of the items of a class; near: (doc_id, item_id, matched) of windows with
+    substitutions; members: (c1, c2, item_id, width); items: (item_id, tokens).
     """
     items, seeds = benchmark_seeds(benchmark)
-    width = F.least(F.size("tokens"), F.lit(WINDOW))
-    widths = tuple(sorted(r.width for r in items.select(width.alias("width")).distinct().collect()))
+    classes, members = seed_classes(seeds)
+    widths = tuple(sorted(r.width for r in classes.select("width").distinct().collect()))
     regions = written(hit_regions(docs, bloom_bitmap(seeds), widths).withColumn("region", F.expr("uuid()")))
-    hits = regions.select("region", F.explode(F.arrays_zip("offsets", "seeds")).alias("h")).select("region", F.col("h.offsets").alias("at"), F.col("h.seeds").alias("seed"))
-    diagonals = hits.join(seeds, "seed").select("region", "item_id", (F.col("at") - F.col("item_pos")).alias("diagonal")).distinct()
-    both = diagonals.join(items.withColumnRenamed("tokens", "item"), "item_id").join(regions.select("region", "doc_id", "tokens"), "region")
-    equal = F.expr("""transform(sequence(greatest(0, -diagonal), least(size(item), size(tokens) - diagonal) - 1),
-                                i -> if(item[i] = tokens[i + diagonal], 1, 0))""")
-    checked = both.withColumn("equal", equal)
-    checked = checked.withColumn("width", F.least(F.size("item"), F.lit(WINDOW))).withColumn("needed", F.expr(f"(width * {NEEDED} + {WINDOW - 1}) div {WINDOW}"))
-    sums = F.expr("transform(sequence(0, size(equal)), i -> aggregate(slice(equal, greatest(1, i - width + 1), least(i, width)), 0, (s, x) -> s + x))")
-    checked = checked.withColumn("sums", sums)
-    verified = checked.where(F.expr("size(equal) >= width and exists(sums, x -> x >= needed)"))
-    best = verified.select("doc_id", "item_id", F.size("item").alias("item_tokens"), F.expr("aggregate(equal, 0, (s, x) -> s + x)").alias("matched"))
-    return best.groupBy("doc_id", "item_id", "item_tokens").agg(F.max("matched").alias("matched"))
+    at = regions.select("region", "doc_id", F.explode(F.arrays_zip("offsets", "seeds")).alias("h")).select("region", "doc_id", F.col("h.offsets").alias("at"), F.col("h.seeds").alias("seed"))
+    hits = written(at.join(classes, "seed"))
+
+    held = hits.where("exact").select("doc_id", "c1", "c2", "width").distinct()
+    often = F.greatest(F.lit(COMMON_LEAST).cast("double"), F.lit(COMMON_SHARE) * docs.count())
+    common = held.where(F.col("width") < VERBATIM).groupBy("c1", "c2").agg(F.count("*").alias("n")).where(F.col("n") > often).select("c1", "c2", F.lit(True).alias("common"))
+    exact = written(held.join(common, ["c1", "c2"], "left").withColumn("common", F.coalesce("common", F.lit(False))))
+
+    known = exact.select(F.col("doc_id").alias("known_id"), F.col("c1").alias("k1"), F.col("c2").alias("k2"))
+    open_ = hits.where("not exact").join(known, F.expr("doc_id <=> known_id and c1 = k1 and c2 = k2"), "left_anti").select("region", "doc_id", "at", "seed", "width")
+    texts = open_.join(regions.select("region", "tokens"), "region").select("doc_id", "seed", "width", F.expr(_surroundings("tokens", "at")).alias("text_around")).distinct()
+    texts = written(texts.withColumn("text_key", F.xxhash64("text_around")))
+    places = seeds.join(texts.select("seed").distinct(), "seed", "left_semi").join(items, "item_id")
+    places = places.select("item_id", "seed", "width", F.expr(_surroundings("tokens", "item_pos")).alias("item_around")).distinct()
+    places = written(places.withColumn("item_key", F.xxhash64("item_around")))
+    pairs = texts.select("seed", "width", "text_key", "text_around").distinct().join(places.select("seed", "item_key", "item_around").distinct(), "seed")
+    equal = f"zip_with(text_around, item_around, (x, y) -> case when x is null or y is null then -{WINDOW} when x = y then 1 else 0 end)"
+    sums = "array_max(transform(sequence(1, size(equal) - width + 1), o -> aggregate(slice(equal, o, width), 0, (s, x) -> s + x)))"
+    same = pairs.withColumn("equal", F.expr(equal)).withColumn("matched", F.expr(sums)).where(f"matched >= (width * {NEEDED} + {WINDOW - 1}) div {WINDOW}")
+    same = written(same.select("seed", "text_key", "item_key", "matched"))
+    near = texts.select("doc_id", "seed", "text_key").distinct().join(same, ["seed", "text_key"]).join(places.select("item_id", "seed", "item_key").distinct(), ["seed", "item_key"])
+    return exact, near.select("doc_id", "item_id", "matched"), members, items
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, matched, item_tokens, common) of every verified overlap.
+
+    A pair is verified if some WINDOW aligned tokens (the whole item, if it is
+    shorter) hold NEEDED equal ones in proportion; `matched` is the most that any
+    such window holds. `common` marks items of fewer than VERBATIM tokens that more
+    than COMMON_LEAST documents and COMMON_SHARE of all rows hold. Empty inputs
+    give no rows; nulls never match; repeated documents repeat only as the same pair.
+    """
+    exact, near, members, items = verified_hits(docs, benchmark)
+    held = exact.join(members.select("c1", "c2", "item_id"), ["c1", "c2"]).select("doc_id", "item_id", F.col("width").alias("matched"), "common")
+    best = held.unionByName(near.withColumn("common", F.lit(False))).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.bool_or("common").alias("common"))
+    return best.join(items.select("item_id", F.size("tokens").alias("item_tokens")), "item_id").select("doc_id", "item_id", "matched", "item_tokens", "common")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, contaminated, n_items, matched, items) for every row of `docs`.
+    """(doc_id, contaminated, n_items, matched, items, common_items) for every row of `docs`.
 
     items are the ids of overlapping benchmark items (least id of equal items),
-    ascending; an item is reported once. Documents without an overlap, empty
-    and null texts among them, have contaminated false and an empty list. Rows
-    that repeat a doc_id are one document, judged together and each returned; so
-    are the rows without one. Other columns are not read.
+    ascending; an item is reported once. A common item (see `overlaps`), such as
+    a one-word answer, is listed in common_items instead and contaminates
+    nothing. Documents without an overlap, empty and null texts among them, have
+    contaminated false and empty lists. Rows that repeat a doc_id are one
+    document, judged together and each returned; so are the rows without one.
+    Other columns are not read.
     """
-    found = overlaps(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("matched").alias("matched"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    found = found.withColumnRenamed("doc_id", "found_id")
+    found, kind = overlaps(docs, benchmark), benchmark.schema["item_id"].dataType.simpleString()
+    own = ~F.col("common")
+    found = found.groupBy(F.col("doc_id").alias("found_id")).agg(
+        F.count_if(own).alias("n_items"), F.max(F.when(own, F.col("matched"))).alias("matched"), F.array_sort(F.collect_set(F.when(own, F.col("item_id")))).alias("items"), F.array_sort(F.collect_set(F.when(F.col("common"), F.col("item_id")))).alias("common_items")
+    )
+    none = F.expr(f"cast(array() as array<{kind}>)")
     return docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select(
         "doc_id",
-        F.col("n_items").isNotNull().alias("contaminated"),
+        (F.coalesce("n_items", F.lit(0)) > 0).alias("contaminated"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("matched", F.lit(0)).alias("matched"),
-        F.coalesce("items", F.expr(f"cast(array() as array<{kind}>)")).alias("items"),
+        F.coalesce("items", none).alias("items"),
+        F.coalesce("common_items", none).alias("common_items"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of `docs` that overlap no benchmark item, with all their columns; rows without a doc_id are one document."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("found_id")).distinct()
+    """Rows of `docs` that overlap no benchmark item but common ones, with all their columns; rows without a doc_id are one document."""
+    exact, near, _, _ = verified_hits(docs, benchmark)
+    found = exact.where("not common").select(F.col("doc_id").alias("found_id")).union(near.select("doc_id")).distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti")

@@ -177,6 +177,63 @@ def test_dense_substitutions_and_short_items_are_found(spark):
     assert {r.doc_id: r["items"] for r in got} == want
 
 
+def brute_overlaps(texts, items):
+    """{doc: items}: some 13 aligned tokens with 11 equal ones, by trying every diagonal."""
+    out = {}
+    split = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    for d, text in enumerate(texts):
+        a, found = split(text), []
+        for k, item in items:
+            b = split(item)
+            width = min(len(b), 13)
+            best = -1
+            for shift in range(-len(b), len(a) + 1):
+                eq = [x == a[i + shift] for i, x in enumerate(b) if 0 <= i + shift < len(a)]
+                best = max([best] + [sum(eq[i : i + width]) for i in range(len(eq) - width + 1)])
+            if width and best >= -(-width * 11 // 13):
+                found.append(k)
+        out[d] = found
+    return out
+
+
+def test_decontamination_matches_all_pairs_on_texts_of_few_words(spark):
+    rng = random.Random(31)
+    few = ["ka", "lo", "mi"]
+    texts = [None, "", *(" ".join(rng.choice(few) for _ in range(rng.randint(1, 60))) for _ in range(220))]
+    texts += [prose(rng, rng.randint(1, 80)) for _ in range(60)]
+    items = [(i, " ".join(rng.choice(few) for _ in range(n))) for i, n in enumerate((9, 11, 12, 13, 13, 14, 15, 18, 20, 25))]
+    items += [(100 + i, prose(rng, n)) for i, n in enumerate((13, 17, 30))]
+    items += [(110 + i, " ".join(texts[230 + i].split()[:20] + ["qq"] + texts[231 + i].split()[:20])) for i in range(6)]
+    got = decontamination.contamination(odd(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {r.doc_id: sorted(r["items"]) for r in got} == brute_overlaps(texts, items)
+
+
+def test_a_passage_of_many_items_and_documents_is_compared_once(spark):
+    rng = random.Random(32)
+    passage = prose(rng, 40)
+    broken = " ".join("zz" if i % 6 == 5 else w for i, w in enumerate(passage.split()))
+    took = {}
+    for n in (20, 100, 300):
+        items = spark.createDataFrame([(i, f"{prose(rng, 12)} {passage} {prose(rng, 12)}") for i in range(n)], "item_id bigint, text string")
+        docs = odd(spark, [f"{prose(rng, 20)} {broken if i % 50 == 7 else passage} {prose(rng, 20)}" for i in range(n)])
+        began = time.perf_counter()
+        exact, near, members, _ = decontamination.verified_hits(docs, items)
+        assert exact.select("doc_id").union(near.select("doc_id")).distinct().count() == n
+        took[n] = time.perf_counter() - began
+        if n == 100:
+            assert decontamination.overlaps(docs, items).where("not common").count() == n * n
+    assert took[300] < 4 * took[100] + 2
+
+
+def test_common_short_items_are_reported_apart(spark):
+    texts = ["the answer is yes", "yes", *["yes and no"] * 25, "a rare zebra here", "nothing"]
+    bench = spark.createDataFrame([(1, "yes"), (2, "rare zebra")], "item_id bigint, text string")
+    got = decontamination.contamination(odd(spark, texts), bench).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got if r.contaminated] == [27] and got[27]["items"] == [2]
+    assert [r.doc_id for r in got if r.common_items == [1]] == list(range(27))
+    assert decontamination.decontaminate(odd(spark, texts), bench).count() == len(texts) - 1
+
+
 def levenshtein(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
