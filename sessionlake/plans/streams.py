@@ -8,9 +8,10 @@ from sessionlake.functions.paths import stem
 from sessionlake.operators import refresh
 from sessionlake.plans import sql, views
 from sessionlake.plans.queries import _SNAPSHOT, ORACLE_SQL, _log, query
-from sessionlake.plans.roundtrip import KEPT, claude_files, grok_files, land, vibe_files
+from sessionlake.plans.roundtrip import _TABLES, KEPT, claude_files, grok_files, land, vibe_files
 from sessionlake.sources.agents import ingest_claude, sessions_of
 from sessionlake.sources.scratch import scratch
+from sessionlake.sources.stores import STORES
 from sessionlake.streaming import incremental
 from sessionlake.streaming import refresh as stream
 from sessionlake.streaming.commits import METRICS, file_system
@@ -61,6 +62,27 @@ def refresh_incremental(spark, sf):
     return stream.read_snapshot(spark, out).join(log, ["agent", "id"]).select(*KEPT, "wave")
 
 
+_STORED = " UNION ALL ".join(f"SELECT * FROM ({ORACLE_SQL[f'ingest_{a}']})" for a in STORES)
+
+
+@query("refresh_stores", f"SELECT *, CAST(CAST(id AS BIGINT) % 2 AS BIGINT) AS wave, CAST(0 AS BIGINT) AS again FROM ({_STORED}) WHERE CAST(id AS BIGINT) % 6 <> 0")
+def refresh_stores(spark, sf):
+    """Half of the sessions of three stores, then the others, while a third of the first are gone. `wave` is the run that put a session, `again` how many a last run parses."""
+    out = scratch(spark, "stores-out")
+
+    def run(kept):
+        tables = {a: tuple(t.where(kept(F.col(key).cast("long"))) for t, key in zip(_TABLES[a](spark, sf), s.keys, strict=True)) for a, s in STORES.items()}
+        return sum(r.parsed for r in incremental.refresh_incremental(spark, {}, out, landed=tables).values())
+
+    run(lambda n: n % 2 == 0)
+    run(lambda n: n % 6 != 0)
+    again = run(lambda n: n % 6 != 0)
+    log = stream.read_log(spark, out).where("op = 'upsert'").groupBy("agent", "id").agg(F.max("version").alias("version"))
+    first = log.where(F.col("id").cast("long") % 2 == 0).groupBy("agent").agg(F.max("version").alias("first"))
+    log = log.join(first, "agent").select("agent", "id", (F.col("version") > F.col("first")).cast("long").alias("wave"))
+    return stream.read_snapshot(spark, out).join(log, ["agent", "id"]).select(*KEPT, "wave", F.lit(again).cast("long").alias("again"))
+
+
 @query("stream_siblings", f"""SELECT * FROM ({ORACLE_SQL["ingest_grok"]}) UNION ALL SELECT * FROM ({ORACLE_SQL["ingest_vibe"]})""")
 def stream_siblings(spark, sf):
     """Two sources with several files a session, followed as they come."""

@@ -206,6 +206,11 @@ def ingest_copilot_vscode(spark: SparkSession, root: str | DataFrame, id_rule: s
     return _messages("copilot-vscode", user.unionByName(answer)), _attrs("copilot-vscode", facts, get(F.col("rec"), "$.customTitle"), F.coalesce(F.nullif("folder", F.lit("")), "ref"), at)
 
 
+def crush_torn(messages: DataFrame) -> DataFrame:
+    """(session_id) of sessions with parts that cannot be parsed."""
+    return messages.where(tool_summaries(F.col("parts")).isNull() & F.col("parts").isNotNull()).select("session_id").distinct()
+
+
 def ingest_crush(sessions: DataFrame, messages: DataFrame, project: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Landed tables sessions(id, title, message_count, created_at, updated_at), messages(session_id, role, parts, created_at).
 
@@ -213,7 +218,7 @@ def ingest_crush(sessions: DataFrame, messages: DataFrame, project: Column | Non
     """
     kept = sessions.where("message_count > 0").withColumnRenamed("id", "session_id")
     m = messages.select("session_id", "role", "created_at", tool_summaries(F.col("parts")).alias("text"), "parts")
-    torn = m.where(F.col("text").isNull() & F.col("parts").isNotNull()).select("session_id").distinct()
+    torn = crush_torn(messages)
     m, kept = m.join(torn, "session_id", "left_anti"), kept.join(torn, "session_id", "left_anti")
     own = m.join(kept.select("session_id"), "session_id").where("text <> ''").withColumn("line_no", F.col("created_at"))
     user = F.col("role") == "user"
@@ -228,16 +233,19 @@ def _cursor_records(blobs: DataFrame) -> DataFrame:
     text = F.when(is_strict_json(F.col("value")), F.col("value")).when(is_strict_json(sliced), sliced)
     level = blobs.select("session_id", F.array(F.col("seq").cast("long")).alias("path"), F.try_parse_json(text).alias("rec"))
     found = []
-    # one level of nesting at a time, until none is left
+    # one level of nesting at a time, until none is left; a level is written, so that it is parsed once
     while True:
+        path = scratch(blobs.sparkSession, "cursor-level")
+        level.write.parquet(path)
+        level = blobs.sparkSession.read.schema(level.schema).parquet(path)
+        if level.isEmpty() and found:
+            return reduce(DataFrame.unionByName, found)
         found.append(level.select("session_id", F.array_append("path", F.lit(2).cast("long")).alias("at"), "rec"))
         inner = []
         for n, name in enumerate(("messages", "conversation")):
             items = level.select("session_id", "path", F.posexplode(F.try_variant_get("rec", f"$.{name}", "array<variant>")).alias("i", "rec"))
             inner.append(items.select("session_id", F.concat("path", F.array(F.lit(n).cast("long"), F.col("i").cast("long"))).alias("path"), "rec"))
         level = inner[0].unionByName(inner[1])
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, found)
 
 
 def ingest_cursor(meta: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:

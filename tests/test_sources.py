@@ -294,6 +294,59 @@ def contents(spark, out):
     return {(r.agent, r.id): r.content for r in stream.read_snapshot(spark, out).collect()}
 
 
+def test_stores_are_refreshed_by_their_markers(spark, tmp_path, monkeypatch):
+    import dataclasses
+
+    from sessionlake.sources.stores import STORES
+    from sessionlake.streaming import incremental
+
+    fetched = []
+
+    def parse(*tables):
+        fetched.append(tuple(t.count() for t in tables))
+        return agents.ingest_opencode(*tables)
+
+    monkeypatch.setitem(STORES, "opencode", dataclasses.replace(STORES["opencode"], parse=parse))
+    out, said = str(tmp_path / "out"), '[{"type":"text","data":{"text":"%s"}}]'
+
+    def opencode(texts, late=None):
+        s = spark.createDataFrame([(i, f"T{i}", "/o", 1000, 2000, "x") for i in texts], "id string, title string, directory string, time_created bigint, time_updated bigint, key string")
+        m = spark.createDataFrame([(f"m{i}", i, 1, '{"role":"user"}') for i in texts] + [("m-", None, 1, "{}")], "id string, session_id string, time_created bigint, data string")
+        p = spark.createDataFrame([(f"p{i}", f"m{i}", i, 9000 if i == late else 1, json.dumps({"type": "text", "text": t})) for i, t in texts.items()], "id string, message_id string, session_id string, time_created bigint, data string")
+        return s, m, p
+
+    def crush(rows):
+        s = spark.createDataFrame([(i, "T", n, at, at) for i, n, at, _ in rows], "id string, title string, message_count int, created_at bigint, updated_at bigint")
+        return s, spark.createDataFrame([(i, "user", p, at) for i, _, at, p in rows], "session_id string, role string, parts string, created_at bigint")
+
+    def cursor(rows):
+        meta = spark.createDataFrame([(i, "m", '{"name":"Chat"}', at, "/w") for i, at, _ in rows], "session_id string, key string, value string, mtime double, directory string")
+        return meta, spark.createDataFrame([(i, n, json.dumps({"role": "user", "content": t})) for i, _, texts in rows for n, t in enumerate(texts)], "session_id string, seq bigint, value string")
+
+    def go(**landed):
+        found = incremental.refresh_incremental(spark, {}, out, landed=landed)
+        assert not any(r.error for r in found.values()), found
+        return {a: r.parsed for a, r in found.items()}
+
+    first = {"opencode": opencode({"a": "one", "b": "two", "c": "three"}), "crush": crush([("x", 1, 5000, said % "question x"), ("y", 1, 5000, said % "question y"), ("z", 0, 5000, said % "none")]), "cursor": cursor([("k", 9.0, ["hello"])])}
+    assert go(**first) == {"opencode": 3, "crush": 2, "cursor": 1} and fetched == [(3, 3, 3)]
+    want = {("opencode", "a"): "» one", ("opencode", "b"): "» two", ("opencode", "c"): "» three", ("crush", "x"): "» question x", ("crush", "y"): "» question y", ("cursor", "k"): "» hello"}
+    assert contents(spark, out) == want
+    assert go(**first) == {"opencode": 0, "crush": 0, "cursor": 0}
+    # a later part, a torn session, one without messages, a blob more; c is gone
+    second = {"opencode": opencode({"a": "one", "b": "changed"}, late="b"), "crush": crush([("x", 1, 6000, "[{"), ("y", 0, 6000, said % "gone")]), "cursor": cursor([("k", 9.0, ["hello", "more"])])}
+    assert go(**second) == {"opencode": 1, "crush": 1, "cursor": 1} and fetched[1:] == [(1, 1, 1)]
+    want = {("opencode", "a"): "» one", ("opencode", "b"): "» changed", ("crush", "x"): "» question x", ("cursor", "k"): "» hello\n\n» more"}
+    assert contents(spark, out) == want
+    assert go(**second) == {"opencode": 0, "crush": 1, "cursor": 0}  # what is torn is tried again
+    stream.compact(spark, out)
+    assert go(opencode=second["opencode"]) == {"opencode": 0}
+    broken = incremental.refresh_incremental(spark, {}, out, landed={"crush": (spark.range(1),) * 2, "cursor": tuple(t.limit(0) for t in second["cursor"])})
+    assert broken["crush"].error and broken["cursor"].error is None
+    del want[("cursor", "k")]
+    assert contents(spark, out) == want
+
+
 def test_incremental_refresh_parses_what_changed(spark, tmp_path):
     from sessionlake.streaming import incremental
 
