@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 import shutil
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,9 @@ from pyspark.sql import functions as F
 from sessionlake.plans import roundtrip, streams
 from sessionlake.plans.registry import QUERIES
 from sessionlake.sources.scan import append_files
+from sessionlake.sources.stores import STORES
 from sessionlake.streaming import incremental, refresh
+from sessionlake.streaming.commits import known_keys, last_rows
 from tests.test_file_tables import data_files, put, said
 
 
@@ -73,3 +77,30 @@ def test_many_removed_keys_are_not_broadcast(spark, tmp_path):
     explain = [refresh.read_snapshot(spark, out, keys, few)._jdf.queryExecution().logical().toString() for few in (True, False)]
     # the log is read twice; the numbers of its committed batches are broadcast either way
     assert [e.count("strategy=broadcast") for e in explain] == [4, 2]
+
+
+def test_sources_are_refreshed_at_once(spark, tmp_path, monkeypatch):
+    """Each of two stores waits until the other is parsed too; neither's failure is the other's."""
+    both = threading.Barrier(2, timeout=60)
+
+    def waiting(store):
+        def parse(*tables, **more):
+            both.wait()
+            return store.parse(*tables, **more)
+
+        return dataclasses.replace(store, parse=parse)
+
+    for agent in ("crush", "opencode"):
+        monkeypatch.setitem(STORES, agent, waiting(STORES[agent]))
+    tables = {a: roundtrip._TABLES[a](spark, "/root/testdata/sf0.001") for a in ("crush", "opencode")}
+    out = str(tmp_path / "out")
+    done = incremental.refresh_incremental(spark, {}, out, landed={**tables, "cursor": (spark.range(1),) * 2})
+    assert [a for a, r in done.items() if r.error] == ["cursor"]
+    assert sorted(done) == ["crush", "cursor", "opencode"] and sorted(r.batch_id for r in refresh.read_metrics(spark, out).select("batch_id").collect()) == [0, 1]
+    assert {r.agent for r in refresh.read_snapshot(spark, out).select("agent").distinct().collect()} == {"crush", "opencode"}
+
+
+def test_known_keys_are_those_of_last_rows(spark):
+    log = spark.createDataFrame([("a", "put", 1, "upsert"), ("a", "gone", 1, "upsert"), ("a", "gone", 2, "delete"), ("a", "back", 1, "delete"), ("a", "back", 2, "upsert"), ("b", "same", 3, "upsert"), ("b", "same", 3, "delete")], "agent string, id string, version bigint, op string")
+    want = last_rows(log).where("op <> 'delete'").select("agent", "id").collect()
+    assert sorted(known_keys(log).collect()) == sorted(want) and {r.id for r in want} == {"put", "back"}
