@@ -38,6 +38,8 @@ LOCAL_ROWS = 20_000
 FEW_QUERIES = 200
 #: Words up to which each is compared with the terms by an expression of its own; more meet them by deletion keys.
 FEW_WORDS = 16
+#: Fields whose terms a word may match within an edit.
+FUZZY_FIELDS = ("title", "content")
 #: Tasks among which sessions of one agent are dealt to queries without a text.
 CELLS = 64
 #: A date span over this many seconds is no filter.
@@ -249,10 +251,11 @@ class Asked:
     phrases: int
     terms: list[str] | None
 
-    def single(self, index: SearchIndex) -> DataFrame:
-        """Postings joined to the rows that ask for one term."""
+    def single(self, index: SearchIndex, hidden: bool = False) -> DataFrame:
+        """Postings joined to the rows that ask for one term; with `hidden`, those that later segments hide too, each with its segment."""
         rows = self.rows.where("n = 1")
-        return index.postings_of(rows.select("term") if self.terms is None else self.terms).join(_small(rows, self.count), ["field", "term"])
+        terms = rows.select("term") if self.terms is None else self.terms
+        return (index.postings_named(terms) if hidden else index.postings_of(terms)).join(_small(rows, self.count), ["field", "term"])
 
     def phrased(self, index: SearchIndex) -> DataFrame:
         rows = self.rows.where("n > 1")
@@ -311,7 +314,7 @@ def fuzzy_terms(words: DataFrame, index: SearchIndex, keys: DataFrame | None = N
     # a term has under 40 bytes, so no longer word can match
     words = words.select("word").where(F.char_length("word") <= 41).distinct()
     if index.fuzzy_keys is None:
-        terms = index.vocabulary.where(F.col("field").isin("title", "content")).select("field", "term")
+        terms = index.vocabulary.where(F.col("field").isin(*FUZZY_FIELDS)).select("field", "term")
         some = [r.word for r in words.limit(FEW_WORDS + 1).collect()]
         if len(some) <= FEW_WORDS and all(len(w) >= FUZZY_LEAST_CHARS for w in some):
             met = F.array(*[F.when(_may_begin(w, F.col("term")), F.lit(w)) for w in sorted(some)]).cast("array<string>")
@@ -382,19 +385,30 @@ def search_scores(parsed: DataFrame, sessions: DataFrame, index: SearchIndex | N
         "need", F.struct("word", "field", "times").cast(mark).alias("mark"),
     )
     asked = _asked(exact.unionByName(close))
-    columns = {"clause": "int", "group": "int", "exact": "double", "need": "bigint", "mark": mark, "dir": "double"}
+    columns = {"clause": "int", "group": "int", "exact": "double", "need": "bigint", "times": "bigint", "fields": "bigint", "dir": "double"}
 
     def hit(df: DataFrame, **own: Column) -> DataFrame:
         return df.select("query_id", "agent", "id", *[own.get(c, null).cast(t).alias(c) for c, t in columns.items()])
 
-    hits = hit(asked.single(index), clause=F.col("clause"), group=F.col("group"), exact=F.when(F.col("clause").isNotNull(), _bm25_score()), need=F.col("need"), mark=F.col("mark"))
+    # A word is near many terms of a session: they become one row before anything is collected, in an aggregate of plain
+    # numbers. What later segments hide is dropped from these rows, not from the postings.
+    hides = index.removed is not None
+    key = ["query_id", "agent", "id", *(["segment"] if hides else []), "clause", "group", "word"]
+    met = asked.single(index, hides).withColumn("word", F.col("mark.word"))
+    met = met.groupBy(*key).agg(
+        F.sum(F.when(F.col("clause").isNotNull(), _bm25_score())).alias("exact"), F.max("need").alias("need"), F.max("mark.times").alias("times"),
+        *[F.max(F.when(F.col("mark.field") == f, 1).otherwise(0)).alias(f) for f in FUZZY_FIELDS],
+    )
+    met = live(met, index.removed) if hides else met
+    hits = hit(met, **{c: F.col(c) for c in ("clause", "group", "exact", "need", "times")}, fields=sum((F.col(f) for f in FUZZY_FIELDS), F.lit(0)))
     if asked.phrases:
         hits = hits.unionByName(hit(asked.phrased(index), clause=F.col("clause"), group=F.col("group"), exact=F.col("exact")))
     hits = hits.unionByName(hit(dir_text(parsed, index.slim), dir=F.col("score")))
-    every = hits.groupBy("query_id", "agent", "id").agg(*_met(), F.max("need").alias("need"), F.collect_set("mark").alias("marks"), F.sum("dir").alias("dir"))
+    marks = F.sum(F.col("times") * F.col("fields"))
+    every = hits.groupBy("query_id", "agent", "id").agg(*_met(), F.when(F.sum("times") == F.max("need"), marks.cast("double")).alias("close"), F.sum("dir").alias("dir"))
     zero = F.lit(0.0)
     every = every.join(typed.rules, "query_id", "left")
-    total = F.coalesce(_exact_score(), zero) * EXACT_WEIGHT + F.coalesce(_all_words(F.col("marks"), F.col("need")), zero) + F.coalesce("dir", zero)
+    total = F.coalesce(_exact_score(), zero) * EXACT_WEIGHT + F.coalesce("close", zero) + F.coalesce("dir", zero)
     # a session that only some of the words match within an edit, or that a clause forbids, is no match
     return every.withColumn("score", total).where("score > 0").select("query_id", "agent", "id", "score")
 

@@ -51,7 +51,7 @@ def postings(sessions: DataFrame) -> DataFrame:
 def _placed(text: Column) -> Column:
     """Terms with their positions, sorted."""
     at = F.transform(all_tokens(text), lambda t, i: F.struct(t.alias("term"), i.alias("at")))
-    return F.array_sort(F.filter(at, lambda x: is_term(x["term"])))
+    return F.sort_array(F.filter(at, lambda x: is_term(x["term"])))
 
 
 def _counted(placed: DataFrame) -> DataFrame:
@@ -62,13 +62,11 @@ def _counted(placed: DataFrame) -> DataFrame:
         # equal terms are neighbours: a run's length is the distance between its ends
         ends = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: ~F.try_element_at("w", i + 1)["term"].eqNullSafe(F.element_at("w", i)["term"]))
         rows = rows.where(F.size("w") > 0).withColumn("ends", ends).withColumn("places", F.transform("w", lambda x: x["at"]))
-
-        def run(e: Column, k: Column) -> Column:
-            before = F.coalesce(F.get("ends", k - 1), F.lit(0))
-            return F.struct(F.element_at("w", e)["term"].alias("term"), (e - before).cast("long").alias("tf"), F.slice("places", before + 1, e - before).alias("positions"))
-
-        rows = rows.select("agent", "id", "field", F.size("w").cast("long").alias("len"), F.explode(F.transform("ends", run)).alias("r"))
-        return rows.select("agent", "id", "field", "r.term", "r.tf", "len", "r.positions")
+        # runs become rows before they are taken out: that is compiled code, which a transform's is not. No row has no end; of an
+        # inner explode the planner would test the number of ends below, where finding each reads the text again
+        rows = rows.select("*", F.posexplode_outer("ends").alias("k", "end"))
+        tf = F.col("end") - F.coalesce(F.get("ends", F.col("k") - 1), F.lit(0))
+        return rows.select("agent", "id", "field", F.element_at("w", F.col("end"))["term"].alias("term"), tf.cast("long").alias("tf"), F.size("w").cast("long").alias("len"), F.slice("places", F.col("end") - tf + 1, tf).alias("positions"))
 
     one = F.lit(1).cast("long")
     raw = placed.where("directory <> ''").select("agent", "id", F.lit("directory").alias("field"), F.col("directory").alias("term"), one.alias("tf"), one.alias("len"), F.array(F.lit(0)).alias("positions"))
@@ -146,7 +144,11 @@ class SearchIndex:
 
     def postings_of(self, terms: DataFrame | list[str]) -> DataFrame:
         """Postings in which those of `terms` (term, or a list of them) are."""
-        return live(self._named(self.postings, "term", terms), self.removed)
+        return live(self.postings_named(terms), self.removed)
+
+    def postings_named(self, terms: DataFrame | list[str]) -> DataFrame:
+        """postings_of with those that later segments hide."""
+        return self._named(self.postings, "term", terms)
 
     def vocabulary_of(self, terms: DataFrame | list[str]) -> DataFrame:
         found = self._named(self.vocabulary, "term", terms)
@@ -199,7 +201,7 @@ def build_index(sessions: DataFrame, path: str | None = None) -> SearchIndex:
         narrow = _table(_narrow(sessions).sortWithinPartitions("agent", "id"), f"{path}/{segment}/tokens")
         size = narrow.agg(F.count("*").alias("docs"), F.sum(F.size("title") + F.size("content")).alias("n")).first()
         buckets = min(max((size.n or 0) // BUCKET_ROWS, BUCKETS[0]), BUCKETS[1])
-        _write_segment(narrow, narrow.limit(0), f"{path}/{segment}", buckets)
+        _write_segment(narrow, None, f"{path}/{segment}", buckets)
         replace_text(spark, f"{path}/MANIFEST", json.dumps({"buckets": buckets, "segments": [{"name": segment, "docs": size.docs, "rows": size.docs}]}))
         return open_index(spark, path)
     base = scratch(spark, "search")
@@ -213,18 +215,28 @@ def _table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _write_segment(narrow: DataFrame, old: DataFrame, path: str, buckets: int) -> None:
-    """Everything of a segment but its tokens: of the sessions `narrow`, which take the place of `old`."""
+def _write_segment(narrow: DataFrame, old: DataFrame | None, path: str, buckets: int) -> None:
+    """Everything of a segment but its tokens: of the sessions `narrow`, which take the place of `old`, if there are such."""
     spark = narrow.sparkSession
     _spread(_counted(narrow), f"{path}/postings", "term", buckets)
     post = spark.read.schema(_TABLES["postings"]).parquet(f"{path}/postings")
+    if old is None:
+        _spread(vocabulary(post), f"{path}/vocabulary", "term", buckets)
+        _spread_fuzzy(spark.read.schema(_TABLES["vocabulary"]).parquet(f"{path}/vocabulary"), path, buckets)
+        post.groupBy("field").agg(F.sum("tf").alias("total")).write.mode("overwrite").parquet(f"{path}/totals")
+        return
     own = post.select("field", "term", "tf", F.lit(1).cast("long").alias("sign")).unionByName(_counted(old).select("field", "term", "tf", F.lit(-1).cast("long").alias("sign")))
     df = own.groupBy("field", "term").agg(F.sum("sign").alias("df"))
     _spread(df.where("df <> 0"), f"{path}/vocabulary", "term", buckets)
-    _spread(fuzzy_keys(vocabulary(post)), f"{path}/fuzzy_keys", "key", buckets)
+    _spread_fuzzy(vocabulary(post), path, buckets)
     own.groupBy("field").agg(F.sum(F.col("tf") * F.col("sign")).alias("total")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
+def _spread_fuzzy(vocab: DataFrame, path: str, buckets: int) -> None:
+    """Write the fuzzy keys: many times the rows of the terms, which are few enough to lie in a few tasks and are dealt out first."""
+    _spread(fuzzy_keys(vocab.repartition(buckets, "term")), f"{path}/fuzzy_keys", "key", buckets)
+
+
 _KEY = "agent string, id string"
 _TERMS = "array<struct<term: string, at: int>>"
 _TABLES = {
@@ -316,7 +328,7 @@ def merge_segments(spark: SparkSession, path: str, first: int = 0) -> None:
     _spread(post, f"{base}/postings", "term", buckets)
     vocab = _parts(spark, path, own, "vocabulary").groupBy("field", "term").agg(F.sum("df").alias("df"))
     _spread(vocab.where("df <> 0"), f"{base}/vocabulary", "term", buckets)
-    _spread(fuzzy_keys(vocabulary(spark.read.schema(_TABLES["postings"]).parquet(f"{base}/postings"))), f"{base}/fuzzy_keys", "key", buckets)
+    _spread_fuzzy(vocabulary(spark.read.schema(_TABLES["postings"]).parquet(f"{base}/postings")), base, buckets)
     _parts(spark, path, own, "totals").groupBy("field").agg(F.sum("total").alias("total")).write.parquet(f"{base}/totals")
     merged = {"name": base.rpartition("/")[2], "docs": sum(s["docs"] for s in own), "rows": narrow.count()}
     replace_text(spark, f"{path}/MANIFEST", json.dumps({"buckets": buckets, "segments": [*segments[:first], merged]}))

@@ -413,6 +413,42 @@ def test_an_updated_index_is_a_rebuilt_one(spark, tmp_path):
     assert len(search_index.manifest(spark, path)["segments"]) == 1 and scores(search.open_index(spark, path), now) == scores(search.build_index(now), now)
 
 
+def test_near_terms_of_a_word_are_one_row_before_anything_is_collected(spark, tmp_path):
+    near = " ".join(f"thing{i}" for i in range(300))
+    s = table(spark, session("a", "pi", "thing", content=near), session("b", "pi", "t", content="other thinx word"), session("c", "pi", "thing", content="word"))
+    index = search.build_index(s, str(tmp_path / "index"))
+    scores = search.search_scores(spark.createDataFrame([(0, "thing"), (1, "thing word word")], "query_id int, text string"), s, index)
+    lines = scores._jdf.queryExecution().executedPlan().toString().split("\n")
+    first = [line for line in lines if "HashAggregate(" in line and " tf#" not in line and "word#" in line]
+    assert first and not any("ObjectHashAggregate" in line or "SortAggregate" in line for line in first)
+    found = {(r.query_id, r.id): r.score for r in scores.collect()}
+    # one point for a word and field, however many terms are near it; a word that comes twice counts twice
+    assert set(found) == {(0, "a"), (0, "b"), (0, "c"), (1, "a"), (1, "b"), (1, "c")} and found[0, "b"] == 1.0
+    bm25 = {(r.query_id, r.id): r.score for r in search.bm25(search.parse_queries(spark.createDataFrame([(0, "thing"), (1, "thing word word")], "query_id int, query string"), NOW), index).collect()}
+    assert found[0, "a"] == pytest.approx(5 * bm25[0, "a"] + 2) and found[1, "b"] == pytest.approx(5 * bm25[1, "b"] + 3) and found[1, "c"] == pytest.approx(5 * bm25[1, "c"] + 3)
+
+
+def test_hidden_postings_are_dropped_after_they_are_counted(spark, tmp_path, monkeypatch):
+    rows = {i: session(str(i), "pi", "t", content=f"thing{i} old{i} word") for i in range(40)}
+    path = str(tmp_path / "index")
+    search.build_index(table(spark, *rows.values()), path)
+    rows[3] = session("3", "pi", "t", content="new word")
+    index = search.update_index(spark, path, table(spark, rows[3]), spark.createDataFrame([("pi", "5")], "agent string, id string"))
+    del rows[5]
+    seen = []
+    for module in (search, search_index):
+        monkeypatch.setattr(module, "live", lambda df, removed, live=search_index.live: seen.append(df.columns) or live(df, removed))
+    queries = search.parse_queries(spark.createDataFrame([(0, "thing"), (1, "old3"), (2, "new"), (3, "word"), (4, "thing5")], "query_id int, query string"), NOW)
+
+    def scores(index, sessions):
+        return {(r.query_id, r.id): round(r.score, 9) for r in search.search_scores(queries, sessions, index).collect()}
+
+    now = table(spark, *rows.values())
+    got = scores(index, now)
+    assert seen and not any("positions" in columns for columns in seen)
+    assert got == scores(search.build_index(now), now) and (0, "3") not in got and (0, "5") not in got and (2, "3") in got
+
+
 def test_same_id_in_two_agents(spark):
     s = table(spark, session("same", "claude", "apple"), session("same", "codex", "banana"))
     assert [(r.agent, r.id) for r in search.search(s, "banana", NOW).collect()] == [("codex", "same")]
